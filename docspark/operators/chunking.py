@@ -248,8 +248,16 @@ def regions(docs: DataFrame) -> DataFrame:
     stem = paths.stem(F.col("source_path"))
     found = bind(
         _marked_lines(F.col("text")),
-        lambda ms: F.transform(
-            _regions(ms, stem), lambda r: F.struct(r.alias("r"), _content(ms, r).alias("content"))
+        lambda ms: bind(
+            _regions(ms, stem),
+            lambda rs: F.transform(
+                rs,
+                lambda r: F.struct(
+                    r.alias("r"),
+                    F.element_at(rs, -1)["block_no"].alias("last_block"),
+                    _content(ms, r).alias("content"),
+                ),
+            ),
         ),
     )
     rows = docs.select(
@@ -264,6 +272,7 @@ def regions(docs: DataFrame) -> DataFrame:
         "arquivo_hash",
         "x.r.kind",
         "x.r.block_no",
+        "x.last_block",
         "x.r.nome_software",
         "x.r.chunk_ordem",
         titulo.alias("titulo"),
@@ -304,6 +313,7 @@ def topic_records(docs: DataFrame, config: ChunkConfig, ingested_at: Column) ->
         "nome_arquivo",
         "arquivo_hash",
         "block_no",
+        "last_block",
         "nome_software",
         F.when(is_block, F.col("chunk_ordem") + ordinal)
         .otherwise(F.col("chunk_ordem"))

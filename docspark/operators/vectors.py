@@ -311,7 +311,7 @@ def knn_lsh(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
-    tables: int = 8,
+    tables: int = 16,
     bits: int = 4,
     metric: str = "l2sq",
     exclude_self: bool = False,
