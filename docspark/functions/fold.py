@@ -8,14 +8,35 @@ short block list and joins the blocks afterwards).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 256
 
 
+def once(builder: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expression a builder made for the same plain arguments.
+
+    Nested lambdas take thousands of calls into the JVM to build, so a job that
+    plans the same operator again should not pay twice. Arguments are column
+    names and numbers, never columns; a new JVM starts afresh.
+    """
+    made: dict[tuple, Column] = {}
+
+    @functools.wraps(builder)
+    def get(*args: str | int) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in made:
+            made[key] = builder(*args)
+        return made[key]
+
+    return get
+
+
 def empty(element_type: str) -> Column:
     """Typed empty array."""
     return F.array().cast(f"array<{element_type}>")

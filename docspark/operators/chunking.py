@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from docspark.functions import markdown as md
 from docspark.functions import paths
 from docspark.functions import text as tx
-from docspark.functions.fold import bind, empty, fold_emit
+from docspark.functions.fold import bind, empty, fold_emit, once
 
 # Defaults, option names and record texts.
 DEFAULT_MAX_CHARS = 1200
@@ -240,14 +240,11 @@ def _metadata(software: Column, level1: Column, h2: Column, hc: Column) -> tuple
     return titulo, hierarquia
 
 
-def regions(docs: DataFrame) -> DataFrame:
-    """One row per chunk, chunkless block or headerless document, with its text.
-
-    `docs` holds ``source_path`` and ``text``.
-    """
-    stem = paths.stem(F.col("source_path"))
-    found = bind(
-        _marked_lines(F.col("text")),
+@once
+def _region_rows(text: str, source_path: str) -> Column:
+    stem = paths.stem(F.col(source_path))
+    return bind(
+        _marked_lines(F.col(text)),
         lambda ms: bind(
             _regions(ms, stem),
             lambda rs: F.transform(
@@ -260,11 +257,41 @@ def regions(docs: DataFrame) -> DataFrame:
             ),
         ),
     )
+
+
+@once
+def _region_pieces(kind: str, content: str, limit: int, overlap: int) -> Column:
+    """Numbered pieces of a region: ``array<struct<t, n>>``."""
+    pieces = (
+        F.when(F.col(kind) == "chunk", md.cap(F.col(content), limit, overlap))
+        .when(F.col(kind) == "block", md.pack_lines(F.split(content, "\n", -1), limit, overlap))
+        .otherwise(F.array(content))
+    )
+    return _counted(pieces)
+
+
+@once
+def _text_pieces(text: str, limit: int, overlap: int) -> Column:
+    return _counted(md.cap(F.col(text), limit, overlap))
+
+
+def _counted(pieces: Column) -> Column:
+    return bind(
+        pieces, lambda p: F.transform(p, lambda t: F.struct(t.alias("t"), F.size(p).alias("n")))
+    )
+
+
+def regions(docs: DataFrame) -> DataFrame:
+    """One row per chunk, chunkless block or headerless document, with its text.
+
+    `docs` holds ``source_path`` and ``text``.
+    """
     rows = docs.select(
         "source_path",
         doc_hash(F.col("text")).alias("arquivo_hash"),
-        F.explode(found).alias("x"),
+        F.explode(_region_rows("text", "source_path")).alias("x"),
     )
+    stem = paths.stem(F.col("source_path"))
     titulo, hierarquia = _metadata(stem, F.col("x.r.h1"), F.col("x.r.h2"), F.col("x.r.hc"))
     return rows.select(
         "source_path",
@@ -293,16 +320,8 @@ def topic_records(docs: DataFrame, config: ChunkConfig, ingested_at: Column) ->
     packed as a whole; a document without blocks is one record.
     """
     r = regions(docs)
-    pieces = (
-        F.when(F.col("kind") == "chunk", md.cap(F.col("content"), config.max_chars, config.overlap))
-        .when(
-            F.col("kind") == "block",
-            md.pack_lines(F.split("content", "\n", -1), config.max_chars, config.overlap),
-        )
-        .otherwise(F.array("content"))
-    )
     numbered = F.posexplode(
-        bind(pieces, lambda p: F.transform(p, lambda t: F.struct(t.alias("t"), F.size(p).alias("n"))))
+        _region_pieces("kind", "content", config.max_chars, config.overlap)
     ).alias("pos", "p")
     rows = r.select(*[c for c in r.columns if c != "content"], numbered)
     ordinal, total = F.col("pos") + 1, F.col("p.n")
@@ -344,17 +363,10 @@ def fallback_chunks(docs: DataFrame, config: ChunkConfig, ingested_at: Column) -
 
 def cap_texts(df: DataFrame, text: str, config: ChunkConfig) -> DataFrame:
     """Size-bounded pieces of a text column, numbered, without sections."""
-    pieces = md.cap(F.col(text), config.max_chars, config.overlap)
-    return df.select(
-        *[c for c in df.columns if c != text],
-        F.posexplode(
-            bind(
-                pieces,
-                lambda p: F.transform(p, lambda t: F.struct(t.alias("t"), F.size(p).alias("n"))),
-            )
-        ).alias("pos", "p"),
-    ).select(
-        *[c for c in df.columns if c != text],
+    keys = [c for c in df.columns if c != text]
+    pieces = _text_pieces(text, config.max_chars, config.overlap)
+    return df.select(*keys, F.posexplode(pieces).alias("pos", "p")).select(
+        *keys,
         (F.col("pos") + 1).alias("subchunk_ordem"),
         F.col("p.n").alias("subchunk_total"),
         F.col("p.t").alias("texto"),

@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import html as h
 from docspark.functions import paths
-from docspark.functions.fold import bind
+from docspark.functions.fold import bind, once
+
+
+@once
+def _markdown(html: str) -> Column:
+    return h.markdown(F.col(html))
+
+
+@once
+def _tables(html: str) -> Column:
+    return bind(
+        h.segments(h.strip_noise(F.col(html)), "pre", "table"),
+        lambda parts: F.transform(
+            F.filter(parts, lambda s: s["tag"] == "table"), lambda s: h.table_rows(s["html"])
+        ),
+    )
+
+
+@once
+def _grid(rows: str) -> Column:
+    return h.table_grid(F.col(rows))
+
+
+@once
+def _rendered(rows: str) -> Column:
+    return h.render_table(F.col(rows))
+
+
+@once
+def _title(html: str) -> Column:
+    parts = h.segments(h.strip_noise(F.col(html)), "pre", "table")
+    return bind(parts, lambda p: h.page_title(h.flow_text(p)))
 
 
 def to_markdown(pages: DataFrame, html: str = "html", out: str = "markdown") -> DataFrame:
     """Replace the page source by its Markdown."""
     return pages.select(
-        *[c for c in pages.columns if c != html], h.markdown(F.col(html)).alias(out)
+        *[c for c in pages.columns if c != html], _markdown(html).alias(out)
     )
 
 
@@ -22,20 +53,14 @@ def convert(raw: DataFrame, source_root: str, output_root: str) -> DataFrame:
     return raw.select(
         "source_path",
         paths.output_path(F.col("source_path"), source_root, output_root).alias("output_path"),
-        h.markdown(F.col("raw")).alias("markdown"),
+        _markdown("raw").alias("markdown"),
     )
 
 
 def page_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per table of a page: `table_no` from 1 and its rows of cells."""
     keys = [c for c in pages.columns if c != html]
-    tables = bind(
-        h.segments(h.strip_noise(F.col(html)), "pre", "table"),
-        lambda parts: F.transform(
-            F.filter(parts, lambda s: s["tag"] == "table"), lambda s: h.table_rows(s["html"])
-        ),
-    )
-    return pages.select(*keys, F.posexplode(tables).alias("pos", "rows")).select(
+    return pages.select(*keys, F.posexplode(_tables(html)).alias("pos", "rows")).select(
         *keys, (F.col("pos") + 1).alias("table_no"), "rows"
     )
 
@@ -44,7 +69,7 @@ def page_table_cells(pages: DataFrame, html: str = "html") -> DataFrame:
     """Cells of every table on the grid its spans describe, one row per cell."""
     keys = [c for c in pages.columns if c != html]
     rows = page_tables(pages, html).select(
-        *keys, "table_no", F.posexplode(h.table_grid(F.col("rows"))).alias("r", "cells")
+        *keys, "table_no", F.posexplode(_grid("rows")).alias("r", "cells")
     )
     cells = rows.select(*keys, "table_no", "r", F.posexplode("cells").alias("c", "text"))
     return cells.select(
@@ -61,7 +86,7 @@ def rendered_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     keys = [c for c in pages.columns if c != html]
     return (
         page_tables(pages, html)
-        .select(*keys, "table_no", h.render_table(F.col("rows")).alias("markdown"))
+        .select(*keys, "table_no", _rendered("rows").alias("markdown"))
         .where("markdown <> ''")
     )
 
@@ -81,8 +106,6 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def titles(pages: DataFrame, html: str = "html") -> DataFrame:
     """Title of every page."""
-    parts = h.segments(h.strip_noise(F.col(html)), "pre", "table")
     return pages.select(
-        *[c for c in pages.columns if c != html],
-        bind(parts, lambda p: h.page_title(h.flow_text(p))).alias("title"),
+        *[c for c in pages.columns if c != html], _title(html).alias("title")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import paths, replies
 from docspark.functions import text as tx
-from docspark.functions.fold import bind, empty, fold_emit
+from docspark.functions.fold import bind, empty, fold_emit, once
 
 # ---- Fixed values: patterns, word lists, templates and limits.
 HEADING = r"(?s)^(#{1,6})" + tx.WS + r"+(.+)$"
@@ -140,14 +140,10 @@ def _paths(heads: Column) -> Column:
     return fold_emit(heads, F.struct(empty(item).alias("stack")), "string", step)
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """One row per heading with text below it, and its heading path.
-
-    `docs` holds ``source_path`` and ``text``. A level-1 heading is kept even
-    without text; text before the first heading is left out; a document without
-    any section is one section. No shuffle: the lines stay inside the row.
-    """
-    stem = paths.stem(F.col("source_path"))
+@once
+def _section_rows(text: str, source_path: str) -> Column:
+    """Sections of a document: ``array<struct<title, s>>``."""
+    stem = paths.stem(F.col(source_path))
 
     def content(ms: Column, start: Column, n: Column) -> Column:
         part = F.slice(ms, start + 1, n)
@@ -203,9 +199,8 @@ def sections(docs: DataFrame) -> DataFrame:
             ),
         )
 
-    # the struct is one column, and explode reads it once per document
-    rows = bind(
-        _marked(F.col("text")),
+    return bind(
+        _marked(F.col(text)),
         lambda ms: bind(
             all_of(ms),
             lambda d: F.transform(
@@ -213,6 +208,16 @@ def sections(docs: DataFrame) -> DataFrame:
             ),
         ),
     )
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """One row per heading with text below it, and its heading path.
+
+    `docs` holds ``source_path`` and ``text``. A level-1 heading is kept even
+    without text; text before the first heading is left out; a document without
+    any section is one section. No shuffle: the lines stay inside the row.
+    """
+    rows = _section_rows("text", "source_path")
     return docs.select("source_path", F.explode(rows).alias("x")).select(
         "source_path", F.col("x.title").alias("titulo_documento"), "x.s.*"
     )
@@ -355,13 +360,17 @@ def ideal_answer(body: Column, title: Column, document: Column, kind: Column) ->
     )
 
 
+@once
+def _section_keywords(title: str, document: str, body: str) -> Column:
+    return keywords(F.col(title), F.col(document), F.col(body))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """Sections with keywords, class, difficulty and template question."""
     s = sections(docs)
     title, document, body = F.col("titulo_secao"), F.col("titulo_documento"), F.col("conteudo")
-    classed = s.withColumn("palavras_chave", keywords(title, document, body)).withColumn(
-        "categoria", category(title, body)
-    )
+    words = _section_keywords("titulo_secao", "titulo_documento", "conteudo")
+    classed = s.withColumn("palavras_chave", words).withColumn("categoria", category(title, body))
     kind = F.col("categoria")
     return classed.withColumn("dificuldade", difficulty(body, F.col("nivel"), kind)).withColumn(
         "pergunta",

@@ -10,7 +10,7 @@ from docspark.functions import paths
 
 def decode_utf8(content: Column) -> Column:
     """Bytes as UTF-8 text, invalid bytes dropped."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def _files(spark: SparkSession, root: str, suffix: str) -> DataFrame:

@@ -23,12 +23,14 @@ def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
 def align_schema(df: DataFrame, schema: str | T.StructType) -> DataFrame:
     """Columns of `schema` in its order and types; missing ones are null."""
     target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in target.fields
-        ]
-    )
+
+    def column(f: T.StructField) -> Column:
+        if f.name not in df.columns:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        same = df.schema[f.name].dataType == f.dataType
+        return F.col(f.name) if same else F.col(f.name).try_cast(f.dataType).alias(f.name)
+
+    return df.select(*[column(f) for f in target.fields])
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -36,17 +38,22 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return align_schema(spark.read.option("mergeSchema", "true").parquet(path), schema)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write rows to the shared folder and read them back, so later steps reuse them."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
     """Overwrite the buckets the rows fall into and leave the others as they are.
 
     The rows are staged first, because they may come from `path` itself.
     """
-    spark = df.sparkSession
-    staged = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
     bucketed = df.withColumn("bucket", bucket_of(key, buckets))
-    bucketed.write.parquet(staged)
     (
-        spark.read.schema(bucketed.schema).parquet(staged)
+        stage(bucketed)
         # hash and salt: a hot key is written by several tasks
         .repartition("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
         .write.mode("overwrite")
@@ -96,7 +103,9 @@ def read_log(spark: SparkSession, path: str, schema: str = schemas.LOG) -> DataF
     typed = align_schema(
         raw.select(
             *[
-                F.nullif(c, F.lit("")).alias(c) if c in raw.columns else F.lit(None).alias(c)
+                F.nullif(c, F.lit("")).alias(c)
+                if c in raw.columns
+                else F.lit(None).cast("string").alias(c)
                 for c in T.StructType.fromDDL(schema).fieldNames()
             ]
         ),
