@@ -188,10 +188,15 @@ def tokens(metadata: Column) -> Column:
 def format_duration(seconds: Column) -> Column:
     """`1.23s` below a minute, else `1m 2.3s`; `N/D` for null."""
     minutes = F.floor(seconds / 60).cast("int")
+
+    def even(x: Column, digits: int) -> Column:
+        # format_string rounds halves up; a half that is exact goes to the even digit
+        return F.when(x * 8 == F.floor(x * 8), F.bround(x, digits)).otherwise(x)
+
     return (
         F.when(seconds.isNull(), F.lit("N/D"))
-        .when(seconds < 60, F.format_string("%.2fs", seconds))
-        .otherwise(F.format_string("%dm %.1fs", minutes, seconds - minutes * 60))
+        .when(seconds < 60, F.format_string("%.2fs", even(seconds, 2)))
+        .otherwise(F.format_string("%dm %.1fs", minutes, even(seconds - minutes * 60, 1)))
     )
 
 
