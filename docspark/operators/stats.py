@@ -390,8 +390,13 @@ def quantiles(
     items = []
     for i, name in enumerate(names):
         p = probabilities[name]
-        lo = F.col("_min") if p <= margin else F.get("_q", F.lit(2 * i))
-        hi = F.col("_max") if p >= 1 - margin else F.get("_q", F.lit(2 * i + 1))
+        # the margin is worth two ranks only beyond `accuracy` rows; fewer need no bracket
+        few = F.col("_n") <= accuracy
+        lo, hi = F.col("_min"), F.col("_max")
+        if p > margin:
+            lo = F.when(few, lo).otherwise(F.get("_q", F.lit(2 * i)))
+        if p < 1 - margin:
+            hi = F.when(few, hi).otherwise(F.get("_q", F.lit(2 * i + 1)))
         items.append(
             F.struct(
                 F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(p)).alias("at"),

@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from docspark_checks import chunk_queries, kb_queries, page_queries, search_queries  # noqa: F401
+from docspark_checks import (  # noqa: F401
+    chunk_queries,
+    gold_queries,
+    kb_queries,
+    page_queries,
+    search_queries,
+    stat_queries,
+)
 from docspark_checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
