@@ -313,14 +313,19 @@ def raw_chunks(docs: DataFrame) -> DataFrame:
     return regions(docs).where("kind = 'chunk'").drop("kind")
 
 
-def topic_records(docs: DataFrame, config: ChunkConfig, ingested_at: Column) -> DataFrame:
+def topic_records(
+    docs: DataFrame, config: ChunkConfig, ingested_at: Column, empty_blocks: bool = False
+) -> DataFrame:
     """Chunk records of whole documents: cut, numbered and hashed.
 
     A chunk above the limit becomes numbered parts; a block without chunks is
-    packed as a whole; a document without blocks is one record.
+    packed as a whole; a document without blocks is one record. A block without
+    any text gives no record, or with `empty_blocks` one whose text is null, so
+    that its document is not lost.
     """
     r = regions(docs)
-    numbered = F.posexplode(
+    explode = F.posexplode_outer if empty_blocks else F.posexplode
+    numbered = explode(
         _region_pieces("kind", "content", config.max_chars, config.overlap)
     ).alias("pos", "p")
     rows = r.select(*[c for c in r.columns if c != "content"], numbered)

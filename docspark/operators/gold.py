@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import paths, replies
 from docspark.functions import text as tx
 from docspark.functions.fold import bind, empty, fold_emit, once
+from docspark.session import stage
 
 # ---- Fixed values: patterns, word lists, templates and limits.
 HEADING = r"(?s)^(#{1,6})" + tx.WS + r"+(.+)$"
@@ -408,7 +409,10 @@ def stratified_pick(
         order = Window.partitionBy(by).orderBy("draw")
         return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
-    keys = first_n(keyed.select("draw", "source_path", "categoria", "pergunta"), "pergunta", 1)
+    # staged, since three rankings read them and finding them is the expensive part
+    keys = stage(
+        first_n(keyed.select("draw", "source_path", "categoria", "pergunta"), "pergunta", 1)
+    )
     within = first_n(first_n(keys, "source_path", per_source), "categoria", target)
     any_source = first_n(keys, "categoria", 2 * target)
     pool = within.withColumn("tier", F.lit(0)).unionByName(
@@ -426,12 +430,19 @@ def stratified_pick(
     chosen = ranked.orderBy("turn", F.desc("class_size"), "categoria").limit(target)
     numbered = chosen.select(
         "draw",
+        "source_path",
         F.row_number()
         .over(Window.orderBy("turn", F.desc("class_size"), "categoria"))
         .alias("ordem"),
     )
-    # at most `target` rows
-    return keyed.join(F.broadcast(numbered), "draw").drop("draw")
+    # at most `target` rows; the first join reaches the documents before their sections are cut
+    wanted = F.broadcast(stage(numbered))
+    return (
+        found.join(wanted.select("source_path"), "source_path", "left_semi")
+        .withColumn("draw", draw)
+        .join(wanted.drop("source_path"), "draw")
+        .drop("draw")
+    )
 
 
 def question_id(source_path: Column, section: Column, question: Column) -> Column:

@@ -36,12 +36,10 @@ def surviving_blocks(records: DataFrame, keep: str = "last") -> DataFrame:
 
 
 def document_rows(records: DataFrame) -> DataFrame:
-    """One document row per stored block."""
-    return records.groupBy("source_path", "block_no").agg(
-        F.first("nome_software").alias("nome_software"),
-        F.first("nome_arquivo").alias("nome_arquivo"),
-        F.first("arquivo_hash").alias("arquivo_hash"),
-        F.first("ingestao_em").alias("ingestao_em"),
+    """One document row per block: that of its first record. No shuffle."""
+    first = (F.col("chunk_ordem") == 1) & (F.col("subchunk_ordem") == 1)
+    return records.where(first | F.col("texto").isNull()).select(
+        "source_path", "nome_software", "nome_arquivo", "arquivo_hash", "ingestao_em"
     )
 
 
@@ -50,17 +48,15 @@ def replace_by_key(
 ) -> tuple[DataFrame, DataFrame]:
     """Documents and chunks after new records replace those of the same path."""
     kept = surviving_blocks(records, keep)
-    incoming = kept.select("source_path").distinct()
     new_documents = document_rows(kept)
-    new_chunks = kept.withColumnRenamed("texto", "conteudo_texto")
+    new_chunks = kept.where("texto is not null").withColumnRenamed("texto", "conteudo_texto")
+    incoming = new_documents.select("source_path")
     return (
         documents.join(incoming, "source_path", "left_anti").unionByName(
-            new_documents.select(*[c for c in documents.columns if c in new_documents.columns]),
-            allowMissingColumns=True,
+            new_documents.select(*documents.columns)
         ),
         chunks.join(incoming, "source_path", "left_anti").unionByName(
-            new_chunks.select(*[c for c in chunks.columns if c in new_chunks.columns]),
-            allowMissingColumns=True,
+            new_chunks.select(*chunks.columns)
         ),
     )
 

@@ -219,20 +219,26 @@ def group_summary(
     per_group = labelled.groupBy(*by).agg(
         *[F.struct(*[c.alias(k) for k, c in mean_ci(F.col(m)).items()]).alias(m) for m in metrics]
     )
-    # dimension values are few: one row of sets, exploded back to every combination
-    dims = labelled.agg(*[F.collect_set(c).alias(c) for c in by])
-    for c in by:
-        dims = dims.withColumn(c, F.explode(c))
     zero = F.struct(
         *[F.lit(0.0).alias(k) for k in ("mean", "ci95_low", "ci95_high", "std")],
         F.lit(0).cast("bigint").alias("n"),
     )
-    dense = dims.join(per_group, list(by), "left").select(
+    # groups are few: one row of sets and a map, exploded back to every combination
+    one = per_group.agg(
+        *[F.collect_set(c).alias(c) for c in by],
+        F.map_from_entries(
+            F.collect_list(F.struct(F.struct(*by).alias("k"), F.struct(*metrics).alias("v")))
+        ).alias("_groups"),
+    )
+    for c in by:
+        one = one.withColumn(c, F.explode(c))
+    found = one.select(*by, F.try_element_at("_groups", F.struct(*by)).alias("g"))
+    dense = found.select(
         *by,
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(m).alias("metric"), F.coalesce(m, zero).alias("s"))
+                    F.struct(F.lit(m).alias("metric"), F.coalesce(F.col("g")[m], zero).alias("s"))
                     for m in metrics
                 ]
             )
@@ -277,28 +283,27 @@ def baseline_delta(
             )
         ).alias("x"),
     ).select("variacao_retrieval", "x.*")
-    named = F.max(F.when(F.col("variacao_retrieval") == BASELINE, F.lit(BASELINE)))
-    chosen = long.agg(named.alias("_base")).withColumn("_k", F.lit(1))
-    if first_seen is not None:
-        chosen = chosen.join(first_seen.withColumn("_k", F.lit(1)), "_k").withColumn(
-            "_base", F.coalesce("_base", "first_variant")
+    # a few aggregated rows from here on
+    everything, metric = Window.partitionBy(F.lit(0)), Window.partitionBy("metric")
+    is_named = F.col("variacao_retrieval") == BASELINE
+    if first_seen is None:
+        fallback = F.lit(None).cast("string")
+    else:
+        long = long.withColumn("_k", F.lit(1)).join(
+            F.broadcast(first_seen.withColumn("_k", F.lit(1))), "_k"
         )
-    base = (
-        long.withColumn("_k", F.lit(1))
-        .join(chosen.select("_k", "_base"), "_k")
-        .where("variacao_retrieval = _base")
-        .select("metric", F.col("mean").alias("baseline"))
+        fallback = F.col("first_variant")
+    named = F.max(F.when(is_named, F.lit(BASELINE))).over(everything)
+    based = long.withColumn("_base", F.coalesce(named, fallback)).withColumn(
+        "baseline",
+        F.max(F.when(F.col("variacao_retrieval") == F.col("_base"), F.col("mean"))).over(metric),
     )
     delta = F.col("mean") - F.col("baseline")
-    return (
-        long.join(base, "metric")
-        .where("mean is not null and baseline is not null")
-        .select(
-            "variacao_retrieval", "metric", "mean", "baseline", delta.alias("delta_absoluto"),
-            F.when(F.col("baseline") != 0, delta / F.col("baseline") * 100.0).alias(
-                "ganho_percentual"
-            ),
-        )
+    return based.where("mean is not null and baseline is not null").select(
+        "variacao_retrieval", "metric", "mean", "baseline", delta.alias("delta_absoluto"),
+        F.when(F.col("baseline") != 0, delta / F.col("baseline") * 100.0).alias(
+            "ganho_percentual"
+        ),
     )
 
 
@@ -640,17 +645,21 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     counted = (
         v.withColumn("_k", F.lit(1))
         .join(F.broadcast(edges), "_k")
-        .groupBy(at.alias("bin"))
+        .groupBy(at.alias("bin"), "lo", "width")
         .agg(F.count("*").alias("n"))
     )
-    dense = edges.select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "width"
+    # at most `bins` rows
+    one = counted.groupBy("lo", "width").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_n")
+    )
+    dense = one.select(
+        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "width", "_n"
     )
-    return dense.join(counted, "bin", "left").select(
+    return dense.select(
         "bin",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("bin_from"),
         (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("bin_to"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce(F.try_element_at("_n", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 

@@ -145,8 +145,31 @@ def _hit_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
     )
 
 
-def _broadcast_hits(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Hits per corpus partition against a broadcast query matrix of checked size."""
+def _cell_function(tables: int, bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Cell numbers of vectors, one column per table: table number and sign bits."""
+
+    def cells(v: np.ndarray) -> np.ndarray:
+        i = np.arange(tables * bits * v.shape[1], dtype=np.int64)
+        # same rule as plane_value
+        planes = ((i * i * 31 + i * 7919 + 12345) % 65537 / 32768.0 - 1.0).reshape(
+            tables * bits, v.shape[1]
+        )
+        side = (v @ planes.T > 0).astype(np.int64).reshape(len(v), tables, bits)
+        return (side << np.arange(bits)).sum(axis=2) + np.arange(tables) * 2**bits
+
+    return cells
+
+
+def _broadcast_hits(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    cells: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """Hits per corpus partition against a broadcast query matrix of checked size.
+
+    With `cells` only vectors that share a cell with a query are compared to it.
+    """
     schema = _hit_schema(queries, corpus)
     matrix, best = _matrix_function(), _top_k_function(k)
     table = queries.select("query_id", "embedding").toArrow()
@@ -154,25 +177,50 @@ def _broadcast_hits(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         (table.column("query_id").to_numpy(), matrix(table.column("embedding")))
     )
 
+    def by_cell(qv, qn, q_cells, ids, cv):
+        """Best of every cell that holds queries and rows of this batch."""
+        c_cells = cells(cv)
+        found = []
+        for t in range(c_cells.shape[1]):
+            q_order = np.argsort(q_cells[:, t], kind="stable")
+            c_order = np.argsort(c_cells[:, t], kind="stable")
+            q_sorted, c_sorted = q_cells[q_order, t], c_cells[c_order, t]
+            for cell in np.intersect1d(q_sorted, c_sorted):
+                qs = q_order[slice(*np.searchsorted(q_sorted, [cell, cell + 1]))]
+                cs = c_order[slice(*np.searchsorted(c_sorted, [cell, cell + 1]))]
+                r, i, d = best(qv[qs], qn[qs], ids[cs], cv[cs])
+                found.append((qs[r], i, d))
+        if not found:
+            return np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0)
+        return tuple(np.concatenate(parts) for parts in zip(*found))
+
+    def reduced(rows, ids, dist):
+        """The k best per query, every id once."""
+        order = np.lexsort((ids, dist, rows))
+        rows, ids, dist = rows[order], ids[order], dist[order]
+        if cells is not None and len(rows) > 1:
+            fresh = np.ones(len(rows), dtype=bool)
+            fresh[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
+            rows, ids, dist = rows[fresh], ids[fresh], dist[fresh]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+        return rows[keep], ids[keep], dist[keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, qv = shared.value
         qn = (qv * qv).sum(axis=1)
-        rows = np.zeros(0, dtype=np.int64)
-        ids: np.ndarray | None = None
-        dist = np.zeros(0)
+        q_cells = cells(qv) if cells is not None and len(qv) else None
+        kept = None
         for batch in batches:
-            if batch.num_rows == 0:
+            if batch.num_rows == 0 or len(qv) == 0:
                 continue
-            new_ids = batch.column("id").to_numpy(zero_copy_only=False)
-            r, i, d = best(qv, qn, new_ids, matrix(batch.column("embedding")))
-            rows = np.concatenate([rows, r])
-            ids = i if ids is None else np.concatenate([ids, i])
-            dist = np.concatenate([dist, d])
-            order = np.lexsort((ids, dist, rows))
-            rows, ids, dist = rows[order], ids[order], dist[order]
-            keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-            rows, ids, dist = rows[keep], ids[keep], dist[keep]
-        if ids is not None:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            cv = matrix(batch.column("embedding"))
+            new = best(qv, qn, ids, cv) if cells is None else by_cell(qv, qn, q_cells, ids, cv)
+            kept = reduced(
+                *(new if kept is None else (np.concatenate(p) for p in zip(kept, new)))
+            )
+        if kept is not None:
+            rows, ids, dist = kept
             for lo in range(0, len(rows), 100_000):
                 part = slice(lo, lo + 100_000)
                 yield pa.RecordBatch.from_arrays(
@@ -235,6 +283,14 @@ def _grid_hits(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataF
     return q.groupBy("cell", "c_no", "q_no").cogroup(by_c).applyInArrow(run, schema)
 
 
+def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """Both sides without null vectors, the number of queries and the dimension."""
+    q = queries.where("embedding is not null").select("query_id", "embedding")
+    c = corpus.where("embedding is not null").select("id", "embedding")
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    return q, c, int(size["n"]), int(size["dim"] or 1)
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -253,11 +309,8 @@ def knn(
         raise ValueError("k must be above zero")
     if metric not in ("l2sq", "l2"):
         raise ValueError("metric must be l2sq or l2")
-    q = queries.where("embedding is not null").select("query_id", "embedding")
-    c = corpus.where("embedding is not null").select("id", "embedding")
+    q, c, rows, dim = _sides(queries, corpus)
     wanted = k + 1 if exclude_self else k
-    size = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    rows, dim = int(size["n"]), int(size["dim"] or 1)
     if rows * dim * 8 <= broadcast_bytes:
         hits = _broadcast_hits(q, c, wanted)
     else:
@@ -280,33 +333,29 @@ def lsh_cells(df: DataFrame, tables: int, bits: int) -> DataFrame:
 
     The sides of `bits` fixed hyperplanes per table make the bits.
     """
-    if tables <= 0 or bits <= 0 or tables * 2**bits > MAX_CELLS:
-        raise ValueError("tables * 2^bits must be between 1 and 65536")
+    _check_cells(tables, bits)
     schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
-    matrix = _matrix_function()
+    matrix, cells = _matrix_function(), _cell_function(tables, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            v = matrix(batch.column("embedding"))
-            if planes is None:
-                i = np.arange(tables * bits * v.shape[1], dtype=np.int64)
-                planes = ((i * i * 31 + i * 7919 + 12345) % 65537 / 32768.0 - 1.0).reshape(
-                    tables * bits, v.shape[1]
-                )
-            side = (v @ planes.T > 0).astype(np.int64).reshape(len(v), tables, bits)
-            code = (side << np.arange(bits)).sum(axis=2) + np.arange(tables) * 2**bits
+            found = cells(matrix(batch.column("embedding"))).astype(np.int32)
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(code[:, t].astype(np.int32))],
+                    [*batch.columns, pa.array(found[:, t])],
                     names=[*batch.schema.names, "cell"],
                 )
 
     return df.mapInArrow(run, schema)
 
 
+def _check_cells(tables: int, bits: int) -> None:
+    if tables <= 0 or bits <= 0 or tables * 2**bits > MAX_CELLS:
+        raise ValueError("tables * 2^bits must be between 1 and 65536")
+
+
 def knn_lsh(
     queries: DataFrame,
     corpus: DataFrame,
@@ -315,21 +364,26 @@ def knn_lsh(
     bits: int = 4,
     metric: str = "l2sq",
     exclude_self: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Approximate neighbours: exact ranking among rows that share a cell.
 
     Rows share a cell if they lie on the same side of every plane of at least
-    one table. More tables find more, more bits look at less.
+    one table. More tables find more, more bits look at less. Queries of a
+    checked size are broadcast and the corpus stays where it is; a larger query
+    side meets the corpus cell by cell in groups of bounded size.
     """
-    q = queries.where("embedding is not null").select("query_id", "embedding")
-    c = corpus.where("embedding is not null").select("id", "embedding")
-    dim = int(q.agg(F.max(F.size("embedding"))).first()[0] or 1)
+    _check_cells(tables, bits)
+    q, c, rows, dim = _sides(queries, corpus)
     wanted = k + 1 if exclude_self else k
-    hits = _grid_hits(lsh_cells(q, tables, bits), lsh_cells(c, tables, bits), wanted, dim)
-    once = hits.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    if rows * dim * 8 <= broadcast_bytes:
+        hits = _broadcast_hits(q, c, wanted, _cell_function(tables, bits))
+    else:
+        found = _grid_hits(lsh_cells(q, tables, bits), lsh_cells(c, tables, bits), wanted, dim)
+        hits = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
     if exclude_self:
-        once = once.where("query_id <> id")
-    return _ranked(once, k, metric)
+        hits = hits.where("query_id <> id")
+    return _ranked(hits, k, metric)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

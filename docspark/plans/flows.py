@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.operators import chunking, context, evaluate, extract, kb, stats, vectors
+from docspark.session import stage
 from docspark.sources import files, tables
 
 
@@ -39,16 +40,15 @@ class Encoder:
 def records_of_pages(pages: DataFrame, config: chunking.ChunkConfig, ingested_at) -> DataFrame:
     """Chunk records of raw pages ``(source_path, html)``: one narrow plan."""
     docs = extract.to_markdown(pages, "html", "text").select("source_path", "text")
-    return chunking.topic_records(docs, config, ingested_at)
+    return chunking.topic_records(docs, config, ingested_at, empty_blocks=True)
 
 
 def knowledge_base(records: DataFrame, keep: str = "last") -> tuple[DataFrame, DataFrame]:
-    """Documents and chunks of records, as stored in an empty base."""
-    spark = records.sparkSession
-    return kb.replace_by_key(
-        spark.createDataFrame([], schemas.DOCUMENTS), spark.createDataFrame([], schemas.CHUNKS),
-        records, keep,
-    )
+    """Documents and chunks of records, as stored in an empty base. No shuffle."""
+    kept = kb.surviving_blocks(records, keep)
+    documents = tables.align_schema(kb.document_rows(kept), schemas.DOCUMENTS)
+    chunks = kept.where("texto is not null").withColumnRenamed("texto", "conteudo_texto")
+    return documents, tables.align_schema(chunks, schemas.CHUNKS)
 
 
 def index_rows(documents: DataFrame, chunks: DataFrame, encoder: Encoder) -> DataFrame:
@@ -112,7 +112,9 @@ def run_pipeline(
         docs = spark.read.parquet(markdown_path).select(
             F.ltrim("output_path", F.lit("/")).alias("source_path"), F.col("markdown").alias("text")
         )
-        records = tables.stage(chunking.topic_records(docs, config, ingested_at))
+        records = stage(
+            chunking.topic_records(docs, config, ingested_at, empty_blocks=True)
+        )
         documents, chunks = knowledge_base(records)
         tables.write_kb(documents, chunks, kb_path)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 
 from docspark import schemas
 from docspark.operators.stats import PRODUCTION
-from docspark.session import checkpoint_dir
+from docspark.session import stage
 
 BUCKETS = 256
 
@@ -38,14 +37,6 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return align_schema(spark.read.option("mergeSchema", "true").parquet(path), schema)
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write rows to the shared folder and read them back, so later steps reuse them."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
     """Overwrite the buckets the rows fall into and leave the others as they are.
 

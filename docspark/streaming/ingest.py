@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docspark import schemas
 from docspark.operators import chunking, kb
+from docspark.session import stage
 from docspark.sources import tables
 
 
@@ -66,7 +67,9 @@ def ingest_stream(
 
     def one_batch(batch: DataFrame, _: int) -> None:
         newest = kb.latest_wins(batch, ["source_path"], [F.sha2("text", 256)])
-        records = tables.stage(chunking.topic_records(newest, config, ingested_at()))
+        records = stage(
+            chunking.topic_records(newest, config, ingested_at(), empty_blocks=True)
+        )
         replace_documents(records, path, buckets=buckets)
 
     return (

@@ -51,16 +51,18 @@ TABLES, BITS, DIM = 16, 4, 64
 _PLANE = "((x.i * x.i * 31 + x.i * 7919 + 12345) % 65537) / 32768.0::DOUBLE - 1.0"
 
 
-@query(
-    "knn_lsh",
+QUERIES_LSH = (
     f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
  planes AS (SELECT p, list({_PLANE} ORDER BY x.i) AS w FROM (SELECT i, i // {DIM} AS p FROM range({TABLES * BITS * DIM}) t(i)) x GROUP BY p),
  sides AS (SELECT vec_id, p // {BITS} AS t, sum(CASE WHEN list_dot_product(v, w::DOUBLE[]) > 0 THEN 1 << (p % {BITS}) ELSE 0 END)::INT AS code FROM e, planes GROUP BY vec_id, p // {BITS}),
  pairs AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id AS id FROM sides a JOIN sides b ON a.t = b.t AND a.code = b.code AND a.vec_id <> b.vec_id),
  d AS (SELECT query_id, id, pow(list_distance(q.v, c.v), 2) AS distance FROM pairs JOIN e q ON q.vec_id = query_id JOIN e c ON c.vec_id = id)
  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, round(distance, 6) AS distance FROM d
- QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= {K}""",
+ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= {K}"""
 )
+
+
+@query("knn_lsh", QUERIES_LSH)
 def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     queries, corpus = _sides(spark, sf)
     return vectors.knn_lsh(queries, corpus, K, TABLES, BITS, exclude_self=True)
@@ -77,6 +79,15 @@ def similarity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("knn_lsh_grid", QUERIES_LSH)
+def knn_lsh_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The same cell by cell, for query sides too large to broadcast."""
+    queries, corpus = _sides(spark, sf)
+    return vectors.knn_lsh(
+        queries, corpus, K, TABLES, BITS, exclude_self=True, broadcast_bytes=0
+    )
+
+
 # ---- retrieval quality: a hit is relevant if it has the label of the query
 
 VARIANTS = evaluate.variants(translation=False)
