@@ -72,7 +72,9 @@ def read_kb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """Gold questions: a JSON array, or one object per line."""
-    raw = spark.read.option("multiLine", "true").schema(schemas.GOLD).json(path)
+    head = spark.read.text(path).where("trim(value) <> ''").first()
+    is_array = head is not None and head["value"].lstrip().startswith("[")
+    raw = spark.read.option("multiLine", str(is_array).lower()).schema(schemas.GOLD).json(path)
     if raw.where("id is not null").isEmpty():
         raise ValueError("gold table needs an id column")
     return raw
