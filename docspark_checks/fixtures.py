@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark_checks.registry import table, text_table
+from docspark_checks.registry import text_table
 
 # ---- Markdown documents, one per row of `documents`, in six layouts.
 MARKDOWN_PATH = "'docs_markdown/' || source || '/doc_' || CAST(doc_id AS STRING) || '.md'"
@@ -119,4 +119,4 @@ def part_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr(*[f"{e} AS {n}" for n, e in LOG.items()])
+    return text_table(spark, sf, "events").selectExpr(*[f"{e} AS {n}" for n, e in LOG.items()])

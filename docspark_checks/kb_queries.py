@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import kb, vectors
 from docspark.plans import flows
+from docspark.session import stage
 from docspark_checks import fixtures
 from docspark_checks.chunk_queries import RECORDS_SQL, records
 from docspark_checks.fixtures import duck
@@ -73,7 +74,8 @@ KB_SQL = (
 
 
 def _kb(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return flows.knowledge_base(records(spark, sf))
+    # documents and chunks both come from the records
+    return flows.knowledge_base(stage(records(spark, sf)))
 
 
 @query("kb_join", KB_SQL + " SELECT * FROM kb")

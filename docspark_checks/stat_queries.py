@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.operators import evaluate, stats
+from docspark.session import stage
 from docspark_checks import fixtures
 from docspark_checks.fixtures import duck
-from docspark_checks.registry import query, table
+from docspark_checks.registry import query, table, text_table
 from docspark_checks.search_queries import _summary_sql
 
 RETRIEVAL, GENERATION = schemas.RETRIEVAL_METRICS, schemas.GENERATION_METRICS
@@ -295,7 +296,7 @@ CASES_SQL = CONS_SQL + " " + " UNION ALL ".join(_case_sql(*c) for c in stats.CAS
 
 @query("interesting_cases", CASES_SQL)
 def interesting_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.interesting_cases(consolidated(spark, sf)).select(
+    return stats.interesting_cases(stage(consolidated(spark, sf))).select(
         "case_type", "position", "row_no", "id", "modelo", "overall_score"
     )
 
@@ -310,7 +311,7 @@ def interesting_cases(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def case_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.case_counts(stats.interesting_cases(consolidated(spark, sf)))
+    return stats.case_counts(stats.interesting_cases(stage(consolidated(spark, sf))))
 
 
 @query(
@@ -487,7 +488,7 @@ _JSON = (
  round(CASE WHEN event_id % 6 = 0 THEN value ELSE 0.375 END, 6) AS similaridade_media_chunks FROM p""",
 )
 def metrics_from_log(spark: SparkSession, sf: str) -> DataFrame:
-    log = table(spark, sf, "events").select(
+    log = text_table(spark, sf, "events").select(
         "event_id",
         F.expr("'q' || CAST(user_id AS STRING)").alias("id"),
         F.expr(_JSON).alias("chunks_recuperados_json"),
