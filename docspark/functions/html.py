@@ -40,6 +40,7 @@ ENTITIES = (
     ("rdquo", '"'), ("ldquo", '"'), ("amp", "&"),
 )
 
+_NOISE_WORDS = "(?i)=.*(?:navigation|breadcrumb|related-links|nav|menu)"
 TOKEN = r"(?s)<!--.*?-->|<[!?/a-zA-Z][^>]*>|[^<]+|<"
 RANGE_TYPE = "struct<start:int,stop:int,tag:string>"
 _INDENT = "\x01"
@@ -66,7 +67,7 @@ def _is_noise(token: Column, name: Column) -> Column:
         return F.coalesce(attribute(token, attr).rlike("|".join(parts)), F.lit(False))
 
     return name.isin(*NOISE_TAGS) | (
-        token.contains("=")
+        token.rlike(_NOISE_WORDS)
         & (
             F.coalesce(attribute(token, "role") == "navigation", F.lit(False))
             | holds("class", NOISE_CLASS_PARTS)
@@ -170,9 +171,6 @@ _NOISE_LEFT = (
     r"(?is)</?(?:" + "|".join(NOISE_TAGS) + r")\b|<[^>]+\s(?:role\s*=\s*[\"']?navigation"
     r"|(?:class|id)\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)(?:breadcrumb|related-links|nav|menu))"
 )
-_NOISE_NESTED = (
-    r"(?is)<(" + "|".join(NOISE_TAGS) + r")\b(?:(?!</\1).)*<\1\b"
-)
 
 
 def strip_noise(html: Column) -> Column:

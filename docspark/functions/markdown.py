@@ -9,8 +9,11 @@ from docspark.functions import text as tx
 from docspark.functions.fold import bind, empty, fold_emit, join_ranges
 
 # Header lines, fences and table separators.
-MARKDOWN_HEADER = "(?s)^(#{1,6})" + tx.WS + "+(.+)$"
-NUMERIC_HEADER = r"(?s)^((?:\p{Nd}+\.)+)" + tx.WS + "+(.+)$"
+MARKDOWN_HEADER = f"(?s)^{tx.WS}*(#{{1,6}}){tx.WS}+({tx.NOT_WS}.*)$"
+NUMERIC_HEADER = (
+    rf"(?s)^((?:\p{{Nd}}+\.)+){tx.WS}+({tx.NOT_WS}(?:.*{tx.NOT_WS})?)$"
+)
+FENCE = f"^{tx.WS}*(```|~~~)"
 TABLE_RULE = r"^:?-{3,}:?$"
 # Shortest piece that may stand alone, longest title line.
 MIN_FRAGMENT_CHARS = 80
@@ -28,24 +31,23 @@ def header(line: Column) -> Column:
     ``## Title`` may be indented; a numbered header ``1.2. Title`` may not, and
     its level is the number of its segments.
     """
-    plain = tx.strip(line)
-    marks = F.regexp_extract(plain, MARKDOWN_HEADER, 1)
+    marks = F.regexp_extract(line, MARKDOWN_HEADER, 1)
     number = F.regexp_extract(line, NUMERIC_HEADER, 1)
     return (
         F.when(
-            plain.startswith("#") & (marks != ""),
+            line.contains("#") & (marks != ""),
             F.struct(
                 F.length(marks).alias("level"),
                 F.lit(None).cast("string").alias("number"),
-                tx.strip(F.regexp_extract(plain, MARKDOWN_HEADER, 2)).alias("title"),
+                tx.rstrip(F.regexp_extract(line, MARKDOWN_HEADER, 2)).alias("title"),
             ),
         )
         .when(
-            line.rlike(r"^\p{Nd}") & (plain == line) & (number != ""),
+            line.rlike(r"^\p{Nd}") & (number != ""),
             F.struct(
                 F.length(F.regexp_replace(number, r"[^.]", "")).alias("level"),
                 F.rtrim(number, F.lit(".")).alias("number"),
-                tx.strip(F.regexp_extract(line, NUMERIC_HEADER, 2)).alias("title"),
+                F.regexp_extract(line, NUMERIC_HEADER, 2).alias("title"),
             ),
         )
         .otherwise(F.lit(None).cast(HEADER_TYPE))
@@ -79,19 +81,24 @@ def chunk_level(heads: Column) -> Column:
     )
 
 
-def fence_marker(plain: Column) -> Column:
-    return F.when(plain.startswith("```"), "```").when(plain.startswith("~~~"), "~~~")
+def fence_marker(line: Column) -> Column:
+    """Fence mark a line starts with, '' for none."""
+    return F.regexp_extract(line, FENCE, 1)
 
 
-def is_table_rule(plain: Column) -> Column:
+def is_table_rule(line: Column) -> Column:
     """``| --- | :-: |``: every non-empty cell is a run of dashes."""
-    cells = F.filter(
-        F.transform(F.split(F.btrim(plain, F.lit("|")), r"\|", -1), lambda p: tx.strip(p)),
-        lambda p: p != "",
-    )
-    return plain.contains("---") & bind(
-        cells, lambda cs: (F.size(cs) > 0) & F.forall(cs, lambda p: p.rlike(TABLE_RULE))
-    )
+
+    def check(plain: Column) -> Column:
+        cells = F.filter(
+            F.transform(F.split(F.btrim(plain, F.lit("|")), r"\|", -1), lambda p: tx.strip(p)),
+            lambda p: p != "",
+        )
+        return bind(
+            cells, lambda cs: (F.size(cs) > 0) & F.forall(cs, lambda p: p.rlike(TABLE_RULE))
+        )
+
+    return F.when(line.contains("---"), bind(tx.strip(line), check)).otherwise(False)
 
 
 def blocks(lines: Column) -> Column:
@@ -103,21 +110,16 @@ def blocks(lines: Column) -> Column:
     """
 
     def marks(ls: Column) -> Column:
-        plain = F.transform(ls, lambda line: tx.strip(line))
-        return bind(
-            plain,
-            lambda ps: F.transform(
-                ps,
-                lambda p, i: F.struct(
-                    i.alias("i"),
-                    (p == "").alias("blank"),
-                    fence_marker(p).alias("fence"),
-                    p.contains("|").alias("pipe"),
-                    (
-                        p.contains("|")
-                        & F.coalesce(is_table_rule(F.get(ps, i + 1)), F.lit(False))
-                    ).alias("opens_table"),
-                ),
+        return F.transform(
+            ls,
+            lambda x, i: F.struct(
+                i.alias("i"),
+                tx.is_blank(x).alias("blank"),
+                fence_marker(x).alias("fence"),
+                x.contains("|").alias("pipe"),
+                (
+                    x.contains("|") & F.coalesce(is_table_rule(F.get(ls, i + 1)), F.lit(False))
+                ).alias("opens_table"),
             ),
         )
 
@@ -140,7 +142,7 @@ def blocks(lines: Column) -> Column:
         )
 
     def step(st: Column, ln: Column) -> tuple[Column, Column]:
-        fence = F.coalesce(ln["fence"], F.lit(""))
+        fence = ln["fence"]
         in_code, in_table, in_text = (st["kind"] == k for k in ("code", "table", "text"))
         code_ends = in_code & (fence == st["fence"])
         goes_on = (
@@ -232,9 +234,8 @@ def units(lines: Column, limit: int) -> Column:
 
     def of_block(ls: Column, b: Column) -> Column:
         part = F.slice(ls, b["start"], b["n"])
-        paragraph = F.array_join(
-            F.filter(F.transform(part, lambda x: tx.strip(x)), lambda x: x != ""), " "
-        )
+        # sentences collapse white space, so lines need no trimming here
+        paragraph = F.array_join(part, " ")
         return (
             F.when(b["kind"] == "code", typed("code", F.array(tx.strip(F.array_join(part, "\n")))))
             .when(b["kind"] == "table", typed("table", split_table(part, limit)))
@@ -252,7 +253,7 @@ def units(lines: Column, limit: int) -> Column:
 
 def render(us: Column) -> Column:
     """Units as text, a blank line between them."""
-    return tx.strip(F.array_join(F.transform(us, lambda u: u["text"]), "\n\n"))
+    return F.array_join(F.transform(us, lambda u: u["text"]), "\n\n")
 
 
 def _pieces(us: Column, ranges: Column) -> Column:
@@ -278,9 +279,8 @@ def pack_units(us: Column, limit: int) -> Column:
 
 
 def is_fragment(c: Column) -> Column:
-    """A short piece that does not end like a sentence."""
-    t = tx.strip(c)
-    return (t != "") & ~tx.ends_with_any(t, ".!?:;") & (F.length(t) < MIN_FRAGMENT_CHARS)
+    """A short piece (already trimmed) that does not end like a sentence."""
+    return (c != "") & (F.length(c) < MIN_FRAGMENT_CHARS) & ~tx.ends_with_any(c, ".!?:;")
 
 
 def merge_fragments(pieces: Column, limit: int) -> Column:

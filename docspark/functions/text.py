@@ -9,6 +9,7 @@ from docspark.functions.fold import bind, empty, join_ranges
 
 # The white space of Unicode text, as a regex class and as a set.
 WS = r"[\t-\r\x1c-\x1f \x85\p{Z}]"
+NOT_WS = r"[^\t-\r\x1c-\x1f \x85\p{Z}]"
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,11 +33,12 @@ def rstrip(c: Column, chars: str = WS_CHARS) -> Column:
 
 def collapse(c: Column) -> Column:
     """White space runs to one space, none at the ends."""
-    return strip(F.regexp_replace(c, WS + "+", " "))
+    return F.trim(F.regexp_replace(c, WS + "+", " "))
 
 
 def is_blank(c: Column) -> Column:
-    return strip(c) == ""
+    # stops at the first visible character; trimming a set of characters reads the whole text
+    return ~c.rlike(NOT_WS)
 
 
 def _lines(c: Column, pattern: str) -> Column:
@@ -68,10 +70,7 @@ def word_count(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences of a text after white space is collapsed."""
-    return F.filter(
-        F.transform(F.split(collapse(c), SENTENCE_END, -1), lambda s: strip(s)),
-        lambda s: s != "",
-    )
+    return F.filter(F.split(collapse(c), SENTENCE_END, -1), lambda s: s != "")
 
 
 def ends_with_any(c: Column, marks: str) -> Column:

@@ -14,7 +14,7 @@ from docspark.functions.fold import bind, empty, fold_emit, once
 from docspark.session import stage
 
 # ---- Fixed values: patterns, word lists, templates and limits.
-HEADING = r"(?s)^(#{1,6})" + tx.WS + r"+(.+)$"
+HEADING = f"(?s)^{tx.WS}*(#{{1,6}}){tx.WS}+({tx.NOT_WS}.*)$"
 WORD = r"[A-Za-zÀ-ÿ0-9][A-Za-zÀ-ÿ0-9_.+-]*"
 WORD_EDGES = "._-:;()[]{}"
 STOP_WORDS = (
@@ -92,13 +92,12 @@ def strip_markdown(c: Column) -> Column:
 
 def heading(line: Column) -> Column:
     """Heading of a line as ``struct<level, title>``, null if it is none."""
-    plain = tx.strip(line)
-    marks = F.regexp_extract(plain, HEADING, 1)
+    marks = F.regexp_extract(line, HEADING, 1)
     return F.when(
-        plain.startswith("#") & (marks != ""),
+        line.contains("#") & (marks != ""),
         F.struct(
             F.length(marks).alias("level"),
-            tx.collapse(F.regexp_extract(plain, HEADING, 2)).alias("title"),
+            tx.collapse(F.regexp_extract(line, HEADING, 2)).alias("title"),
         ),
     )
 
