@@ -313,6 +313,14 @@ def raw_chunks(docs: DataFrame) -> DataFrame:
     return regions(docs).where("kind = 'chunk'").drop("kind")
 
 
+def software_blocks(docs: DataFrame) -> DataFrame:
+    """One row per block of a document: its number, name and whether it holds chunks."""
+    first = (F.col("kind") == "block") | ((F.col("kind") == "chunk") & (F.col("chunk_ordem") == 1))
+    return regions(docs).where(first).select(
+        "source_path", "block_no", "nome_software", (F.col("kind") == "chunk").alias("has_chunks")
+    )
+
+
 def topic_records(
     docs: DataFrame, config: ChunkConfig, ingested_at: Column, empty_blocks: bool = False
 ) -> DataFrame:

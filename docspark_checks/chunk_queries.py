@@ -363,3 +363,21 @@ def fallback_chunks(spark: SparkSession, sf: str) -> DataFrame:
     names = [c.strip() for c in _RECORD_COLUMNS.split(",")]
     stamp = F.lit(STAMP).cast("timestamp")
     return chunking.fallback_chunks(docs, CONFIG, stamp).select(*names)
+
+
+@query(
+    "software_blocks",
+    RECORDS_SQL
+    + """ SELECT DISTINCT md.source_path, block_no, soft AS nome_software, kind = 'chunk' AS has_chunks FROM reg JOIN md USING (doc_id) WHERE kind <> 'whole'""",
+)
+def software_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.software_blocks(fixtures.markdown(spark, sf).select("source_path", "text"))
+
+
+@query(
+    "whole_documents",
+    RECORDS_SQL + f" SELECT {_RECORD_COLUMNS} FROM topics WHERE kind = 'whole'",
+)
+def whole_documents(spark: SparkSession, sf: str) -> DataFrame:
+    names = [c.strip() for c in _RECORD_COLUMNS.split(",")]
+    return records(spark, sf).where("block_no = 0").select(*names)

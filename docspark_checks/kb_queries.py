@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import kb, vectors
+from docspark.operators import chunking, kb, vectors
 from docspark.plans import flows
 from docspark.session import stage
-from docspark_checks import fixtures
+from docspark_checks import chunk_queries, fixtures
 from docspark_checks.chunk_queries import RECORDS_SQL, records
 from docspark_checks.fixtures import duck
 from docspark_checks.registry import query, table
@@ -138,3 +138,42 @@ def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def index_health(spark: SparkSession, sf: str) -> DataFrame:
     health = kb.index_health(spark, table(spark, sf, "embeddings"), {"dimension": "64"})
     return health.select("status", "chunks_indexed", "dimension")
+
+
+@query(
+    "document_list",
+    KB_SQL
+    + """ SELECT DISTINCT nome_software, split_part(source_path, '/', 3) AS nome_arquivo, source_path, arquivo_hash, arquivo_ingestao_em AS ingestao_em FROM kb""",
+)
+def document_list(spark: SparkSession, sf: str) -> DataFrame:
+    return kb.document_list(_kb(spark, sf)[0])
+
+
+@query(
+    "chunk_sample",
+    KB_SQL
+    + """ SELECT hierarquia, titulo, len(conteudo_texto) AS tamanho, conteudo_hash, conteudo_ingestao_em AS ingestao_em FROM kb ORDER BY source_path, chunk_ordem, subchunk_ordem LIMIT 5""",
+)
+def chunk_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return kb.chunk_sample(_kb(spark, sf)[1], 5, ("source_path", "chunk_ordem", "subchunk_ordem"))
+
+
+@query(
+    "replace_by_key",
+    KB_SQL
+    + """, fresh AS (SELECT DISTINCT md.source_path FROM md JOIN labels USING (doc_id))
+ SELECT kb.source_path, chunk_ordem, subchunk_ordem, conteudo_texto FROM kb WHERE source_path NOT IN (SELECT source_path FROM fresh)
+ UNION ALL SELECT source_path, 1, 1, '# New' || chr(10) || source_path FROM fresh""",
+)
+def replace_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled documents come again with a new text."""
+    documents, chunks = _kb(spark, sf)
+    docs = fixtures.markdown(spark, sf)
+    fresh = docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id").select(
+        "source_path", F.concat(F.lit("# New\n"), F.col("source_path")).alias("text")
+    )
+    again = stage(
+        chunking.topic_records(fresh, chunk_queries.CONFIG, F.lit(chunk_queries.STAMP).cast("timestamp"))
+    )
+    _, left = kb.replace_by_key(documents, chunks, again)
+    return left.select("source_path", "chunk_ordem", "subchunk_ordem", "conteudo_texto")

@@ -308,3 +308,52 @@ def format_duration(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         "event_id", replies.format_duration(seconds).alias("duration")
     )
+
+
+# ---- replies to questions: one per conversation turn
+_QUOTED = "CASE turn % 3 WHEN 0 THEN '\"' || text || '\"' WHEN 1 THEN ' ' || text || '  ' ELSE 'x' END"
+
+
+@query(
+    "clean_question",
+    """WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN 'x' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS q FROM conversations),
+ f AS (SELECT *, CASE WHEN q LIKE '%?' THEN q WHEN q LIKE '%.' AND NOT contains(q, '?') THEN left(q, len(q) - 1) || '?' WHEN q LIKE '%.' THEN q ELSE q || '?' END AS question FROM t)
+ SELECT conv_id, turn, CASE WHEN len(question) >= 12 THEN question ELSE 'none' END AS question FROM f""",
+)
+def clean_question(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select(
+        "conv_id",
+        "turn",
+        F.coalesce(replies.clean_question(F.expr(_QUOTED)), F.lit("none")).alias("question"),
+    )
+
+
+_TRANSLATED = (
+    "CASE turn % 4 WHEN 0 THEN '```' || role || ' ' || turn || '```' WHEN 1 THEN '{\"translation\": \" in ' || role || ' \"}' "
+    "WHEN 2 THEN '\"' || role || '\"' ELSE ' ' END"
+)
+
+
+@query(
+    "clean_translation",
+    """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN role || ' ' || turn WHEN 1 THEN 'in ' || role WHEN 2 THEN role ELSE text END AS query FROM conversations""",
+)
+def clean_translation(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn",
+        replies.clean_translation(F.expr(_TRANSLATED), F.col("text")).alias("query"),
+    )
+
+
+_JUDGE_HEAD, _JUDGE_TAIL = (
+    t.replace("\n", "' || chr(10) || '") for t in (prompts.JUDGE_PROMPT_HEAD, prompts.JUDGE_PROMPT_TAIL)
+)
+
+
+@query(
+    "judge_prompt",
+    f"""SELECT conv_id, turn, '{_JUDGE_HEAD}Pergunta: ' || role || chr(10) || chr(10) || 'Resposta ideal:' || chr(10) || conv_id || chr(10) || chr(10) || 'Resposta gerada:' || chr(10) || text || chr(10) || chr(10) || '{_JUDGE_TAIL}' AS prompt FROM conversations""",
+)
+def judge_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    prompt = prompts.judge_prompt(F.col("role"), F.col("conv_id").cast("string"), F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", prompt.alias("prompt"))
