@@ -19,11 +19,14 @@ ANSWER_INTRO = (
 )
 ANSWER_SYSTEM = "Você é um assistente técnico preciso, objetivo e restrito ao conteúdo recuperado."
 STOP_TOKENS = ("<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>")
-TRANSLATION_PROMPT = (
-    "Traduza a consulta abaixo do português brasileiro para o inglês técnico usado em documentação "
-    "do SolidWorks e do DraftSight. Preserve siglas, nomes de menus, comandos, recursos e termos já "
-    "consagrados em inglês. Expanda a terminologia técnica quando isso melhorar a busca. Retorne "
-    "apenas o texto traduzido, sem explicações.\n\nConsulta: "
+TRANSLATION_PROMPT_HEAD = (
+    "Traduza a consulta abaixo do português brasileiro para o inglês técnico usado em "
+)
+TRANSLATION_DOMAIN = "documentação técnica"
+TRANSLATION_PROMPT_TAIL = (
+    ". Preserve siglas, nomes de menus, comandos, recursos e termos já consagrados em inglês. Expanda "
+    "a terminologia técnica quando isso melhorar a busca. Retorne apenas o texto traduzido, sem "
+    "explicações.\n\nConsulta: "
 )
 QUESTION_PROMPT_HEAD = (
     "Você está criando um dataset padrão-ouro para avaliação de RAG em documentação técnica.\n"
@@ -121,8 +124,9 @@ def cut_stop_tokens(reply: Column) -> Column:
     )
 
 
-def translation_prompt(question: Column) -> Column:
-    return F.concat(F.lit(TRANSLATION_PROMPT), question)
+def translation_prompt(question: Column, domain: str = TRANSLATION_DOMAIN) -> Column:
+    """Prompt to translate a question into the English of a domain's documentation."""
+    return F.concat(F.lit(TRANSLATION_PROMPT_HEAD + domain + TRANSLATION_PROMPT_TAIL), question)
 
 
 def question_prompt(

@@ -1,7 +1,7 @@
 """Continuous ingestion: every micro-batch replaces the documents it brings.
 
-The reference work has no stream of its own; this is its batch upsert run per
-micro-batch. Replacement by key makes a repeated batch harmless.
+The batch replacement by key, run per micro-batch. A repeated batch is harmless,
+because it replaces what it brought before.
 """
 
 from __future__ import annotations
