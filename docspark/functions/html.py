@@ -40,10 +40,13 @@ ENTITIES = (
     ("rdquo", '"'), ("ldquo", '"'), ("amp", "&"),
 )
 
-_NOISE_WORDS = "(?i)=.*(?:navigation|breadcrumb|related-links|nav|menu)"
+_NOISE_WORDS = "(?is)=.*(?:navigation|breadcrumb|related-links|nav|menu)"
+_MAY_OPEN = (
+    r"(?is)^<(?:" + "|".join(NOISE_TAGS) + r")\b|^<[a-z].*" + _NOISE_WORDS.removeprefix("(?is)")
+)
 TOKEN = r"(?s)<!--.*?-->|<[!?/a-zA-Z][^>]*>|[^<]+|<"
 RANGE_TYPE = "struct<start:int,stop:int,tag:string>"
-_INDENT = "\x01"
+_INDENT, _HEADING = "\x01", "\x02"
 
 
 def tokens(html: Column) -> Column:
@@ -84,24 +87,51 @@ def element_ranges(toks: Column, opens: Column | None = None, tags: tuple[str, .
     include both tags.
     """
 
+    def numbers(ts: Column) -> Column:
+        return F.when(F.size(ts) > 0, F.sequence(F.lit(1), F.size(ts))).otherwise(empty("int"))
+
+    def token(ts: Column, i: Column) -> Column:
+        return F.get(ts, i - 1)
+
+    def named(ts: Column) -> Column:
+        """Element names that can open a range; a page has few of them."""
+        if tags:
+            return F.array(*[F.lit(t) for t in tags])
+        opening = F.filter(ts, lambda t: t.rlike(_MAY_OPEN))
+        hits = F.filter(opening, lambda t: _is_noise(t, _tag_name(t)))
+        return F.array_distinct(F.transform(hits, _tag_name))
+
     def marks(ts: Column) -> Column:
-        kinds = F.transform(
-            ts,
-            lambda t, i: bind(
-                F.when(t.startswith("<"), _tag_name(t)).otherwise(F.lit("")),
+        """The tags that can open, nest in or close a range; all others are passed over."""
+
+        def mark(t: Column, i: Column) -> Column:
+            return bind(
+                _tag_name(t),
                 lambda name: F.struct(
-                    (i + 1).alias("i"),
+                    i.alias("i"),
                     name.alias("name"),
                     t.startswith("</").alias("close"),
-                    (
-                        ~t.startswith("</")
-                        & (name.isin(*tags) if tags else _is_noise(t, name))
-                    ).alias("hit"),
+                    (~t.startswith("</") & (F.lit(True) if tags else _is_noise(t, name))).alias(
+                        "hit"
+                    ),
                     (t.endswith("/>") | name.isin(*VOID_TAGS)).alias("void"),
                 ),
+            )
+
+        return bind(
+            named(ts),
+            lambda names: F.transform(
+                F.when(
+                    F.size(names) > 0,
+                    F.filter(
+                        numbers(ts),
+                        lambda i: token(ts, i).startswith("<")
+                        & F.array_contains(names, _tag_name(token(ts, i))),
+                    ),
+                ).otherwise(empty("int")),
+                lambda i: mark(token(ts, i), i),
             ),
         )
-        return F.filter(kinds, lambda k: k["name"] != "")
 
     def st(tag: Column, depth: Column, start: Column) -> Column:
         return F.struct(
@@ -471,9 +501,16 @@ def table_grid(rows: Column) -> Column:
             F.array(swept["cells"]),
         )
 
-    swept = fold_emit(rows, F.struct(none.alias("active")), "array<string>", step)
+    def placed(rs: Column) -> Column:
+        plain = F.forall(
+            rs, lambda r: F.forall(r, lambda c: (c["colspan"] == 1) & (c["rowspan"] == 1))
+        )
+        return F.when(
+            plain, F.transform(rs, lambda r: F.transform(r, lambda c: c["text"]))
+        ).otherwise(fold_emit(rs, F.struct(none.alias("active")), "array<string>", step))
+
     return bind(
-        F.filter(swept, lambda r: F.size(r) > 0),
+        F.filter(bind(rows, placed), lambda r: F.size(r) > 0),
         lambda rs: bind(
             F.coalesce(F.array_max(F.transform(rs, lambda r: F.size(r))), F.lit(0)),
             lambda w: F.transform(
@@ -622,29 +659,37 @@ def _list_marks(flow: Column) -> Column:
     )
 
 
-def html_blocks(flow: Column) -> Column:
-    """Markdown of a fragment without tables and preformatted blocks."""
-    t = F.regexp_replace(flow, r"(?is)<head\b[^>]*>.*?</head\s*>|<!--.*?-->|<![^>]*>", "")
-    t = F.regexp_replace(t, tx.WS + "+", " ")
-    t = F.regexp_replace(t, r"(?i) ?<br\b[^>]*> ?", "\n")
+_RARE = r"(?i)<(?:hr|img|code|tt|kbd|del|s|strike|blockquote)\b"
+
+
+def _rare_marks(t: Column) -> Column:
     t = F.regexp_replace(t, r"(?i)<hr\b[^>]*>", "\n* * *\n")
-    for n in range(1, 7):
-        t = F.regexp_replace(t, rf"(?i)<h{n}\b[^>]*> ?", "\n" + "#" * n + " ")
-    t = F.regexp_replace(t, r"(?i)</h[1-6]\s*>", "\n")
     t = F.regexp_replace(
         t,
         r"""(?i)<img\b(?=[^>]*?\ssrc\s*=\s*["']?([^"'\s>]+))(?:(?=[^>]*?\salt\s*=\s*(?:"([^"]*)"|'([^']*)')))?[^>]*>""",
         "![$2$3]($1)",
     )
+    t = F.regexp_replace(t, r"(?i)</?(?:code|tt|kbd)\b[^>]*>", "`")
+    t = F.regexp_replace(t, r"(?i)</?(?:del|s|strike)\b[^>]*>", "~~")
+    return F.regexp_replace(t, r"(?i)<blockquote\b[^>]*>", "\n> ")
+
+
+def html_blocks(flow: Column) -> Column:
+    """Markdown of a fragment without tables and preformatted blocks."""
+    t = F.regexp_replace(flow, r"(?is)<head\b[^>]*>.*?</head\s*>|<!--.*?-->|<![^>]*>", "")
+    t = F.regexp_replace(t, tx.WS + "+", " ")
+    t = F.regexp_replace(t, r"(?i) ?<br\b[^>]*> ?", "\n")
+    t = F.regexp_replace(t, r"(?i)<h([1-6])\b[^>]*> ?", f"\n{_HEADING}$1 ")
+    t = F.regexp_replace(t, r"(?i)</h[1-6]\s*>", "\n")
+    for n in range(1, 7):
+        t = F.replace(t, F.lit(f"{_HEADING}{n}"), F.lit("#" * n))
     t = F.regexp_replace(
         t, r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*> ?(.*?) ?</a\s*>""",
         r"[$3]($1$2)",
     )
-    t = F.regexp_replace(t, r"(?i)<(?:b|strong)\b[^>]*>|</(?:b|strong)\s*>", "**")
-    t = F.regexp_replace(t, r"(?i)<(?:em|i|u)\b[^>]*>|</(?:em|i|u)\s*>", "*")
-    t = F.regexp_replace(t, r"(?i)<(?:code|tt|kbd)\b[^>]*>|</(?:code|tt|kbd)\s*>", "`")
-    t = F.regexp_replace(t, r"(?i)<(?:del|s|strike)\b[^>]*>|</(?:del|s|strike)\s*>", "~~")
-    t = F.regexp_replace(t, r"(?i)<blockquote\b[^>]*>", "\n> ")
+    t = F.regexp_replace(t, r"(?i)</?(?:b|strong)\b[^>]*>", "**")
+    t = F.regexp_replace(t, r"(?i)</?(?:em|i|u)\b[^>]*>", "*")
+    t = bind(t, lambda x: F.when(x.rlike(_RARE), _rare_marks(x)).otherwise(x))
     t = _list_marks(t)
     t = F.regexp_replace(t, r"(?i)</?(?:li|blockquote|" + BLOCK_TAGS + r")\b[^>]*>", "\n")
     t = decode_entities(F.regexp_replace(t, r"(?s)<[/a-zA-Z][^>]*>", ""))
