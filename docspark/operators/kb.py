@@ -63,14 +63,14 @@ def replace_by_key(
 
 def cascade(chunks: DataFrame, deleted: DataFrame, key: str = "source_path") -> DataFrame:
     """Chunks left after their documents are deleted."""
-    return chunks.join(deleted.select(key).distinct(), key, "left_anti")
+    return chunks.join(deleted.select(key), key, "left_anti")
 
 
 def purge(
     documents: DataFrame, chunks: DataFrame, names: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Drop documents whose path or file name is listed in `names.name`."""
-    listed = names.select("name").distinct()
+    listed = names.select("name")
     by_path = listed.withColumnRenamed("name", "source_path")
     by_file = listed.withColumnRenamed("name", "nome_arquivo")
     gone = documents.join(by_path, "source_path", "left_semi").select("source_path").union(
@@ -172,7 +172,7 @@ def upsert(
         rows.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
     merged = latest_wins(both, [key], [F.col("_batch")]).drop("_batch")
-    return merged.join(rows.select(key).distinct(), key, "left_semi") if prune else merged
+    return merged.join(rows.select(key), key, "left_semi") if prune else merged
 
 
 def index_health(
