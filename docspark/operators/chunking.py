@@ -224,7 +224,7 @@ def _content(ms: Column, r: Column) -> Column:
     return F.when(r["kind"] == "block", joined).otherwise(tx.strip(joined))
 
 
-def _metadata(software: Column, level1: Column, h2: Column, hc: Column) -> tuple[Column, Column]:
+def chunk_metadata(software: Column, level1: Column, h2: Column, hc: Column) -> tuple[Column, Column]:
     """Title and hierarchy of a chunk from its headers."""
     titulo = F.coalesce(
         F.nullif(hc["title"], F.lit("")),
@@ -292,7 +292,7 @@ def regions(docs: DataFrame) -> DataFrame:
         F.explode(_region_rows("text", "source_path")).alias("x"),
     )
     stem = paths.stem(F.col("source_path"))
-    titulo, hierarquia = _metadata(stem, F.col("x.r.h1"), F.col("x.r.h2"), F.col("x.r.hc"))
+    titulo, hierarquia = chunk_metadata(stem, F.col("x.r.h1"), F.col("x.r.h2"), F.col("x.r.hc"))
     return rows.select(
         "source_path",
         paths.basename(F.col("source_path")).alias("nome_arquivo"),
@@ -369,6 +369,11 @@ def topic_records(
     )
 
 
+def whole_documents(docs: DataFrame, config: ChunkConfig, ingested_at: Column) -> DataFrame:
+    """Only the records of documents without any block."""
+    return topic_records(docs, config, ingested_at).where("block_no = 0")
+
+
 def fallback_chunks(docs: DataFrame, config: ChunkConfig, ingested_at: Column) -> DataFrame:
     """Only the records of blocks that hold no chunk."""
     return topic_records(docs, config, ingested_at).where(F.col("hierarquia").rlike("^Chunk [0-9]+$"))

@@ -217,11 +217,11 @@ LINES_SQL = (
 
 @query(
     "header_parse",
-    LINES_SQL + " SELECT doc_id, line_no, level, number, title FROM h WHERE level IS NOT NULL",
+    LINES_SQL + " SELECT doc_id, line_no, level, coalesce(number, '') AS number, title FROM h WHERE level IS NOT NULL",
 )
 def header_parse(spark: SparkSession, sf: str) -> DataFrame:
     docs = fixtures.markdown(spark, sf).select("doc_id", "text")
-    return chunking.header_rows(docs)
+    return chunking.header_rows(docs).withColumn("number", F.coalesce("number", F.lit("")))
 
 
 @query(
@@ -284,7 +284,7 @@ def header_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
         ),
     )
     rows = docs.select("source_path", F.posexplode(found).alias("p", "r"))
-    _, hierarquia = chunking._metadata(F.lit(""), F.col("r.h1"), F.col("r.h2"), F.col("r.hc"))
+    _, hierarquia = chunking.chunk_metadata(F.lit(""), F.col("r.h1"), F.col("r.h2"), F.col("r.hc"))
     return rows.select(
         "source_path", (F.col("p") + 1).alias("line_of"), hierarquia.alias("hierarquia")
     )
@@ -379,5 +379,7 @@ def software_blocks(spark: SparkSession, sf: str) -> DataFrame:
     RECORDS_SQL + f" SELECT {_RECORD_COLUMNS} FROM topics WHERE kind = 'whole'",
 )
 def whole_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fixtures.markdown(spark, sf).select("source_path", "text")
     names = [c.strip() for c in _RECORD_COLUMNS.split(",")]
-    return records(spark, sf).where("block_no = 0").select(*names)
+    stamp = F.lit(STAMP).cast("timestamp")
+    return chunking.whole_documents(docs, CONFIG, stamp).select(*names)

@@ -48,3 +48,9 @@ def plain(df: DataFrame) -> DataFrame:
             c = (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(f.name)
         out.append(c)
     return df.select(*out)
+
+
+def widen(sql: str, columns: tuple[str, ...]) -> str:
+    """The same rows with some whole-number columns as bigint."""
+    casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"

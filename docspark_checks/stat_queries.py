@@ -547,8 +547,8 @@ def result_log(spark: SparkSession, sf: str) -> DataFrame:
     "compare_models",
     duck(f"""WITH o AS (SELECT 'u' || user_id AS id, event_type AS modelo, arg_max(value, event_id) AS latency, arg_max(props, event_id) AS answer, max(event_id) AS last FROM events GROUP BY ALL),
  q AS (SELECT DISTINCT 'u' || user_id AS id FROM events), m AS (SELECT unnest({list(MODELS)}) AS modelo, unnest(range(1, {len(MODELS)} + 1)) AS ordinal)
- SELECT q.id, ordinal, m.modelo, CASE WHEN last % 7 > 0 THEN answer END AS answer, round(latency, 6) AS latency_seconds, CASE WHEN last % 7 > 0 AND last % 3 > 0 THEN last % 3 ELSE 9 END AS chunk_count,
- CASE WHEN last IS NULL THEN 'no answer' WHEN last % 7 = 0 THEN 'timeout' END AS error FROM q CROSS JOIN m LEFT JOIN o ON o.id = q.id AND o.modelo = m.modelo"""),
+ SELECT q.id, ordinal, m.modelo, CASE WHEN last % 7 > 0 THEN answer ELSE '' END AS answer, round(latency, 6) AS latency_seconds, CASE WHEN last % 7 > 0 AND last % 3 > 0 THEN last % 3 ELSE 9 END AS chunk_count,
+ CASE WHEN last IS NULL THEN 'no answer' WHEN last % 7 = 0 THEN 'timeout' ELSE '' END AS error FROM q CROSS JOIN m LEFT JOIN o ON o.id = q.id AND o.modelo = m.modelo"""),
 )
 def compare_models(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").withColumn(
@@ -567,5 +567,6 @@ def compare_models(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("generation_metadata", F.lit("{}"))
     )
     return evaluate.compare_models(questions, outcomes, MODELS).select(
-        "id", "ordinal", "modelo", "answer", "latency_seconds", "chunk_count", "error"
+        "id", "ordinal", "modelo", F.coalesce("answer", F.lit("")).alias("answer"),
+        "latency_seconds", "chunk_count", F.coalesce("error", F.lit("")).alias("error"),
     )
