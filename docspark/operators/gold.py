@@ -308,11 +308,12 @@ def focus(title: Column, words: Column, document: Column) -> Column:
     """Section title, or two keywords if it says little."""
     plain = tx.strip(title)
     vague = F.lower(plain).isin(*GENERIC_TITLES) | (F.length(plain) < MIN_FOCUS_CHARS)
-    return (
-        F.when(~vague, plain)
-        .when(F.size(words) > 0, F.array_join(F.slice(words, 1, 2), " "))
-        .otherwise(document)
+    # keywords are looked at, and so computed, for vague titles only
+    instead = bind(
+        words,
+        lambda w: F.when(F.size(w) > 0, F.array_join(F.slice(w, 1, 2), " ")).otherwise(document),
     )
+    return F.when(~vague, plain).otherwise(instead)
 
 
 def template_question(
@@ -320,23 +321,28 @@ def template_question(
 ) -> Column:
     """Question by class; a hash of the section picks one of two templates."""
 
-    def filled(template: str) -> Column:
+    def filled(template: str, phrase: Column) -> Column:
         parts: list[Column] = []
         for piece in template.replace("{", "\0{").replace("}", "}\0").split("\0"):
             if piece == "{document}":
                 parts.append(document)
             elif piece == "{focus}":
-                parts.append(focus_phrase)
+                parts.append(phrase)
             elif piece:
                 parts.append(F.lit(piece))
         return F.concat(*parts)
 
     digest = F.sha2(F.concat_ws("|", source_path, section), 256)
     odd = F.right(digest, F.lit(1)).isin(*"13579bdf")
-    out = F
-    for name, (even_text, odd_text) in QUESTION_TEMPLATES.items():
-        out = out.when(kind == name, F.when(odd, filled(odd_text)).otherwise(filled(even_text)))
-    return out
+
+    def question(phrase: Column) -> Column:
+        out = F
+        for name, (even_text, odd_text) in QUESTION_TEMPLATES.items():
+            text = F.when(odd, filled(odd_text, phrase)).otherwise(filled(even_text, phrase))
+            out = out.when(kind == name, text)
+        return out
+
+    return bind(focus_phrase, question)
 
 
 def ideal_answer(body: Column, title: Column, document: Column, kind: Column) -> Column:
@@ -380,7 +386,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         "pergunta",
         template_question(
             F.col("source_path"), F.col("secao"), kind,
-            focus(title, F.col("palavras_chave"), document), document,
+            focus(title, words, document), document,
         ),
     )
 
@@ -394,7 +400,9 @@ def _draw(seed: int) -> Column:
 def choose(
     found: DataFrame, target: int, seed: int = 42, per_source: int = PER_SOURCE
 ) -> DataFrame:
-    """Keys of a balanced choice of `target` candidates: draw, source_path, ordem.
+    """A balanced choice of `target` candidates, without their texts.
+
+    Gives draw, source_path, section_no, secao, categoria, pergunta and ordem.
 
     Classes take turns, larger classes first. Questions are unique, and at most
     `per_source` candidates of one source are taken while others are left.
@@ -411,7 +419,8 @@ def choose(
         return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
     # staged, since three rankings read them and finding them is the expensive part
-    keyed = found.select(_draw(seed).alias("draw"), "source_path", "categoria", "pergunta")
+    short = ("source_path", "section_no", "secao", "categoria", "pergunta")
+    keyed = found.select(_draw(seed).alias("draw"), *short)
     keys = stage(first_n(keyed, "pergunta", 1))
     within = first_n(first_n(keys, "source_path", per_source), "categoria", target)
     any_source = first_n(keys, "categoria", 2 * target)
@@ -430,7 +439,7 @@ def choose(
     order = ("turn", F.desc("class_size"), "categoria")
     chosen = ranked.orderBy(*order).limit(target)
     place = F.row_number().over(Window.orderBy(*order))
-    return stage(chosen.select("draw", "source_path", place.alias("ordem")))
+    return stage(chosen.select("draw", *short, place.alias("ordem")))
 
 
 def _chosen_rows(found: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:

@@ -175,8 +175,7 @@ PICK_SQL = (
     PICK_SQL + " SELECT source_path, section_no, secao, categoria, pergunta, ordem FROM picked",
 )
 def stratified_pick(spark: SparkSession, sf: str) -> DataFrame:
-    picked = gold.stratified_pick(gold.candidates(_docs(spark, sf)), TARGET, SEED)
-    return picked.select("source_path", "section_no", "secao", "categoria", "pergunta", "ordem")
+    return gold.choose(gold.candidates(_docs(spark, sf)), TARGET, SEED).drop("draw")
 
 
 @query(
