@@ -31,7 +31,7 @@ def run(fn, spark, sf: str) -> float:
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "4")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, os.environ.get("BENCH_MEMORY", "6g"))
     spark.sparkContext.setLogLevel("OFF")

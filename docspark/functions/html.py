@@ -40,10 +40,10 @@ ENTITIES = (
     ("rdquo", '"'), ("ldquo", '"'), ("amp", "&"),
 )
 
-_NOISE_WORDS = "(?is)=.*(?:navigation|breadcrumb|related-links|nav|menu)"
-_MAY_OPEN = (
-    r"(?is)^<(?:" + "|".join(NOISE_TAGS) + r")\b|^<[a-z].*" + _NOISE_WORDS.removeprefix("(?is)")
-)
+_NOISE_WORDS = "(?i)breadcrumb|related-links|nav|menu"
+_NOISE_OPEN = r"(?i)^<(?:" + "|".join(NOISE_TAGS) + r")\b"
+# decimal digits, and the super-, subscript and circled ones
+DIGIT = r"[\p{Nd}\u00b2\u00b3\u00b9\u2070-\u2079\u2080-\u2089\u2460-\u2468]"
 TOKEN = r"(?s)<!--.*?-->|<[!?/a-zA-Z][^>]*>|[^<]+|<"
 RANGE_TYPE = "struct<start:int,stop:int,tag:string>"
 _INDENT, _HEADING = "\x01", "\x02"
@@ -70,7 +70,8 @@ def _is_noise(token: Column, name: Column) -> Column:
         return F.coalesce(attribute(token, attr).rlike("|".join(parts)), F.lit(False))
 
     return name.isin(*NOISE_TAGS) | (
-        token.rlike(_NOISE_WORDS)
+        token.contains("=")
+        & token.rlike(_NOISE_WORDS)
         & (
             F.coalesce(attribute(token, "role") == "navigation", F.lit(False))
             | holds("class", NOISE_CLASS_PARTS)
@@ -97,7 +98,12 @@ def element_ranges(toks: Column, opens: Column | None = None, tags: tuple[str, .
         """Element names that can open a range; a page has few of them."""
         if tags:
             return F.array(*[F.lit(t) for t in tags])
-        opening = F.filter(ts, lambda t: t.rlike(_MAY_OPEN))
+        opening = F.filter(
+            ts,
+            lambda t: t.startswith("<")
+            & (t.rlike(_NOISE_OPEN) | (t.contains("=") & t.rlike(_NOISE_WORDS)))
+            & ~t.startswith("</"),
+        )
         hits = F.filter(opening, lambda t: _is_noise(t, _tag_name(t)))
         return F.array_distinct(F.transform(hits, _tag_name))
 
@@ -526,7 +532,7 @@ def is_header_row(texts: Column) -> Column:
     def check(ts: Column) -> Column:
         return (
             (F.size(ts) >= 2)
-            & F.forall(ts, lambda t: (t != "") & ~t.rlike(r"\p{Nd}"))
+            & F.forall(ts, lambda t: (t != "") & ~t.rlike(DIGIT))
             & (
                 F.arrays_overlap(ts, F.array(*[F.lit(w) for w in HEADER_WORDS]))
                 | (F.size(F.array_distinct(ts)) == F.size(ts))

@@ -123,6 +123,11 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
     flat.write.mode("overwrite").options(header="true", quote='"', escape='"').csv(path)
 
 
+def write_log(log: DataFrame, path: str) -> None:
+    """Result log as CSV, columns in their stored order."""
+    write_csv(log, path, schemas.LOG_COLUMNS)
+
+
 def write_report(df: DataFrame, folder: str, name: str, fmt: str = "csv") -> None:
     """One report table below a folder."""
     if fmt == "csv":
