@@ -194,3 +194,25 @@ def test_log_round_trip_and_reports(spark, tmp_path, rows):
     flows.write_reports(reports, folder)
     assert len(reports) == 16
     assert spark.read.option("header", True).csv(f"{folder}/ranking_composto").count() == 3
+
+
+def test_result_log_has_its_columns_and_survives_storage(spark, tmp_path):
+    gold = spark.createDataFrame(
+        [("q1", "Pergunta?", "ideal", "docs_markdown/a.md", "T", "S", "consulta", "facil")],
+        "id string, pergunta string, resposta_ideal string, source_path string, titulo_documento string, secao string, categoria string, dificuldade string",
+    )
+    hits = spark.createDataFrame([("q1", 1, "docs_markdown/b.md", 1.0), ("q1", 2, "x/docs_markdown/A.md", 0.0)], "query_id string, rank int, source_path string, distance double")
+    retrieval = evaluate.retrieval_metrics(gold, hits, [evaluate.Variant("v", 2, False, "d")], with_json=True)
+    answers = spark.createDataFrame(
+        [("q1", "v", m, "a\nb", 0.456, '{"usage":{"inputTokens":10,"outputTokens":5}}', "ctx", None) for m in ("m1", "m2")],
+        "id string, variacao_retrieval string, modelo string, resposta string, tempo_resposta_s double, generation_metadata string, contexto string, context_truncated boolean",
+    )
+    log = evaluate.result_log(gold, retrieval, answers)
+    assert len(log.columns) == 36 and log.count() == 2
+    path = str(tmp_path / "log")
+    tables.write_log(log, path)
+    back = tables.read_log(spark, path)
+    assert sorted(map(str, back.collect())) == sorted(map(str, log.select(*back.columns).collect()))
+    again = evaluate.metrics_from_log(back, gold).collect()
+    assert {(r["tokens"], r["retrieved_rank"], r["mrr"], r["hit_rate_at_1"], r["precision_at_k"]) for r in again} == {(15, 2, 0.5, 0.0, 0.5)}
+    assert {r["similaridade_media_chunks"] for r in again} == {0.75}
