@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm import mixing, packing, sharding, urls
+from docspark.llm import chat, jaccard, mixing, packing, quality, sharding, substrings, tokencount, topk, urls
 from docspark.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,135 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# --- op1 -------------------------------------------------------------------------------------------
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _window(n: int) -> str:
+    """The window of n words that begins at a row of words, null near the end."""
+    return " || ' ' || ".join(["word", *[f"lead(word, {j}) OVER per_doc" for j in range(1, n)]])
+
+
+def quality_sql() -> str:
+    ks = quality.COVERAGE
+    windows = ", ".join(f"{_window(k)} AS g{k}" for k in (3, *ks))
+    later = ", ".join(
+        f"CASE WHEN g{k} IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g{k} ORDER BY pos) > 1 THEN 1 ELSE 0 END AS l{k}" for k in ks
+    )
+    cover = ", ".join(
+        f"max(l{k}) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS c{k}" for k in ks
+    )
+    sums = ", ".join(f"coalesce(sum(length(word)) FILTER (c{k} = 1), 0) AS dup_chars_{k}" for k in ks)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "dup_line_chars"]
+    counts += [f"dup_chars_{k}" for k in ks]
+    longs = ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in counts)
+    over = " OR ".join(f"100 * dup_chars_{k} > {percent} * word_chars" for k, percent in ks.items())
+    return f"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents)
+), windows AS (
+  SELECT doc_id, word, pos, {windows} FROM words WINDOW per_doc AS (PARTITION BY doc_id ORDER BY pos)
+), flags AS (
+  SELECT *, CASE WHEN g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1 THEN 1 ELSE 0 END AS t3, {later} FROM windows
+), cover AS (
+  SELECT *, max(t3) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, {cover} FROM flags
+), per_word AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, count(*) FILTER (c3 = 1) AS n_repeat_words, {sums}
+  FROM cover GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), worded AS (
+  SELECT doc_id, length(array_to_string(regexp_extract_all(line, '{_WORD}'), '')) AS chars,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again
+  FROM lines WHERE regexp_matches(line, '{_WORD}')
+), per_line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, sum(chars) FILTER (again) AS dup_line_chars
+  FROM worded GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, {longs} FROM (
+    SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM documents
+  ) LEFT JOIN per_word USING (doc_id) LEFT JOIN per_line USING (doc_id)
+), based AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted
+)
+SELECT *, NOT base_failed AND NOT (100 * n_dup_lines > {quality.MAX_LINE_PERCENT} * n_lines
+  OR 100 * dup_line_chars > {quality.MAX_LINE_CHAR_PERCENT} * word_chars OR {over}) AS kept
+FROM based
+"""
+
+
+@query("op1_quality", quality_sql())
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(table(spark, sf, "documents"))
+
+
+# --- op2 -------------------------------------------------------------------------------------------
+
+_OP2_SQL = f"""
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= {topk.K}
+"""
+
+
+@query("op2_top_k", _OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").where(topk.valid(F.col("embedding")))
+    vectors = rows.select("vec_id", topk.quantized(F.col("embedding")).alias("v"))
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, stage)
+
+
+# --- op3 -------------------------------------------------------------------------------------------
+
+_ROLE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
+_ADD = r"\1\\\2\3"
+_OP3_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), forms AS (
+  SELECT *, regexp_replace(text, '{chat.ESCAPABLE}', '{_ADD}', 'g') AS body,
+    regexp_replace({_ROLE}, '{chat.ESCAPABLE}', '{_ADD}', 'g') AS name FROM rows
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.START)} + length(name) + 1 + length(body) + {len(chat.END) + 1}) AS BIGINT) AS formatted_chars
+FROM forms GROUP BY conv_id
+"""
+
+
+@query("op3_chat_format", _OP3_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    both = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    # the table holds each turn whole: one delta; rows under one turn are messages of their own
+    part = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    events = rows.select(
+        "conv_id", F.col("turn").alias("message"), part.alias("part"), F.lit(0).alias("seq"), F.lit("delta").alias("kind"), "role", "text"
+    )
+    out = chat.render(chat.fold(events))
+    out = out.withColumns({"turns": chat.turns(F.col("formatted")), "trained": chat.masked(F.col("formatted"), F.col("loss"))})
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    trained = F.array_join("trained", "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 # --- op4 -------------------------------------------------------------------------------------------
 
 #: Host and path prefix, and verdict.
@@ -72,6 +201,14 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(pages, listed, URL_RULES)
 
 
+# --- op5 -------------------------------------------------------------------------------------------
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 # --- op6 -------------------------------------------------------------------------------------------
 
 
@@ -93,6 +230,49 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --- op8 -------------------------------------------------------------------------------------------
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = substrings.deduplicate(table(spark, sf, "documents").select("doc_id", "text"), stage, spans=True)
+    return cleaned.select(
+        "doc_id", "text", F.col("_words").alias("n_words"), F.col("_removed_words").alias("removed_words"), F.col("_spans").alias("spans")
+    )
+
+
+# --- op9 -------------------------------------------------------------------------------------------
+
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+COMPONENTS_SQL = f"""
+words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format(text="coalesce(text, '')")}, '{_WORD}') AS w FROM {{documents}}
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.WORDS} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {jaccard.WORDS} + 2), lambda i: array_to_string(w[i : i + {jaccard.WORDS} - 1], ' ')) END) AS s
+  FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {jaccard.PERCENT} * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), components AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+"""
+_OP9_SQL = f"""
+WITH RECURSIVE {COMPONENTS_SQL.format(documents="documents")}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN components USING (doc_id)
+"""
+
+
+@query("op9_jaccard_join", _OP9_SQL)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.join(table(spark, sf, "documents"), stage)
+
+
 # --- op10 ------------------------------------------------------------------------------------------
 
 
