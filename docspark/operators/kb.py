@@ -24,27 +24,29 @@ def latest_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return df.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
 
 
-def surviving_blocks(records: DataFrame, keep: str = "last") -> DataFrame:
-    """Records that survive when the blocks of a file replace one another.
+def surviving_blocks(records: DataFrame, keep: str = "all") -> DataFrame:
+    """Records of all blocks of a file, or with `keep="last"` of its last one.
 
-    All blocks of a file share its key, so storing them one by one leaves the
-    last (`keep="last"`); `keep="all"` stores them together.
+    `last` is what is left when blocks that share the key of their file are
+    stored one by one; the survivor then counts as the only block.
     """
     if keep not in ("last", "all"):
         raise ValueError("keep must be last or all")
-    return records.where("block_no = last_block") if keep == "last" else records
+    if keep == "all":
+        return records
+    return records.where("block_no = last_block").withColumn("block_no", F.lit(1))
 
 
 def document_rows(records: DataFrame) -> DataFrame:
     """One document row per block: that of its first record. No shuffle."""
     first = (F.col("chunk_ordem") == 1) & (F.col("subchunk_ordem") == 1)
     return records.where(first | F.col("texto").isNull()).select(
-        "source_path", "nome_software", "nome_arquivo", "arquivo_hash", "ingestao_em"
+        "source_path", "nome_software", "nome_arquivo", "arquivo_hash", "ingestao_em", "block_no"
     )
 
 
 def replace_by_key(
-    documents: DataFrame, chunks: DataFrame, records: DataFrame, keep: str = "last"
+    documents: DataFrame, chunks: DataFrame, records: DataFrame, keep: str = "all"
 ) -> tuple[DataFrame, DataFrame]:
     """Documents and chunks after new records replace those of the same path."""
     kept = surviving_blocks(records, keep)
@@ -82,22 +84,48 @@ def purge(
     return left, cascade(chunks, gone)
 
 
+KB_COLUMNS = (
+    "id", "nome_software", "source_path", "chunk_ordem", "subchunk_ordem", "subchunk_total",
+    "hierarquia", "titulo", "conteudo_texto", "arquivo_hash", "arquivo_ingestao_em",
+    "conteudo_hash", "conteudo_ingestao_em", "block_no",
+)
+
+
+def block_label() -> Column:
+    """Part of an id that tells the later blocks of a file apart, null for the first."""
+    return F.when(F.col("block_no") > 1, F.concat(F.lit("block_"), F.col("block_no").cast("string")))
+
+
+def _chunk_id() -> Column:
+    return F.concat_ws("|", "source_path", block_label(), "chunk_ordem", "subchunk_ordem")
+
+
 def kb_rows(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks with their document: the 13 columns that are encoded."""
+    """Chunks with their document: the columns that are encoded."""
     d = documents.select(
-        "source_path", "nome_software", "arquivo_hash",
+        "source_path", "block_no", "nome_software", "arquivo_hash",
         F.col("ingestao_em").alias("arquivo_ingestao_em"),
     )
     c = chunks.withColumnRenamed("ingestao_em", "conteudo_ingestao_em")
     if "id" not in c.columns:
-        c = c.withColumn(
-            "id", F.concat_ws("|", "source_path", "chunk_ordem", "subchunk_ordem")
-        )
-    return c.join(d, "source_path").select(
-        "id", "nome_software", "source_path", "chunk_ordem", "subchunk_ordem", "subchunk_total",
-        "hierarquia", "titulo", "conteudo_texto", "arquivo_hash", "arquivo_ingestao_em",
-        "conteudo_hash", "conteudo_ingestao_em",
-    )
+        c = c.withColumn("id", _chunk_id())
+    of_document = ("nome_software", "arquivo_hash", "arquivo_ingestao_em")
+    same = (F.col("c.source_path") == F.col("d.source_path")) & F.col("c.block_no").eqNullSafe(F.col("d.block_no"))
+    side = {n: "d" if n in of_document else "c" for n in KB_COLUMNS}
+    return c.alias("c").join(d.alias("d"), same).select(*[F.col(f"{side[n]}.{n}") for n in KB_COLUMNS])
+
+
+def rows_of_records(records: DataFrame, keep: str = "all") -> DataFrame:
+    """The same rows straight from chunk records, which carry their document: no join."""
+    kept = surviving_blocks(records, keep).where("texto is not null")
+    return kept.withColumns(
+        {
+            "id": _chunk_id(),
+            "conteudo_texto": F.col("texto"),
+            "arquivo_ingestao_em": F.col("ingestao_em"),
+            "conteudo_ingestao_em": F.col("ingestao_em"),
+        }
+    ).select(*KB_COLUMNS)
 
 
 def contains_term(c: Column, term: str) -> Column:
@@ -114,14 +142,20 @@ def snippet(c: Column) -> Column:
     )
 
 
-def search_term(kb: DataFrame, term: str, limit: int = 10, order: Sequence[str] = ("id",)) -> DataFrame:
-    """First matches by title or text, in id order, with a snippet."""
+# Fixed value: documents are read by path, then by block, chunk and part.
+READING_ORDER = ("source_path", "block_no", "chunk_ordem", "subchunk_ordem")
+
+
+def search_term(
+    kb: DataFrame, term: str, limit: int = 10, order: Sequence[str] = READING_ORDER
+) -> DataFrame:
+    """First matches by title or text, in reading order, with a snippet."""
     return (
         kb.where(contains_term(F.col("titulo"), term) | contains_term(F.col("conteudo_texto"), term))
         .orderBy(*order)
         .limit(limit)
         .select(
-            *order, "nome_software", "hierarquia", "titulo",
+            "id", "nome_software", "hierarquia", "titulo",
             snippet(F.col("conteudo_texto")).alias("trecho"),
         )
     )
@@ -152,7 +186,7 @@ def kb_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return d.withColumn("_k", F.lit(1)).join(c.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def chunk_sample(chunks: DataFrame, n: int = 5, order: Sequence[str] = ("id",)) -> DataFrame:
+def chunk_sample(chunks: DataFrame, n: int = 5, order: Sequence[str] = READING_ORDER) -> DataFrame:
     """The first chunks with the length of their text."""
     return (
         chunks.orderBy(*order)
@@ -165,14 +199,18 @@ def chunk_sample(chunks: DataFrame, n: int = 5, order: Sequence[str] = ("id",))
 
 
 def upsert(
-    index: DataFrame, rows: DataFrame, key: str = "id", prune: bool = False
+    index: DataFrame, rows: DataFrame, key: str = "id", prune: bool = False, order: str | None = None
 ) -> DataFrame:
-    """Rows replace those with the same id; others stay unless `prune` is set."""
-    both = index.withColumn("_batch", F.lit(0)).unionByName(
-        rows.withColumn("_batch", F.lit(1)), allowMissingColumns=True
-    )
-    merged = latest_wins(both, [key], [F.col("_batch")]).drop("_batch")
-    return merged.join(rows.select(key), key, "left_semi") if prune else merged
+    """Rows replace those with the same id; others stay unless `prune` is set.
+
+    The index is only probed for the ids of the batch, never sorted. If a batch
+    brings an id twice, the row with the largest `order` stays, or without an
+    order the one with the largest hash.
+    """
+    by = F.col(order) if order else F.xxhash64(*rows.columns)
+    fresh = latest_wins(rows, [key], [by])
+    left = index.limit(0) if prune else index.join(rows.select(key), key, "left_anti")
+    return left.unionByName(fresh, allowMissingColumns=True)
 
 
 def index_health(

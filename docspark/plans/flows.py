@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from docspark import schemas
 from docspark.operators import chunking, context, evaluate, extract, kb, stats, vectors
 from docspark.session import stage
-from docspark.sources import files, tables
+from docspark.sources import files, store, tables
+
+
+# Fixed value: columns of the stored pages.
+MARKDOWN = "source_path string, output_path string, markdown string"
 
 
 @dataclass(frozen=True)
@@ -43,7 +47,7 @@ def records_of_pages(pages: DataFrame, config: chunking.ChunkConfig, ingested_at
     return chunking.topic_records(docs, config, ingested_at, empty_blocks=True)
 
 
-def knowledge_base(records: DataFrame, keep: str = "last") -> tuple[DataFrame, DataFrame]:
+def knowledge_base(records: DataFrame, keep: str = "all") -> tuple[DataFrame, DataFrame]:
     """Documents and chunks of records, as stored in an empty base. No shuffle."""
     kept = kb.surviving_blocks(records, keep)
     documents = tables.align_schema(kb.document_rows(kept), schemas.DOCUMENTS)
@@ -61,6 +65,19 @@ def index_rows(documents: DataFrame, chunks: DataFrame, encoder: Encoder) -> Dat
     )
 
 
+def replace_vectors(rows: DataFrame, paths: DataFrame, index_path: str) -> None:
+    """Put vector rows in place of all those of the given paths (source_path)."""
+    keyed = rows.withColumn("source_path", F.col("metadata.source_path"))
+    store.replace(index_path, {"vectors": (keyed, keyed.schema)}, paths, "source_path")
+
+
+def read_index(spark, index_path: str, encoder: Encoder) -> DataFrame:
+    """The stored vector rows."""
+    empty_kb = [spark.createDataFrame([], s) for s in (schemas.DOCUMENTS, schemas.CHUNKS)]
+    schema = index_rows(*empty_kb, encoder).schema.add("source_path", "string")
+    return store.read(spark, index_path, "vectors", schema).drop("source_path")
+
+
 def search(
     questions: DataFrame, index: DataFrame, encoder: Encoder, k: int,
     max_context_chars: int = context.MAX_CONTEXT_CHARS,
@@ -69,11 +86,14 @@ def search(
 
     `questions` holds ``(query_id, question)``, the text that is searched for.
     """
-    asked = vectors.embed(
-        questions.select("query_id", "question"), "question", encoder.make, encoder.dim,
-        encoder.batch_size,
+    # stored, as the search reads the vectors several times and encoding is dear
+    asked = stage(
+        vectors.embed(
+            questions.select("query_id", "question"), "question", encoder.make, encoder.dim,
+            encoder.batch_size,
+        )
     )
-    hits = vectors.knn(asked, index.select("id", "embedding"), k)
+    hits = stage(vectors.knn(asked, index.select("id", "embedding"), k))
     full = vectors.hits_with_payload(hits, index.drop("embedding"))
     return full, context.build_context(full, max_context_chars)
 
@@ -98,29 +118,38 @@ def run_pipeline(
 ) -> Timings:
     """Convert, ingest and encode a folder of raw documents, stage by stage.
 
-    Each stage writes a table the next one reads, so a lost executor never
-    costs more than the stage it was in.
+    What was stored before stays: the documents of the folder replace those with
+    the same path, with all their chunks and vectors, and only the buckets they
+    fall into are written. Each stage writes a table the next one reads, so a
+    lost executor never costs more than the stage it was in.
     """
     config = config or chunking.ChunkConfig.from_env()
     timings = Timings()
 
+    pages: list[DataFrame] = []
+
     def convert() -> None:
         raw = files.spread(files.read_raw(spark, source_root))
-        extract.convert(raw, source_root, "").write.mode("overwrite").parquet(markdown_path)
+        pages.append(stage(extract.convert(raw, source_root, "")))
+        store.replace(markdown_path, {"pages": (pages[0], MARKDOWN)}, pages[0], "output_path")
 
     def ingest() -> None:
-        docs = spark.read.parquet(markdown_path).select(
+        docs = pages[0].select(
             F.ltrim("output_path", F.lit("/")).alias("source_path"), F.col("markdown").alias("text")
         )
         records = stage(
             chunking.topic_records(docs, config, ingested_at, empty_blocks=True)
         )
         documents, chunks = knowledge_base(records)
-        tables.write_kb(documents, chunks, kb_path)
+        tables.write_kb(documents, chunks, kb_path, docs)
 
     def encode() -> None:
-        documents, chunks = tables.read_kb(spark, kb_path)
-        index_rows(documents, chunks, encoder).write.mode("overwrite").parquet(index_path)
+        paths = pages[0].select(F.ltrim("output_path", F.lit("/")).alias("source_path"))
+        documents, chunks = (
+            t.join(paths, "source_path", "left_semi") for t in tables.read_kb(spark, kb_path)
+        )
+        rows = index_rows(documents, chunks, encoder)
+        replace_vectors(rows, paths, index_path)
 
     timings.stage("convert", convert)
     timings.stage("ingest", ingest)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 DOCUMENTS = (
     "source_path string, nome_software string, nome_arquivo string, arquivo_hash string, "
-    "ingestao_em string"
+    "ingestao_em string, block_no int"
 )
 CHUNKS = (
     "source_path string, chunk_ordem int, subchunk_ordem int, subchunk_total int, "
     "hierarquia string, titulo string, conteudo_texto string, conteudo_hash string, "
-    "ingestao_em string"
+    "ingestao_em string, block_no int"
 )
 GOLD = (
     "id string, pergunta string, resposta_ideal string, source_path string, "

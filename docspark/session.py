@@ -18,6 +18,7 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docspark-"))
         # call sites of column operations are only for error messages, and slow to record
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
@@ -28,15 +29,13 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names for intermediate tables, shared by all executors.
+
+    Without one, a folder of the warehouse, which every executor writes to as well.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current is not None:
-            return current
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="docspark-ckpt-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -46,9 +45,26 @@ def stage(df: DataFrame) -> DataFrame:
     """Write rows to the shared folder and read them back.
 
     Later steps reuse the rows instead of computing them again, and a lost
-    executor costs nothing that was staged.
+    executor costs nothing that was staged. The table goes when the session
+    ends, or before with `unstage`.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, folder = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        fs, folder = _folder(df.sparkSession, df.staged_at)
+        fs.delete(folder, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop

@@ -4,32 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark import schemas
 from docspark.operators.stats import PRODUCTION
-from docspark.session import stage
-
-BUCKETS = 256
-
-
-def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-def align_schema(df: DataFrame, schema: str | T.StructType) -> DataFrame:
-    """Columns of `schema` in its order and types; missing ones are null."""
-    target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-
-    def column(f: T.StructField) -> Column:
-        if f.name not in df.columns:
-            return F.lit(None).cast(f.dataType).alias(f.name)
-        same = df.schema[f.name].dataType == f.dataType
-        return F.col(f.name) if same else F.col(f.name).try_cast(f.dataType).alias(f.name)
-
-    return df.select(*[column(f) for f in target.fields])
+from docspark.sources import store
+from docspark.sources.store import BUCKETS, align_schema
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,36 +19,22 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return align_schema(spark.read.option("mergeSchema", "true").parquet(path), schema)
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
-    """Overwrite the buckets the rows fall into and leave the others as they are.
+def write_kb(
+    documents: DataFrame, chunks: DataFrame, path: str, keys: DataFrame | None = None, buckets: int = BUCKETS
+) -> None:
+    """Documents and chunks in place of the stored ones of the same paths, published as one.
 
-    The rows are staged first, because they may come from `path` itself.
+    `keys` (source_path) names the paths that are replaced if some of them have no document any more.
     """
-    bucketed = df.withColumn("bucket", bucket_of(key, buckets))
-    (
-        stage(bucketed)
-        # hash and salt: a hot key is written by several tasks
-        .repartition("bucket", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
-
-
-def write_kb(documents: DataFrame, chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Documents and chunks, both by the bucket of their path."""
-    docs = align_schema(documents, schemas.DOCUMENTS)
-    write_bucketed(docs, f"{path}/documents", "source_path", buckets)
-    write_bucketed(
-        align_schema(chunks, schemas.CHUNKS), f"{path}/chunks", "source_path", buckets
-    )
+    incoming = documents.select("source_path") if keys is None else keys.select("source_path")
+    parts = {"documents": (documents, schemas.DOCUMENTS), "chunks": (chunks, schemas.CHUNKS)}
+    store.replace(path, parts, incoming, "source_path", buckets)
 
 
 def read_kb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return (
-        read_table(spark, f"{path}/documents", schemas.DOCUMENTS),
-        read_table(spark, f"{path}/chunks", schemas.CHUNKS),
+        store.read(spark, path, "documents", schemas.DOCUMENTS),
+        store.read(spark, path, "chunks", schemas.CHUNKS),
     )
 
 

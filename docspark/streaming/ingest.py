@@ -12,43 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docspark import schemas
 from docspark.operators import chunking, kb
-from docspark.session import stage
+from docspark.plans import flows
+from docspark.session import stage, unstage
 from docspark.sources import tables
 
 
-def _stored(spark, path: str, schema: str) -> DataFrame:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(path)
-
-
 def replace_documents(
-    records: DataFrame, path: str, keep: str = "last", buckets: int = tables.BUCKETS
+    records: DataFrame, path: str, keep: str = "all", buckets: int = tables.BUCKETS
 ) -> None:
     """Write records over the stored rows of the same paths.
 
-    Only the buckets the incoming paths fall into are read and rewritten.
+    Only the buckets the incoming paths fall into are read and rewritten;
+    `buckets` counts for a new base only.
     """
-    spark = records.sparkSession
-    touched = records.select(
-        tables.bucket_of("source_path", buckets).alias("bucket")
-    ).distinct()
-
-    def affected(name: str, schema: str) -> DataFrame:
-        stored = _stored(spark, f"{path}/{name}", f"{schema}, bucket int")
-        # at most `buckets` rows; prunes the partitions that are read
-        return tables.align_schema(
-            stored.join(F.broadcast(touched), "bucket", "left_semi"), schema
-        )
-
-    documents, chunks = kb.replace_by_key(
-        affected("documents", schemas.DOCUMENTS), affected("chunks", schemas.CHUNKS), records, keep
-    )
-    tables.write_kb(documents, chunks, path, buckets)
+    documents, chunks = flows.knowledge_base(records, keep)
+    tables.write_kb(documents, chunks, path, records, buckets)
 
 
 def ingest_stream(
@@ -58,19 +37,24 @@ def ingest_stream(
     config: chunking.ChunkConfig,
     ingested_at: Callable[[], object] = F.current_timestamp,
     buckets: int = tables.BUCKETS,
+    order: str | None = None,
 ) -> StreamingQuery:
     """Start ingesting a stream of ``(source_path, text)`` until its end so far.
 
-    If a batch brings a path twice, the row with the larger text hash stays;
-    order inside a batch is not defined.
+    If a batch brings a path twice, the row with the largest `order` stays, a
+    column such as the time of change; without one, the larger text hash. A
+    path whose new text has no chunk loses those it had.
     """
+    newest_by = F.col(order) if order else F.sha2("text", 256)
 
     def one_batch(batch: DataFrame, _: int) -> None:
-        newest = kb.latest_wins(batch, ["source_path"], [F.sha2("text", 256)])
+        newest = stage(kb.latest_wins(batch, ["source_path"], [newest_by]).select("source_path", "text"))
         records = stage(
             chunking.topic_records(newest, config, ingested_at(), empty_blocks=True)
         )
-        replace_documents(records, path, buckets=buckets)
+        documents, chunks = flows.knowledge_base(records)
+        tables.write_kb(documents, chunks, path, newest, buckets)
+        unstage(records, newest)
 
     return (
         documents.writeStream.foreachBatch(one_batch)

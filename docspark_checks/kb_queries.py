@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators import chunking, kb, vectors
 from docspark.plans import flows
-from docspark.session import stage
+from docspark.session import checkpoint_dir, stage
+from docspark.sources import tables
+from docspark.streaming import ingest
 from docspark_checks import chunk_queries, fixtures
 from docspark_checks.chunk_queries import RECORDS_SQL, records
 from docspark_checks.fixtures import duck
@@ -73,44 +77,69 @@ KB_SQL = (
 )
 
 
-def _kb(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    # documents and chunks both come from the records
-    return flows.knowledge_base(stage(records(spark, sf)))
+# the same with all blocks of a file, later ones with their number in the id
+KB_ALL_SQL = (
+    RECORDS_SQL
+    + """,
+ kb AS (SELECT t.source_path || CASE WHEN block_no > 1 THEN '|block_' || block_no ELSE '' END || '|' || chunk_ordem || '|' || subchunk_ordem AS id, nome_software, t.source_path, chunk_ordem,
+   subchunk_ordem, subchunk_total, hierarquia, titulo, texto AS conteudo_texto,
+   sha256(CASE WHEN md.text LIKE '%' || chr(10) THEN left(md.text, len(md.text) - 1) ELSE md.text END) AS arquivo_hash, '2026-01-01T00:00:00Z' AS arquivo_ingestao_em,
+   sha256(texto) AS conteudo_hash, '2026-01-01T00:00:00Z' AS conteudo_ingestao_em, block_no::BIGINT AS block_no FROM topics t JOIN md ON md.source_path = t.source_path)"""
+)
+_VECTOR_ID = (
+    "'id_' || sha256(source_path || CASE WHEN block_no > 1 THEN '|block_' || block_no ELSE '' END || '|chunk_' || chunk_ordem || '|sub_' || subchunk_ordem)"
+)
+
+
+def _kb(spark: SparkSession, sf: str, keep: str = "all") -> tuple[DataFrame, DataFrame]:
+    # stored, as documents and chunks both come from the records
+    return flows.knowledge_base(stage(records(spark, sf)), keep)
+
+
+def _rows(spark: SparkSession, sf: str) -> DataFrame:
+    return kb.rows_of_records(records(spark, sf))
 
 
 @query("kb_join", KB_SQL + " SELECT * FROM kb")
 def kb_join(spark: SparkSession, sf: str) -> DataFrame:
+    return kb.kb_rows(*_kb(spark, sf, "last")).drop("block_no")
+
+
+@query("kb_join_all", KB_ALL_SQL + " SELECT * FROM kb")
+def kb_join_all(spark: SparkSession, sf: str) -> DataFrame:
     return kb.kb_rows(*_kb(spark, sf))
 
 
 @query(
     "term_search",
-    KB_SQL
+    KB_ALL_SQL
     + """ SELECT id, nome_software, hierarquia, titulo, substr(conteudo_texto, 1, 800) || CASE WHEN len(conteudo_texto) > 800 THEN '...' ELSE '' END AS trecho
- FROM kb WHERE titulo ILIKE '%TOPIC 1%' OR conteudo_texto ILIKE '%TOPIC 1%' ORDER BY id LIMIT 10""",
+ FROM kb WHERE titulo ILIKE '%TOPIC 1%' OR conteudo_texto ILIKE '%TOPIC 1%' ORDER BY source_path, block_no, chunk_ordem, subchunk_ordem LIMIT 10""",
 )
 def term_search(spark: SparkSession, sf: str) -> DataFrame:
-    return kb.search_term(kb.kb_rows(*_kb(spark, sf)), "TOPIC 1", 10)
+    return kb.search_term(_rows(spark, sf), "TOPIC 1", 10)
 
 
 @query(
     "kb_stats",
-    KB_SQL
-    + """ SELECT count(DISTINCT source_path) AS documentos, count(*) AS chunks, sum(len(conteudo_texto))::BIGINT AS caracteres, max(len(conteudo_texto)) AS maior_chunk FROM kb""",
+    KB_ALL_SQL
+    + """ SELECT (SELECT count(DISTINCT (doc_id, block_no)) FROM reg) AS documentos, count(*) AS chunks, sum(len(conteudo_texto))::BIGINT AS caracteres, max(len(conteudo_texto)) AS maior_chunk FROM kb""",
 )
 def kb_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return kb.kb_stats(*_kb(spark, sf))
+    docs = fixtures.markdown(spark, sf).select("source_path", "text")
+    documents = chunking.documents(docs, F.lit(chunk_queries.STAMP).cast("timestamp"))
+    return kb.kb_stats(documents, _rows(spark, sf))
 
 
 @query(
     "vector_ids",
-    KB_SQL
-    + """ SELECT 'id_' || sha256(source_path || '|chunk_' || chunk_ordem || '|sub_' || subchunk_ordem) AS id,
+    KB_ALL_SQL
+    + f""" SELECT {_VECTOR_ID} AS id,
  'Software: ' || nome_software || ' | Tópico: ' || hierarquia || ' - ' || titulo || chr(10) || 'Conteúdo: ' || conteudo_texto AS document,
  nome_software AS software, conteudo_hash, 'm' AS embedding_model FROM kb""",
 )
 def vector_ids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = vectors.vector_rows(kb.kb_rows(*_kb(spark, sf)), "user", {"embedding_model": "m"})
+    rows = vectors.vector_rows(_rows(spark, sf), "user", {"embedding_model": "m"})
     return rows.select(
         "id", "document", "metadata.software", "metadata.conteudo_hash", "metadata.embedding_model"
     )
@@ -142,38 +171,105 @@ def index_health(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "document_list",
-    KB_SQL
-    + """ SELECT DISTINCT nome_software, split_part(source_path, '/', 3) AS nome_arquivo, source_path, arquivo_hash, arquivo_ingestao_em AS ingestao_em FROM kb""",
+    RECORDS_SQL
+    + """ SELECT DISTINCT soft AS nome_software, split_part(source_path, '/', 3) AS nome_arquivo, source_path,
+ sha256(CASE WHEN md.text LIKE '%' || chr(10) THEN left(md.text, len(md.text) - 1) ELSE md.text END) AS arquivo_hash, '2026-01-01T00:00:00Z' AS ingestao_em FROM reg JOIN md USING (doc_id)""",
 )
 def document_list(spark: SparkSession, sf: str) -> DataFrame:
-    return kb.document_list(_kb(spark, sf)[0])
+    docs = fixtures.markdown(spark, sf).select("source_path", "text")
+    return kb.document_list(chunking.documents(docs, F.lit(chunk_queries.STAMP).cast("timestamp")))
 
 
 @query(
     "chunk_sample",
-    KB_SQL
-    + """ SELECT hierarquia, titulo, len(conteudo_texto) AS tamanho, conteudo_hash, conteudo_ingestao_em AS ingestao_em FROM kb ORDER BY source_path, chunk_ordem, subchunk_ordem LIMIT 5""",
+    KB_ALL_SQL
+    + """ SELECT hierarquia, titulo, len(conteudo_texto) AS tamanho, conteudo_hash, conteudo_ingestao_em AS ingestao_em FROM kb ORDER BY source_path, block_no, chunk_ordem, subchunk_ordem LIMIT 5""",
 )
 def chunk_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return kb.chunk_sample(_kb(spark, sf)[1], 5, ("source_path", "chunk_ordem", "subchunk_ordem"))
+    chunks = _rows(spark, sf).withColumnRenamed("conteudo_ingestao_em", "ingestao_em")
+    return kb.chunk_sample(chunks, 5)
 
 
-@query(
-    "replace_by_key",
-    KB_SQL
-    + """, fresh AS (SELECT DISTINCT md.source_path FROM md JOIN labels USING (doc_id))
- SELECT kb.source_path, chunk_ordem, subchunk_ordem, conteudo_texto FROM kb WHERE source_path NOT IN (SELECT source_path FROM fresh)
- UNION ALL SELECT source_path, 1, 1, '# New' || chr(10) || source_path FROM fresh""",
-)
-def replace_by_key(spark: SparkSession, sf: str) -> DataFrame:
+_REPLACED_SQL = KB_ALL_SQL + """, fresh AS (SELECT DISTINCT md.source_path FROM md JOIN labels USING (doc_id)) """
+_REPLACED = """SELECT kb.source_path, chunk_ordem, subchunk_ordem, conteudo_texto FROM kb WHERE source_path NOT IN (SELECT source_path FROM fresh)
+ UNION ALL SELECT source_path, 1, 1, '# New' || chr(10) || source_path FROM fresh"""
+_STAMP = chunk_queries.STAMP
+
+
+def _fresh_records(spark: SparkSession, sf: str, text) -> DataFrame:
     """The labelled documents come again with a new text."""
-    documents, chunks = _kb(spark, sf)
     docs = fixtures.markdown(spark, sf)
     fresh = docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id").select(
-        "source_path", F.concat(F.lit("# New\n"), F.col("source_path")).alias("text")
+        "source_path", text.alias("text")
     )
-    again = stage(
-        chunking.topic_records(fresh, chunk_queries.CONFIG, F.lit(chunk_queries.STAMP).cast("timestamp"))
+    return stage(
+        chunking.topic_records(fresh, chunk_queries.CONFIG, F.lit(_STAMP).cast("timestamp"), empty_blocks=True)
     )
-    _, left = kb.replace_by_key(documents, chunks, again)
+
+
+def _new_text():
+    return F.concat(F.lit("# New\n"), F.col("source_path"))
+
+
+@query("replace_by_key", _REPLACED_SQL + _REPLACED)
+def replace_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    documents, chunks = _kb(spark, sf)
+    _, left = kb.replace_by_key(documents, chunks, _fresh_records(spark, sf, _new_text()))
     return left.select("source_path", "chunk_ordem", "subchunk_ordem", "conteudo_texto")
+
+
+def _stored(spark: SparkSession, sf: str, text) -> tuple[DataFrame, DataFrame]:
+    """A base on disk, written with 32 buckets, then changed by documents that come again."""
+    path = f"{checkpoint_dir(spark)}/kb-{uuid.uuid4().hex}"
+    docs = fixtures.markdown(spark, sf).select("source_path", "text")
+    first = stage(
+        chunking.topic_records(docs, chunk_queries.CONFIG, F.lit(_STAMP).cast("timestamp"), empty_blocks=True)
+    )
+    ingest.replace_documents(first, path, buckets=32)
+    ingest.replace_documents(_fresh_records(spark, sf, text), path)
+    return tables.read_kb(spark, path)
+
+
+@query("kb_incremental", _REPLACED_SQL + _REPLACED)
+def kb_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    _, chunks = _stored(spark, sf, _new_text())
+    return chunks.select("source_path", "chunk_ordem", "subchunk_ordem", "conteudo_texto")
+
+
+@query(
+    "kb_replace_empty",
+    _REPLACED_SQL
+    + """SELECT 'document' AS kind, source_path, count(DISTINCT block_no) AS n FROM reg JOIN md USING (doc_id) WHERE source_path NOT IN (SELECT source_path FROM fresh) GROUP BY source_path
+ UNION ALL SELECT 'document', source_path, 1 FROM fresh
+ UNION ALL SELECT 'chunk', source_path, count(*) FROM kb WHERE source_path NOT IN (SELECT source_path FROM fresh) GROUP BY source_path""",
+)
+def kb_replace_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose new text is a bare title keep no chunk."""
+    documents, chunks = _stored(spark, sf, F.lit("Empty manual\n"))
+    counted = [
+        t.groupBy("source_path").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "source_path", "n")
+        for kind, t in (("document", documents), ("chunk", chunks))
+    ]
+    return counted[0].unionByName(counted[1])
+
+
+def _lengths():
+    """An encoder for checks: the length of a text and a constant."""
+    return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+
+@query(
+    "index_incremental",
+    _REPLACED_SQL
+    + f"""SELECT id, len('Software: ' || nome_software || ' | Tópico: ' || hierarquia || ' - ' || titulo || chr(10) || 'Conteúdo: ' || conteudo_texto)::DOUBLE AS length
+ FROM (SELECT *, {_VECTOR_ID} AS id FROM kb WHERE source_path NOT IN (SELECT source_path FROM fresh)) t(kid, nome_software, source_path, chunk_ordem, subchunk_ordem, subchunk_total, hierarquia, titulo, conteudo_texto, h, i, ch, ci, block_no, id)
+ UNION ALL SELECT 'id_' || sha256(source_path || '|chunk_1|sub_1'), len('Software: New | Tópico: New > New - New' || chr(10) || 'Conteúdo: # New' || chr(10) || source_path)::DOUBLE FROM fresh""",
+)
+def index_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors on disk; documents that come again bring new ones and lose all they had."""
+    encoder = flows.Encoder(_lengths, 2, "lengths")
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    for found in (records(spark, sf), _fresh_records(spark, sf, _new_text())):
+        documents, chunks = flows.knowledge_base(stage(found))
+        flows.replace_vectors(flows.index_rows(documents, chunks, encoder), documents, path)
+    return flows.read_index(spark, path, encoder).select("id", F.get("embedding", F.lit(0)).cast("double").alias("length"))

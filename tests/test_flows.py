@@ -3,9 +3,10 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.operators import chunking
+from docspark.operators import chunking, vectors
 from docspark.plans import flows
-from docspark.sources import files
+from docspark.session import stage
+from docspark.sources import files, tables
 
 
 def hashed_words(dim):
@@ -66,7 +67,7 @@ def test_from_pages_to_answers(spark, tree, tmp_path):
         spark, str(tree), out["md"], out["kb"], out["index"], ENCODER, F.lit("2026-01-01 00:00:00").cast("timestamp"), chunking.ChunkConfig()
     )
     assert list(timings.seconds) == ["convert", "ingest", "encode"]
-    index = spark.read.parquet(out["index"])
+    index = flows.read_index(spark, out["index"], ENCODER)
     assert index.count() == 2 and {len(r["embedding"]) for r in index.collect()} == {64}
     assert {r["source_path"] for r in index.select("metadata.source_path").collect()} == {"A/walls.md", "A/deep/doors.md"}
     questions = spark.createDataFrame([(1, "Place a door"), (2, "wall tool")], "query_id int, question string")
@@ -75,6 +76,43 @@ def test_from_pages_to_answers(spark, tree, tmp_path):
     assert all("[Trecho 1]" in r["context"] for r in contexts.collect())
 
 
+def test_a_second_run_keeps_what_the_first_one_stored(spark, tree, tmp_path):
+    out = [str(tmp_path / name) for name in ("md", "kb", "index")]
+    stamp = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    flows.run_pipeline(spark, str(tree), *out, ENCODER, stamp, chunking.ChunkConfig())
+    # another folder of the same tree: one file changed, one new, the rest not there
+    again = tmp_path / "again" / "A"
+    again.mkdir(parents=True)
+    (again / "walls.HTM").write_text("<h1>Walls</h1><h2>Draw two walls</h2><p>Drag twice.</p><h2>More</h2><p>x</p>")
+    (again / "roof.html").write_text("<h1>Roof</h1><h2>Pitch</h2><p>Set the angle.</p>")
+    flows.run_pipeline(spark, str(tmp_path / "again"), *out, ENCODER, stamp, chunking.ChunkConfig())
+    documents, chunks = tables.read_kb(spark, out[1])
+    assert {r["source_path"] for r in documents.collect()} == {"A/walls.md", "A/deep/doors.md", "A/roof.md"}
+    titles = sorted(r["titulo"] for r in chunks.collect())
+    assert titles == ["Draw two walls", "More", "Pitch", "Place a door"]
+    index = flows.read_index(spark, out[2], ENCODER)
+    assert sorted(r["titulo"] for r in index.select("metadata.titulo").collect()) == titles
+
+
+def test_questions_are_encoded_once(spark, tree, tmp_path):
+    counter = spark.sparkContext.accumulator(0)
+
+    def make():
+        def encode(texts):
+            counter.add(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return encode
+
+    encoder = flows.Encoder(make, 2, "lengths")
+    rows = [(str(i), "x" * i, ("s", "h", "t", "p")) for i in range(30)]
+    index = spark.createDataFrame(rows, "id string, document string, metadata struct<software:string,hierarquia:string,titulo:string,source_path:string>")
+    index = stage(vectors.embed(index, "document", encoder.make, 2))
+    before = counter.value
+    hits, contexts = flows.search(spark.createDataFrame([(i, "y" * i) for i in range(12)], "query_id int, question string"), index, encoder, 2)
+    assert hits.count() == 24 and contexts.count() == 12 and counter.value - before == 12
+
+
 def test_spread_only_where_splits_are_few(spark):
     cores = spark.sparkContext.defaultParallelism
     assert files.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores * 3

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from docspark import schemas
 from docspark.operators import chunking, kb
 from docspark.plans import flows
-from docspark.sources import tables
+from docspark.sources import store, tables
 from docspark.streaming import ingest
 
 STAMP = "2026-01-01 00:00:00"
@@ -19,11 +19,14 @@ def build(spark, texts):
 
 def test_only_the_last_block_of_a_file_survives(spark):
     records = build(spark, {"a.md": "# One\nx\n# Two\ny\n", "b.md": "# Solo\nz\n"})
-    documents, chunks = flows.knowledge_base(records)
+    documents, chunks = flows.knowledge_base(records, keep="last")
     assert {r["nome_software"] for r in documents.collect()} == {"Two", "Solo"}
     assert {r["titulo"] for r in chunks.collect()} == {"Two", "Solo"}
-    everything, _ = flows.knowledge_base(records, keep="all")
+    everything, chunks = flows.knowledge_base(records)
     assert everything.count() == 3
+    rows = kb.kb_rows(everything, chunks).collect()
+    assert {r["id"] for r in rows} == {"a.md|1|1", "a.md|block_2|1|1", "b.md|1|1"}
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, kb.rows_of_records(records).collect()))
     with pytest.raises(ValueError):
         kb.surviving_blocks(records, "first")
 
@@ -84,7 +87,8 @@ def test_stored_base_replaces_only_its_buckets(spark, tmp_path):
     path = str(tmp_path / "kb")
     documents, chunks = flows.knowledge_base(build(spark, {f"d{i}.md": f"# D{i}\ntext {i}\n" for i in range(20)}))
     tables.write_kb(documents, chunks, path, buckets=8)
-    ingest.replace_documents(build(spark, {"d3.md": "# New\nfresh\n", "x.md": "# X\ny\n"}), path, buckets=8)
+    # the base keeps its own number of buckets
+    ingest.replace_documents(build(spark, {"d3.md": "# New\nfresh\n", "x.md": "# X\ny\n"}), path, buckets=16)
     documents, chunks = tables.read_kb(spark, path)
     names = {r["source_path"]: r["nome_software"] for r in documents.collect()}
     assert len(names) == 21 and names["d3.md"] == "New" and names["d4.md"] == "D4"
@@ -108,6 +112,41 @@ def test_stream_of_documents(spark, tmp_path):
     assert chunks.count() == 2
 
 
+def test_a_document_without_chunks_loses_the_old_ones(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    ingest.replace_documents(build(spark, {"a.md": "# A\nold body\n", "b.md": "# B\nkept\n"}), path, buckets=4)
+    ingest.replace_documents(build(spark, {"a.md": "Bare title\n"}), path)
+    documents, chunks = tables.read_kb(spark, path)
+    assert {r["source_path"]: r["nome_software"] for r in documents.collect()} == {"a.md": "Bare title", "b.md": "B"}
+    assert [r["source_path"] for r in chunks.collect()] == ["b.md"]
+    assert store.vacuum(spark, path) >= 0 and tables.read_kb(spark, path)[0].count() == 2
+
+
+def test_a_change_that_is_not_published_is_not_seen(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    ingest.replace_documents(build(spark, {"a.md": "# A\none\n"}), path, buckets=4)
+    before = store.state(spark, path)
+    (tmp_path / "kb" / "manifest" / "999999999999-x").mkdir()  # a manifest whose writer died
+    assert store.state(spark, path) == before and tables.read_kb(spark, path)[0].count() == 1
+
+
+def test_stored_columns_survive_a_file_without_them(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([("a", 1)], "k string, v int")
+    store.replace(path, {"t": (old, "k string, v int")}, old, "k", 4)
+    new = spark.createDataFrame([("b", 2, "x")], "k string, v int, w string")
+    store.replace(path, {"t": (new, "k string, v int, w string")}, new, "k")
+    rows = store.read(spark, path, "t", "k string, v int, w string").collect()
+    assert sorted(map(tuple, rows)) == [("a", 1, None), ("b", 2, "x")]
+
+
+def test_order_decides_between_rows_of_one_batch(spark):
+    index = spark.createDataFrame([("a", 1, 0)], "id string, v int, t int")
+    rows = spark.createDataFrame([("a", 5, 1), ("a", 4, 2), ("b", 9, 1)], "id string, v int, t int")
+    assert sorted(map(tuple, kb.upsert(index, rows, order="t").collect())) == [("a", 4, 2), ("b", 9, 1)]
+    assert len(kb.upsert(index, rows).collect()) == 2
+
+
 def test_older_tables_gain_columns(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([("a.md", "A")], "source_path string, nome_software string").write.parquet(path)
