@@ -98,16 +98,6 @@ def fold_emit(
     return bind(items, blocked)
 
 
-def prefix_sums(values: Column) -> Column:
-    """Running totals of an int array."""
-    return fold_emit(
-        values,
-        F.struct(F.lit(0).alias("s")),
-        "int",
-        lambda st, v: (F.struct((st["s"] + v).alias("s")), F.array(st["s"] + v)),
-    )
-
-
 def join_ranges(
     items: Column,
     limit: int,

@@ -89,8 +89,7 @@ def slices(c: Column, size: int) -> Column:
 def split_long(c: Column, limit: int) -> Column:
     """Cut a text at words so that every piece has at most `limit` characters.
 
-    A longer word inside a text is cut into slices; a text that is one single
-    long word keeps its first `limit` characters only.
+    A longer word is cut into slices.
     """
 
     def pack(ws: Column) -> Column:
@@ -120,14 +119,7 @@ def split_long(c: Column, limit: int) -> Column:
         return (
             F.when(t == "", empty("string"))
             .when(F.length(t) <= limit, F.array(t))
-            .otherwise(
-                bind(
-                    words(t),
-                    lambda ws: F.when(
-                        F.size(ws) <= 1, F.array(strip(F.substring(t, 1, limit)))
-                    ).otherwise(pack(ws)),
-                )
-            )
+            .otherwise(bind(words(t), pack))
         )
 
     return bind(strip(c), cut)

@@ -27,17 +27,24 @@ OVERLAP_OPTION = "RAG_CHUNK_OVERLAP_SENTENCES"
 WHOLE_DOCUMENT_TITLE = "Conteúdo do Dataset"
 
 REGION_TYPE = (
-    "struct<kind:string,block_no:int,nome_software:string,chunk_ordem:int,start:int,stop:int,"
+    "struct<kind:string,block_no:int,block_start:int,nome_software:string,chunk_ordem:int,"
+    "start:int,stop:int,"
     f"h1:{md.HEADER_TYPE},h2:{md.HEADER_TYPE},hc:{md.HEADER_TYPE}>"
 )
 
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Size limit of a chunk in characters and overlap in sentences."""
+    """Size limit of a chunk in characters, overlap in sentences, and what chunks keep.
+
+    With `keep_text` every line that shows something is in a chunk. Without it a
+    chunk has its header and plain lines only: deeper headers, and what stands
+    before the first chunk of a block or behind the last, are left out.
+    """
 
     max_chars: int = DEFAULT_MAX_CHARS
     overlap: int = DEFAULT_OVERLAP
+    keep_text: bool = True
 
     def __post_init__(self) -> None:
         if self.max_chars <= 0:
@@ -122,6 +129,7 @@ def _regions(marked: Column, stem: Column) -> Column:
             F.struct(
                 F.lit(kind).alias("kind"),
                 st["block_no"].alias("block_no"),
+                st["block_start"].alias("block_start"),
                 st["name"].alias("nome_software"),
                 ordem.alias("chunk_ordem"),
                 start.alias("start"),
@@ -211,6 +219,34 @@ def _regions(marked: Column, stem: Column) -> Column:
     )
 
 
+def _whole_content(ms: Column, rs: Column, r: Column, i: Column) -> Column:
+    """Text of a region with the lines around it that belong to no other one.
+
+    What stands before a chunk goes with it, down from the chunk before in the
+    same block or the start of the block; a block's rest goes with its last chunk.
+    """
+
+    def around(before: Column, after: Column) -> Column:
+        head = (
+            F.when(i == 0, 0)
+            .when(before["block_no"] == r["block_no"], before["stop"])
+            .otherwise(r["block_start"])
+        )
+        tail = (
+            F.when(after.isNull(), F.size(ms))
+            .when(after["block_no"] == r["block_no"], r["stop"])
+            .otherwise(after["block_start"])
+        )
+        part = F.slice(ms, head + 1, tail - head)
+        # the line that names a block is its name, not its text
+        names = lambda m: (m["i"] == r["block_start"] - 1) & (tx.strip(m["line"]) == r["nome_software"])
+        kept = F.filter(part, lambda m: ((r["kind"] != "chunk") | ~m["blank"]) & ~names(m))
+        joined = F.array_join(F.transform(kept, lambda m: m["line"]), "\n")
+        return F.when(r["kind"] == "block", joined).otherwise(tx.strip(joined))
+
+    return bind(F.get(rs, i - 1), lambda b: bind(F.get(rs, i + 1), lambda a: around(b, a)))
+
+
 def _content(ms: Column, r: Column) -> Column:
     """Text of a region: a chunk keeps its header and its plain lines."""
     part = F.slice(ms, r["start"] + 1, r["stop"] - r["start"])
@@ -241,7 +277,7 @@ def chunk_metadata(software: Column, level1: Column, h2: Column, hc: Column) ->
 
 
 @once
-def _region_rows(text: str, source_path: str) -> Column:
+def _region_rows(text: str, source_path: str, keep_text: bool) -> Column:
     stem = paths.stem(F.col(source_path))
     return bind(
         _marked_lines(F.col(text)),
@@ -249,10 +285,10 @@ def _region_rows(text: str, source_path: str) -> Column:
             _regions(ms, stem),
             lambda rs: F.transform(
                 rs,
-                lambda r: F.struct(
+                lambda r, i: F.struct(
                     r.alias("r"),
                     F.element_at(rs, -1)["block_no"].alias("last_block"),
-                    _content(ms, r).alias("content"),
+                    (_whole_content(ms, rs, r, i) if keep_text else _content(ms, r)).alias("content"),
                 ),
             ),
         ),
@@ -281,15 +317,15 @@ def _counted(pieces: Column) -> Column:
     )
 
 
-def regions(docs: DataFrame) -> DataFrame:
+def regions(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """One row per chunk, chunkless block or headerless document, with its text.
 
-    `docs` holds ``source_path`` and ``text``.
+    `docs` holds ``source_path`` and ``text``; for `keep_text` see `ChunkConfig`.
     """
     rows = docs.select(
         "source_path",
         doc_hash(F.col("text")).alias("arquivo_hash"),
-        F.explode(_region_rows("text", "source_path")).alias("x"),
+        F.explode(_region_rows("text", "source_path", keep_text)).alias("x"),
     )
     stem = paths.stem(F.col("source_path"))
     titulo, hierarquia = chunk_metadata(stem, F.col("x.r.h1"), F.col("x.r.h2"), F.col("x.r.hc"))
@@ -308,9 +344,9 @@ def regions(docs: DataFrame) -> DataFrame:
     )
 
 
-def raw_chunks(docs: DataFrame) -> DataFrame:
+def raw_chunks(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """Chunks before the size limit, with their title and hierarchy."""
-    return regions(docs).where("kind = 'chunk'").drop("kind")
+    return regions(docs, keep_text).where("kind = 'chunk'").drop("kind")
 
 
 def software_blocks(docs: DataFrame) -> DataFrame:
@@ -321,6 +357,15 @@ def software_blocks(docs: DataFrame) -> DataFrame:
     )
 
 
+def documents(docs: DataFrame, ingested_at: Column) -> DataFrame:
+    """One row per block of a document, as its records name it; no chunk is cut."""
+    first = F.col("kind").isin("block", "whole") | ((F.col("kind") == "chunk") & (F.col("chunk_ordem") == 1))
+    return regions(docs).where(first).select(
+        "source_path", "nome_software", "nome_arquivo", "arquivo_hash",
+        tx.utc_stamp(ingested_at).alias("ingestao_em"), "block_no",
+    )
+
+
 def topic_records(
     docs: DataFrame, config: ChunkConfig, ingested_at: Column, empty_blocks: bool = False
 ) -> DataFrame:
@@ -331,7 +376,7 @@ def topic_records(
     any text gives no record, or with `empty_blocks` one whose text is null, so
     that its document is not lost.
     """
-    r = regions(docs)
+    r = regions(docs, config.keep_text)
     explode = F.posexplode_outer if empty_blocks else F.posexplode
     numbered = explode(
         _region_pieces("kind", "content", config.max_chars, config.overlap)

@@ -13,7 +13,8 @@ from docspark_checks import fixtures
 from docspark_checks.registry import query, text_table
 
 LIMIT = 1200
-CONFIG = chunking.ChunkConfig(LIMIT, 1)
+# without the text around chunks, as the layouts of the twins have it; `section_chunks_full` keeps it
+CONFIG = chunking.ChunkConfig(LIMIT, 1, keep_text=False)
 STAMP = "2026-01-01 00:00:00"
 
 # ---- SQL building blocks of the twins
@@ -127,6 +128,20 @@ def split_long_fragments(spark: SparkSession, sf: str) -> DataFrame:
     return _pieces(text_table(spark, sf, "documents"), tx.split_long(F.col("text"), 200))
 
 
+_LETTERS = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
+
+
+@query(
+    "split_long_words",
+    f"""WITH w AS (SELECT doc_id, {_LETTERS} AS t FROM documents)
+ SELECT doc_id, unnest(range(1, (len(t) - 1) // 200 + 2)) AS piece_no, unnest(list_transform(range(0, (len(t) - 1) // 200 + 1), lambda i: substr(t, i * 200 + 1, 200))) AS piece FROM w WHERE t <> ''""",
+)
+def split_long_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as one long word: all of its slices are kept."""
+    docs = text_table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", "[^A-Za-z]", ""))
+    return _pieces(docs, tx.split_long(F.col("text"), 200))
+
+
 @query(
     "pack_chunks",
     DOC_UNITS + "," + packed_sql("doc_id") + " SELECT doc_id, g AS piece_no, t AS piece FROM packed",
@@ -260,11 +275,36 @@ SECTION_SQL = (
 )
 def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = fixtures.markdown(spark, sf).select("source_path", "text")
-    return chunking.raw_chunks(docs).select(
+    return chunking.raw_chunks(docs, keep_text=False).select(
         "source_path", "chunk_ordem", "nome_software", "titulo", "content"
     )
 
 
+_TAIL_MARK = "chr(10) || '## Tables' || chr(10) || 'Tail line'"
+_SHOWN = "array_to_string(list_filter(string_split({0}, chr(10)), lambda l: trim(l) <> ''), chr(10))"
+
+
+@query(
+    "section_chunks_full",
+    "WITH "
+    + fixtures.MARKDOWN_SQL
+    + f""", x AS (
+ SELECT source_path, 1 AS chunk_ordem, '# ' || source || chr(10) || 'Intro ' || lang || chr(10) || '## ' || lang || ' part' || chr(10) || '### Topic ' || doc_id || chr(10)
+   || body || chr(10) || '#### Deep ' || doc_id || chr(10) || 'Deep body.' AS content FROM md WHERE doc_id % 6 = 0
+ UNION ALL SELECT source_path, 2, '### Notes' || chr(10) || 'See also the manual.' || {_TAIL_MARK} FROM md WHERE doc_id % 6 = 0
+ UNION ALL SELECT source_path, 1, '1. Manual ' || source || chr(10) || '1.1. Area ' || lang || chr(10) || '1.1.1. Question ' || doc_id || '?' || chr(10) || '    ' || body FROM md WHERE doc_id % 6 = 1
+ UNION ALL SELECT source_path, 1, '## ' || lang || chr(10) || body FROM md WHERE doc_id % 6 = 4
+ UNION ALL SELECT source_path, 2, '## Second ' || doc_id || chr(10) || 'Body two.' FROM md WHERE doc_id % 6 = 4
+ UNION ALL SELECT source_path, 1, '# ' || source || chr(10) || '## Data' || chr(10) || '| Key | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| id | ' || doc_id || ' |' || chr(10) || '| lang | '
+   || lang || ' |' || chr(10) || '~~~' || chr(10) || 'code ' || doc_id || chr(10) || '```' || chr(10) || '~~~' || chr(10) || body FROM md WHERE doc_id % 6 = 5)
+ SELECT source_path, chunk_ordem, trim({_SHOWN.format('content')}) AS content FROM x""",
+)
+def section_chunks_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents with every line that shows something kept."""
+    docs = fixtures.markdown(spark, sf).select("source_path", "text")
+    return chunking.raw_chunks(docs).select("source_path", "chunk_ordem", "content")
+
+
 _LABEL = "CASE WHEN {n} IS NOT NULL THEN {n} || ' - ' || {t} ELSE {t} END"
 
 

@@ -33,42 +33,80 @@ def test_title_lines(many):
     assert many(md.looks_like_title, lines) == [True, False, False, False, False, False]
 
 
+GARDEN = """2. Kitchen garden
+
+2.1. Beds
+
+2.1.1. When to dig
+Not in frost, and not after a week of rain.
+2.1.2. What to leave
+    Worms.
+
+# Tools
+A spade lasts longer if it hangs.
+"""
+
+
 def test_numbered_document(spark):
-    text = (
-        "1. AutoCAD (Autodesk)\n\n1.1. Suporte Técnico\n\n1.1.1. O software fechou?\n"
-        "    Resposta: Reinicie.\n\n# Observações Gerais\nTexto livre.\n"
-    )
-    first, second = records(spark, text)
-    assert first["nome_software"] == "AutoCAD (Autodesk)"
-    assert first["titulo"] == "O software fechou?"
-    assert first["hierarquia"] == "1.1.1 - Suporte Técnico"
-    assert first["texto"] == "1.1.1. O software fechou?\n    Resposta: Reinicie."
-    assert first["conteudo_hash"] == hashlib.sha256(first["texto"].encode()).hexdigest()
-    assert first["ingestao_em"] == "2026-07-04T12:00:00Z"
+    dig, leave, tools = records(spark, GARDEN, config=ChunkConfig(keep_text=False))
+    assert (dig["nome_software"], dig["titulo"], dig["hierarquia"]) == ("Kitchen garden", "When to dig", "2.1.1 - Beds")
+    assert leave["texto"] == "2.1.2. What to leave\n    Worms." and leave["chunk_ordem"] == 2
+    assert leave["conteudo_hash"] == hashlib.sha256(leave["texto"].encode()).hexdigest()
+    assert leave["ingestao_em"] == "2026-07-04T12:00:00Z"
     # the second block has no header of the chunk level: packed as a whole
-    assert (second["nome_software"], second["hierarquia"]) == ("Observações Gerais", "Chunk 1")
-    assert first["last_block"] == second["last_block"] == 2
+    assert (tools["nome_software"], tools["hierarquia"], tools["last_block"]) == ("Tools", "Chunk 1", 2)
+
+
+LOST = """Preface line.
+# One
+Intro of one.
+## A
+### A1
+text a1
+#### deeper
+text deeper
+## B
+Tail of B.
+# Two
+### T1
+text t1
+"""
+
+
+def test_no_line_is_lost_by_default(spark):
+    got = records(spark, LOST)
+    assert [r["texto"] for r in got] == [
+        "Preface line.\n# One\nIntro of one.\n## A\n### A1\ntext a1\n#### deeper\ntext deeper\n## B\nTail of B.",
+        "# Two\n### T1\ntext t1",
+    ]
+    assert [(r["nome_software"], r["titulo"]) for r in got] == [("One", "A1"), ("Two", "T1")]
+    bare = records(spark, LOST, config=ChunkConfig(keep_text=False))
+    assert [r["texto"] for r in bare] == ["### A1\ntext a1\ntext deeper", "### T1\ntext t1"]
+
+
+def test_parts_of_a_long_chunk_are_numbered(spark):
+    answer = "Water early in the day, so that leaves dry before night. Mulch keeps what you pour where it should be. " * 7
+    rows = records(spark, f"3. Summer\n\n3.1. Water\n\n3.1.4. How much\n{answer}\n", config=ChunkConfig(200, 1, False))
+    assert len(rows) > 3 and max(len(r["texto"]) for r in rows) <= 200
+    assert [(r["subchunk_ordem"], r["subchunk_total"]) for r in rows] == [(i, len(rows)) for i in range(1, len(rows) + 1)]
+    assert rows[1]["hierarquia"] == f"3.1.4 - Water | Parte 2/{len(rows)}"
 
 
-def test_hard_cap_numbers_the_parts(spark):
-    long = "Esta secção detalha o comportamento do sistema. A explicação é extensa e força a divisão. " * 8
-    rows = records(spark, f"1. A\n\n1.1. B\n\n1.1.1. C?\n{long}\n", config=ChunkConfig(240, 1))
-    assert len(rows) > 1 and all(len(r["texto"]) <= 240 for r in rows)
-    assert [r["subchunk_ordem"] for r in rows] == list(range(1, len(rows) + 1))
-    assert {r["subchunk_total"] for r in rows} == {len(rows)}
-    assert rows[0]["hierarquia"] == f"1.1.1 - B | Parte 1/{len(rows)}"
+def test_a_plain_title_opens_a_block(spark):
+    (row,) = records(spark, "Notes on bees\n\n4.2. Hives\n\n4.2.1. Where\n    Out of the wind.\n", config=ChunkConfig(keep_text=False))
+    assert (row["nome_software"], row["texto"]) == ("Notes on bees", "4.2.1. Where\n    Out of the wind.")
 
 
-def test_plain_title_opens_a_block(spark):
-    rows = records(spark, "AutoCAD (Autodesk)\n\n1.1. Suporte\n\n1.1.1. Fechou?\n    Reinicie.\n")
-    assert rows[0]["nome_software"] == "AutoCAD (Autodesk)"
+def test_text_without_headers_is_packed(spark):
+    notes = ["A walk along the river"] + ["It rained. We turned back at the old mill, " + "slowly, " * 60 + "and dried our boots."] * 5
+    rows = records(spark, "\n\n".join(notes))
+    assert len(rows) >= 2 and max(len(r["texto"]) for r in rows) <= 1200
+    assert [r["hierarquia"] for r in rows] == [f"Chunk {i + 1}" for i in range(len(rows))]
 
 
-def test_unstructured_text_falls_back(spark):
-    paragraph = "Lorem ipsum dolor sit amet, consectetur adipiscing elit. " * 25
-    rows = records(spark, "\n\n".join(["Manual Corporativo", *[paragraph] * 4]))
-    assert len(rows) >= 2 and all(len(r["texto"]) <= 1200 for r in rows)
-    assert [r["hierarquia"] for r in rows] == [f"Chunk {i}" for i in range(1, len(rows) + 1)]
+def test_a_word_above_the_limit_is_cut_into_slices(spark):
+    rows = records(spark, "Long word\n\n" + "ab" * 1500 + "\n")
+    assert "".join(r["texto"] for r in rows) == "ab" * 1500 and len(rows) == 3
 
 
 def test_document_without_blocks_is_one_record(spark):
@@ -84,7 +122,7 @@ def test_block_without_text_keeps_its_document(spark):
 
 
 def test_deeper_headers_and_intro_are_left_out(spark):
-    rows = records(spark, "# A\nintro\n### C\nbody\n#### D\nmore\n\n### E\nend\n## F\nlost\n")
+    rows = records(spark, "# A\nintro\n### C\nbody\n#### D\nmore\n\n### E\nend\n## F\nlost\n", config=ChunkConfig(keep_text=False))
     assert [r["texto"] for r in rows] == ["### C\nbody\nmore", "### E\nend"]
     assert [r["hierarquia"] for r in rows] == ["A > C", "A > E"]
 
