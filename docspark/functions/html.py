@@ -28,6 +28,11 @@ VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track",
     "wbr",
 )
+# Elements whose end tag is often left out.
+OPTIONAL_END = (
+    "p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "optgroup",
+    "colgroup", "rt", "rp",
+)
 # Elements that start and end a line of their own.
 BLOCK_TAGS = (
     "address|article|body|center|dd|details|div|dl|dt|fieldset|figcaption|figure|head|html|legend|"
@@ -41,7 +46,9 @@ ENTITIES = (
 )
 
 _NOISE_WORDS = "(?i)breadcrumb|related-links|nav|menu"
-_NOISE_OPEN = r"(?i)^<(?:" + "|".join(NOISE_TAGS) + r")\b"
+# what may follow the name of an element in its tag
+_END = r"(?=[\s/>])"
+_NOISE_OPEN = r"(?i)^<(?:" + "|".join(NOISE_TAGS) + ")" + _END
 # decimal digits, and the super-, subscript and circled ones
 DIGIT = r"[\p{Nd}\u00b2\u00b3\u00b9\u2070-\u2079\u2080-\u2089\u2460-\u2468]"
 TOKEN = r"(?s)<!--.*?-->|<[!?/a-zA-Z][^>]*>|[^<]+|<"
@@ -84,8 +91,8 @@ def element_ranges(toks: Column, opens: Column | None = None, tags: tuple[str, .
     """Token ranges of the outermost matching elements, nesting respected.
 
     Matching are the given `tags`, or noise elements if none are given. An
-    element that is never closed runs to the end. Ranges are 1-based and
-    include both tags.
+    element that is never closed ends before the end tag of the element around
+    it, or at the end of the page. Ranges are 1-based and include both tags.
     """
 
     def numbers(ts: Column) -> Column:
@@ -108,7 +115,7 @@ def element_ranges(toks: Column, opens: Column | None = None, tags: tuple[str, .
         return F.array_distinct(F.transform(hits, _tag_name))
 
     def marks(ts: Column) -> Column:
-        """The tags that can open, nest in or close a range; all others are passed over."""
+        """The tags that can open, nest in or close a range; all tags if some of them lack their end."""
 
         def mark(t: Column, i: Column) -> Column:
             return bind(
@@ -124,26 +131,36 @@ def element_ranges(toks: Column, opens: Column | None = None, tags: tuple[str, .
                 ),
             )
 
+        def chosen(own: Column) -> Column:
+            ends = F.size(F.filter(own, lambda i: token(ts, i).startswith("</")))
+            alone = F.size(F.filter(own, lambda i: token(ts, i).endswith("/>")))
+            every = F.filter(numbers(ts), lambda i: token(ts, i).rlike("^</?[a-zA-Z]"))
+            return F.when(2 * ends + alone == F.size(own), own).otherwise(every)
+
         return bind(
             named(ts),
             lambda names: F.transform(
-                F.when(
-                    F.size(names) > 0,
-                    F.filter(
-                        numbers(ts),
-                        lambda i: token(ts, i).startswith("<")
-                        & F.array_contains(names, _tag_name(token(ts, i))),
-                    ),
-                ).otherwise(empty("int")),
+                bind(
+                    F.when(
+                        F.size(names) > 0,
+                        F.filter(
+                            numbers(ts),
+                            lambda i: token(ts, i).startswith("<")
+                            & F.array_contains(names, _tag_name(token(ts, i))),
+                        ),
+                    ).otherwise(empty("int")),
+                    chosen,
+                ),
                 lambda i: mark(token(ts, i), i),
             ),
         )
 
-    def st(tag: Column, depth: Column, start: Column) -> Column:
+    def st(tag: Column, depth: Column, start: Column, inner: Column | None = None) -> Column:
         return F.struct(
             tag.cast("string").alias("tag"),
             depth.cast("int").alias("depth"),
             start.cast("int").alias("start"),
+            (F.lit(0) if inner is None else inner).cast("int").alias("inner"),
         )
 
     def span(s: Column, stop: Column) -> Column:
@@ -173,13 +190,27 @@ def element_ranges(toks: Column, opens: Column | None = None, tags: tuple[str, .
         )
         return nxt, out
 
+    def within(s: Column, k: Column) -> tuple[Column, Column]:
+        """As `step`, with the elements inside a range counted: one more end tag is that of a parent."""
+        inside, other = s["depth"] > 0, k["name"] != s["tag"]
+        counts = inside & other & ~k["void"] & ~k["name"].isin(*OPTIONAL_END)
+        parent = counts & k["close"] & (s["inner"] == 0)
+        plain, out = step(s, k)
+        change = F.when(k["close"], -1).otherwise(1)
+        nxt = (
+            F.when(parent, st(F.lit(""), F.lit(0), F.lit(0)))
+            .when(counts, st(s["tag"], s["depth"], s["start"], s["inner"] + change))
+            .otherwise(plain)
+        )
+        return nxt, F.when(parent, span(s, k["i"] - 1)).otherwise(out)
+
     return bind(
         toks,
         lambda ts: fold_emit(
             marks(ts),
             st(F.lit(""), F.lit(0), F.lit(0)),
             RANGE_TYPE,
-            step,
+            within,
             lambda s: F.when(s["depth"] > 0, span(s, F.size(ts))).otherwise(nothing),
         ),
     )
@@ -202,9 +233,13 @@ def _gaps(ranges: Column, n: Column) -> Column:
     )
 
 
-_SIMPLE_NOISE = r"(?is)<!--.*?-->|<(" + "|".join(NOISE_TAGS) + r")\b[^>]*(?<!/)>.*?</\1\s*>"
+_SIMPLE_NOISE = (
+    r"(?is)<!--.*?-->|<(" + "|".join(NOISE_TAGS) + ")" + _END + r"[^>]*(?<!/)>.*?</\1\s*>"
+)
+_OPENED = r"(?i)<(?:" + "|".join(NOISE_TAGS) + ")" + _END
+_CLOSED = r"(?i)</(?:" + "|".join(NOISE_TAGS) + ")" + _END
 _NOISE_LEFT = (
-    r"(?is)</?(?:" + "|".join(NOISE_TAGS) + r")\b|<[^>]+\s(?:role\s*=\s*[\"']?navigation"
+    r"(?is)</?(?:" + "|".join(NOISE_TAGS) + ")" + _END + r"|<[^>]+\s(?:role\s*=\s*[\"']?navigation"
     r"|(?:class|id)\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)(?:breadcrumb|related-links|nav|menu))"
 )
 
@@ -213,8 +248,8 @@ def strip_noise(html: Column) -> Column:
     """Page without scripts, navigation, forms and other furniture.
 
     A regular expression removes elements that do not nest; pages where an
-    element nests in its own kind, or where an attribute marks noise, go
-    through the token ranges.
+    element nests in its own kind or lacks its end, or where an attribute marks
+    noise, go through the token ranges.
     """
 
     def by_ranges(page: Column) -> Column:
@@ -234,7 +269,11 @@ def strip_noise(html: Column) -> Column:
     return bind(
         F.struct(html.alias("raw"), F.regexp_replace(html, _SIMPLE_NOISE, "").alias("cut")),
         lambda p: F.when(
-            p["cut"].rlike(_NOISE_LEFT), by_ranges(F.regexp_replace(p["raw"], "(?s)<!--.*?-->", ""))
+            p["cut"].rlike(_NOISE_LEFT)
+            | (
+                F.regexp_count(p["raw"], F.lit(_OPENED)) != F.regexp_count(p["raw"], F.lit(_CLOSED))
+            ),
+            by_ranges(F.regexp_replace(p["raw"], "(?s)<!--.*?-->", "")),
         ).otherwise(p["cut"]),
     )
 
@@ -343,7 +382,7 @@ def segments(html: Column, *tags: str) -> Column:
 
     return bind(
         html,
-        lambda page: F.when(page.rlike(r"(?i)<(?:" + "|".join(tags) + r")\b"), cut(page)).otherwise(
+        lambda page: F.when(page.rlike(r"(?i)<(?:" + "|".join(tags) + r")(?=[\s/>])"), cut(page)).otherwise(
             F.array(F.struct(F.lit("").alias("tag"), page.alias("html")))
         ),
     )
@@ -358,8 +397,8 @@ def flow_text(parts: Column) -> Column:
 
 def page_title(flow: Column) -> Column:
     """`<title>` text, else the first `h1`/`h2` text, else ''."""
-    title = F.regexp_extract(flow, r"(?is)<title\b[^>]*>(.*?)</title", 1)
-    heading = F.regexp_extract(flow, r"(?is)<(h[12])\b[^>]*>(.*?)</\1", 2)
+    title = F.regexp_extract(flow, r"(?is)<title(?=[\s/>])[^>]*>(.*?)</title", 1)
+    heading = F.regexp_extract(flow, r"(?is)<(h[12])(?=[\s/>])[^>]*>(.*?)</\1", 2)
     return bind(
         F.when(title.contains("<"), F.lit("")).otherwise(title),
         lambda t: F.when(t != "", tx.strip(decode_entities(t))).otherwise(inner_text(heading)),
@@ -379,8 +418,8 @@ def table_rows(table: Column) -> Column:
         return F.coalesce(attribute(tag, name).try_cast("int"), F.lit(1))
 
     def cells(row: Column) -> Column:
-        opened = F.regexp_extract_all(row, F.lit(r"(?i)<t[hd]\b[^>]*>"), 0)
-        bodies = F.split(row, r"(?i)<t[hd]\b[^>]*>", -1)
+        opened = F.regexp_extract_all(row, F.lit(r"(?i)<t[hd](?=[\s/>])[^>]*>"), 0)
+        bodies = F.split(row, r"(?i)<t[hd](?=[\s/>])[^>]*>", -1)
         return bind(
             F.struct(opened.alias("o"), bodies.alias("b")),
             lambda d: F.transform(
@@ -395,7 +434,7 @@ def table_rows(table: Column) -> Column:
             ),
         )
 
-    rows = F.split(table, r"(?i)<tr\b[^>]*>", -1)
+    rows = F.split(table, r"(?i)<tr(?=[\s/>])[^>]*>", -1)
     return F.transform(F.slice(rows, 2, F.size(rows)), cells)
 
 
@@ -608,7 +647,7 @@ def _list_marks(flow: Column) -> Column:
         # stack of open lists: -1 for a plain one, else the last number given
         def after(stack: Column, piece: Column) -> Column:
             return F.aggregate(
-                F.regexp_extract_all(piece, F.lit(r"(?i)</?(?:ul|ol)\b"), 0),
+                F.regexp_extract_all(piece, F.lit(r"(?i)</?(?:ul|ol)(?=[\s/>])"), 0),
                 stack,
                 lambda s, t: F.when(
                     t.startswith("</"), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))
@@ -660,44 +699,44 @@ def _list_marks(flow: Column) -> Column:
     return bind(
         flow,
         lambda f: F.when(
-            f.rlike(r"(?i)<li\b"), bind(F.split(f, r"(?i)<li\b[^>]*>", -1), run)
+            f.rlike(r"(?i)<li(?=[\s/>])"), bind(F.split(f, r"(?i)<li(?=[\s/>])[^>]*>", -1), run)
         ).otherwise(f),
     )
 
 
-_RARE = r"(?i)<(?:hr|img|code|tt|kbd|del|s|strike|blockquote)\b"
+_RARE = r"(?i)<(?:hr|img|code|tt|kbd|del|s|strike|blockquote)(?=[\s/>])"
 
 
 def _rare_marks(t: Column) -> Column:
-    t = F.regexp_replace(t, r"(?i)<hr\b[^>]*>", "\n* * *\n")
+    t = F.regexp_replace(t, r"(?i)<hr(?=[\s/>])[^>]*>", "\n* * *\n")
     t = F.regexp_replace(
         t,
-        r"""(?i)<img\b(?=[^>]*?\ssrc\s*=\s*["']?([^"'\s>]+))(?:(?=[^>]*?\salt\s*=\s*(?:"([^"]*)"|'([^']*)')))?[^>]*>""",
+        r"""(?i)<img(?=[\s/>])(?=[^>]*?\ssrc\s*=\s*["']?([^"'\s>]+))(?:(?=[^>]*?\salt\s*=\s*(?:"([^"]*)"|'([^']*)')))?[^>]*>""",
         "![$2$3]($1)",
     )
-    t = F.regexp_replace(t, r"(?i)</?(?:code|tt|kbd)\b[^>]*>", "`")
-    t = F.regexp_replace(t, r"(?i)</?(?:del|s|strike)\b[^>]*>", "~~")
-    return F.regexp_replace(t, r"(?i)<blockquote\b[^>]*>", "\n> ")
+    t = F.regexp_replace(t, r"(?i)</?(?:code|tt|kbd)(?=[\s/>])[^>]*>", "`")
+    t = F.regexp_replace(t, r"(?i)</?(?:del|s|strike)(?=[\s/>])[^>]*>", "~~")
+    return F.regexp_replace(t, r"(?i)<blockquote(?=[\s/>])[^>]*>", "\n> ")
 
 
 def html_blocks(flow: Column) -> Column:
     """Markdown of a fragment without tables and preformatted blocks."""
-    t = F.regexp_replace(flow, r"(?is)<head\b[^>]*>.*?</head\s*>|<!--.*?-->|<![^>]*>", "")
+    t = F.regexp_replace(flow, r"(?is)<head(?=[\s/>])[^>]*>.*?</head\s*>|<!--.*?-->|<![^>]*>", "")
     t = F.regexp_replace(t, tx.WS + "+", " ")
-    t = F.regexp_replace(t, r"(?i) ?<br\b[^>]*> ?", "\n")
-    t = F.regexp_replace(t, r"(?i)<h([1-6])\b[^>]*> ?", f"\n{_HEADING}$1 ")
+    t = F.regexp_replace(t, r"(?i) ?<br(?=[\s/>])[^>]*> ?", "\n")
+    t = F.regexp_replace(t, r"(?i)<h([1-6])(?=[\s/>])[^>]*> ?", f"\n{_HEADING}$1 ")
     t = F.regexp_replace(t, r"(?i)</h[1-6]\s*>", "\n")
     for n in range(1, 7):
         t = F.replace(t, F.lit(f"{_HEADING}{n}"), F.lit("#" * n))
     t = F.regexp_replace(
-        t, r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*> ?(.*?) ?</a\s*>""",
-        r"[$3]($1$2)",
+        t, r"""(?is)<a(?=[\s/>])[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))[^>]*> ?(.*?) ?</a\s*>""",
+        r"[$4]($1$2$3)",
     )
-    t = F.regexp_replace(t, r"(?i)</?(?:b|strong)\b[^>]*>", "**")
-    t = F.regexp_replace(t, r"(?i)</?(?:em|i|u)\b[^>]*>", "*")
+    t = F.regexp_replace(t, r"(?i)</?(?:b|strong)(?=[\s/>])[^>]*>", "**")
+    t = F.regexp_replace(t, r"(?i)</?(?:em|i|u)(?=[\s/>])[^>]*>", "*")
     t = bind(t, lambda x: F.when(x.rlike(_RARE), _rare_marks(x)).otherwise(x))
     t = _list_marks(t)
-    t = F.regexp_replace(t, r"(?i)</?(?:li|blockquote|" + BLOCK_TAGS + r")\b[^>]*>", "\n")
+    t = F.regexp_replace(t, r"(?i)</?(?:li|blockquote|" + BLOCK_TAGS + r")(?=[\s/>])[^>]*>", "\n")
     t = decode_entities(F.regexp_replace(t, r"(?s)<[/a-zA-Z][^>]*>", ""))
     t = F.regexp_replace(t, r" {2,}", " ")
     t = tx.strip(F.regexp_replace(t, r" *\n[ \n]*", "\n"))

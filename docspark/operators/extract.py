@@ -91,11 +91,11 @@ def rendered_tables(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Links of the page outside its furniture: position, text and target."""
+def links(pages: DataFrame, html: str = "html", furniture: bool = False) -> DataFrame:
+    """Links of the page: position, text and target; those of its furniture only if asked for."""
     keys = [c for c in pages.columns if c != html]
-    pattern = r"""(?is)<a\b[^>]*?\shref\s*=\s*["'][^>]*>.*?</a\s*>"""
-    found = F.regexp_extract_all(h.strip_noise(F.col(html)), F.lit(pattern), 0)
+    pattern = r"""(?is)<a(?=[\s/>])[^>]*?\shref\s*=\s*[^\s>][^>]*>.*?</a\s*>"""
+    found = F.regexp_extract_all(F.col(html) if furniture else h.strip_noise(F.col(html)), F.lit(pattern), 0)
     return pages.select(*keys, F.posexplode(found).alias("pos", "a")).select(
         *keys,
         (F.col("pos") + 1).alias("link_no"),

@@ -41,6 +41,11 @@ PAGE_HTML = f"""'<!doctype html><html><head><title>Part ' || {_KEY} || ' &amp; m
  || p_name || '</td></tr></table><p>between</p><table><tr><td>Part ' || {_KEY} || '</td><td>' || p_name || '</td><td></td></tr><tr><td>size</td><td>'
  || {_SIZE} || '</td></tr><tr><td>empty</td><td> </td></tr></table><footer>end</footer></body></html>'"""
 
+# ---- Untidy pages, one per row of `part`.
+MESSY_HTML = f"""'<body><nav-bar>bar ' || {_KEY} || '</nav-bar><div><nav>menu ' || p_type || '</div><p>Keep <a href=/p/' || {_KEY}
+ || '>link ' || {_KEY} || '</a> and <i-icon>x</i-icon> <i>it</i> by ' || p_brand || '.</p><NAV class=low>y</NAV><title-card>card</title-card> '
+ || '<pre-view>not code</pre-view><section><aside>gone<ul><li>gone too</ul></section><p>end</p></body>'"""
+
 # ---- Result log, one row per event.
 _J = "CAST(1 + CAST(FLOOR(event_id / {j}) AS BIGINT) % 5 AS DOUBLE)"
 _SCORES = {
@@ -118,5 +123,9 @@ def part_pages(spark: SparkSession, sf: str) -> DataFrame:
     return text_table(spark, sf, "part").selectExpr("p_partkey", f"{PAGE_HTML} AS html")
 
 
+def messy_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return text_table(spark, sf, "part").selectExpr("p_partkey", f"{MESSY_HTML} AS html")
+
+
 def log(spark: SparkSession, sf: str) -> DataFrame:
     return text_table(spark, sf, "events").selectExpr(*[f"{e} AS {n}" for n, e in LOG.items()])

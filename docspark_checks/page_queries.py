@@ -45,6 +45,46 @@ def html_links(spark: SparkSession, sf: str) -> DataFrame:
     return extract.links(fixtures.part_pages(spark, sf))
 
 
+_ANCHOR = "regexp_extract_all({0}, '(?is)<a [^>]*href=\"[^\"]*\"[^>]*>.*?</a>')"
+
+
+@query(
+    "page_links",
+    f"""WITH c AS (SELECT page_id, {_ANCHOR.format('html')} AS found FROM pages),
+ a AS (SELECT page_id, unnest(found) AS tag, generate_subscripts(found, 1) AS link_no FROM c)
+ SELECT page_id, link_no, trim(regexp_replace({_DECODE.format("regexp_replace(tag, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text, regexp_extract(tag, 'href="([^"]*)"', 1) AS href FROM a""",
+)
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of the raw pages, which stand in their navigation."""
+    return extract.links(text_table(spark, sf, "pages").select("page_id", "html"), furniture=True)
+
+
+@query(
+    "menu_items",
+    f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS ls FROM pages),
+ i AS (SELECT page_id, unnest(ls) AS li, generate_subscripts(ls, 1) AS item_no FROM l)
+ SELECT page_id, item_no, '  - [' || {_DECODE.format("regexp_extract(li, '>(.*)</a>', 1)")} || '](' || regexp_extract(li, 'href="([^"]*)"', 1) || ')' AS item FROM i""",
+)
+def menu_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The lists of the raw pages, which stand in their navigation."""
+    lists = F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<ul>.*?</ul>"), 0), "")
+    items = F.filter(F.split(h.html_blocks(lists), "\n"), lambda s: s.rlike(r"^ +(-|\d+\.) "))
+    rows = text_table(spark, sf, "pages").select("page_id", F.posexplode(items).alias("p", "item"))
+    return rows.select("page_id", (F.col("p") + 1).alias("item_no"), "item")
+
+
+_MESSY_MARKDOWN = (
+    "'bar ' || CAST(p_partkey AS VARCHAR) || chr(10) || 'Keep [link ' || CAST(p_partkey AS VARCHAR) || '](/p/' || CAST(p_partkey AS VARCHAR) "
+    "|| ') and x *it* by ' || p_brand || '.' || chr(10) || 'card not code' || chr(10) || 'end' || chr(10)"
+)
+
+
+@query("html_messy", f"SELECT p_partkey, {_MESSY_MARKDOWN} AS markdown FROM part")
+def html_messy(spark: SparkSession, sf: str) -> DataFrame:
+    """Custom elements, elements without an end, attributes without quotes."""
+    return extract.to_markdown(fixtures.messy_pages(spark, sf))
+
+
 # Expected Markdown of a part page, written from its layout.
 _KEY, _SIZE = "CAST(p_partkey AS VARCHAR)", "CAST(p_size AS VARCHAR)"
 EXPECTED_LIST = (
