@@ -13,15 +13,20 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.operators.kb import block_label
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 GROUP_BYTES = 64 * 1024 * 1024
 MAX_CELLS = 1 << 16
+#: Bytes that an id of the index takes at most, as `vector_id` makes them.
+ID_BYTES = 128
+#: Corpus rows that bound the distances of an exact search beforehand.
+SAMPLE_ROWS = 2048
 
 
 def similarity(distance: Column) -> Column:
@@ -54,19 +59,22 @@ def embed(
         raise ValueError("dim must be above zero")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
-        for frame in batches:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                vectors = np.asarray(encode(part[text].fillna("").tolist()), dtype=np.float32)
-                if vectors.shape != (len(part), dim):
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                part = batch.slice(at, batch_size)
+                texts = part.column(text).fill_null("").to_pylist()
+                vectors = np.asarray(encode(texts), dtype=np.float32)
+                if vectors.shape != (len(texts), dim):
                     raise ValueError(
-                        f"expected {len(part)} vectors of {dim} numbers, got {vectors.shape}"
+                        f"expected {len(texts)} vectors of {dim} numbers, got {vectors.shape}"
                     )
-                yield part.assign(**{out: list(vectors)})
+                starts = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
+                made = pa.ListArray.from_arrays(starts, pa.array(vectors.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, out])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _top_k_function(k: int) -> Callable[..., Any]:
@@ -77,41 +85,64 @@ def _top_k_function(k: int) -> Callable[..., Any]:
         return (d * d).sum(axis=1)
 
     def best(
-        qv: np.ndarray, qn: np.ndarray, ids: np.ndarray, cv: np.ndarray
+        qv: np.ndarray, qids: np.ndarray | None, ids: np.ndarray, cv: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query positions, ids and squared distances, at most k per query.
+        """Query positions, ids and squared distances: the k nearest ids of each query.
 
-        A matrix product finds the candidates, including everything within
-        rounding error of the k-th; their distances are then summed term by
-        term, so equal vectors tie exactly and the id decides.
+        With `qids` a query's own id is left out. An id counts once, with its
+        nearest vector. A matrix product finds the candidates, including
+        everything within rounding error of the k-th; their distances are then
+        summed term by term, so equal vectors tie exactly and the id decides.
         """
-        cn = (cv * cv).sum(axis=1)
+        if qv.shape[1] != cv.shape[1] and len(cv) and len(qv):
+            raise ValueError(f"vectors differ in length: {qv.shape[1]} and {cv.shape[1]}")
+        by_id = np.argsort(ids, kind="stable")
+        ids, cv = ids[by_id], cv[by_id]
+        heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, int)
+        qn, cn = (qv * qv).sum(axis=1), (cv * cv).sum(axis=1)
         rows, outs_i, outs_d = [], [], []
         step = max(1, 2_000_000 // max(1, len(cv)))
-        for lo in range(0, len(qv), step):
-            approx = qn[lo : lo + step, None] + cn[None, :] - 2.0 * (qv[lo : lo + step] @ cv.T)
-            if approx.shape[1] > k:
-                kth = np.partition(approx, k - 1, axis=1)[:, k - 1]
-                slack = 1e-9 * (1.0 + np.abs(kth) + qn[lo : lo + step])
-                qi, ci = np.nonzero(approx <= (kth + slack)[:, None])
-            else:
-                qi, ci = np.nonzero(np.ones(approx.shape, dtype=bool))
+        for lo in range(0, len(qv) if len(cv) else 0, step):
+            part = slice(lo, lo + step)
+            approx = qn[part, None] + cn[None, :] - 2.0 * (qv[part] @ cv.T)
+            if qids is not None:
+                approx[qids[part, None] == ids[None, :]] = np.inf
+            nearest = approx if len(heads) == len(ids) else np.minimum.reduceat(approx, heads, axis=1)
+            limit = np.full(len(approx), np.finfo(float).max)
+            if nearest.shape[1] > k:
+                kth = np.partition(nearest, k - 1, axis=1)[:, k - 1]
+                limit = np.minimum(limit, kth + 1e-9 * (1.0 + np.abs(kth) + qn[part]))
+            qi, ci = np.nonzero(approx <= limit[:, None])
             exact = np.empty(len(qi))
             for a in range(0, len(qi), 200_000):
                 b = slice(a, a + 200_000)
                 exact[b] = distances(qv[lo + qi[b]], cv[ci[b]])
-            order = np.lexsort((ids[ci], exact, qi))
-            qi, ci, exact = qi[order], ci[order], exact[order]
-            first = np.searchsorted(qi, qi, side="left")
-            keep = np.arange(len(qi)) - first < k
-            rows.append(qi[keep] + lo)
-            outs_i.append(ids[ci[keep]])
-            outs_d.append(exact[keep])
+            kept = k_nearest(qi, ids[ci], exact, k)
+            rows.append(kept[0] + lo)
+            outs_i.append(kept[1])
+            outs_d.append(kept[2])
+        if not rows:
+            return np.zeros(0, np.int64), ids[:0], np.zeros(0)
         return np.concatenate(rows), np.concatenate(outs_i), np.concatenate(outs_d)
 
     return best
 
 
+def k_nearest(
+    rows: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest ids per row, every id once, ties to the smaller id."""
+    order = np.lexsort((dist, ids, rows))
+    rows, ids, dist = rows[order], ids[order], dist[order]
+    fresh = np.ones(len(rows), dtype=bool)
+    fresh[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
+    rows, ids, dist = rows[fresh], ids[fresh], dist[fresh]
+    order = np.lexsort((ids, dist, rows))
+    rows, ids, dist = rows[order], ids[order], dist[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], ids[keep], dist[keep]
+
+
 def _matrix_function() -> Callable[[Any], np.ndarray]:
     def matrix(column: Any) -> np.ndarray:
         """List column to a float64 matrix; vectors must agree in length."""
@@ -120,7 +151,8 @@ def _matrix_function() -> Callable[[Any], np.ndarray]:
         if len(column) == 0:
             return np.zeros((0, 0))
         flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        if len(flat) % len(column):
+        lengths = np.diff(column.offsets.to_numpy())
+        if (lengths != lengths[0]).any():
             raise ValueError("vectors differ in length")
         return flat.reshape(len(column), -1)
 
@@ -128,9 +160,10 @@ def _matrix_function() -> Callable[[Any], np.ndarray]:
 
 
 def _ranked(hits: DataFrame, k: int, metric: str) -> DataFrame:
-    """Final top k per query; the limit is applied before and after the shuffle."""
+    """Final top k per query, every id once; tasks have sent k rows per query at most."""
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    once = hits.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    top = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     d = F.sqrt("distance") if metric == "l2" else F.col("distance")
     return top.select("query_id", "rank", "id", d.alias("distance"))
 
@@ -164,50 +197,50 @@ def _broadcast_hits(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
+    exclude_self: bool,
     cells: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """Hits per corpus partition against a broadcast query matrix of checked size.
 
-    With `cells` only vectors that share a cell with a query are compared to it.
+    A sample of bounded size gives every query a distance that its k-th hit does
+    not exceed, so tasks send only rows within it. With `cells` only vectors that
+    share a cell with a query are compared to it.
     """
     schema = _hit_schema(queries, corpus)
     matrix, best = _matrix_function(), _top_k_function(k)
     table = queries.select("query_id", "embedding").toArrow()
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (table.column("query_id").to_numpy(), matrix(table.column("embedding")))
-    )
+    asked, asked_v = table.column("query_id").to_numpy(), matrix(table.column("embedding"))
+    bound = np.full(len(asked), np.inf)
+    if cells is None and len(asked):
+        some = corpus.select("id", "embedding").limit(SAMPLE_ROWS).toArrow()
+        found = best(
+            asked_v, asked if exclude_self else None, some.column("id").to_numpy(),
+            matrix(some.column("embedding")),
+        )
+        full = np.bincount(found[0], minlength=len(asked)) == k
+        np.maximum.at(reach := np.zeros(len(asked)), found[0], found[2])
+        bound[full] = reach[full]
+    shared = queries.sparkSession.sparkContext.broadcast((asked, asked_v, bound))
 
-    def by_cell(qv, qn, q_cells, ids, cv):
+    def by_cell(qids, qv, q_cells, ids, cv):
         """Best of every cell that holds queries and rows of this batch."""
         c_cells = cells(cv)
         found = []
-        for t in range(c_cells.shape[1]):
+        for t in range(q_cells.shape[1]):
             q_order = np.argsort(q_cells[:, t], kind="stable")
             c_order = np.argsort(c_cells[:, t], kind="stable")
             q_sorted, c_sorted = q_cells[q_order, t], c_cells[c_order, t]
             for cell in np.intersect1d(q_sorted, c_sorted):
                 qs = q_order[slice(*np.searchsorted(q_sorted, [cell, cell + 1]))]
                 cs = c_order[slice(*np.searchsorted(c_sorted, [cell, cell + 1]))]
-                r, i, d = best(qv[qs], qn[qs], ids[cs], cv[cs])
+                r, i, d = best(qv[qs], qids[qs] if exclude_self else None, ids[cs], cv[cs])
                 found.append((qs[r], i, d))
         if not found:
             return np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0)
         return tuple(np.concatenate(parts) for parts in zip(*found))
 
-    def reduced(rows, ids, dist):
-        """The k best per query, every id once."""
-        order = np.lexsort((ids, dist, rows))
-        rows, ids, dist = rows[order], ids[order], dist[order]
-        if cells is not None and len(rows) > 1:
-            fresh = np.ones(len(rows), dtype=bool)
-            fresh[1:] = (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1])
-            rows, ids, dist = rows[fresh], ids[fresh], dist[fresh]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-        return rows[keep], ids[keep], dist[keep]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qv = shared.value
-        qn = (qv * qv).sum(axis=1)
+        qids, qv, limits = shared.value
         q_cells = cells(qv) if cells is not None and len(qv) else None
         kept = None
         for batch in batches:
@@ -215,10 +248,13 @@ def _broadcast_hits(
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             cv = matrix(batch.column("embedding"))
-            new = best(qv, qn, ids, cv) if cells is None else by_cell(qv, qn, q_cells, ids, cv)
-            kept = reduced(
-                *(new if kept is None else (np.concatenate(p) for p in zip(kept, new)))
-            )
+            if cells is None:
+                new = best(qv, qids if exclude_self else None, ids, cv)
+                new = tuple(x[new[2] <= limits[new[0]]] for x in new)
+            else:
+                new = by_cell(qids, qv, q_cells, ids, cv)
+            both = new if kept is None else tuple(np.concatenate(p) for p in zip(kept, new))
+            kept = k_nearest(*both, k)
         if kept is not None:
             rows, ids, dist = kept
             for lo in range(0, len(rows), 100_000):
@@ -231,7 +267,9 @@ def _broadcast_hits(
     return corpus.select("id", "embedding").mapInArrow(run, schema)
 
 
-def _grid_hits(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataFrame:
+def _grid_hits(
+    queries: DataFrame, corpus: DataFrame, k: int, dim: int, exclude_self: bool
+) -> DataFrame:
     """Hits where both sides share a `cell`, in groups of bounded size.
 
     A cell with many rows is split by the hash of the row ids into parts on
@@ -270,7 +308,7 @@ def _grid_hits(queries: DataFrame, corpus: DataFrame, k: int, dim: int) -> DataF
         qv, cv = matrix(left.column("embedding")), matrix(right.column("vec"))
         qids = left.column("query_id").to_numpy()
         rows, ids, dist = best(
-            qv, (qv * qv).sum(axis=1), right.column("id").to_numpy(), cv
+            qv, qids if exclude_self else None, right.column("id").to_numpy(), cv
         )
         return pa.table(
             {"query_id": qids[rows], "id": ids, "distance": dist}
@@ -310,18 +348,20 @@ def knn(
     if metric not in ("l2sq", "l2"):
         raise ValueError("metric must be l2sq or l2")
     q, c, rows, dim = _sides(queries, corpus)
-    wanted = k + 1 if exclude_self else k
-    if rows * dim * 8 <= broadcast_bytes:
-        hits = _broadcast_hits(q, c, wanted)
+    if rows * _query_bytes(dim, k) <= broadcast_bytes:
+        hits = _broadcast_hits(q, c, k, exclude_self)
     else:
         hits = _grid_hits(
-            q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), wanted, dim
+            q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), k, dim, exclude_self
         )
-    if exclude_self:
-        hits = hits.where("query_id <> id")
     return _ranked(hits, k, metric)
 
 
+def _query_bytes(dim: int, k: int) -> int:
+    """What a task holds for one query: its vector, its id and its k hits."""
+    return 8 * dim + 16 + 24 * k
+
+
 def plane_value(index: Column) -> Column:
     """Coordinate of the fixed hyperplanes by running number, within -1 and 1."""
     i = index.cast("bigint")
@@ -375,14 +415,11 @@ def knn_lsh(
     """
     _check_cells(tables, bits)
     q, c, rows, dim = _sides(queries, corpus)
-    wanted = k + 1 if exclude_self else k
-    if rows * dim * 8 <= broadcast_bytes:
-        hits = _broadcast_hits(q, c, wanted, _cell_function(tables, bits))
+    if rows * _query_bytes(dim, k) <= broadcast_bytes:
+        hits = _broadcast_hits(q, c, k, exclude_self, _cell_function(tables, bits))
     else:
-        found = _grid_hits(lsh_cells(q, tables, bits), lsh_cells(c, tables, bits), wanted, dim)
-        hits = found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    if exclude_self:
-        hits = hits.where("query_id <> id")
+        sides = lsh_cells(q, tables, bits), lsh_cells(c, tables, bits)
+        hits = _grid_hits(*sides, k, dim, exclude_self)
     return _ranked(hits, k, metric)
 
 
@@ -406,10 +443,14 @@ def enriched_text(df: DataFrame) -> Column:
     )
 
 
-def vector_id(source_path: Column, chunk: Column, sub: Column) -> Column:
-    """Id of a chunk by its position, independent of its text."""
-    key = F.concat(
-        source_path, F.lit("|chunk_"), chunk.cast("string"), F.lit("|sub_"), sub.cast("string")
+def vector_id(source_path: Column, chunk: Column, sub: Column, block: Column | None = None) -> Column:
+    """Id of a chunk by its position, independent of its text.
+
+    `block` tells the chunks of later blocks of a file apart; null for the first.
+    """
+    key = F.concat_ws(
+        "|", source_path, *([] if block is None else [block]),
+        F.concat(F.lit("chunk_"), chunk.cast("string")), F.concat(F.lit("sub_"), sub.cast("string")),
     )
     return F.concat(F.lit("id_"), F.sha2(key, 256))
 
@@ -425,15 +466,27 @@ def vector_rows(kb: DataFrame, backend: str, model: dict[str, str]) -> DataFrame
         *[F.lit(v).alias(name) for name, v in model.items()],
     )
     return kb.select(
-        vector_id(F.col("source_path"), F.col("chunk_ordem"), F.col("subchunk_ordem")).alias("id"),
+        vector_id(
+            F.col("source_path"), F.col("chunk_ordem"), F.col("subchunk_ordem"),
+            block_label() if "block_no" in kb.columns else None,
+        ).alias("id"),
         enriched_text(kb).alias("document"),
         meta.alias("metadata"),
     )
 
 
-def hits_with_payload(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Ranked hits with document and the metadata fields lifted to columns."""
-    h, i = hits.alias("h"), index.alias("i")
+def hits_with_payload(
+    hits: DataFrame, index: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Ranked hits with document and the metadata fields lifted to columns.
+
+    The ids of stored hits, if their size allows, are broadcast to the index, so
+    that only the rows that were hit are shuffled with their texts.
+    """
+    wanted = hits.select("id").distinct()
+    if hits.count() * ID_BYTES <= broadcast_bytes:
+        wanted = F.broadcast(wanted)
+    h, i = hits.alias("h"), index.join(wanted, "id", "left_semi").alias("i")
     return h.join(i, F.col("h.id") == F.col("i.id"), "left").select(
         "h.query_id", "h.rank", "h.id", "h.distance", "i.document", "i.metadata",
         F.col("i.metadata.software").alias("software"),

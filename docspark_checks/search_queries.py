@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docspark import schemas
 from docspark.functions import paths, prompts, replies
 from docspark.operators import context, evaluate, stats, vectors
+from docspark.plans import flows
+from docspark.session import stage
 from docspark_checks import fixtures
 from docspark_checks.fixtures import duck
 from docspark_checks.registry import query, table
@@ -146,14 +148,19 @@ def retrieval_quality(spark: SparkSession, sf: str) -> DataFrame:
     return stats.group_summary(scored, schemas.RETRIEVAL_METRICS, "retrieval")
 
 
-# ---- contexts and prompts: the text of a neighbour is the document of the same number
+# ---- contexts and prompts: the index holds every document, under the vector of its number
 
 _BLOCK = (
     "'[Trecho ' || rank || ']' || chr(10) || 'Software: ' || source || chr(10) || 'Hierarquia: ' || lang || chr(10) || 'Título: N/A' || chr(10) "
     "|| 'Fonte: ' || source || '/' || doc_id || chr(10) || 'Distância: ' || round(distance, 6) || chr(10) || 'Conteúdo:' || chr(10) || trim(text)"
 )
+DOCUMENT_HITS_SQL = f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+ x AS (SELECT doc_id AS id, v FROM documents JOIN e ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
+ d AS (SELECT q.vec_id AS query_id, x.id, pow(list_distance(q.v, x.v), 2) AS distance FROM e q CROSS JOIN x),
+ hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d
+   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= {K})"""
 CONTEXT_SQL = (
-    HITS_SQL
+    DOCUMENT_HITS_SQL
     + f""",
  b AS (SELECT query_id, rank, '- ' || source || ' | ' || lang || ' | ' AS src, trim({_BLOCK}) AS block FROM hits JOIN documents ON doc_id = id),
  k AS (SELECT *, sum(len(block)) OVER w AS total, row_number() OVER w AS rn FROM b WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
@@ -164,6 +171,20 @@ CONTEXT_SQL = (
 )
 
 
+def document_index(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, embedding) of every document: vectors are dealt round over the document numbers."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    number = e.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("_k"))
+    # one row
+    dealt = docs.join(F.broadcast(number), "_k").withColumn("vec_id", F.col("id") % F.col("n"))
+    return dealt.join(e, "vec_id").select("id", "embedding")
+
+
+def document_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.knn(_sides(spark, sf)[0], document_index(spark, sf), K)
+
+
 def payload_hits(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("id"),
@@ -173,7 +194,69 @@ def payload_hits(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"),
         F.col("text").alias("document"),
     )
-    return hits(spark, sf).withColumn("distance", F.round("distance", 6)).join(docs, "id")
+    found = document_hits(spark, sf).withColumn("distance", F.round("distance", 6))
+    return found.join(docs, "id", "left")
+
+
+@query(
+    "hits_payload",
+    DOCUMENT_HITS_SQL
+    + """ SELECT query_id, rank, id, round(distance, 6) AS distance, source AS software, lang AS hierarquia, sha256(text) AS hash FROM hits LEFT JOIN documents ON doc_id = id""",
+)
+def hits_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored hits with the document and metadata of the index."""
+    none = F.lit(None).cast("string")
+    index = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("document"),
+        F.struct(
+            F.col("source").alias("software"), F.col("lang").alias("hierarquia"), none.alias("titulo"),
+            none.alias("source_path"),
+        ).alias("metadata"),
+    )
+    full = vectors.hits_with_payload(stage(document_hits(spark, sf)), index)
+    return full.select(
+        "query_id", "rank", "id", "distance", "software", "hierarquia", F.sha2("document", 256).alias("hash")
+    )
+
+
+# ---- the whole flow with an encoder that SQL can repeat: counts of letter pairs
+_PAIRS = ("th", "er", "on", "an", "re", "ti")
+
+
+def _pair_encoder():
+    return lambda texts: [[float(t.count(p)) for p in _PAIRS] for t in texts]
+
+
+_PAIR_VECTOR = "[" + ", ".join(f"((len({{0}}) - len(replace({{0}}, '{p}', ''))) // 2)::DOUBLE" for p in _PAIRS) + "]"
+
+
+@query(
+    "search_flow",
+    f"""WITH q AS (SELECT item_id AS query_id, {_PAIR_VECTOR.format('text')} AS v FROM benchmark),
+ c AS (SELECT doc_id AS id, source, lang, text, {_PAIR_VECTOR.format('text')} AS v FROM documents),
+ d AS (SELECT query_id, id, source, lang, text, list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM q CROSS JOIN c),
+ h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 3),
+ b AS (SELECT query_id, rank, trim('[Trecho ' || rank || ']' || chr(10) || 'Software: ' || source || chr(10) || 'Hierarquia: ' || lang || chr(10) || 'Título: T' || chr(10) || 'Fonte: ' || source || '/' || id
+   || chr(10) || 'Distância: ' || printf('%.1f', distance) || chr(10) || 'Conteúdo:' || chr(10) || trim(text)) AS block FROM h),
+ k AS (SELECT *, sum(len(block)) OVER w AS total, row_number() OVER w AS rn FROM b WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+ SELECT query_id, sha256(string_agg(block, chr(10) || chr(10) ORDER BY rank) FILTER (rn = 1 OR total <= 6000)
+   || CASE WHEN bool_or(rn > 1 AND total > 6000) THEN chr(10) || chr(10) || '{prompts.TRUNCATION_NOTICE}' ELSE '' END) AS context_hash,
+   bool_or(rn > 1 AND total > 6000) AS context_truncated, count(*) AS hits FROM k GROUP BY query_id""",
+)
+def search_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Encode, search, fetch the payload, bound the context."""
+    encoder = flows.Encoder(_pair_encoder, len(_PAIRS), "letter-pairs")
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("document"),
+        F.struct(
+            F.col("source").alias("software"), F.col("lang").alias("hierarquia"), F.lit("T").alias("titulo"),
+            F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("source_path"),
+        ).alias("metadata"),
+    )
+    index = stage(vectors.embed(docs, "document", encoder.make, encoder.dim))
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    _, contexts = flows.search(questions, index, encoder, 3)
+    return contexts.select("query_id", F.sha2("context", 256).alias("context_hash"), "context_truncated", "hits")
 
 
 @query("context_budget", CONTEXT_SQL + " SELECT * FROM c")
@@ -221,6 +304,72 @@ def chat_template(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---- paths, options and replies that are columns only
+
+
+@query(
+    "output_path",
+    """SELECT doc_id, 'out/' || source || '/sub/doc_' || doc_id || '.md' AS path FROM documents""",
+)
+def output_path(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.expr("'/in/' || source || '/sub/doc_' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 3 = 0 THEN '.HTM' ELSE '.html' END")
+    return table(spark, sf, "documents").select("doc_id", paths.output_path(raw, "/in", "out").alias("path"))
+
+
+@query(
+    "normalise_path",
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source || '/b/' || doc_id WHEN 1 THEN source || '/' || doc_id ELSE 'none' END AS path FROM documents""",
+)
+def normalise_path(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.expr(
+        "CASE doc_id % 3 WHEN 0 THEN source || '\\\\b//' || CAST(doc_id AS STRING) WHEN 1 THEN './' || source || '/x/../' || CAST(doc_id AS STRING) ELSE '' END"
+    )
+    return table(spark, sf, "documents").select("doc_id", paths.normalise(raw, F.lit("none")).alias("path"))
+
+
+@query("effective_top_k", "SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 4 = 0 THEN 7 ELSE event_id % 4 END AS k FROM events")
+def effective_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    asked = F.expr("CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 4 END")
+    return table(spark, sf, "events").select("event_id", vectors.effective_top_k(asked, 7).alias("k"))
+
+
+@query(
+    "reply_text",
+    """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'a' || turn || ' ' || role || 'b' ELSE 'none' END AS reply FROM conversations""",
+)
+def reply_text(spark: SparkSession, sf: str) -> DataFrame:
+    response = F.expr(
+        "CASE WHEN turn % 2 = 0 THEN '{\"output\":{\"message\":{\"content\":[{\"text\":\" a' || turn || ' \"},{\"image\":1},{\"text\":\"' || role || 'b\"}]}}}' ELSE '{\"output\":{}}' END"
+    )
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.coalesce(replies.reply_text(response), F.lit("none")).alias("reply")
+    )
+
+
+@query("format_tokens", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'entrada: ' || event_id + 1 || ' | saída: 7 | total: ' || event_id + 8 WHEN 1 THEN 'entrada: ' || event_id ELSE 'N/D' END AS tokens FROM events")
+def format_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    usage = F.expr(
+        "CASE event_id % 3 WHEN 0 THEN '{\"inputTokens\":' || (event_id + 1) || ',\"outputTokens\":7,\"totalTokens\":' || (event_id + 8) || '}' "
+        "WHEN 1 THEN '{\"input_tokens\":' || event_id || '}' ELSE 'broken' END"
+    )
+    return table(spark, sf, "events").select("event_id", replies.format_tokens(usage).alias("tokens"))
+
+
+@query(
+    "query_translation",
+    """SELECT conv_id, turn, turn % 4 < 3 AS enabled, turn % 4 = 0 AS applied, CASE WHEN turn % 4 < 3 THEN 'm' ELSE '' END AS model_id, CASE turn % 4 WHEN 0 THEN 'in ' || role ELSE text END AS translated FROM conversations""",
+)
+def query_translation(spark: SparkSession, sf: str) -> DataFrame:
+    reply = F.expr("CASE turn % 4 WHEN 0 THEN '\"in ' || role || '\"' WHEN 1 THEN NULL ELSE 'unused' END")
+    error = F.expr("CASE WHEN turn % 4 = 2 THEN 'timeout' END")
+    found = replies.query_translation(F.col("text"), reply, F.expr("turn % 4 < 3"), F.lit("m"), error)
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", found.alias("t"))
+    return rows.select(
+        "conv_id", "turn", "t.enabled", "t.applied", F.coalesce("t.model_id", F.lit("")).alias("model_id"),
+        F.col("t.translated_question").alias("translated"),
+    )
+
+
 # ---- replies as JSON, one per event
 _E = "CAST(event_id AS STRING)"
 _SCORES = (

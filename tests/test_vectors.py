@@ -73,6 +73,27 @@ def test_one_cell_is_exact_search(frames, points):
     assert vectors.recall(everything, vectors.knn(*frames, 5)).first()["recall"] > 0.99
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_an_id_counts_once_and_the_own_one_never(spark, limit):
+    queries = spark.createDataFrame([(7, [0.0, 0.0])], "query_id bigint, embedding array<float>")
+    rows = [(7, [0.0, 0.0]), (7, [0.1, 0.0]), (7, [0.0, 0.1]), (8, [1.0, 0.0]), (8, [3.0, 0.0]), (9, [2.0, 0.0])]
+    for splits in (1, 3):
+        corpus = spark.createDataFrame(rows, "id bigint, embedding array<float>").repartition(splits)
+        own = vectors.knn(queries, corpus, 2, exclude_self=True, broadcast_bytes=limit).collect()
+        assert [(r["rank"], r["id"], r["distance"]) for r in sorted(own)] == [(1, 8, 1.0), (2, 9, 4.0)]
+        every = vectors.knn(queries, corpus, 3, broadcast_bytes=limit).collect()
+        assert [r["id"] for r in sorted(every, key=lambda r: r["rank"])] == [7, 8, 9]
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_ragged_vectors_are_refused(spark, limit):
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id bigint, embedding array<float>")
+    for rows in ([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0, 4.0])], [(1, [1.0, 2.0])]):
+        corpus = spark.createDataFrame(rows, "id bigint, embedding array<float>").coalesce(1)
+        with pytest.raises(Exception, match="differ in length"):
+            vectors.knn(queries, corpus, 1, broadcast_bytes=limit).collect()
+
+
 def test_bad_parameters(frames):
     for call in (
         lambda: vectors.knn(*frames, 0),
