@@ -75,6 +75,10 @@ def grid(gold: DataFrame, chosen: Sequence[Variant], models: Sequence[str]) -> D
     return with_models(with_variants(gold, chosen), models)
 
 
+#: A missing value is written as null.
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
 def retrieval_metrics(
     gold: DataFrame, hits: DataFrame, chosen: Sequence[Variant], with_json: bool = False
 ) -> DataFrame:
@@ -89,11 +93,15 @@ def retrieval_metrics(
         gold.select("id", paths.path_key(F.col("source_path")).alias("gold_key")), chosen
     )
     on = [F.col("id") == F.col("query_id"), F.col("rank") <= F.col("top_k")]
-    right = hits
+    # only what is read, under names that the questions do not have
+    shown = [c for c in ("titulo", "hierarquia", "document") if c in hits.columns]
+    right = hits.select("query_id", "rank", "distance", F.col("source_path").alias("hit_path"), *shown)
     if "translate_query" in hits.columns:
-        right = hits.withColumnRenamed("translate_query", "hit_translated")
+        right = hits.select(
+            "query_id", "rank", "distance", F.col("source_path").alias("hit_path"),
+            F.col("translate_query").alias("hit_translated"), *shown,
+        )
         on.append(F.col("translate_query") == F.col("hit_translated"))
-    right = right.withColumnRenamed("source_path", "hit_path")
     pairs = asked.join(right, on, "left")
     relevant = (F.col("gold_key") != "") & (paths.path_key(F.col("hit_path")) == F.col("gold_key"))
     aggregates = [
@@ -105,7 +113,6 @@ def retrieval_metrics(
     if with_json:
         # at most top_k hits per group
         present = F.col("rank").isNotNull()
-        shown = [c for c in ("titulo", "hierarquia", "document") if c in hits.columns]
         aggregates.append(
             F.sort_array(
                 F.collect_list(
@@ -141,9 +148,9 @@ def retrieval_metrics(
         return out
     return out.select(
         *[c for c in out.columns if c != "_chunks"],
-        F.to_json("_chunks").alias("chunks_recuperados_json"),
-        F.to_json(F.transform("_chunks", lambda c: c["source_path"])).alias("source_paths_chunks"),
-        F.to_json(F.transform("_chunks", lambda c: c["similarity"])).alias("similaridades_chunks"),
+        F.to_json("_chunks", KEEP_NULLS).alias("chunks_recuperados_json"),
+        F.to_json(F.transform("_chunks", lambda c: c["source_path"]), KEEP_NULLS).alias("source_paths_chunks"),
+        F.to_json(F.transform("_chunks", lambda c: c["similarity"]), KEEP_NULLS).alias("similaridades_chunks"),
     )
 
 
@@ -198,15 +205,18 @@ def metrics_from_log(log: DataFrame, gold: DataFrame, cutoffs: Sequence[int] = (
         .agg(F.min_by("source_path", "ordem" if "ordem" in gold.columns else "source_path").alias("_gold"))
         .select("id", paths.path_key(F.col("_gold")).alias("_gold_key"))
     )
-    none = F.array().cast("array<string>")
+    none = F.array().cast("array<variant>")
 
     def items(column: str) -> Column:
-        return F.coalesce(F.from_json(F.col(column), "array<string>"), none)
+        """Items of a JSON list with their types; anything else counts as an empty list."""
+        return F.coalesce(F.try_variant_get(F.try_parse_json(F.col(column)), "$", "array<variant>"), none)
 
     def keys(column: str) -> Column:
         return F.transform(
             items(column),
-            lambda x: F.coalesce(paths.path_key(F.get_json_object(x, "$.source_path")), F.lit("")),
+            lambda x: F.coalesce(
+                paths.path_key(F.try_variant_get(x, "$.source_path", "string")), F.lit("")
+            ),
         )
 
     relevant = bind(
@@ -221,8 +231,15 @@ def metrics_from_log(log: DataFrame, gold: DataFrame, cutoffs: Sequence[int] = (
             lambda p: p.isNotNull(),
         ),
     )
+    # numbers only: text that looks like one does not count
     numbers = F.filter(
-        F.transform(items("similaridades_chunks"), lambda s: tx.to_number(s)),
+        F.transform(
+            F.filter(
+                items("similaridades_chunks"),
+                lambda s: F.schema_of_variant(s).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
+            ),
+            lambda s: F.try_variant_get(s, "$", "double"),
+        ),
         lambda d: d.isNotNull(),
     )
     parsed = log.join(truth, "id").select(

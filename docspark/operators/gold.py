@@ -289,17 +289,12 @@ def category(title: Column, body: Column) -> Column:
 
 def difficulty(body: Column, level: Column, kind: Column) -> Column:
     """One point each for length, depth, class and markup; 0-1, 2-3, 4 and more."""
-    points = sum(
-        (
-            c.cast("int")
-            for c in (
-                F.length(body) > VERY_LONG_SECTION,
-                level >= DEEP_SECTION,
-                kind.isin("diagnostico", "referencia"),
-                body.contains("```") | body.contains("|"),
-            )
-        ),
-        (F.length(body) > LONG_SECTION).cast("int"),
+    points = (
+        (F.length(body) > LONG_SECTION).cast("int")
+        + (F.length(body) > VERY_LONG_SECTION).cast("int")
+        + (level >= DEEP_SECTION).cast("int")
+        + kind.isin("diagnostico", "referencia").cast("int")
+        + (body.contains("```") | body.contains("|")).cast("int")
     )
     return F.when(points <= 1, "facil").when(points <= 3, "medio").otherwise("dificil")
 

@@ -223,22 +223,17 @@ def group_summary(
         *[F.lit(0.0).alias(k) for k in ("mean", "ci95_low", "ci95_high", "std")],
         F.lit(0).cast("bigint").alias("n"),
     )
-    # groups are few: one row of sets and a map, exploded back to every combination
-    one = per_group.agg(
-        *[F.collect_set(c).alias(c) for c in by],
-        F.map_from_entries(
-            F.collect_list(F.struct(F.struct(*by).alias("k"), F.struct(*metrics).alias("v")))
-        ).alias("_groups"),
-    )
-    for c in by:
-        one = one.withColumn(c, F.explode(c))
-    found = one.select(*by, F.try_element_at("_groups", F.struct(*by)).alias("g"))
+    # every combination of the labels, which are those of aggregated rows
+    every = per_group.select(F.lit(1).alias("_k"), by[0]).distinct()
+    for c in by[1:]:
+        every = every.join(per_group.select(F.lit(1).alias("_k"), c).distinct(), "_k")
+    found = every.drop("_k").join(per_group, list(by), "left")
     dense = found.select(
         *by,
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(m).alias("metric"), F.coalesce(F.col("g")[m], zero).alias("s"))
+                    F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m), zero).alias("s"))
                     for m in metrics
                 ]
             )
@@ -365,6 +360,10 @@ def ranking(df: DataFrame, metrics: Sequence[str] = NUMERIC_METRICS) -> DataFram
 # ------------------------------------------------------------ profiles
 
 
+#: Parts in which the values of one group are counted.
+PARTS = 16
+
+
 def quantiles(
     df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float],
     accuracy: int = 10_000,
@@ -373,11 +372,13 @@ def quantiles(
 
     An approximate pass brackets every quantile; only the values inside the
     bracket, counted per value, are ordered. A group of n rows sends about
-    n / accuracy of them to one task, however large it is.
+    n / accuracy of them to one task, however large it is. Values meet their
+    brackets and are counted in PARTS parts of a group, by the hash of the value.
     """
     names = list(probabilities)
     keys = list(by)
     rows = df.select(*keys, tx.to_number(F.col(value)).alias("_v")).where("_v is not null")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_v"), F.lit(PARTS)).cast("int"))
     margin = 2.0 / accuracy
     bounds = [
         p
@@ -408,14 +409,15 @@ def quantiles(
                 lo.alias("lo"), hi.alias("hi"),
             )
         )
-    wanted = brackets.select(*keys, F.array(*items).alias("_items"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part")
+    wanted = brackets.select(*keys, F.array(*items).alias("_items")).select("*", parts)
     # a value above a bracket cannot move its order statistics: dropped before counting
     counted = (
-        rows.join(wanted, keys)
-        .select(*keys, "_v", F.inline("_items"))
+        rows.join(wanted, [*keys, "_part"])
+        .select(*keys, "_part", "_v", F.inline("_items"))
         .where("_v <= hi")
         .withColumn("_v", F.when(F.col("_v") >= F.col("lo"), F.col("_v")))
-        .groupBy(*keys, "name", "at", "_v")
+        .groupBy(*keys, "_part", "name", "at", "_v")
         .agg(F.count("*").alias("_c"))
     )
     upto = (
@@ -508,29 +510,31 @@ def describe_metrics(df: DataFrame, metrics: Sequence[str] = NUMERIC_METRICS) ->
 def interesting_cases(df: DataFrame, limit: int = 5) -> DataFrame:
     """Seven lists of extreme rows, `limit` each, ties by id, model and variant.
 
-    Every list is a top-k that keeps `limit` rows per task; `position` counts
-    within a list.
+    One scan: a row goes to every list it may stand in, and each task keeps
+    `limit` rows of a list before the shuffle; `position` counts within a list.
     """
     ties = [c for c in ("id", "modelo", "variacao_retrieval", "row_no") if c in df.columns]
     columns = [c for c in CASE_COLUMNS if c in df.columns]
-    parts = []
-    for name, condition, keys in CASES:
-        rows = df if condition is None else df.where(condition)
-        order = [
-            F.col(k).asc_nulls_last() if up else F.col(k).desc_nulls_last() for k, up in keys
-        ]
-        top = rows.orderBy(*order, *ties).limit(limit)
-        position = F.row_number().over(Window.orderBy(*order, *ties))
-        parts.append(
-            top.select(
-                F.lit(name).alias("case_type"), position.alias("position"),
-                *dict.fromkeys([*columns, *ties]), F.lit(name).alias("note"),
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+    def entry(number: int) -> Column:
+        _, condition, keys = CASES[number]
+        sort = []
+        for i in range(2):
+            name, up = keys[i] if i < len(keys) else (None, True)
+            value = F.lit(None).cast("double") if name is None else F.col(name).cast("double")
+            # missing values last, the largest first where the order falls
+            sort += [value.isNull().alias(f"_n{i}"), (value if up else -value).alias(f"_v{i}")]
+        row = F.struct(F.lit(number).alias("_case"), *sort)
+        return row if condition is None else F.when(F.col(condition), row)
+
+    entries = F.filter(F.array(*[entry(i) for i in range(len(CASES))]), lambda e: e.isNotNull())
+    rows = df.select(*dict.fromkeys([*columns, *ties]), F.inline(entries))
+    order = Window.partitionBy("_case").orderBy("_n0", "_v0", "_n1", "_v1", *ties)
+    top = rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+    name = F.get(F.array(*[F.lit(c[0]) for c in CASES]), F.col("_case"))
+    return top.select(
+        name.alias("case_type"), "position", *dict.fromkeys([*columns, *ties]), name.alias("note")
+    )
 
 
 def case_counts(cases: DataFrame) -> DataFrame:
@@ -580,49 +584,77 @@ def k_curves(df: DataFrame, longest: int = 10) -> DataFrame:
 def corr_matrix(df: DataFrame, metrics: Sequence[str] = NUMERIC_METRICS) -> DataFrame:
     """Correlation of every pair of metrics over the rows that have both, null as 0.
 
-    Tasks reduce their batches to sums of products with matrix products; only
-    those sums are shuffled. Values are taken relative to the column means, so
-    the sums stay accurate.
+    Tasks reduce their rows to counts, means and centred sums by matrix products
+    around each batch's own means; only those are shuffled, one row per task and
+    pair, and put together around the means of all rows. One pass, no early job.
     """
     present = [m for m in metrics if m in df.columns]
     numbers = df.select(*_as_numbers(present))
-    # one row of means
-    means = numbers.agg(*[F.avg(m).alias(m) for m in present]).first()
-    centre = np.array([0.0 if means[m] is None else float(means[m]) for m in present])
-    n = len(present)
+    k = len(present)
+
+    def share(total: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.divide(total, count, out=np.zeros_like(total), where=count > 0)
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        """Per pair: rows, both means, and the sums of squares and products around them."""
+        m = (~np.isnan(x)).astype(np.float64)
+        centre = share(np.nan_to_num(x).sum(axis=0), m.sum(axis=0))
+        x = np.nan_to_num(x - centre)
+        count, sx, sy, square = m.T @ m, x.T @ m, m.T @ x, x * x
+
+        def around_mean(squares: np.ndarray, total: np.ndarray) -> np.ndarray:
+            left = squares - share(total * total, count)
+            return np.where(left > 1e-12 * squares, left, 0.0)  # what rounding leaves of equal values
+
+        return np.stack(
+            [
+                count, centre[:, None] + share(sx, count), centre[None, :] + share(sy, count),
+                around_mean(square.T @ m, sx), around_mean(m.T @ square, sy), x.T @ x - share(sx * sy, count),
+            ]
+        )
+
+    def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        count = a[0] + b[0]
+        dx, dy, weight = b[1] - a[1], b[2] - a[2], share(a[0] * b[0], count)
+        part = share(b[0], count)
+        return np.stack(
+            [
+                count, a[1] + dx * part, a[2] + dy * part, a[3] + b[3] + dx * dx * weight,
+                a[4] + b[4] + dy * dy * weight, a[5] + b[5] + dx * dy * weight,
+            ]
+        )
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((6, n, n))
+        total = np.zeros((6, k, k))
         for frame in batches:
-            x = frame.to_numpy(dtype=np.float64) - centre
-            m = (~np.isnan(x)).astype(np.float64)
-            x = np.nan_to_num(x)
-            xx = x * x
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, xx.T @ m, m.T @ xx, x.T @ x])
-        i, j = np.indices((n, n))
-        yield pd.DataFrame(
-            {
-                "i": i.ravel(), "j": j.ravel(), "n": total[0].ravel(), "sx": total[1].ravel(),
-                "sy": total[2].ravel(), "sxx": total[3].ravel(), "syy": total[4].ravel(),
-                "sxy": total[5].ravel(),
-            }
-        )
+            if len(frame):
+                total = together(total, moments(frame.to_numpy(dtype=np.float64)))
+        i, j = np.indices((k, k))
+        named = zip(("n", "mx", "my", "sxx", "syy", "sxy"), total, strict=True)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{c: t.ravel() for c, t in named}})
 
     partial = numbers.mapInPandas(
-        sums,
-        "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
+        sums, "i int, j int, n double, mx double, my double, sxx double, syy double, sxy double"
     )
-    merged = partial.groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+    # spread by pair first, so that the means of all rows need no second shuffle
+    pair = Window.partitionBy("i", "j")
+
+    def mean(c: str) -> Column:
+        return F.coalesce(F.try_divide(F.sum(F.col("n") * F.col(c)).over(pair), F.sum("n").over(pair)), F.lit(0.0))
+
+    n, dx, dy = F.col("n"), F.col("mx") - F.col("_mx"), F.col("my") - F.col("_my")
+    merged = partial.withColumns({"_mx": mean("mx"), "_my": mean("my")}).groupBy("i", "j").agg(
+        F.sum(F.col("sxx") + n * dx * dx).alias("sxx"), F.sum(F.col("syy") + n * dy * dy).alias("syy"),
+        F.sum(F.col("sxy") + n * dx * dy).alias("sxy"), F.sum("n").alias("n"),
+        F.first("_mx").alias("mx"), F.first("_my").alias("my"),
     )
 
-    def spread(total: str, square: str) -> Column:
+    def spread(square: str, middle: str) -> Column:
         # rounding may leave a trace of spread in a constant column
-        var = F.col(square) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
-        return F.when(var > F.lit(1e-12) * F.greatest(F.col(square), F.lit(1e-12)), var)
+        least = F.greatest(F.col(middle) * F.col(middle) * F.col("n") * F.lit(1e-24), F.lit(1e-24))
+        return F.when(F.col(square) > least, F.col(square))
 
-    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
-    r = F.try_divide(cov, F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy")))
+    r = F.try_divide(F.col("sxy"), F.sqrt(spread("sxx", "mx")) * F.sqrt(spread("syy", "my")))
     names = F.array(*[F.lit(m) for m in present])
     return merged.select(
         F.get(names, F.col("i")).alias("metric_x"),

@@ -26,7 +26,7 @@ _NARROW = {
     "model_composite": ("ordem",),
     "experiment_grid": ("top_k",),
     "metrics_from_log": ("retrieved_rank",),
-    "result_log": ("input_tokens", "top_k", "chunks_recuperados", "json_items"),
+    "result_log": ("input_tokens", "chunks_recuperados", "json_items", "retrieved_rank"),
 }
 for _name, _columns in _NARROW.items():
     ORACLES[_name] = widen(ORACLES[_name], _columns)

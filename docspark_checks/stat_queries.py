@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.operators import evaluate, stats
-from docspark.session import stage
+from docspark.session import checkpoint_dir
+from docspark.sources import store, tables
 from docspark_checks import fixtures
 from docspark_checks.fixtures import duck
 from docspark_checks.registry import query, table, text_table
-from docspark_checks.search_queries import _summary_sql
+from docspark_checks.search_queries import METRICS_SQL, _summary_sql, metrics
 
 RETRIEVAL, GENERATION = schemas.RETRIEVAL_METRICS, schemas.GENERATION_METRICS
 BOTH = (*RETRIEVAL, *GENERATION)
 NUMERIC = schemas.NUMERIC_METRICS
-MODELS = ("view", "purchase", "click", "missing")
+MODELS = ("view", "purchase", "signup", "click", "error", "missing")
 
 
 def _mean_sql(parts: list[str]) -> str:
@@ -167,15 +170,22 @@ _LONG_MEANS = " UNION ALL ".join(
     f"SELECT variacao_retrieval, '{m}' AS metric, avg({m}) AS mean FROM cons GROUP BY variacao_retrieval"
     for m in BOTH
 )
+_MEANS = ", ".join(f"avg({m})::DOUBLE AS {m}" for m in BOTH)
 
 
-@query(
-    "baseline_delta",
-    CONS_SQL
-    + f""", m AS ({_LONG_MEANS}), b AS (SELECT metric, mean AS baseline FROM m WHERE variacao_retrieval = 'baseline')
+def _delta_sql(cons: str, chosen: str) -> str:
+    """One grouped pass, then an unpivot; `chosen` says which variant is the baseline."""
+    return (
+        cons
+        + f""", w AS (SELECT variacao_retrieval, min(row_no) AS first_row, {_MEANS} FROM cons GROUP BY variacao_retrieval),
+ m AS (UNPIVOT w ON {', '.join(BOTH)} INTO NAME metric VALUE mean),
+ b AS (SELECT metric, mean AS baseline FROM m WHERE {chosen})
  SELECT variacao_retrieval, metric, round(mean, 6) AS mean, round(baseline, 6) AS baseline, round(mean - baseline, 6) + 0.0 AS delta_absoluto,
- round(CASE WHEN baseline <> 0 THEN (mean - baseline) / baseline * 100 END, 6) + 0.0 AS ganho_percentual FROM m JOIN b USING (metric)""",
-)
+ round(CASE WHEN baseline <> 0 THEN (mean - baseline) / baseline * 100 END, 6) + 0.0 AS ganho_percentual FROM m JOIN b USING (metric)"""
+    )
+
+
+@query("baseline_delta", _delta_sql(CONS_SQL, "variacao_retrieval = 'baseline'"))
 def baseline_delta(spark: SparkSession, sf: str) -> DataFrame:
     summary = stats.variant_summary(consolidated(spark, sf), BOTH, "all")
     return stats.baseline_delta(summary, BOTH)
@@ -183,10 +193,7 @@ def baseline_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "first_seen_delta",
-    CONS_SQL.replace("'baseline'", "'base'")
-    + f""", m AS ({_LONG_MEANS}), f AS (SELECT arg_min(variacao_retrieval, row_no) AS v FROM cons), b AS (SELECT metric, mean AS baseline FROM m, f WHERE variacao_retrieval = v)
- SELECT variacao_retrieval, metric, round(mean, 6) AS mean, round(baseline, 6) AS baseline, round(mean - baseline, 6) + 0.0 AS delta_absoluto,
- round(CASE WHEN baseline <> 0 THEN (mean - baseline) / baseline * 100 END, 6) + 0.0 AS ganho_percentual FROM m JOIN b USING (metric)""",
+    _delta_sql(CONS_SQL.replace("'baseline'", "'base'"), "first_row = (SELECT min(first_row) FROM w)"),
 )
 def first_seen_delta(spark: SparkSession, sf: str) -> DataFrame:
     renamed = consolidated(spark, sf).replace({"baseline": "base"}, subset=["variacao_retrieval"])
@@ -194,6 +201,11 @@ def first_seen_delta(spark: SparkSession, sf: str) -> DataFrame:
     return stats.baseline_delta(summary, BOTH, stats.first_variant(renamed, "row_no"))
 
 
+@query("model_summary", CONS_SQL + " " + _summary_sql(RETRIEVAL, "cons", "modelo"))
+def model_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.model_summary(consolidated(spark, sf), RETRIEVAL)
+
+
 _QUALITY = ("composite_quality_score", "retrieval_quality_score", "generation_quality_score")
 
 
@@ -296,7 +308,7 @@ CASES_SQL = CONS_SQL + " " + " UNION ALL ".join(_case_sql(*c) for c in stats.CAS
 
 @query("interesting_cases", CASES_SQL)
 def interesting_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.interesting_cases(stage(consolidated(spark, sf))).select(
+    return stats.interesting_cases(consolidated(spark, sf)).select(
         "case_type", "position", "row_no", "id", "modelo", "overall_score"
     )
 
@@ -311,7 +323,7 @@ def interesting_cases(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def case_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.case_counts(stats.interesting_cases(stage(consolidated(spark, sf))))
+    return stats.case_counts(stats.interesting_cases(consolidated(spark, sf)))
 
 
 @query(
@@ -509,16 +521,25 @@ def metrics_from_log(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("retrieved_rank", F.coalesce("retrieved_rank", F.lit(-1)))
 
 
+_LOG_TOP = "CASE WHEN variacao_retrieval = 'baseline' THEN 4 ELSE 10 END"
+
+
 @query(
     "result_log",
-    """WITH x AS (SELECT event_id, vec_id, CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'topk_aumentado' END AS variacao_retrieval, event_type, value, props, label FROM events JOIN embeddings ON vec_id = event_id)
- SELECT CAST(vec_id AS VARCHAR) AS id, 'Q ' || vec_id AS pergunta, variacao_retrieval, event_type AS modelo, props AS resposta, round(value, 6) AS tempo_resposta_s, 10 AS input_tokens, event_id AS output_tokens, 10 + event_id AS tokens,
- CASE WHEN variacao_retrieval = 'baseline' THEN 4 ELSE 10 END AS top_k, CASE WHEN variacao_retrieval = 'baseline' THEN 4 ELSE 10 END AS chunks_recuperados, false AS context_truncated, len(props) AS answer_length, len('Q ' || vec_id) AS question_length,
- CASE WHEN variacao_retrieval = 'baseline' THEN 4 ELSE 10 END AS json_items, 'docs_markdown/class_' || label || '.md' AS source_path_ground_truth FROM x""",
+    METRICS_SQL
+    + f""",
+ c AS (SELECT q.vec_id AS id, variacao_retrieval, '[' || string_agg('"docs_markdown/class_' || c.label || '.md"', ',' ORDER BY rank) || ']' AS paths, round(sum(distance), 6) AS distances,
+   round(sum(1.0 / (1.0 + distance)), 6) AS similarities FROM e q, variants JOIN hits h ON h.query_id = q.vec_id AND h.rank <= top_k JOIN e c ON c.vec_id = h.id GROUP BY ALL),
+ x AS (SELECT event_id, event_id % (SELECT count(*) FROM embeddings) AS vec_id, CASE WHEN event_id // (SELECT count(*) FROM embeddings) % 2 = 0 THEN 'baseline' ELSE 'topk_aumentado' END AS variacao_retrieval, event_type, value, props FROM events)
+ SELECT x.event_id, CAST(vec_id AS VARCHAR) AS id, 'Q ' || vec_id AS pergunta, 'Q ' || vec_id AS refraseamento, x.variacao_retrieval, CASE WHEN x.variacao_retrieval = 'baseline' THEN 'Linha de base sem tradução e com Top-K reduzido.' ELSE 'Top-K ampliado sem tradução.' END AS variacao_descricao,
+ '{{}}' AS query_translation, 'ideal' AS resposta_ideal, 'docs_markdown/class_' || label || '.md' AS source_path_ground_truth, 't' AS titulo_documento, 's' AS secao, 'consulta' AS categoria, 'facil' AS dificuldade, event_type AS modelo, props AS resposta,
+ round(value, 6) AS tempo_resposta_s, 10 AS input_tokens, event_id AS output_tokens, 10 + event_id AS tokens, CAST(top_k AS BIGINT) AS top_k, false AS translate_query, chunks_recuperados, top_k AS json_items, distances AS json_distance, paths AS source_paths_chunks,
+ similarities AS json_similarity, round(similaridade_media_chunks, 6) AS similaridade_media_chunks, coalesce(retrieved_rank, -1) AS retrieved_rank, retrieved_rank IS NOT NULL AS retrieval_hit, hit_rate_at_k, recall_at_k, round(precision_at_k, 6) AS precision_at_k, round(mrr, 6) AS mrr,
+ false AS context_truncated, 'event ' || event_id AS contexto, '{{"usage":{{"inputTokens":10,"outputTokens":' || event_id || '}}}}' AS generation_metadata, len(props) AS answer_length, len('Q ' || vec_id) AS question_length
+ FROM x JOIN r ON r.id = vec_id AND r.variacao_retrieval = x.variacao_retrieval JOIN c ON c.id = vec_id AND c.variacao_retrieval = x.variacao_retrieval""",
 )
 def result_log(spark: SparkSession, sf: str) -> DataFrame:
-    from docspark_checks.search_queries import metrics
-
+    """All 36 columns for every event; JSON texts are compared by what they hold."""
     vec = table(spark, sf, "embeddings")
     gold = vec.selectExpr(
         "CAST(vec_id AS STRING) AS id", "'Q ' || vec_id AS pergunta", "'ideal' AS resposta_ideal",
@@ -526,23 +547,100 @@ def result_log(spark: SparkSession, sf: str) -> DataFrame:
         "'s' AS secao", "'consulta' AS categoria", "'facil' AS dificuldade",
     )
     retrieval = metrics(spark, sf, with_json=True).withColumn("id", F.col("id").cast("string"))
-    answers = table(spark, sf, "events").selectExpr(
-        "CAST(event_id AS STRING) AS id",
-        "CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE 'topk_aumentado' END AS variacao_retrieval",
+    # one row
+    number = vec.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
+    events = table(spark, sf, "events").withColumn("_k", F.lit(1)).join(F.broadcast(number), "_k")
+    answers = events.selectExpr(
+        "CAST(event_id % n AS STRING) AS id",
+        "CASE WHEN event_id DIV n % 2 = 0 THEN 'baseline' ELSE 'topk_aumentado' END AS variacao_retrieval",
         "event_type AS modelo", "props AS resposta", "value AS tempo_resposta_s",
         "'{\"usage\":{\"inputTokens\":10,\"outputTokens\":' || event_id || '}}' AS generation_metadata",
-        "'ctx' AS contexto", "CAST(NULL AS BOOLEAN) AS context_truncated",
+        "'event ' || event_id AS contexto", "CAST(NULL AS BOOLEAN) AS context_truncated",
     )
     log = evaluate.result_log(gold, retrieval, answers)
+    chunks = F.from_json("chunks_recuperados_json", "array<struct<distance:double>>")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     return log.select(
-        "id", "pergunta", "variacao_retrieval", "modelo", "resposta", "tempo_resposta_s",
-        "input_tokens", "output_tokens", "tokens", "top_k", "chunks_recuperados",
-        "context_truncated", "answer_length", "question_length",
-        F.json_array_length("chunks_recuperados_json").alias("json_items"),
-        "source_path_ground_truth",
+        F.substring("contexto", 7, 20).cast("bigint").alias("event_id"),
+        *[c for c in log.columns if c not in ("chunks_recuperados_json", "similaridades_chunks", "retrieved_rank")],
+        F.coalesce("retrieved_rank", F.lit(-1)).alias("retrieved_rank"),
+        F.size(chunks).alias("json_items"), total(F.transform(chunks, lambda c: c["distance"])).alias("json_distance"),
+        total(F.from_json("similaridades_chunks", "array<double>")).alias("json_similarity"),
     )
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_LOG_TEXT = "'line 1 \"' || event_type || '\"' || chr(10) || 'line, 2 ' || props"
+
+
+@query(
+    "log_round_trip",
+    f"""SELECT 'q' || event_id AS id, {_LOG_TEXT} AS resposta, event_type AS modelo, CASE WHEN event_id % 2 = 0 THEN 'production' ELSE 'v' || user_id END AS variacao_retrieval,
+ round(value, 6) AS tempo_resposta_s, CASE WHEN event_id % 5 = 0 THEN -1 ELSE event_id END AS tokens, event_id % 3 = 0 AS retrieval_hit FROM events""",
+)
+def log_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the log is stored with variants, half in the older form without that column."""
+    rows = table(spark, sf, "events").selectExpr(
+        "event_id", "'q' || event_id AS id", f"{_LOG_TEXT.replace('chr(10)', 'char(10)')} AS resposta", "event_type AS modelo",
+        "'v' || user_id AS variacao_retrieval", "round(value, 6) AS tempo_resposta_s",
+        "CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS tokens", "event_id % 3 = 0 AS retrieval_hit",
+    )
+    full = store.align_schema(rows.where("event_id % 2 = 1"), schemas.LOG)
+    new, old = _scratch(spark, "log"), _scratch(spark, "log")
+    tables.write_log(full, new)
+    older = [c for c in schemas.LOG_COLUMNS if c != "variacao_retrieval"]
+    tables.write_csv(store.align_schema(rows.where("event_id % 2 = 0"), schemas.LOG), old, older)
+    both = tables.read_log(spark, new).unionByName(tables.read_log(spark, old))
+    return both.select(
+        "id", "resposta", "modelo", "variacao_retrieval", "tempo_resposta_s",
+        F.coalesce("tokens", F.lit(-1)).alias("tokens"), "retrieval_hit",
+    )
+
+
+@query(
+    "gold_round_trip",
+    """SELECT 'g' || doc_id AS id, text AS resposta_ideal, [source, lang] AS palavras_chave, doc_id AS ordem FROM documents""",
+)
+def gold_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").selectExpr(
+        "'g' || doc_id AS id", "text AS resposta_ideal", "array(source, lang) AS palavras_chave", "CAST(doc_id AS INT) AS ordem"
+    )
+    path = _scratch(spark, "gold")
+    tables.write_gold(store.align_schema(rows, schemas.GOLD), path)
+    return tables.read_gold(spark, path).select("id", "resposta_ideal", "palavras_chave", "ordem")
+
+
+@query(
+    "report_round_trip",
+    "SELECT o_orderpriority AS name, count(*) AS n, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1",
+)
+def report_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    report = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean")
+    )
+    folder = _scratch(spark, "reports")
+    tables.write_report(report, folder, "r")
+    options = {"header": "true", "quote": '"', "escape": '"'}
+    return spark.read.options(**options).schema("name string, n bigint, mean double").csv(f"{folder}/r")
+
+
+@query(
+    "schema_round_trip",
+    """SELECT 'd' || doc_id AS source_path, source AS nome_software, CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END AS nome_arquivo FROM documents""",
+)
+def schema_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored table whose older half lacks a column."""
+    rows = table(spark, sf, "documents").selectExpr("doc_id", "'d' || doc_id AS source_path", "source AS nome_software", "lang AS nome_arquivo")
+    path = _scratch(spark, "table")
+    rows.where("doc_id % 2 = 0").drop("doc_id", "nome_arquivo").write.parquet(path)
+    rows.where("doc_id % 2 = 1").drop("doc_id").write.mode("append").parquet(path)
+    found = tables.read_table(spark, path, schemas.DOCUMENTS)
+    return found.select("source_path", "nome_software", F.coalesce("nome_arquivo", F.lit("")).alias("nome_arquivo"))
+
+
 @query(
     "compare_models",
     duck(f"""WITH o AS (SELECT 'u' || user_id AS id, event_type AS modelo, arg_max(value, event_id) AS latency, arg_max(props, event_id) AS answer, max(event_id) AS last FROM events GROUP BY ALL),
