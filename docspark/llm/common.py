@@ -129,6 +129,25 @@ def per_text(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=n).astype(np.int64) if len(owner) else np.zeros(n, np.int64)
 
 
+def block_of(hash_: Column, blocks: int) -> Column:
+    """Block of a blocked Bloom filter that a 64-bit hash belongs to."""
+    return F.pmod(F.shiftright(hash_, 24), F.lit(blocks).cast("long"))
+
+
+def mask_of(hash_: Column, bits: int = 4) -> Column:
+    """Some bits of a 64-bit word, from the 24 low bits of the hash."""
+    mask = F.lit(0).cast("long")
+    for i in range(bits):
+        place = F.shiftright(hash_, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+    return mask
+
+
+def bloom(hashes: DataFrame, hash_: Column, blocks: int) -> DataFrame:
+    """The filter of some hashes: rows (_block, _bits), `blocks` of them at most, however many hashes."""
+    return hashes.groupBy(block_of(hash_, blocks).alias("_block")).agg(F.bit_or(mask_of(hash_)).alias("_bits"))
+
+
 def numbered(df: DataFrame, group: list[str], spread: Column, order: list, name: str, buckets: int = 256) -> DataFrame:
     """Add gapless numbers from 0 inside each group, without gathering a group in one task.
 

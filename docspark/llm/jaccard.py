@@ -39,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Texts, mix, slices, window_hashes
+from docspark.llm.common import Texts, block_of, bloom, mask_of, mix, slices, window_hashes
 from docspark.llm.graph import components
 
 WORDS = 5
 PERCENT = 80
 #: Length of the list of frequent shingles that is broadcast, 8 bytes each.
 FREQUENT = 1 << 17
+#: Blocks of 8 bytes of the filter that keeps texts without a cell where they are.
+FILTER_BLOCKS = 1 << 17
 #: Shingles of the sets that one task holds at once, or of each of two blocks.
 CELL_SHINGLES = 1 << 20
 _SKETCH = 64
@@ -349,6 +351,11 @@ def links(docs: DataFrame, cells: DataFrame) -> DataFrame:
     `cells` (doc_id, class, cell, i, j, side) has one document of each class, in each of its pairs of blocks.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("text"))
+    # most texts are in no cell and stay where they are; the filter's size is fixed
+    sieve = F.broadcast(bloom(cells, F.xxhash64("doc_id"), FILTER_BLOCKS))
+    hash_ = F.xxhash64("_id")
+    maybe = F.col("_bits").bitwiseAND(mask_of(hash_)) == mask_of(hash_)
+    texts = texts.join(sieve, (block_of(hash_, FILTER_BLOCKS) == F.col("_block")) & maybe).select("_id", "text")
     joined = cells.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cell", "i", "j", "side", "class", "text")
     dealt = joined.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "class")
 
@@ -409,14 +416,14 @@ def join(docs: DataFrame, stored, frequent: int = FREQUENT, cell_shingles: int =
     near = components(neighbours(prefixes(docs, sent)), stored)
     heads = described.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     members = near.join(heads, F.col("node") == F.col("class")).select("doc_id", "class", "n", F.col("root").alias("cell"))
-    cells = cell_blocks(stored(members), cell_shingles)
+    cells = stored(cell_blocks(stored(members), cell_shingles))
     linked = components(links(docs, cells), stored)
 
-    home = described.join(linked, F.col("class") == F.col("node"), "left")
-    home = home.select("doc_id", "n", F.coalesce("root", "class").alias("home"))
-    names = heads.join(linked, F.col("class") == F.col("node"), "left").groupBy(F.coalesce("root", "class").alias("_home"))
-    names = names.agg(F.min("doc_id").alias("least"))
-    named = home.join(names, F.col("home") == F.col("_home"), "left")
+    # one row per class; joined to the documents by plain shuffles, in which Spark splits a class of many copies
+    homes = heads.join(linked, F.col("class") == F.col("node"), "left").withColumn("home", F.coalesce("root", "class"))
+    least = homes.groupBy(F.col("home").alias("_home")).agg(F.min("doc_id").alias("least"))
+    names = homes.join(least, F.col("home") == F.col("_home")).select(F.col("class").alias("_class"), "least")
+    named = described.join(stored(names), F.col("class") == F.col("_class"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

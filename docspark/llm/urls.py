@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspark.llm.common import block_of, bloom, mask_of
+
 #: 2^17 blocks of 8 bytes.
 MAX_BLOCKS = 1 << 17
-_BITS = 4
 #: Parts in which rows of one hot URL are joined.
 SALTS = 16
 
@@ -58,25 +59,6 @@ def rule_of(host_: Column, path_: Column, rules: list[tuple[str, str]]) -> tuple
     return found, verdict
 
 
-def _block(hash_: Column, blocks: int) -> Column:
-    return F.pmod(F.shiftright(hash_, 24), F.lit(blocks).cast("long"))
-
-
-def _mask(hash_: Column) -> Column:
-    """Four bits of a 64-bit word, from the 24 low bits of the hash."""
-    mask = F.lit(0).cast("long")
-    for i in range(_BITS):
-        place = F.shiftright(hash_, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-    return mask
-
-
-def bloom(listed: DataFrame, blocks: int = MAX_BLOCKS) -> DataFrame:
-    """The filter of a list (canonical): rows (_block, _bits), one for each block in use."""
-    hash_ = F.xxhash64("canonical")
-    return listed.groupBy(_block(hash_, blocks).alias("_block")).agg(F.bit_or(_mask(hash_)).alias("_bits"))
-
-
 def in_list(urls: DataFrame, listed: DataFrame, blocks: int = MAX_BLOCKS) -> DataFrame:
     """Add `listed` to rows (canonical, salt, ...): whether the list (canonical, distinct) holds the URL.
 
@@ -84,9 +66,9 @@ def in_list(urls: DataFrame, listed: DataFrame, blocks: int = MAX_BLOCKS) -> Dat
     SALTS parts, the list's few candidates being repeated for each.
     """
     hash_ = F.xxhash64("canonical")
-    sieve = F.broadcast(bloom(listed, blocks))
-    probed = urls.join(sieve, _block(hash_, blocks) == F.col("_block"), "left")
-    mask = _mask(hash_)
+    sieve = F.broadcast(bloom(listed, hash_, blocks))
+    probed = urls.join(sieve, block_of(hash_, blocks) == F.col("_block"), "left")
+    mask = mask_of(hash_)
     probed = probed.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))).drop("_block", "_bits")
     part = F.pmod(F.xxhash64("salt"), F.lit(SALTS))
     # a row that the filter clears gets a key that no listed URL has, and so needs no partner

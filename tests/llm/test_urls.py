@@ -60,7 +60,7 @@ def test_hot_url_repeated_rows_and_null_ids(spark):
 
 def test_filter_has_no_false_negative(spark):
     listed = spark.range(3000).select(F.concat(F.lit("h/"), "id").alias("canonical"))
-    sieve = urls.bloom(listed, 512)
+    sieve = urls.bloom(listed, F.xxhash64("canonical"), 512)
     assert sieve.count() <= 512
     rows = listed.withColumn("salt", F.lit(0))
     assert urls.in_list(rows, listed, 512).where("not listed").count() == 0
