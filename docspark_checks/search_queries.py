@@ -90,6 +90,16 @@ def knn_lsh_grid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "lsh_recall",
+    f"""SELECT count(l.id) AS hits, count(*) AS expected, round(count(l.id) / count(*), 6) AS recall
+ FROM ({HITS_SQL} SELECT query_id, id FROM hits) x LEFT JOIN ({QUERIES_LSH}) l ON l.query_id = x.query_id AND l.id = x.id""",
+)
+def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the exact hits the approximate search finds."""
+    return vectors.recall(knn_lsh(spark, sf), hits(spark, sf))
+
+
 # ---- retrieval quality: a hit is relevant if it has the label of the query
 
 VARIANTS = evaluate.variants(translation=False)
