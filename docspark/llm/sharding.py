@@ -2,7 +2,7 @@
 
 Rows with equal texts form a group that must stay together. Groups go, largest first, to the least
 loaded shard. Only sizes matter for that, so the schedule is made on counts of groups per size, a table
-whose length does not grow with the data: sizes are exact below 4096 bytes and carry 12 leading bits
+whose length does not grow with the data: sizes are exact below 256 bytes and carry 8 leading bits
 above, with their true mean. A heap of shards takes the size classes in falling order; a class with more
 groups than shards first levels the shards, then deals rounds. The result is a quota per class and shard;
 groups get their number inside the class without being gathered, and the quota their shard.
@@ -23,11 +23,11 @@ from docspark.llm.common import numbered
 
 SHARDS = 24
 ROW_BYTES = 8
-_EXACT_BITS = 12
+_EXACT_BITS = 8
 
 
 def size_class(size: Column) -> Column:
-    """The size with its 12 leading bits only."""
+    """The size with its 8 leading bits only."""
     step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(size.cast("double"))) + 1 - _EXACT_BITS))
     return (F.floor(size / step) * step).cast("long")
 
@@ -92,7 +92,7 @@ def shard(docs: DataFrame, stored, shards: int = SHARDS) -> DataFrame:
     )
     groups = rows.groupBy("digest").agg((F.count(F.lit(1)) * F.first("size")).alias("bytes"))
     groups = stored(groups.select("digest", "bytes", size_class(F.col("bytes")).alias("class")))
-    # at most 4096 classes for each doubling of the size
+    # at most 128 classes for each doubling of the size
     classes = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.avg("bytes").alias("mean")).collect()
     quotas = schedule([(r["class"], r["n"], r["mean"]) for r in classes], shards)
     table = spark.createDataFrame(quotas, "class long, shard int, first long, end long")
