@@ -429,8 +429,21 @@ def join(docs: DataFrame, stored, frequent: int = FREQUENT, cell_shingles: int =
 
 
 def representatives(docs: DataFrame, stored) -> DataFrame:
-    """One document of each component, that with the smallest id, with all columns."""
-    found = join(docs, stored).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = found.select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(F.col("_head")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each component, that with the smallest id, with all columns.
+
+    Of rows repeated under one id one stays. Only rows that may have to go are shuffled: a filter of fixed
+    size, of the ids that are dropped or repeated, lets the others through where they lie.
+    """
+    found = stored(join(docs, stored))
+    named = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    named = named.withColumn("_stays", F.col("_id").eqNullSafe(F.col("_least")))
+    special = stored(named.where("not _stays or _rows > 1").select("_id", "_stays"))
+    sieve = F.broadcast(bloom(special, F.xxhash64("_id"), FILTER_BLOCKS))
+    packed = docs.select(docs["doc_id"].cast("long").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    hash_ = F.xxhash64("id")
+    marked = packed.join(sieve, block_of(hash_, FILTER_BLOCKS) == F.col("_block"), "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(mask_of(hash_)) == mask_of(hash_), F.lit(False))
+    sure = marked.where(~maybe).select("id", "row")
+    open_ = marked.where(maybe).join(special, F.col("id").eqNullSafe(F.col("_id")), "left")
+    kept = open_.where("_stays is null or _stays").select("id", "row").dropDuplicates(["id"])
+    return sure.unionByName(kept).select("row.*")
