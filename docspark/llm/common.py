@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: The bytes that separate words: 0x20 and 0x09 to 0x0D.
 _BLANK = np.zeros(256, bool)
@@ -122,6 +122,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 total, start = 0, i
             total += size
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def per_text(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -158,9 +159,11 @@ def numbered(df: DataFrame, group: list[str], spread: Column, order: list, name:
     dealt = df.withColumn("_bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
     keys = [*group, "_bucket"]
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # both sides are dealt by bucket: dealing by group alone, as the window of the sums would, gathers a hot group
     firsts = (
         dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_first"))
+        .repartition(*keys)
     )
-    inside = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    inside = dealt.repartition(*keys).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
     return inside.join(firsts, keys).withColumn(name, F.col("_first") + F.col("_place")).drop("_bucket", "_first", "_place")

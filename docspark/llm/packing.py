@@ -37,8 +37,8 @@ from docspark.llm.common import numbered, slices
 
 CAPACITY = 2048
 END_ID = 0
-#: Remembered parts of texts per Python worker.
-REMEMBERED = 500_000
+#: Remembered words, of either kind, while a task runs.
+REMEMBERED = 200_000
 
 #: A text with none of these is words between single spaces and single line breaks.
 _OTHERWISE = re.compile(r"[^\S \n]|[ \n][ \n]|[\x1c-\x1f]|^[ \n]|[ \n]\Z")
@@ -90,6 +90,11 @@ class Encoder:
             known[word] = data[start:end]
             start = end + 4
 
+    def forget(self) -> None:
+        """Free the remembered words; the worker goes on to other work."""
+        self._first.clear()
+        self._spaced.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if not t or _OTHERWISE.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         self._learn(self._first, {line[0] for lines in cut if lines for line in lines}, "")
@@ -141,6 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
             if keep_ids:
                 arrays, names = [*arrays, pa.array(columns[5], pa.list_(pa.int64()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        encoder.forget()
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return source.mapInArrow(cut, _SCHEMA + (", ids array<long>" if keep_ids else ""))
