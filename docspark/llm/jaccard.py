@@ -21,6 +21,7 @@ The search works on cells, groups of documents outside of which no document has
    CELL_SHINGLES is dealt into blocks, and a task then holds two of them.
 5. The task runs the search over whole sets and returns a spanning forest of exact links.
 
+A row is known by its key, a 64-bit hash of id and text, so rows under one id, or without id, are told apart.
 Copies are one class, so they cost a row each and no more; chains of near copies are one cell.
 
 Defined cases: a document without words (or null) has no shingles and links with nothing; one with fewer
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import Texts, block_of, bloom, mask_of, mix, slices, window_hashes
@@ -230,25 +231,31 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """The hash that only rows alike in id and text share."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
 def describe(docs: DataFrame) -> DataFrame:
-    """Rows (kind, a, b, n): kind 0 is a document (id, class, size), kind 1 a shingle (hash, null, documents of a batch)."""
+    """Rows (kind, a, b, n, key): kind 0 is a document (id, class, size, key), kind 1 a shingle (hash, null, documents of a batch, null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b", "n"]
+        names = ["kind", "a", "b", "n", "key"]
         for batch in slices(batches, "text"):
             values, owner = shingle_sets(batch.column("text"))
             sizes, ids = classes(values, owner, batch.num_rows)
             kind = pa.array(np.zeros(batch.num_rows, np.int32))
-            yield pa.RecordBatch.from_arrays([kind, batch.column("doc_id"), _long(ids), pa.array(sizes.astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [kind, batch.column("doc_id"), _long(ids), pa.array(sizes.astype(np.int64)), batch.column("key")], names=names
+            )
             tokens, counts = np.unique(values, return_counts=True)
             tokens, counts = tokens[counts > 1], counts[counts > 1]
             kind = pa.array(np.ones(len(tokens), np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [kind, _long(tokens), pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64))], names=names
-            )
+            none = pa.nulls(len(tokens), pa.int64())
+            yield pa.RecordBatch.from_arrays([kind, _long(tokens), none, pa.array(counts.astype(np.int64)), none], names=names)
 
-    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return source.mapInArrow(run, "kind int, a long, b long, n long")
+    source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("key"), docs["text"].alias("text"))
+    return source.mapInArrow(run, "kind int, a long, b long, n long, key long")
 
 
 def prefixes(docs: DataFrame, frequent) -> DataFrame:
@@ -348,15 +355,15 @@ def neighbours(rows: DataFrame) -> DataFrame:
 def links(docs: DataFrame, cells: DataFrame) -> DataFrame:
     """(a, b), a spanning forest of the exact links of every cell.
 
-    `cells` (doc_id, class, cell, i, j, side) has one document of each class, in each of its pairs of blocks.
+    `cells` (key, class, cell, i, j, side) has one document of each class, in each of its pairs of blocks.
     """
-    texts = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("text"))
+    texts = docs.select(row_key(docs).alias("_key"), docs["text"].alias("text"))
     # most texts are in no cell and stay where they are; the filter's size is fixed
-    sieve = F.broadcast(bloom(cells, F.xxhash64("doc_id"), FILTER_BLOCKS))
-    hash_ = F.xxhash64("_id")
+    sieve = F.broadcast(bloom(cells, F.col("key"), FILTER_BLOCKS))
+    hash_ = F.col("_key")
     maybe = F.col("_bits").bitwiseAND(mask_of(hash_)) == mask_of(hash_)
-    texts = texts.join(sieve, (block_of(hash_, FILTER_BLOCKS) == F.col("_block")) & maybe).select("_id", "text")
-    joined = cells.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cell", "i", "j", "side", "class", "text")
+    texts = texts.join(sieve, (block_of(hash_, FILTER_BLOCKS) == F.col("_block")) & maybe).select("_key", "text")
+    joined = cells.join(texts, F.col("key") == F.col("_key")).select("cell", "i", "j", "side", "class", "text")
     dealt = joined.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +389,7 @@ def links(docs: DataFrame, cells: DataFrame) -> DataFrame:
                 if this != key:
                     yield from found()
                     key, sets = this, {}
-                # another text may stand under the same id
+                # another text may have the same key
                 if int(ids[k : k + 1].view(np.int64)[0]) == wanted[k]:
                     sets[wanted[k]] = parts[k], batch.column("side")[k].as_py()
         yield from found()
@@ -391,17 +398,24 @@ def links(docs: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def cell_blocks(members: DataFrame, limit: int = CELL_SHINGLES) -> DataFrame:
-    """Deal the classes of large cells (doc_id, class, n, cell) into pairs of blocks: (doc_id, class, cell, i, j, side)."""
+    """Deal the classes of large cells (key, class, n, cell) into pairs of blocks: (key, class, cell, i, j, side)."""
     totals = members.groupBy("cell").agg(F.ceil(F.sum("n") / limit).cast("int").alias("blocks"))
     rows = members.join(totals, "cell").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("doc_id", "class", "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
+    return rows.select("key", "class", "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
 
 
 def join(docs: DataFrame, stored, frequent: int = FREQUENT, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+    """(doc_id, n_shingles, component_id) of every document."""
+    found = _components_of(docs, stored, frequent, cell_shingles)
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
 
-    `stored` writes a table and reads it back. The frequent shingles, at most `frequent` of them, are the
+def _components_of(docs: DataFrame, stored, frequent: int = FREQUENT, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """(doc_id, key, n, least, first) of every row, with the smallest id of its component and the key of the first row.
+
+    Rows without id come last; rows under one id are ordered by key. Where n is 0, neither holds. `stored` writes a table and reads it back. The frequent shingles, at most `frequent` of them, are the
     only rows that go to the driver.
     """
     spark = docs.sparkSession
@@ -412,38 +426,42 @@ def join(docs: DataFrame, stored, frequent: int = FREQUENT, cell_shingles: int =
     rank = (len(tokens) - np.arange(len(tokens)))[order]  # the most frequent comes last
     sent = spark.sparkContext.broadcast((tokens[order], rank))
 
-    described = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").cast("long").alias("n"))
+    described = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").cast("long").alias("n"), "key")
     near = components(neighbours(prefixes(docs, sent)), stored)
-    heads = described.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = near.join(heads, F.col("node") == F.col("class")).select("doc_id", "class", "n", F.col("root").alias("cell"))
+    front = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
+    heads = described.groupBy("class").agg(F.min(front).alias("head"), F.first("n").alias("n"))
+    members = near.join(heads, F.col("node") == F.col("class")).select("head.key", "class", "n", F.col("root").alias("cell"))
     cells = stored(cell_blocks(stored(members), cell_shingles))
     linked = components(links(docs, cells), stored)
 
     # one row per class; joined to the documents by plain shuffles, in which Spark splits a class of many copies
     homes = heads.join(linked, F.col("class") == F.col("node"), "left").withColumn("home", F.coalesce("root", "class"))
-    least = homes.groupBy(F.col("home").alias("_home")).agg(F.min("doc_id").alias("least"))
-    names = homes.join(least, F.col("home") == F.col("_home")).select(F.col("class").alias("_class"), "least")
-    named = described.join(stored(names), F.col("class") == F.col("_class"))
-    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    least = homes.groupBy(F.col("home").alias("_home")).agg(F.min("head").alias("front"))
+    names = homes.join(least, F.col("home") == F.col("_home")).select(
+        F.col("class").alias("_class"), F.col("front.doc_id").alias("least"), F.col("front.key").alias("first")
+    )
+    return described.join(stored(names), F.col("class") == F.col("_class")).select("doc_id", "key", "n", "least", "first")
 
 
 def representatives(docs: DataFrame, stored) -> DataFrame:
-    """One document of each component, that with the smallest id, with all columns.
+    """One row of each component, that with the smallest id, with all columns.
 
-    Of rows repeated under one id one stays. Only rows that may have to go are shuffled: a filter of fixed
-    size, of the ids that are dropped or repeated, lets the others through where they lie.
+    Each row is decided by itself: rows without id, or different texts under one id, go only if another row
+    stands for their component. Without ids, or under one id, the smallest key stands. Of rows alike in id and
+    text one stays. Only rows that may have to go are shuffled: a filter of fixed size, of the keys that are
+    dropped or repeated, lets the others through where they lie.
     """
-    found = stored(join(docs, stored))
-    named = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
-    named = named.withColumn("_stays", F.col("_id").eqNullSafe(F.col("_least")))
-    special = stored(named.where("not _stays or _rows > 1").select("_id", "_stays"))
-    sieve = F.broadcast(bloom(special, F.xxhash64("_id"), FILTER_BLOCKS))
-    packed = docs.select(docs["doc_id"].cast("long").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    hash_ = F.xxhash64("id")
+    found = stored(_components_of(docs, stored))
+    stays = (F.col("n") == 0) | (F.col("key") == F.col("first"))
+    named = found.groupBy(F.col("key").alias("_key")).agg(F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    special = stored(named.where("not _stays or _rows > 1").select("_key", "_stays"))
+    sieve = F.broadcast(bloom(special, F.col("_key"), FILTER_BLOCKS))
+    packed = docs.select(row_key(docs).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    hash_ = F.col("key")
     marked = packed.join(sieve, block_of(hash_, FILTER_BLOCKS) == F.col("_block"), "left")
     maybe = F.coalesce(F.col("_bits").bitwiseAND(mask_of(hash_)) == mask_of(hash_), F.lit(False))
-    sure = marked.where(~maybe).select("id", "row")
-    open_ = marked.where(maybe).join(special, F.col("id").eqNullSafe(F.col("_id")), "left")
-    kept = open_.where("_stays is null or _stays").select("id", "row").dropDuplicates(["id"])
+    sure = marked.where(~maybe).select("key", "row")
+    # repeated rows go before the shuffle, so that many of them under one key do not meet
+    open_ = marked.where(maybe).select("key", "row").dropDuplicates(["key"]).join(special, F.col("key") == F.col("_key"), "left")
+    kept = open_.where("_stays is null or _stays").select("key", "row")
     return sure.unionByName(kept).select("row.*")

@@ -58,6 +58,18 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(i for i, (_, c) in components(texts).items() if i == c)
 
 
+def test_rows_without_id_and_texts_under_one_id_are_decided_one_by_one(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f = (sentence(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (None, c + " end"), (4, c), (None, d), (None, d + " end")]
+    rows += [(3, e), (7, e + " end"), (7, f), (7, f), (None, ""), (8, ""), (8, f + " end"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard.representatives(docs, stage).collect()]
+    either = [r for r in got if r in [(None, d), (None, d + " end")]]
+    want = [(None, a), (None, b), (4, c), (3, e), (7, f), (None, ""), (8, ""), (8, None)]
+    assert len(either) == 1 and sorted(got, key=str) == sorted(want + either, key=str)
+
+
 def test_search_matches_brute_force():
     rng = random.Random(3)
     for _ in range(100):
