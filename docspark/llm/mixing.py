@@ -4,7 +4,9 @@
 source has; what the stopped sources leave is shared again by weight until none is above its limit.
 In one pass: sources ordered by limit / weight are stopped from the front, and the level of the rest is
 the first that stops no further source. `sample` meets a target with whole repetitions of every row and
-one seeded part of the rows once more. Everything is DataFrame work; no source is gathered in a task.
+one seeded part of the rows once more. Rows alike in id, text and source are numbered, so that the seeded
+order has single rows, in whatever number a row is repeated. Everything is DataFrame work; no source and no
+repeated row is gathered in a task.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its
 own, last in order; repeated rows count each; an empty table gives an empty result; without any size
@@ -17,11 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.llm.common import block_of, bloom, mask_of, numbered
+
 #: Weights of sources in order, repeating.
 CYCLE = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Buckets of the seeded order of one source; only rows of the bucket where the target falls are sorted.
 BUCKETS = 1024
+#: Blocks of 8 bytes of the filter that keeps rows without copies where they are.
+FILTER_BLOCKS = 1 << 17
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,10 +68,10 @@ def targets(weighted: DataFrame, max_epochs: float = MAX_EPOCHS, share: float =
 
 
 def with_order(rows: DataFrame, seed: int, buckets: int) -> DataFrame:
-    """Add `_order`, the place of a row (key, size) in the seeded order of its source, its bucket first."""
-    hash_ = F.xxhash64(F.lit(seed), "key")
+    """Add `_order`, the place of a row (key, copy, size) in the seeded order of its source, its bucket first."""
+    hash_ = F.when(F.col("copy") == 0, F.xxhash64(F.lit(seed), "key")).otherwise(F.xxhash64(F.lit(seed), "key", "copy"))
     bucket = F.pmod(F.shiftright(hash_, 20), F.lit(buckets)).cast("int")
-    return rows.withColumn("_order", F.struct(bucket.alias("bucket"), hash_.alias("hash"), "key", "size"))
+    return rows.withColumn("_order", F.struct(bucket.alias("bucket"), hash_.alias("hash"), "key", "copy", "size"))
 
 
 def limits(sized: DataFrame, goals: DataFrame, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
@@ -90,8 +96,7 @@ def limits(sized: DataFrame, goals: DataFrame, seed: int = 0, buckets: int = BUC
         F.min(F.when(over, F.struct("bucket", "before"))).alias("fall"), F.first("rest").alias("rest")
     )
     fall = fall.select("source", "rest", F.coalesce("fall.bucket", F.lit(buckets)).alias("first"), "fall.before")
-    # rows that are alike come together
-    upto = Window.partitionBy("source").orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("source").orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = _with(rows, fall).where(F.col("_order.bucket") == F.col("first"))
     inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(upto)).where(F.col("upto") <= F.col("rest"))
     last = inside.groupBy("source").agg(F.max("_order").alias("last"), F.max("upto").alias("upto"))
@@ -115,28 +120,50 @@ def _inside() -> Column:
 
 
 def sample(rows: DataFrame, how_far: DataFrame, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
-    """Add `source_size`, `target` and `repeats`, how often the mix takes the row, to rows (source, size, key, ...)."""
+    """Add `source_size`, `target` and `repeats`, how often the mix takes the row, to rows (source, size, key, copy, ...)."""
     joined = _with(with_order(rows, seed, buckets), how_far)
     once = _inside() | F.coalesce(F.col("_order") == F.col("extra"), F.lit(False))
     repeats = F.when(F.col("size") > 0, F.col("whole") + once.cast("long")).otherwise(0)
     return joined.withColumn("repeats", repeats.cast("long")).drop("_order", "whole", "first", "last", "extra")
 
 
+def _alike() -> Column:
+    """The hash that copies share: of id, text and source."""
+    return F.xxhash64("key", "source")
+
+
+def with_copy(rows: DataFrame, stored) -> DataFrame:
+    """Add `copy`, numbers from 0 among rows that are alike; which of them has which number is not fixed."""
+    placed = rows.withColumns({"_alike": _alike(), "_at": F.monotonically_increasing_id()})
+    # once stored, a place stays
+    return numbered(stored(placed), ["_alike"], F.xxhash64("_at"), ["_at"], "copy").drop("_alike", "_at")
+
+
+def whole_rows(docs: DataFrame, columns: list[Column], sized: DataFrame, stored) -> DataFrame:
+    """The rows of `docs` in `row` beside the columns, with `copy`; only rows that may be repeated are shuffled."""
+    sieve = F.broadcast(bloom(sized.where("copy = 1"), _alike(), FILTER_BLOCKS))
+    packed = docs.select(*columns, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    marked = packed.join(sieve, block_of(_alike(), FILTER_BLOCKS) == F.col("_block"), "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(mask_of(_alike())) == mask_of(_alike()), F.lit(False))
+    single = marked.where(~maybe).drop("_block", "_bits").withColumn("copy", F.lit(0).cast("long"))
+    return single.unionByName(with_copy(marked.where(maybe).drop("_block", "_bits"), stored))
+
+
 def mix(docs: DataFrame, stored, seed: int = 0, max_epochs: float = MAX_EPOCHS, keep_rows: bool = False) -> DataFrame:
     """How often the mix takes each document: (doc_id, source, size, source_size, target, repeats[, row]).
 
     `stored` writes a table and reads it back, for sizes are read several times. With `keep_rows` the
-    whole row follows in `row`. Documents alike in id and text are taken or left together.
+    whole row follows in `row`. Of documents alike in id, text and source, any that many are taken as fit.
     """
     columns = [
         docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"),
         F.xxhash64(docs["doc_id"], docs["text"]).alias("key"),
     ]
-    sized = stored(docs.select(*columns))
+    sized = stored(with_copy(docs.select(*columns), stored))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     how_far = stored(limits(sized, targets(cyclic_weights(sizes), max_epochs), seed))
-    rows = docs.select(*columns, F.struct(*[docs[c] for c in docs.columns]).alias("row")) if keep_rows else sized
-    return sample(rows, how_far, seed).drop("key")
+    rows = whole_rows(docs, columns, sized, stored) if keep_rows else sized
+    return sample(rows, how_far, seed).drop("key", "copy")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

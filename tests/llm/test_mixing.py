@@ -70,6 +70,28 @@ def test_repeated_rows_and_whole_rows(spark):
     assert again.count() == sum(r["repeats"] for r in mixed.collect())
 
 
+def test_copies_of_a_hot_row_are_taken_one_by_one(spark):
+    rng = random.Random(5)
+    rows = [(5, "w " * 100, "a", "x", 0)] * 150 + [(None, "v " * 100, "a", "y", 0)] * 150
+    rows += [(1000 + i, "w " * rng.randrange(1, 30), "a", "x", 0) for i in range(200)]
+    rows += [(5, "w " * 100, None, "x", 0)] * 80 + [(3000 + i, "w " * 20, None, "z", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target int")
+    for seed in range(3):
+        taken, goal = defaultdict(int), {}
+        got = run(spark, rows, seed=seed)
+        for r in got:
+            taken[r["source"]] += r["size"] * r["repeats"]
+            goal[r["source"]] = r["target"]
+        assert len(got) == len(rows) and all(abs(taken[s] - goal[s]) <= 50 for s in goal)
+        assert sorted(map(str, run(spark, rows, seed=seed))) == sorted(map(str, got))
+    mixed = mixing.mix(docs, stage, keep_rows=True)
+    assert mixed.count() == len(rows)
+    again = defaultdict(int)
+    for r in mixing.repeated(mixed).collect():
+        again[r["source"]] += len(words(r["text"]))
+    assert all(abs(again[s] - goal[s]) <= 50 for s in goal)
+
+
 def test_one_source_and_empty_table(spark):
     rows = make(20, ("s",))
     assert all(r["repeats"] == 1 and r["target"] == r["source_size"] for r in run(spark, rows))
