@@ -2,8 +2,9 @@
 
 A gear rolling hash of the last 16 bytes decides at every word end whether a chunk ends there, so the cuts
 depend on the text around them only: after an insertion or in another document the same passage falls
-into the same chunks. Chunks have a minimum of words. A chunk is a later copy if a document with a smaller
-id holds it, or the same document before. Runs of neighbouring later copies with enough words are cut
+into the same chunks. Chunks have a minimum of words; where no word end cuts, as in one word again and again,
+they are dealt into parts of a fixed number of words. A part is a later copy if a document with a smaller id
+holds it, or if the same document holds its whole chunk before: such a run stays in the first document. Runs of neighbouring later copies with enough words are cut
 out; shorter ones, which chance makes, stay. What remains begins and ends at words.
 
 Each document's distinct chunk digests are grouped for the smallest id that holds them (with partial sums
@@ -32,6 +33,8 @@ from docspark.llm.common import Texts, mix, slices
 #: One word end in four ends a chunk.
 CUT_BITS = 2
 MIN_CHUNK_WORDS = 3
+#: Words of a part; a prime, so that the parts of a periodic run begin at every place of the period.
+PART_WORDS = 31
 MIN_RUN_WORDS = 20
 _WINDOW = 16
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -49,7 +52,7 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 class Chunks:
-    """The chunks of some texts: first and end word, owner, digest and byte range of each."""
+    """The chunks of some texts, in parts: first and end word, owner, digest and byte range of each, and its chunk."""
 
     def __init__(self, column: pa.Array):
         self.texts = texts = Texts(column)
@@ -69,15 +72,32 @@ class Chunks:
                 last = word
         has = np.flatnonzero(word_counts)
         # a cut behind a text's last word begins no chunk
-        self.first = np.unique(np.r_[word_first[:-1][has], np.array(cuts, np.int64)])
-        self.first = self.first[self.first < len(starts)]
-        self.end = np.r_[self.first[1:], len(starts)][: len(self.first)]
+        first = np.unique(np.r_[word_first[:-1][has], np.array(cuts, np.int64)])
+        first = first[first < len(starts)]
+        end = np.r_[first[1:], len(starts)][: len(first)]
+        parts = -(-(end - first) // PART_WORDS)
+        self.chunk = np.repeat(np.arange(len(first)), parts)
+        self.first = first[self.chunk] + PART_WORDS * (np.arange(len(self.chunk)) - np.repeat(np.cumsum(parts) - parts, parts))
+        self.end = np.minimum(self.first + PART_WORDS, end[self.chunk])
         self.owner = owner[self.first]
         self.begin_byte = starts[self.first]
-        self.digests = texts.hashes(self.begin_byte, ends[self.end - 1]) if len(self.first) else np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64)
+        self.digests = texts.hashes(self.begin_byte, ends[self.end - 1]) if len(first) else none
+        self._whole = mix((texts.hashes(starts[first], ends[end - 1]) if len(first) else none) ^ self._of(owner[first]))
+
+    @staticmethod
+    def _of(owner: np.ndarray) -> np.ndarray:
+        return mix(owner.astype(np.uint64) + np.uint64(1))
 
     def keys(self) -> np.ndarray:
-        return mix(self.digests ^ mix(self.owner.astype(np.uint64) + np.uint64(1)))
+        return mix(self.digests ^ self._of(self.owner))
+
+    def again(self) -> np.ndarray:
+        """Parts of chunks that their text holds before."""
+        _, firsts = np.unique(self._whole, return_index=True)
+        later = np.ones(len(self._whole), bool)
+        later[firsts] = False
+        return later[self.chunk]
 
     def spans(self, copied: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte ranges and owners of runs of copied chunks with enough words."""
@@ -156,10 +176,7 @@ def deduplicate(docs: DataFrame, stored, spans: bool = False) -> DataFrame:
             owner = np.repeat(np.arange(len(column)), lengths)
             keys = chunks.keys()
             mark = np.isin(keys, mix(flat ^ mix(owner.astype(np.uint64) + np.uint64(1))))
-            _, firsts = np.unique(keys, return_index=True)
-            again = np.ones(len(keys), bool)
-            again[firsts] = False
-            starts, stops, owners = chunks.spans(mark | again)
+            starts, stops, owners = chunks.spans(mark | chunks.again())
             data, offsets = chunks.texts.data, chunks.texts.offsets
             codepoints = np.zeros(len(data) + 1, np.int64)
             np.cumsum((data & 0xC0) != 0x80, out=codepoints[1:])

@@ -93,6 +93,20 @@ def test_insertion_shifts_nothing():
     assert len(set(a.digests.tolist()) & set(b.digests.tolist())) >= len(a.digests) - 2
 
 
+def test_runs_without_a_cut_meet(spark):
+    rng = random.Random(6)
+    # a word whose repetition never ends a chunk by itself
+    word = next(w for w in (f"junk{k}" for k in range(100)) if max(b - a for a, b, *_ in chunk_words(f"{w} " * 200)) > 150)
+    rows = [(i, f"{sentence(rng, 90 + i)} {f'{word} ' * (200 + 9 * i)}{sentence(rng, 90)}") for i in range(4)]
+    got = {r["doc_id"]: r["text"] for r in run(spark, rows)}
+    assert got[0] == rows[0][1]
+    for i, text in rows[1:]:
+        left = words(got[i]).count(word)
+        assert left <= 100 and len(words(got[i])) - left >= 180 + i
+    cut = substrings.Chunks(pa.array([text for _, text in rows]))
+    assert (cut.end - cut.first).max() <= 32
+
+
 def test_spans_and_counts(spark):
     rng = random.Random(4)
     rows = [(1, text := sentence(rng, 100) + " né"), (2, "own start of it " + text + " own end")]
