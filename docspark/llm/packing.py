@@ -1,9 +1,9 @@
-"""Packing of token sequences: exact complements by hashed sums, then best fit.
+"""Packing of token sequences: exact complements by a scan with hashed lookups, then best fit.
 
 Documents become pieces of at most the capacity, and only the numbers of pieces per length decide how
-they are packed: a table no longer than the capacity. The plan takes lengths in falling order and looks
-up what fills the gap exactly in the sums of one, two and three lengths, under the numbers of pieces
-still available; a combination is used as often as its scarcest length allows. What no combination
+they are packed: a table no longer than the capacity. The plan takes lengths in falling order and fills
+the gap exactly with one, two or three lengths, under the numbers of pieces still available: it scans the
+lengths for the first one or two and looks the last one up by hash, no index of sums being kept. A combination is used as often as its scarcest length allows. What no combination
 completes goes by best fit, length by length, into the open sequences with the smallest sufficient gap.
 Both steps work on batches of equal sequences, so the plan is as long for 10^10 pieces as for 10^5.
 Pieces then get a number inside their length, without gathering a length, and the plan maps numbers to
