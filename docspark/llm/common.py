@@ -108,6 +108,20 @@ def window_hashes(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.nda
     return mix(total[first] + np.uint64(n)), first
 
 
+class Rolling:
+    """Hashes of all windows of a sequence, of any length, from one running sum of hashes times powers."""
+
+    def __init__(self, hashes: np.ndarray):
+        power, self._inverse = _power_tables(len(hashes))
+        self._sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * power[: len(hashes)], dtype=np.uint64, out=self._sums[1:])
+
+    def windows(self, n: int) -> np.ndarray:
+        """Hash of the window of n entries that begins at each place; none if there are fewer entries."""
+        count = max(0, len(self._sums) - n)
+        return mix((self._sums[n:] - self._sums[:count]) * self._inverse[:count] + np.full(1, n, np.uint64) * _STEP)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one take `limit` bytes at most, or are a single text."""
     for batch in batches:

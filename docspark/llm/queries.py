@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, jaccard, mixing, packing, quality, sharding, substrings, tokencount, topk, urls
+from docspark.llm import chat, jaccard, mixing, packing, periodic, quality, sharding, substrings, tokencount, topk, urls
 from docspark.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,3 +282,76 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(stage(cut)).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+# --- op11 ------------------------------------------------------------------------------------------
+
+_SEPARATORS = r"[\x20\x09-\x0D]+"
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by the hash of doc_id, repeat some words from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split("text", _SEPARATORS), "")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("_words"), F.floor(h / 10).alias("_g"))
+    rows = rows.withColumn("_n", F.size("_words").cast("long")).withColumn("_a", F.col("_g") % F.col("_n"))
+    rows = rows.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)))
+    n, a, p = (F.col(c).cast("int") for c in ("_n", "_a", "_p"))
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_words", a + 1, p), times)), F.lit(1), n - a)
+    text = F.array_join(F.concat(F.slice("_words", F.lit(1), a), tail), " ")
+    return rows.select("doc_id", F.when(F.col("_n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII string: per byte an exclusive or, then eight shifts (marked 256)."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [CAST(ascii(substr({text}, i, 1)) AS BIGINT)] || list_transform(range(8), lambda k: 256)))"
+    step = "CASE WHEN e < 256 THEN xor(acc, e) ELSE xor(acc >> 1, CASE WHEN acc % 2 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda acc, e: {step}), 4294967295::BIGINT)"
+
+
+_OP11_SQL = f"""
+WITH hashed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents
+), placed AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed
+), periods AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed
+), words AS (
+  SELECT doc_id, i, w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM periods)
+), pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+  GROUP BY doc_id, q, island HAVING count(*) >= greatest(q, {periodic.LEAST} - q)
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY ALL
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, (-length, start, period)) AS top,
+    string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top.start AS BIGINT) AS start, CAST(top.length AS BIGINT) AS length,
+  CAST(top.period AS BIGINT) AS period, CAST(1000 * top.length // top.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op11_periodic_runs", _OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.find(planted_periods(table(spark, sf, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n"))))
+    found = found.withColumn("_top", top)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_top.start")).alias("start"), F.col("_top.length").alias("length"),
+        (-F.col("_top.period")).alias("period"), F.floor(1000 * F.col("_top.length") / -F.col("_top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
