@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, jaccard, mixing, packing, periodic, quality, sharding, substrings, tokencount, topk, urls
+from docspark.llm import chat, jaccard, mixing, negatives, packing, periodic, quality, sharding, substrings, tokencount, topk, urls
 from docspark.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,3 +355,33 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         (-F.col("_top.period")).alias("period"), F.floor(1000 * F.col("_top.length") / -F.col("_top.period")).alias("exponent_milli"),
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+# --- op12 ------------------------------------------------------------------------------------------
+
+_OP12_SQL = """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM valid a JOIN valid b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER window_ AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY row_number() OVER window_ <= 10
+WINDOW window_ AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+"""
+
+
+@query("op12_hard_negatives", _OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", moved.alias("label"), negatives.quantized(F.col("embedding"), 256.0).alias("v"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, stage)
