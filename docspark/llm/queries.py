@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docspark.llm import chat, jaccard, mixing, negatives, packing, periodic, quality, sharding, substrings, tokencount, topk, urls
+from docspark.llm import chat, jaccard, langid, mixing, negatives, packing, periodic, quality, sharding, substrings, tokencount, topk, urls
 from docspark.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,8 +375,8 @@ WITH valid AS (
 )
 SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER window_ AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
 FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
-QUALIFY row_number() OVER window_ <= 10
 WINDOW window_ AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER window_ <= 10
 """
 
 
@@ -385,3 +385,14 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf, "embeddings").select("vec_id", moved.alias("label"), negatives.quantized(F.col("embedding"), 256.0).alias("v"))
     return negatives.mine(vectors, F.col("vec_id") % 100 == 0, stage)
+
+
+# --- op13 ------------------------------------------------------------------------------------------
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = langid.identify(docs, langid.learn(docs, ~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", (~F.col("accepted")).alias("rejected"))
