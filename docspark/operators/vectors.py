@@ -2,9 +2,9 @@
 
 Exact search streams the corpus past the queries. A query side of a checked
 size is broadcast, so the corpus is read once and never shuffled; a larger one
-goes through a grid of (corpus part, query part) groups whose sizes are bounded
-by the row counts. Either way a task keeps only the best k per query, and only
-those rows are shuffled for the final ranking.
+is joined over Voronoi cells, so that a row is shuffled once and a query goes
+only to the cells that its bound reaches. Either way a task keeps only the best
+k per query, and only those rows are shuffled for the final ranking.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.operators import centres
 from docspark.operators.kb import block_label
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -27,6 +28,9 @@ MAX_CELLS = 1 << 16
 ID_BYTES = 128
 #: Corpus rows that bound the distances of an exact search beforehand.
 SAMPLE_ROWS = 2048
+#: Voronoi cells at most, and bytes of the sample that their pivots are fitted on.
+MAX_PIVOTS = 1024
+PIVOT_BYTES = 32 * 1024 * 1024
 
 
 def similarity(distance: Column) -> Column:
@@ -159,7 +163,10 @@ def _matrix_function() -> Callable[[Any], np.ndarray]:
     return matrix
 
 
-def _ranked(hits: DataFrame, k: int, metric: str) -> DataFrame:
+matrix_of = _matrix_function()
+
+
+def rank_hits(hits: DataFrame, k: int, metric: str) -> DataFrame:
     """Final top k per query, every id once; tasks have sent k rows per query at most."""
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     once = hits.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
@@ -351,10 +358,198 @@ def knn(
     if rows * _query_bytes(dim, k) <= broadcast_bytes:
         hits = _broadcast_hits(q, c, k, exclude_self)
     else:
-        hits = _grid_hits(
-            q.withColumn("cell", F.lit(0)), c.withColumn("cell", F.lit(0)), k, dim, exclude_self
+        hits = _cell_hits(_Cells(c, dim, k, exclude_self), q, c)
+    return rank_hits(hits, k, metric)
+
+
+class _Cells:
+    """Voronoi cells of a corpus and what they bound; ships with the tasks.
+
+    Pivots are centres of a bounded sample. A query's own cell and its neighbours hold sample rows whose
+    distances bound the k-th neighbour's; a cell is out of reach if it lies beyond that bound, by its own radii or
+    by the plane between its pivot and the query's.
+    """
+
+    def __init__(self, corpus: DataFrame, dim: int, k: int, exclude_self: bool, pivots: int | None = None):
+        self.k, self.exclude_self = k, exclude_self
+        rows = corpus.count()
+        # cells of about a group's size, at least enough of them to leave some out
+        wanted = pivots or min(MAX_PIVOTS, max(int(rows**0.5), -(-rows * 8 * dim // GROUP_BYTES)))
+        limit = min(centres.SAMPLE_ROWS, max(1, PIVOT_BYTES // (8 * dim)))
+        self.ids, self.some = centres.sample(corpus, rows, min(limit, max(1, wanted) * centres.ROWS_PER_CENTRE))
+        self.pivots = centres.fit(self.some, min(wanted, limit))
+        own = centres.nearest(self.some, self.pivots)
+        order = np.argsort(own, kind="stable")
+        self.ids, self.some = self.ids[order], self.some[order]
+        self.first = np.searchsorted(own[order], np.arange(len(self.pivots) + 1))
+        self.apart = np.sqrt(centres.squared(self.pivots, self.pivots))
+        size = len(self.pivots)
+        self.rows, self.low, self.high = np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size)
+        self.per_group = max(1, GROUP_BYTES // (8 * dim))
+        if size:
+            found = self.placed(corpus).groupBy("cell").agg(
+                F.count("*").alias("rows"), F.min("away").alias("low"), F.max("away").alias("high")
+            )
+            for r in found.collect():  # a row per pivot
+                self.rows[r["cell"]], self.low[r["cell"]], self.high[r["cell"]] = r["rows"], r["low"], r["high"]
+
+    def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each vector and its distance to the pivot, summed term by term."""
+        if vectors.shape[1] != self.pivots.shape[1]:
+            raise ValueError(f"vectors differ in length: {vectors.shape[1]} and {self.pivots.shape[1]}")
+        cell = centres.nearest(vectors, self.pivots)
+        return cell, np.sqrt(((vectors - self.pivots[cell]) ** 2).sum(axis=1))
+
+    def placed(self, corpus: DataFrame) -> DataFrame:
+        """(cell, away) of each row of the corpus."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    cell, away = self.place(matrix_of(batch.column("embedding")))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(away)], names=["cell", "away"])
+
+        return corpus.select("embedding").mapInArrow(run, "cell int, away double")
+
+    def bounds(self, ids: np.ndarray | None, vectors: np.ndarray, away: np.ndarray) -> np.ndarray:
+        """A distance that each query's k-th neighbour does not exceed, from sample rows of near cells."""
+        out = np.full(len(vectors), np.inf)
+        near = np.argsort(away, axis=1, kind="stable")
+        todo, cells = np.arange(len(vectors)), 1
+        while len(todo) and cells <= 2 * len(self.pivots):
+            short = []
+            for i in todo.tolist():
+                rows = np.concatenate([np.arange(self.first[c], self.first[c + 1]) for c in near[i, :cells]])
+                if ids is not None:
+                    rows = rows[self.ids[rows] != ids[i]]
+                if len(rows) >= self.k:
+                    d = np.sqrt(((self.some[rows] - vectors[i]) ** 2).sum(axis=1))
+                    out[i] = np.partition(d, self.k - 1)[self.k - 1]
+                else:
+                    short.append(i)
+            todo, cells = np.array(short, np.int64), 4 * cells
+        return out
+
+    def reached(self, ids: np.ndarray | None, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, cell) of all cells that hold a row within the query's bound, and the bounds."""
+        away = np.array([np.sqrt(((v - self.pivots) ** 2).sum(axis=1)) for v in vectors])
+        bound = self.bounds(ids, vectors, away)
+        own = away.argmin(axis=1)
+        at = np.arange(len(vectors))
+        least = np.maximum(away - self.high, self.low - away)
+        apart = self.apart[own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = (away**2 - away[at, own][:, None] ** 2) / (2 * apart)
+        least = np.maximum(least, np.where(apart > 0, plane, 0.0))
+        slack = 1e-9 * (1.0 + away + self.high)  # rounding
+        rows, cells = np.nonzero((least <= bound[:, None] + slack) & (self.rows > 0))
+        return rows, cells, bound
+
+    def routed(self, queries: DataFrame) -> DataFrame:
+        """(query_id, embedding, bound, cell): a query once for each cell that it has to look at."""
+        schema = T.StructType(
+            [queries.schema["query_id"], queries.schema["embedding"], T.StructField("bound", T.DoubleType()), T.StructField("cell", T.IntegerType())]
         )
-    return _ranked(hits, k, metric)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows if len(self.pivots) else 0, 1024):
+                    part = batch.slice(i, 1024)
+                    vectors = matrix_of(part.column("embedding"))
+                    if vectors.shape[1] != self.pivots.shape[1]:
+                        raise ValueError(f"vectors differ in length: {vectors.shape[1]} and {self.pivots.shape[1]}")
+                    ids = part.column("query_id").to_numpy(zero_copy_only=False) if self.exclude_self else None
+                    rows, cells, bound = self.reached(ids, vectors)
+                    taken = part.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [*taken.columns, pa.array(bound[rows]), pa.array(cells.astype(np.int32))], names=[*part.schema.names, "bound", "cell"]
+                    )
+
+        return queries.select("query_id", "embedding").mapInArrow(run, schema)
+
+
+def _cell_hits(cells: _Cells, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Hits of every query in the cells it reaches, cell by cell.
+
+    A cell above a group's size is split by the hash of the ids, and so are the queries that reach one cell; only
+    where these exceed a group as well is a row of the cell sent more than once.
+    """
+    schema = _hit_schema(queries, corpus)
+    best = _top_k_function(cells.k)
+    routed = cells.routed(queries)
+    visits = np.zeros(len(cells.pivots), np.int64)
+    for r in routed.groupBy("cell").count().collect():  # a row per pivot
+        visits[r["cell"]] = r["count"]
+    c_parts, q_parts = (np.maximum(1, -(-n // cells.per_group)).astype(np.int32) for n in (cells.rows, visits))
+    used = visits > 0
+    corpus_schema = T.StructType([corpus.schema["id"], corpus.schema["embedding"], *[T.StructField(c, T.IntegerType()) for c in ("c_cell", "n_own", "n_other")]])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(cells.pivots):
+                cell, _ = cells.place(matrix_of(batch.column("embedding")))
+                keep = np.flatnonzero(used[cell])  # rows of a cell that no query reaches stay where they are
+                at = cell[keep]
+                arrays = [pa.array(x) for x in (at.astype(np.int32), c_parts[at], q_parts[at])]
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep)).columns, *arrays], names=["id", "embedding", "c_cell", "n_own", "n_other"])
+
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    c = corpus.select("id", "embedding").mapInArrow(place, corpus_schema)
+    c = c.select("c_cell", part("id", "n_own").alias("c_no"), every("n_other").alias("q_no"), "id", F.col("embedding").alias("vec"))
+    sizes = queries.sparkSession.createDataFrame(
+        [(i, int(a), int(b)) for i, (a, b) in enumerate(zip(c_parts, q_parts, strict=True))], "cell int, n_c int, n_q int"
+    )
+    q = routed.join(F.broadcast(sizes), "cell")  # a row per pivot
+    q = q.select("cell", every("n_c").alias("c_part"), part("query_id", "n_q").alias("q_part"), "query_id", "embedding", "bound")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return pa.table({"query_id": [], "id": [], "distance": []}).cast(target)
+        qids = left.column("query_id").to_numpy()
+        rows, ids, dist = best(
+            matrix_of(left.column("embedding")), qids if cells.exclude_self else None,
+            right.column("id").to_numpy(), matrix_of(right.column("vec")),
+        )
+        near = np.sqrt(dist) <= left.column("bound").to_numpy()[rows] * (1 + 1e-9) + 1e-9
+        return pa.table({"query_id": qids[rows[near]], "id": ids[near], "distance": dist[near]}).cast(target)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(schema)
+    return q.groupBy("cell", "c_part", "q_part").cogroup(c.groupBy("c_cell", "c_no", "q_no")).applyInArrow(run, schema)
+
+
+def knn_join(
+    queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2sq", exclude_self: bool = False, pivots: int | None = None
+) -> DataFrame:
+    """`knn` for a query side of any size: an exact join over Voronoi cells.
+
+    A row of the corpus is shuffled at most once, unless more queries reach its cell than a group holds; a query
+    is shuffled once for each cell that its bound reaches. On vectors without clusters that is most cells.
+    """
+    if k <= 0:
+        raise ValueError("k must be above zero")
+    if metric not in ("l2sq", "l2"):
+        raise ValueError("metric must be l2sq or l2")
+    q, c, _, dim = _sides(queries, corpus)
+    return rank_hits(_cell_hits(_Cells(c, dim, k, exclude_self, pivots), q, c), k, metric)
+
+
+def knn_join_cost(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, pivots: int | None = None) -> DataFrame:
+    """One row: rows of either side, rows that `knn_join` shuffles of them, distances it takes and their share of all."""
+    q, c, asked, dim = _sides(queries, corpus)
+    cells = _Cells(c, dim, k, exclude_self, pivots)
+    total = int(cells.rows.sum())
+    sent, visited, compared = 0, 0, 0
+    for r in cells.routed(q).groupBy("cell").count().collect():  # a row per pivot
+        rows, visits = int(cells.rows[r["cell"]]), r["count"]
+        sent += rows * -(-visits // cells.per_group)
+        visited += visits * -(-rows // cells.per_group)
+        compared += rows * visits
+    share = compared / (asked * total) if asked * total else None
+    names = "queries long, corpus_rows long, corpus_rows_sent long, query_rows_sent long, comparisons long, share double"
+    return queries.sparkSession.createDataFrame([(asked, total, sent, visited, compared, share)], names)
 
 
 def _query_bytes(dim: int, k: int) -> int:
@@ -420,7 +615,7 @@ def knn_lsh(
     else:
         sides = lsh_cells(q, tables, bits), lsh_cells(c, tables, bits)
         hits = _grid_hits(*sides, k, dim, exclude_self)
-    return _ranked(hits, k, metric)
+    return rank_hits(hits, k, metric)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

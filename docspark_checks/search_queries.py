@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docspark import schemas
 from docspark.functions import paths, prompts, replies
-from docspark.operators import context, evaluate, stats, vectors
+from docspark.operators import context, evaluate, ivf, stats, vectors
 from docspark.plans import flows
 from docspark.session import stage
 from docspark_checks import fixtures
@@ -100,6 +100,64 @@ def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.recall(knn_lsh(spark, sf), hits(spark, sf))
 
 
+# ---- vectors around forty of the table's own: searches that look at a part of the rows only
+
+CLUSTERS, SPREAD = 40, 0.1
+CLUSTERED_SQL = f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ x AS (SELECT e.vec_id AS id, list_transform(range(1, len(e.v) + 1), lambda i: c.v[i] + {SPREAD}::DOUBLE * e.v[i]) AS v FROM e JOIN e c ON c.vec_id = e.vec_id % {CLUSTERS}),
+ d AS (SELECT q.id AS query_id, x.id, pow(list_distance(q.v, x.v), 2) AS distance FROM x q JOIN x ON q.id <> x.id {{where}}),
+ hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM d
+   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= {K})"""
+_CLUSTERED_HITS = CLUSTERED_SQL + " SELECT query_id, rank, id, round(distance, 6) AS distance FROM hits"
+
+
+def _clustered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    centres = e.where(F.col("vec_id") < CLUSTERS).select(F.col("vec_id").alias("_c"), F.col("embedding").alias("_v"))
+    near = F.zip_with("_v", "embedding", lambda c, x: c.cast("double") + F.lit(SPREAD) * x.cast("double"))
+    # forty rows
+    rows = e.join(F.broadcast(centres), F.col("vec_id") % CLUSTERS == F.col("_c")).select(F.col("vec_id").alias("id"), near.alias("embedding"))
+    return rows.withColumnRenamed("id", "query_id"), rows
+
+
+@query("knn_join", _CLUSTERED_HITS.format(where=""))
+def knn_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of every vector, by a join over Voronoi cells."""
+    return vectors.knn_join(*_clustered(spark, sf), K, exclude_self=True)
+
+
+@query("knn_join_cost")
+def knn_join_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that this join shuffles and distances that it takes, against all pairs."""
+    return vectors.knn_join_cost(*_clustered(spark, sf), K, exclude_self=True)
+
+
+_IVF = {"probes": 2, "rerank": 10}
+
+
+def _ivf_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, ivf.Model]:
+    queries, corpus = _clustered(spark, sf)
+    model = ivf.train(corpus, lists=CLUSTERS)
+    return queries.where(F.col("query_id") % 50 == 0), corpus, ivf.encode(corpus, model), model
+
+
+@query("ivf_search", _CLUSTERED_HITS.format(where="WHERE q.id % 50 = 0"))
+def ivf_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate neighbours; the clusters lie so far apart that two lists a query hold the exact ones."""
+    return ivf.search(*_ivf_sides(spark, sf), K, **_IVF, exclude_self=True)
+
+
+@query("ivf_recall")
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact hits that the inverted file finds, and the share of an exact search's distances that it takes."""
+    queries, corpus, index, model = _ivf_sides(spark, sf)
+    found = ivf.search(queries, corpus, index, model, K, **_IVF, exclude_self=True)
+    recall = vectors.recall(found, vectors.knn(queries, corpus, K, exclude_self=True))
+    cost = ivf.comparisons(queries, index, model, K, **_IVF)
+    both = recall.unionByName(cost, True)  # a single row each
+    return both.agg(*[F.max(c).alias(c) for c in ("hits", "expected", "recall", "comparisons", "exact_comparisons", "share")])
+
+
 # ---- retrieval quality: a hit is relevant if it has the label of the query
 
 VARIANTS = evaluate.variants(translation=False)
