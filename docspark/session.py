@@ -21,6 +21,8 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="docspark-"))
         # call sites of column operations are only for error messages, and slow to record
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # rows bucketed by a path join on path and block where they are
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

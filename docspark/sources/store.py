@@ -1,37 +1,33 @@
-"""Stored tables that change by key: versions of buckets, published in one step.
+"""Stored tables that change by key: one bucketed table per store, overwritten part by part.
 
-A store holds one or more tables, cut into buckets by the hash of a key. A change writes the touched
-buckets of all tables below a new version and then publishes them together: the manifest, one row per
-bucket with the version that holds it, is a table of its own, and a reader takes the newest manifest that
-was committed. A change that fails half way leaves the store as it was. The number of buckets is part of
-the manifest, so every writer uses the one the store was made with. One writer at a time.
+All tables of a store are rows of one Parquet table, told apart by `kind`, each in a column of its own. The table is
+partitioned by a hash of the key and bucketed by the key, so that a change is a dynamic partition overwrite of the
+parts that its keys fall into, in one job for all tables, and joins on the key need no exchange of stored rows. The
+folder is the table; a session registers it in its catalogue when it comes to it. One writer at a time.
+
+Every part keeps a row without content for each table, so that a part whose rows are all gone is overwritten as well.
+Files from before a column was added give null for it. A row with a null key stays until its part is written with
+that key among the keys again, as nulls never match.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import defaultdict
-from dataclasses import dataclass, field
+import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 256
-_MANIFEST = "bucket int, version string, buckets int"
-
-
-@dataclass(frozen=True)
-class State:
-    """What a store holds: the number of buckets and the version of each."""
-
-    number: int = 0
-    buckets: int = BUCKETS
-    versions: dict[int, str] = field(default_factory=dict)
-
+from docspark.session import stage, unstage
 
-def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+#: Buckets of a new store, and of each part that is overwritten on its own: 8 parts by default.
+BUCKETS = 64
+_PART_BUCKETS = 8
+_LAYOUT = "buckets int, parts int"
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 
 
 def align_schema(df: DataFrame, schema: str | T.StructType) -> DataFrame:
@@ -41,44 +37,76 @@ def align_schema(df: DataFrame, schema: str | T.StructType) -> DataFrame:
     def column(f: T.StructField) -> Column:
         if f.name not in df.columns:
             return F.lit(None).cast(f.dataType).alias(f.name)
-        same = df.schema[f.name].dataType == f.dataType
+        same = df.schema[f.name].dataType.simpleString() == f.dataType.simpleString()
         return F.col(f.name) if same else F.col(f.name).try_cast(f.dataType).alias(f.name)
 
     return df.select(*[column(f) for f in target.fields])
 
 
-def _folder(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
-def state(spark: SparkSession, path: str, buckets: int = BUCKETS) -> State:
-    """The newest published state; an empty one with `buckets` if nothing is stored."""
-    fs, folder = _folder(spark, f"{path}/manifest")
-    if not fs.exists(folder):
-        return State(buckets=buckets)
-    names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
-    done = [n for n in names if fs.exists(_folder(spark, f"{path}/manifest/{n}/_SUCCESS")[1])]
-    if not done:
-        return State(buckets=buckets)
-    rows = spark.read.schema(_MANIFEST).json(f"{path}/manifest/{done[-1]}").collect()  # one row per bucket
-    stored = rows[0]["buckets"] if rows else buckets
-    return State(int(done[-1].split("-")[0]), stored, {r["bucket"]: r["version"] for r in rows if r["bucket"] >= 0})
-
-
-def read(spark: SparkSession, path: str, name: str, schema: str | T.StructType, only: list[int] | None = None) -> DataFrame:
-    """A stored table, or its buckets `only`. Files from before a column was added give null for it."""
-    target = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    by_version: dict[str, list[int]] = defaultdict(list)
-    for bucket, version in state(spark, path).versions.items():
-        if only is None or bucket in only:
-            by_version[version].append(bucket)
-    out = spark.createDataFrame([], target)
-    with_bucket = T.StructType([*target.fields, T.StructField("bucket", T.IntegerType())])
-    for version, buckets in sorted(by_version.items()):
-        part = spark.read.schema(with_bucket).parquet(f"{path}/data/{version}/{name}")
-        out = out.unionByName(part.where(F.col("bucket").isin(buckets)).drop("bucket"))
-    return out
+def _nullable(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType))
+    return T.MapType(_nullable(kind.keyType), _nullable(kind.valueType)) if isinstance(kind, T.MapType) else kind
+
+
+def _struct(schema: str | T.StructType) -> T.StructType:
+    """The schema as it is stored: a part may have no row, so every column can be null."""
+    return _nullable(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def _layout(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Buckets and parts of a store, None if there is none."""
+    try:
+        row = spark.read.schema(_LAYOUT).json(f"{path}/layout").first()
+    except AnalysisException:
+        return None
+    return (row["buckets"], row["parts"]) if row else None
+
+
+def _table(spark: SparkSession, path: str, key: T.StructField, columns: list[T.StructField], buckets: int, new: bool = False) -> str:
+    """Register the folder with these columns; the name of the table."""
+    fields = T.StructType([T.StructField("_key", key.dataType), *columns]).toDDL()
+    name = "docspark_" + hashlib.md5(f"{path}|{fields}|{buckets}".encode()).hexdigest()
+    location = path.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({fields}, part int, kind string) USING parquet PARTITIONED BY (part, kind) "
+        f"CLUSTERED BY (_key) SORTED BY (_key) INTO {buckets} BUCKETS LOCATION '{location}/rows'"
+    )
+    if not new:
+        spark.catalog.recoverPartitions(name)  # what other sessions have written
+        spark.catalog.refreshTable(name)
+    return name
+
+
+def read(
+    spark: SparkSession, path: str, name: str, schema: str | T.StructType, key: str = "source_path", only: list[int] | None = None
+) -> DataFrame:
+    """A stored table, or its parts `only`; bucketed by its key."""
+    target = _struct(schema)
+    layout = _layout(spark, path)
+    if layout is None:
+        return spark.createDataFrame([], target)
+    table = _table(spark, path, target[key], [T.StructField(name, target)], layout[0])
+    rows = spark.table(table).where((F.col("kind") == name) & F.col(name).isNotNull())
+    if only is not None:
+        rows = rows.where(F.col("part").isin(only))
+    return rows.select(*[F.col("_key").alias(key) if f.name == key else F.col(f"{name}.{f.name}") for f in target.fields])
+
+
+@contextmanager
+def _overwrite_mode(spark: SparkSession, mode: str) -> Iterator[None]:
+    before = spark.conf.get(_OVERWRITE)
+    spark.conf.set(_OVERWRITE, mode)  # a table takes it from the session only
+    try:
+        yield
+    finally:
+        spark.conf.set(_OVERWRITE, before)
 
 
 def replace(
@@ -86,34 +114,35 @@ def replace(
 ) -> None:
     """Put rows in place of all stored ones with a key of `keys`; a key without new rows is deleted.
 
-    Only the buckets of these keys are read and written. The new rows must not bring other keys.
+    Only the parts of these keys are read and written. The new rows must not bring other keys. `buckets` counts
+    for a new store.
     """
     spark = keys.sparkSession
-    now = state(spark, path, buckets)
-    incoming = keys.select(key).distinct()
-    touched = [r[0] for r in incoming.select(bucket_of(key, now.buckets)).distinct().collect()]  # at most the buckets
-    version = f"{now.number + 1:012d}-{uuid.uuid4().hex[:8]}"
-    for name, (rows, schema) in tables.items():
-        kept = read(spark, path, name, schema, touched).join(incoming, key, "left_anti")
-        bucketed = kept.unionByName(align_schema(rows, schema)).withColumn("bucket", bucket_of(key, now.buckets))
-        (
-            # hash and salt: a hot key is written by several tasks
-            bucketed.repartition("bucket", F.pmod(F.xxhash64(*bucketed.columns), F.lit(8)))
-            .write.partitionBy("bucket").parquet(f"{path}/data/{version}/{name}")
-        )
-    versions = now.versions | dict.fromkeys(touched, version)
-    # a store without rows still keeps its number of buckets
-    manifest = [(b, v, now.buckets) for b, v in sorted(versions.items())] or [(-1, version, now.buckets)]
-    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.json(f"{path}/manifest/{version}")
-
-
-def vacuum(spark: SparkSession, path: str) -> int:
-    """Delete versions that the published state no longer uses; the number of deleted ones."""
-    now = state(spark, path)
-    fs, folder = _folder(spark, f"{path}/data")
-    if not fs.exists(folder):
-        return 0
-    old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName() not in set(now.versions.values())]
-    for gone in old:
-        fs.delete(gone, True)
-    return len(old)
+    found = _layout(spark, path)
+    buckets, parts = found or (buckets, max(1, buckets // _PART_BUCKETS))
+    incoming = stage(keys.select(key).repartition(buckets, key).distinct())
+    touched = [r[0] for r in incoming.select(_part(key, parts)).distinct().collect()]  # at most the parts
+    schemas = {name: _struct(schema) for name, (_, schema) in tables.items()}
+    key_field = next(iter(schemas.values()))[key]
+    columns = [T.StructField(name, s) for name, s in schemas.items()]
+    stored = T.StructType([T.StructField("_key", key_field.dataType), *columns, T.StructField("part", T.IntegerType()), T.StructField("kind", T.StringType())])
+    gone = incoming.repartition(buckets, key)  # meets the stored rows in their buckets
+    packed = spark.createDataFrame([(None, *[None] * len(columns), p, name) for p in touched for name in schemas], stored)
+    for name, (rows, _) in tables.items():
+        kept = read(spark, path, name, schemas[name], key, touched).join(gone, key, "left_anti")
+        now = kept.unionByName(align_schema(rows, schemas[name]))
+        whole = F.struct(*[F.col(f.name) for f in schemas[name].fields]).alias(name)
+        of_kind = now.select(F.col(key).alias("_key"), whole, _part(key, parts).alias("part"), F.lit(name).alias("kind"))
+        packed = packed.unionByName(of_kind, allowMissingColumns=True)
+    # stored before they take their place: a table that is read can't be overwritten
+    new = stage(packed)
+    table = _table(spark, path, key_field, columns, buckets, found is None)
+    # one task writes a bucket of a part, several where a hot key makes it large
+    bucketed = new.withColumn("_bucket", F.pmod(F.hash("_key"), F.lit(buckets)))
+    dealt = bucketed.hint("rebalance", "part", "_bucket").drop("_bucket")
+    # a new store has no layout yet: whatever a writer that died has left there goes
+    with _overwrite_mode(spark, "dynamic" if found else "static"):
+        dealt.write.insertInto(table, overwrite=True)
+    if found is None:
+        spark.createDataFrame([(buckets, parts)], _LAYOUT).coalesce(1).write.mode("overwrite").json(f"{path}/layout")
+    unstage(new, incoming)

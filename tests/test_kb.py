@@ -119,15 +119,50 @@ def test_a_document_without_chunks_loses_the_old_ones(spark, tmp_path):
     documents, chunks = tables.read_kb(spark, path)
     assert {r["source_path"]: r["nome_software"] for r in documents.collect()} == {"a.md": "Bare title", "b.md": "B"}
     assert [r["source_path"] for r in chunks.collect()] == ["b.md"]
-    assert store.vacuum(spark, path) >= 0 and tables.read_kb(spark, path)[0].count() == 2
 
 
-def test_a_change_that_is_not_published_is_not_seen(spark, tmp_path):
+def test_other_parts_are_not_written(spark, tmp_path):
     path = str(tmp_path / "kb")
-    ingest.replace_documents(build(spark, {"a.md": "# A\none\n"}), path, buckets=4)
-    before = store.state(spark, path)
-    (tmp_path / "kb" / "manifest" / "999999999999-x").mkdir()  # a manifest whose writer died
-    assert store.state(spark, path) == before and tables.read_kb(spark, path)[0].count() == 1
+    ingest.replace_documents(build(spark, {f"d{i}.md": f"# D{i}\none\n" for i in range(12)}), path, buckets=32)
+
+    def files():
+        return {f: f.stat().st_mtime_ns for f in (tmp_path / "kb" / "rows").rglob("*.parquet")}
+
+    before = files()
+    ingest.replace_documents(build(spark, {"d3.md": "# New\ntwo\n"}), path)
+    after = files()
+    assert {f.parent.parent.name for f in before.keys() ^ after.keys()} == {f.parent.parent.name for f in after.keys() - before.keys()}
+    assert len({f.parent.parent.name for f in after.keys() - before.keys()}) == 1  # one part of four
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_stored_rows_join_without_exchange(spark, tmp_path):
+    path = str(tmp_path / "kb")
+    ingest.replace_documents(build(spark, {f"d{i}.md": f"# D{i}\n## A\none\n## B\ntwo\n" for i in range(12)}), path, buckets=4)
+    documents, chunks = tables.read_kb(spark, path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = kb.kb_rows(documents, chunks)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 24
+        # the upsert's anti-join: only the incoming keys move
+        gone = documents.select("source_path").limit(3).repartition(4, "source_path")
+        plan = chunks.join(gone, "source_path", "left_anti")._jdf.queryExecution().executedPlan().toString()
+        stored_side = plan[plan.index("LeftAnti") : plan.index("REPARTITION_BY_NUM")]
+        assert "Bucketed: true" in stored_side and stored_side.count("Exchange") == 1  # that of the keys
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_hot_key_and_null_keys(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k string, v int"
+    rows = spark.createDataFrame([("hot", i) for i in range(500)] + [(str(i), i) for i in range(50)] + [(None, 1)], schema)
+    store.replace(path, {"t": (rows, schema)}, rows, "k", 4)
+    assert store.read(spark, path, "t", schema, "k").count() == 551
+    gone = spark.createDataFrame([("hot",), ("7",)], "k string")
+    store.replace(path, {"t": (rows.limit(0), schema)}, gone, "k")
+    left = store.read(spark, path, "t", schema, "k")
+    assert left.count() == 50 and left.where("k = 'hot' or k = '7'").isEmpty() and left.where("k is null").count() == 1
 
 
 def test_stored_columns_survive_a_file_without_them(spark, tmp_path):
@@ -136,7 +171,7 @@ def test_stored_columns_survive_a_file_without_them(spark, tmp_path):
     store.replace(path, {"t": (old, "k string, v int")}, old, "k", 4)
     new = spark.createDataFrame([("b", 2, "x")], "k string, v int, w string")
     store.replace(path, {"t": (new, "k string, v int, w string")}, new, "k")
-    rows = store.read(spark, path, "t", "k string, v int, w string").collect()
+    rows = store.read(spark, path, "t", "k string, v int, w string", "k").collect()
     assert sorted(map(tuple, rows)) == [("a", 1, None), ("b", 2, "x")]
 
 
