@@ -293,7 +293,7 @@ def _searched(width: int, k: int):
         # no candidate has the id that stands for none
         own = np.where(masked, left["own"].to_numpy(), Best._NONE) if masked.any() else None
         best = dual_search(tree.root, asked[tree.order], root, data, ids, left["least"].to_numpy(), k, own)
-        at, place = np.nonzero(best.ids != Best._NONE)
+        at, place = np.nonzero((best.ids != Best._NONE) & (best.scores >= best.least[:, None]))  # others are in no list of k
         found = left.select(_KEY).take(pa.array(at))
         columns = [pa.array(best.ids[at, place]), pa.array(best.scores[at, place].astype(np.int64))]
         return pa.table([*found.columns, *columns], names=names)
