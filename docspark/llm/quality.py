@@ -1,8 +1,9 @@
 """Quality rules on repetition: characters inside duplicated n-grams and lines, by rolling hashes in numpy.
 
-Texts of a batch lie in one byte array. Words, lines and windows of words get 64-bit hashes from running
-sums, mixed with the number of their text, and one sort per n-gram length finds what occurs again. No row
-leaves its task, so there is no shuffle and no hot key.
+Texts of a batch lie in one byte array. Words and lines get 64-bit hashes from one running sum of bytes times
+powers, windows of words of every length from one running sum of word hashes times powers: two entries of it give
+a window's hash, whatever its length. Mixed with the number of their text, one sort per length finds what occurs
+again. No row leaves its task, so there is no shuffle and no hot key.
 
 Base rules fail a text with fewer than MIN_WORDS words, or with over half its words in three-word windows
 that occur twice. The method's rules reject a text if windows of n words that occurred before hold more
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docspark.llm.common import Texts, mix, per_text, slices, window_hashes
+from docspark.llm.common import Rolling, Texts, mix, per_text, slices
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -91,12 +92,19 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(line_owner[again], minlength=n)
     out["dup_line_chars"] = per_text(line_chars[again], line_owner[again], n)
 
-    hashes = texts.hashes(starts, ends)
-    windows, first = window_hashes(hashes, owner, 3)
+    rolling = Rolling(texts.hashes(starts, ends))
+
+    def window_hashes(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows of k words that lie in one text, and their first words."""
+        hashes = rolling.windows(k)
+        first = np.flatnonzero(owner[: len(hashes)] == owner[k - 1 : k - 1 + len(hashes)])
+        return hashes[first], first
+
+    windows, first = window_hashes(3)
     twice, _ = copies(windows, owner[first])
     out["n_repeat_words"] = np.bincount(owner[covered(first[twice], 3, len(owner))], minlength=n)
     for k in COVERAGE:
-        windows, first = window_hashes(hashes, owner, k)
+        windows, first = window_hashes(k)
         _, later = copies(windows, owner[first])
         inside = covered(first[later], k, len(owner))
         out[f"dup_chars_{k}"] = per_text(chars[inside], owner[inside], n)
