@@ -1,9 +1,9 @@
-"""Packing of token sequences: exact complements by a scan with hashed lookups, then best fit.
+"""Packing of token sequences: exact complements from an index of sums, then best fit.
 
 Documents become pieces of at most the capacity, and only the numbers of pieces per length decide how
-they are packed: a table no longer than the capacity. The plan takes lengths in falling order and fills
-the gap exactly with one, two or three lengths, under the numbers of pieces still available: it scans the
-lengths for the first one or two and looks the last one up by hash, no index of sums being kept. A combination is used as often as its scarcest length allows. What no combination
+they are packed: a table no longer than the capacity. An index holds the sums of one, two and three
+lengths. The plan takes lengths in falling order, looks their gap up in the index and uses a combination as
+often as its scarcest length allows; entries whose lengths have run out are passed for good. What no combination
 completes goes by best fit, length by length, into the open sequences with the smallest sufficient gap.
 Both steps work on batches of equal sequences, so the plan is as long for 10^10 pieces as for 10^5.
 Pieces then get a number inside their length, without gathering a length, and the plan maps numbers to
@@ -152,8 +152,76 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     return source.mapInArrow(cut, _SCHEMA + (", ids array<long>" if keep_ids else ""))
 
 
+class Sums:
+    """Index of what one, two or three available lengths add up to: `left` counts the pieces of each length.
+
+    Pairs lie by their sum, the larger length first; triples by their sum, as a length and a sum of a pair. Counts
+    only fall, so an entry that has run out is passed for good: `_start` tells where the live ones of a sum begin.
+    """
+
+    def __init__(self, left: Counter[int], capacity: int):
+        self.left, self.capacity = left, capacity
+        lengths = np.array(sorted(left), np.int32)
+        first, second = np.meshgrid(lengths, lengths, indexing="ij")
+        self._pairs = self._by_sum((first + second)[first >= second], first[first >= second])
+        sums = np.flatnonzero(np.diff(self._pairs[1])).astype(np.int32)  # those that some pair has
+        first, second = np.meshgrid(lengths, sums, indexing="ij")
+        total = first + second
+        self._triples = self._by_sum(total[3 * first >= total], first[3 * first >= total])  # from the largest length
+
+    def _by_sum(self, sums: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Lengths by sum and falling inside it, where each sum begins, and where its live ones do."""
+        below = sums < self.capacity
+        sums, first = sums[below], first[below]
+        order = np.lexsort((-first, sums))
+        edges = np.searchsorted(sums[order], np.arange(self.capacity + 1))
+        return first[order], edges, edges.tolist()
+
+    def _free(self, length: int, held: tuple[int, ...]) -> int:
+        return self.left[length] - held.count(length)
+
+    def _pair(self, total: int, held: tuple[int, ...]) -> tuple[int, int] | None:
+        lengths, edges, start = self._pairs
+        passing = True
+        for i in range(start[total], int(edges[total + 1])):
+            a = int(lengths[i])
+            b = total - a
+            if self.left[b] > (a == b) and self.left[a]:
+                passing = False
+                if self._free(a, held) > (a == b) and self._free(b, held) > (a == b):
+                    return a, b
+            elif passing:
+                start[total] = i + 1
+        return None
+
+    def find(self, gap: int, held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill the gap, beside those held; the fewest, the largest first."""
+        if not 0 < gap < self.capacity:
+            return None
+        if self._free(gap, held) > 0:
+            return (gap,)
+        if found := self._pair(gap, held):
+            return found
+        lengths, edges, start = self._triples
+        passing = True
+        for i in range(start[gap], int(edges[gap + 1])):
+            a = int(lengths[i])
+            pair_start, pair_edges = self._pairs[2], self._pairs[1]
+            if self.left[a] and pair_start[gap - a] < pair_edges[gap - a + 1]:
+                passing = False
+                if self._free(a, held) > 0 and (found := self._pair(gap - a, (*held, a))):
+                    return (a, *found)
+            elif passing:
+                start[gap] = i + 1
+        return None
+
+
 class Plan:
-    """Sequences as batches: `times` equal sequences of the same lengths."""
+    """Sequences as batches: `times` equal sequences of the same lengths.
+
+    Lengths from the largest are completed by what the index of sums holds for their gap, as long as it holds any;
+    the rest goes best fit.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity = capacity
@@ -170,48 +238,13 @@ class Plan:
             self.left[n] -= k * times
         self.batches.append((lengths, times))
 
-    def _pairs(self, gap: int) -> tuple[int, int] | None:
-        """Two available lengths with this sum, the largest first."""
-        low = bisect.bisect_left(self._lengths, (gap + 1) // 2)
-        for i in range(bisect.bisect_right(self._lengths, gap - 1) - 1, low - 1, -1):
-            a = self._lengths[i]
-            b = gap - a
-            if self._has(a) and self.left.get(b, 0) > (a == b):
-                return a, b
-        return None
-
-    def _has(self, n: int) -> bool:
-        return self.left.get(n, 0) > 0
-
-    def _complement(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three available lengths that add up to the gap."""
-        if self._has(gap):
-            return (gap,)
-        if found := self._pairs(gap):
-            return found
-        for i in range(bisect.bisect_right(self._lengths, gap - 2) - 1, -1, -1):
-            a = self._lengths[i]
-            if 3 * a < gap:
-                break
-            if self._has(a):
-                self.left[a] -= 1
-                found = self._pairs(gap - a)
-                self.left[a] += 1
-                if found:
-                    return (a, *found)
-        return None
-
     def _complete(self) -> None:
+        sums = Sums(self.left, self.capacity)
         for n in reversed(self._lengths):
             if n == self.capacity:
-                self.batches.append(((n,), self.left.pop(n)))
-                continue
-            while self._has(n):
-                self.left[n] -= 1
-                found = self._complement(self.capacity - n)
-                self.left[n] += 1
-                if not found:
-                    break
+                self.batches.append(((n,), self.left[n]))
+                self.left[n] = 0
+            while self.left[n] and (found := sums.find(self.capacity - n, (n,))):
                 self._use((n, *found))
 
     def _best_fit(self) -> None:

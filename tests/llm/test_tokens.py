@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
@@ -132,3 +133,56 @@ def test_plan_does_not_grow_with_the_data():
     small = packing.Plan(counts, 2048)
     large = packing.Plan({n: c * 10**6 for n, c in counts.items()}, 2048)
     assert len(large.batches) < 3 * len(small.batches) + 100
+
+
+def test_index_of_sums_finds_every_exact_fill():
+    """Against all combinations of up to three lengths, while counts fall."""
+    rng = random.Random(11)
+    for _ in range(30):
+        capacity = rng.randrange(8, 30)
+        left = Counter({n: rng.randrange(1, 4) for n in rng.sample(range(1, capacity), rng.randrange(1, 7))})
+        sums = packing.Sums(left, capacity)
+        while any(left.values()):
+            for gap in range(1, capacity):
+                for held in ((), (rng.choice([n for n in left if left[n]]),)):
+                    free = left - Counter(held)
+                    fills = [c for k in (1, 2, 3) for c in combinations_with_replacement(sorted(free), k) if sum(c) == gap and Counter(c) <= free]
+                    found = sums.find(gap, held)
+                    assert bool(found) == bool(fills)
+                    if found:
+                        assert sum(found) == gap and Counter(found) <= free and len(found) == len(fills[0])
+            left[rng.choice([n for n in left if left[n]])] -= 1
+
+
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying all partitions."""
+    best = [len(pieces)]
+
+    def place(i, loads):
+        if len(loads) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(loads)
+            return
+        for j in range(len(loads)):
+            if loads[j] + pieces[i] <= capacity and loads[j] not in loads[:j]:
+                place(i + 1, [*loads[:j], loads[j] + pieces[i], *loads[j + 1 :]])
+        place(i + 1, [*loads, pieces[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plan_against_all_partitions():
+    rng = random.Random(12)
+    exact = 0
+    for _ in range(60):
+        capacity = rng.randrange(6, 25)
+        pieces = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 10))), reverse=True)
+        plan = packing.Plan(Counter(pieces), capacity)
+        used = [x for lengths, times in plan.batches for _ in range(times) for x in lengths]
+        assert sorted(used, reverse=True) == pieces and all(sum(lengths) <= capacity for lengths, _ in plan.batches)
+        sequences = sum(times for _, times in plan.batches)
+        assert sequences <= fewest(pieces, capacity) + 1
+        exact += sequences == fewest(pieces, capacity)
+    assert exact >= 55
