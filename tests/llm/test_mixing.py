@@ -98,3 +98,40 @@ def test_one_source_and_empty_table(spark):
     assert run(spark, [(1, None, "s", "", 0), (2, "", None, "", 0)])[0]["target"] == 0
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty, stage).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [mixing.BROADCAST_SOURCES, 0])
+def test_no_row_left_out_fits(spark, monkeypatch, broadcast):
+    """Texts of 1 to 5,000 words: a source stops short only where nothing fits or comes nearer."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    rng = random.Random(8)
+    rows = [(i, "w " * int(5000 ** rng.random()), rng.choice("aaabbc") if i % 9 else None, "x", 0) for i in range(500)]
+    rows += [(1000 + i, "w " * 700, "a", "x", 0) for i in range(60)]
+    got = run(spark, rows)
+    assert len(got) == len(rows)
+    by_source = defaultdict(list)
+    for r in got:
+        by_source[r["source"]].append(r)
+    for source in by_source.values():
+        target, size = source[0]["target"], source[0]["source_size"]
+        whole = int(target // size) if size else 0
+        assert all(r["repeats"] in (whole, whole + 1) for r in source if r["size"])
+        gap = target - sum(r["size"] * r["repeats"] for r in source)
+        left = [r["size"] for r in source if r["size"] and r["repeats"] == whole]
+        # neither one more row, nor one row less, would come nearer
+        if whole < 3:
+            assert all(abs(gap - n) >= abs(gap) for n in left)
+        assert abs(gap) <= max(1, 0.01 * target)
+
+
+def test_rows_that_fill_are_the_first_of_their_size(spark):
+    """Which rows of one size fill a gap follows the seed, not their place in the table."""
+    rows = [(i, "w " * 100, "a", "x", 0) for i in range(40)] + [(500, "w " * 10000, "b", "x", 0)]
+    one, two = ({r["doc_id"] for r in run(spark, x) if r["source"] == "b" or r["repeats"] > 2} for x in (rows, rows[::-1]))
+    assert one == two
+
+
+def test_many_sources_and_very_long_texts(spark):
+    rows = [(i, "w " * (60_000 if i == 7 else 3), f"s{i % 50}", "x", 0) for i in range(200)]
+    got = run(spark, rows)
+    assert sum(r["size"] for r in got) == 199 * 3 + 60_000 and all(r["repeats"] <= 3 for r in got)
