@@ -3,17 +3,19 @@
 A gear rolling hash of the last 16 bytes decides at every word end whether a chunk ends there, so the cuts
 depend on the text around them only: after an insertion or in another document the same passage falls
 into the same chunks. Chunks have a minimum of words; where no word end cuts, as in one word again and again,
-they are dealt into parts of a fixed number of words. A part is a later copy if a document with a smaller id
-holds it, or if the same document holds its whole chunk before: such a run stays in the first document. Runs of neighbouring later copies with enough words are cut
+they are dealt into parts of a fixed number of words. A part is a later copy if a row before holds it, or if the
+same row holds its whole chunk before: such a run stays in the first one. Rows are ordered by id, those without id
+last, and under one id by the hash of id and text. Runs of neighbouring later copies with enough words are cut
 out; shorter ones, which chance makes, stay. What remains begins and ends at words.
 
-Each document's distinct chunk digests are grouped for the smallest id that holds them (with partial sums
-before the shuffle, so that a passage of many documents costs little), and only digests of two documents
-or more are joined back.
+Each row's distinct chunk digests are grouped for the first row that holds them (with partial sums before the
+shuffle, so that a passage of many documents costs little), and only digests of two rows or more are joined
+back, to their row by the hash of id and text: a hot id, or none, gathers nothing. Texts that a filter of fixed size
+clears of copies stay where they are.
 
 Defined cases: a null text stays null and an empty one empty; a text without blanks is one word and one
-chunk; rows repeated under one id are one document, so copies under one id are all kept; documents without
-id come last and keep a passage among themselves; an empty table gives an empty result; other columns are
+chunk, a very long one must fit a task; rows alike in id and text count as one and are all kept; different texts under
+one id, or without id, are deduplicated like others; an empty table gives an empty result; other columns are
 kept as they are, those with the names used inside included.
 """
 
@@ -24,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspark.llm.common import Texts, mix, slices
+from docspark.llm.common import Texts, block_of, bloom, mask_of, mix, slices
 
 #: One word end in four ends a chunk.
 CUT_BITS = 2
@@ -123,8 +125,17 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+#: Blocks of 8 bytes of the filter that keeps texts without copies where they are.
+FILTER_BLOCKS = 1 << 18
+
+
+def row_key(docs: DataFrame) -> Column:
+    """The hash that only rows alike in id and text share."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digests) with the distinct chunk digests of every row; without id the largest id stands."""
+    """(doc_id, key, digests) with the distinct chunk digests of every row; without id the largest id stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -133,20 +144,20 @@ def digests(docs: DataFrame) -> DataFrame:
             once.sort()
             counts = np.bincount(chunks.owner[once], minlength=batch.num_rows)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), _signed(chunks.digests[once]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "digests"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), lists], names=["doc_id", "key", "digests"])
 
     last = F.lit((1 << 63) - 1)
-    source = docs.select(F.coalesce(docs["doc_id"].cast("long"), last).alias("doc_id"), docs["text"].alias("text"))
-    return source.mapInArrow(run, "doc_id long, digests array<long>")
+    source = docs.select(F.coalesce(docs["doc_id"].cast("long"), last).alias("doc_id"), row_key(docs).alias("key"), docs["text"].alias("text"))
+    return source.mapInArrow(run, "doc_id long, key long, digests array<long>")
 
 
 def copied_digests(docs: DataFrame, stored) -> DataFrame:
-    """(id, copied): for every id the digests of its chunks that a smaller id holds."""
-    each = stored(digests(docs)).select("doc_id", F.explode("digests").alias("digest"))
-    held = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    """(key, copied): for every row, by its key, the digests of its chunks that a row before holds."""
+    each = stored(digests(docs)).select(F.struct("doc_id", "key").alias("row"), F.explode("digests").alias("digest"))
+    held = each.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last"))
     shared = stored(held.where("first < last").select("digest", "first"))
-    later = each.join(shared, "digest").where("doc_id > first")
-    return later.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("digest").alias("copied"))
+    later = each.join(shared, "digest").where("row > first")
+    return later.groupBy(F.col("row.key").alias("_key")).agg(F.collect_set("digest").alias("copied"))
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
@@ -158,13 +169,14 @@ def deduplicate(docs: DataFrame, stored, spans: bool = False) -> DataFrame:
     With `spans`, columns `_spans` (what was cut, in characters of the old text), `_words` and
     `_removed_words` follow.
     """
-    copied = copied_digests(docs, stored)
-    last = F.lit((1 << 63) - 1)
-    columns = [docs[c] for c in docs.columns]
-    packed = docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), last).alias("id"), docs["text"].alias("text"), F.struct(*columns).alias("row")
-    )
-    joined = packed.join(copied, "id", "left").select("text", "row", "copied")
+    copied = stored(copied_digests(docs, stored))
+    sieve = F.broadcast(bloom(copied, F.col("_key"), FILTER_BLOCKS))
+    packed = docs.select(row_key(docs).alias("key"), docs["text"].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    marked = packed.join(sieve, block_of(F.col("key"), FILTER_BLOCKS) == F.col("_block"), "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(mask_of(F.col("key"))) == mask_of(F.col("key")), F.lit(False))
+    none = F.lit(None).cast("array<long>").alias("copied")
+    holding = marked.where(maybe).join(copied, F.col("key") == F.col("_key"), "left").select("text", "row", "copied")
+    joined = marked.where(~maybe).select("text", "row", none).unionByName(holding)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -128,3 +128,39 @@ def test_copies_under_one_id_stay(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.deduplicate(docs, stage).count() == 0
+
+
+def test_rows_without_id_and_texts_under_one_id_are_deduplicated(spark):
+    rng = random.Random(21)
+    passages = [sentence(rng, 80) for _ in range(3)]
+    body = lambda: sentence(rng, 70)
+    rows = [(None, f"{body()} {passages[0]} {body()}") for _ in range(3)]
+    rows += [(5, f"{body()} {passages[1]} {body()}") for _ in range(2)]
+    rows += [(None, f"{body()} {passages[2]} {body()}"), (9, f"{body()} {passages[2]} {body()}")]
+    got = [(r["doc_id"], r["text"]) for r in run(spark, rows)]
+    assert len(got) == 7
+    for p, holders in zip(passages, (3, 2, 2), strict=True):
+        core = " ".join(p.split()[15:-15])
+        assert sum(core in t for _, t in got) == 1 < holders
+    assert passages[2] in next(t for i, t in got if i == 9)  # the row with an id comes first
+
+
+def test_a_hot_id_gathers_nothing(spark):
+    """Ten thousand rows without id: the digests of a row stay with the row."""
+    rng = random.Random(22)
+    passage = sentence(rng, 40)
+    rows = [(None, f"{sentence(rng, 12)} {passage if i % 50 == 0 else ''} {sentence(rng, 12)}") for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    copied = substrings.copied_digests(docs, stage).collect()
+    longest = max(len(r["copied"]) for r in copied)
+    assert len(copied) >= 190 and longest <= 40
+    core = " ".join(passage.split()[10:-10])
+    kept = [r["text"] for r in substrings.deduplicate(docs, stage).collect()]
+    assert len(kept) == 10_000 and sum(core in t for t in kept) == 1
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(23)
+    long = sentence(rng, 60_000)
+    got = {r["doc_id"]: r["text"] for r in run(spark, [(1, long), (2, "a b c " + long), (3, sentence(rng, 50))])}
+    assert got[1] == long and len(words(got[2])) < 40 and len(words(got[3])) == 50
