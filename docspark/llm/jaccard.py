@@ -15,8 +15,9 @@ The search works on cells, groups of documents outside of which no document has
    `n - ceil(0.8 n) + 1`. These go out as rows (shingle, class, size, sketch), grouped by shingle. Which order
    is used changes the work, not the result.
 3. In the list of one shingle, classes with fitting sizes and agreeing sketches become neighbours: a
-   spanning forest of them, never all pairs. The sketch is a min-hash of 64 x 2 bits that linked sets fail
-   to agree on with a probability below 1e-12, which is that of the hashes themselves.
+   spanning forest of them, never all pairs. A list beyond LIST_CLASSES is dealt into parts, and a task then holds
+   two of them. The sketch is a min-hash of 64 x 2 bits that linked sets fail to agree on with a probability
+   below 1e-12, which is that of the hashes themselves; with `agree=0` it is left out, and cells are larger.
 4. Connected neighbours are a cell. One document per class goes to its cell's task; a cell beyond
    CELL_SHINGLES is dealt into blocks, and a task then holds two of them.
 5. The task runs the search over whole sets and returns a spanning forest of exact links.
@@ -26,7 +27,8 @@ Copies are one class, so they cost a row each and no more; chains of near copies
 
 Defined cases: a document without words (or null) has no shingles and links with nothing; one with fewer
 than five words has one shingle, the whole sequence; repeated rows are copies; a null id takes part, and
-a component is named by its smallest id (null if it has none); an empty table gives an empty result.
+a component is named by its smallest id (null if it has none); the set of a very long text must fit a task;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ FREQUENT = 1 << 17
 FILTER_BLOCKS = 1 << 17
 #: Shingles of the sets that one task holds at once, or of each of two blocks.
 CELL_SHINGLES = 1 << 20
+#: Rows of one shingle's list that a task holds at once, or of each of two parts.
+LIST_CLASSES = 1 << 15
 _SKETCH = 64
 _AGREE = 30  # of 64; linked sets agree on 54 in the mean, unrelated ones on 16
 
@@ -119,27 +123,6 @@ def agreement(a0, a1, b0, b1) -> np.ndarray:
     return total
 
 
-class Forest:
-    """Union-find over small integers."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.parent[max(i, j)] = min(i, j)
-        return True
-
-
 def divide_skip(lists: list[list[int]], t: int, mu: float = 0.0085) -> tuple[dict[int, int], int]:
     """Ids that may occur t times in the lists, with their occurrences in the short ones, and how many are short.
 
@@ -194,11 +177,25 @@ def search(sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple
     tokens = np.split(dense, np.cumsum(sizes)[:-1])
     tokens = [np.sort(t) for t in tokens]
     lists: list[list[int]] = [[] for _ in range(int(dense.max()) + 1)]
-    forest, links = Forest(len(order)), []
+    forest, links = Parts(len(order)), []
+
+    def overlap(x: int, y: int) -> int:
+        at = np.searchsorted(tokens[y], tokens[x])
+        at[at == len(tokens[y])] = 0
+        return int(np.count_nonzero(tokens[y][at] == tokens[x]))
+
     for x, mine in enumerate(tokens):
         size = sizes[x]
         smallest = -(-PERCENT * size // 100)
         low = bisect_left(sizes, smallest)
+        # near copies mostly link to the sets just before; if that joins all that could fit, there is nothing to search
+        for y in range(max(low, x - 3), x) if sides is None else ():
+            if forest.of[x] != forest.of[y] and overlap(x, y) >= need(size, sizes[y]) and forest.join(x, y):
+                links.append((order[x], order[y]))
+        if sides is None and (forest.of[low:x] == forest.of[x]).all():
+            for token in mine.tolist():
+                lists[token].append(x)
+            continue
         t = need(size, smallest)
         active, kept = [], []
         for token in mine.tolist():
@@ -211,7 +208,7 @@ def search(sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple
             found, short = divide_skip(active, t)
             aside = np.sort(np.array([kept[k] for k in by_length[short:]], np.int64))
             for y in sorted(found, key=found.get, reverse=True):
-                if sides is not None and sides[order[x]] == sides[order[y]] or forest.find(x) == forest.find(y):
+                if sides is not None and sides[order[x]] == sides[order[y]] or forest.of[x] == forest.of[y]:
                     continue
                 required = need(size, sizes[y]) - found[y]
                 if required > len(aside):
@@ -287,69 +284,147 @@ def prefixes(docs: DataFrame, frequent) -> DataFrame:
     return source.mapInArrow(run, "token long, class long, n int, s0 long, s1 long")
 
 
-def _forest_of(ids: np.ndarray, n: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the classes of one list that fit in size and sketch."""
-    count = len(ids)
-    forest, out = Forest(count), []
-    for i in range(1, count):
-        fits = 100 * np.minimum(n[i], n[:i]) >= PERCENT * np.maximum(n[i], n[:i])
-        fits &= agreement(s0[i], s1[i], s0[:i], s1[:i]) >= _AGREE
-        for j in np.flatnonzero(fits).tolist():
-            if forest.join(i, j):
-                out.append((int(ids[i]), int(ids[j])))
+class Parts:
+    """Components of small integers that tell a whole range at once; the smaller of two takes the other's number."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self._members: dict[int, list[np.ndarray]] = {}
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = int(self.of[i]), int(self.of[j])
+        if a == b:
+            return False
+        sides = [self._members.pop(x, [np.array([x])]) for x in (a, b)]
+        if sum(map(len, sides[0])) > sum(map(len, sides[1])):
+            a, b, sides = b, a, sides[::-1]
+        small = np.concatenate(sides[0])
+        self.of[small] = b
+        self._members[b] = [np.concatenate([*sides[1], small])] if len(sides[1]) > 32 else [*sides[1], small]
+        return True
+
+
+def _forest_of(ids: np.ndarray, n: np.ndarray, s0: np.ndarray, s1: np.ndarray, agree: int = _AGREE) -> list[tuple[int, int]]:
+    """A spanning forest of the classes of one list that fit in size and sketch.
+
+    In order of size, a class is compared with the classes of fitting sizes before it: with the nearest first, and
+    then with those of other components only, so that a list of near copies takes time in proportion to its length.
+    """
+    order = np.argsort(n, kind="stable")
+    ids, n, s0, s1 = (x[order] for x in (ids, n, s0, s1))
+    least = np.searchsorted(n, -(-PERCENT * n // 100))
+    parts, out = Parts(len(ids)), []
+
+    def compare(i: int, with_: np.ndarray) -> None:
+        fits = with_[agreement(s0[i], s1[i], s0[with_], s1[with_]) >= agree]
+        if len(fits):
+            _, first = np.unique(parts.of[fits], return_index=True)
+            for j in fits[first].tolist():
+                if parts.join(i, j):
+                    out.append((int(ids[i]), int(ids[j])))
+
+    for i in range(1, len(ids)):
+        low = int(least[i])
+        compare(i, np.arange(max(low, i - 64), i))
+        if i - 64 > low:
+            apart = np.flatnonzero(parts.of[low : i - 64] != parts.of[i]) + low
+            if len(apart):
+                compare(i, apart)
     return out
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """(a, b) of classes that share a list, fit in size and agree in sketch: a spanning forest of each list."""
-
-    def lists(table: pa.Table) -> set[tuple[int, int]]:
-        token, ids = table["token"].to_numpy(), table["class"].to_numpy()
-        n = table["n"].to_numpy().astype(np.int64)
-        s0, s1 = (table[c].to_numpy().view(np.uint64) for c in ("s0", "s1"))
-        order = np.lexsort((ids, token))
-        new = np.r_[True, (token[order][1:] != token[order][:-1]) | (ids[order][1:] != ids[order][:-1])]
-        order = order[new]  # tasks have sent the same class
-        token, ids, n, s0, s1 = (x[order] for x in (token, ids, n, s0, s1))
-        heads = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        counts = np.diff(np.r_[heads, len(token)])
-        found: set[tuple[int, int]] = set()
-        two = heads[counts == 2]
-        fits = 100 * np.minimum(n[two], n[two + 1]) >= PERCENT * np.maximum(n[two], n[two + 1])
-        fits &= agreement(s0[two], s1[two], s0[two + 1], s1[two + 1]) >= _AGREE
-        found.update(zip(ids[two[fits]].tolist(), ids[two[fits] + 1].tolist(), strict=True))
-        for head, count in zip(heads[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
-            part = slice(head, head + count)
-            found.update(_forest_of(ids[part], n[part], s0[part], s1[part]))
-        return found
+_FOUND = "kind int, a long, b long, n int, s0 long, s1 long"
+_LIST = ["token", "class", "n", "s0", "s1"]
+
+
+def _forests(table: pa.Table, keys: list[str], agree: int) -> set[tuple[int, int]]:
+    """Links of all lists of a table, which the keys tell apart."""
+    group = np.unique(np.stack([table[c].to_numpy() for c in keys], axis=1), axis=0, return_inverse=True)[1].ravel()
+    ids, n = table["class"].to_numpy(), table["n"].to_numpy().astype(np.int64)
+    s0, s1 = (table[c].to_numpy().view(np.uint64) for c in ("s0", "s1"))
+    order = np.lexsort((ids, group))
+    new = np.r_[True, (group[order][1:] != group[order][:-1]) | (ids[order][1:] != ids[order][:-1])]
+    order = order[new]  # tasks have sent the same class
+    group, ids, n, s0, s1 = (x[order] for x in (group, ids, n, s0, s1))
+    heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    counts = np.diff(np.r_[heads, len(group)])
+    found: set[tuple[int, int]] = set()
+    two = heads[counts == 2]
+    fits = 100 * np.minimum(n[two], n[two + 1]) >= PERCENT * np.maximum(n[two], n[two + 1])
+    fits &= agreement(s0[two], s1[two], s0[two + 1], s1[two + 1]) >= agree
+    found.update(zip(ids[two[fits]].tolist(), ids[two[fits] + 1].tolist(), strict=True))
+    for head, count in zip(heads[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
+        part = slice(head, head + count)
+        found.update(_forest_of(ids[part], n[part], s0[part], s1[part], agree))
+    return found
+
+
+def _list_function(keys: list[str], longest: int | None, agree: int):
+    """Links of the lists in sorted rows; rows of a list longer than `longest` are handed on, kind 1, without being held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
+        too_long: tuple | None = None
         sent: set[tuple[int, int]] = set()
 
-        def out(found: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-            fresh = list(found - sent)
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            fresh = list(_forests(table, keys, agree) - sent) if table.num_rows else []
             if len(sent) < 1 << 18:
                 sent.update(fresh)
             if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*fresh, strict=True)], names=["a", "b"])
+                ends = [pa.array(x, pa.int64()) for x in zip(*fresh, strict=True)]
+                none = [pa.nulls(len(fresh), t) for t in (pa.int32(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fresh), np.int32)), *ends, *none], names=["kind", "a", "b", "n", "s0", "s1"])
+
+        def hand_on(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            kind = pa.chunked_array([pa.array(np.ones(table.num_rows, np.int32))])
+            yield from pa.table([kind, *[table[c] for c in _LIST]], names=["kind", "a", "b", "n", "s0", "s1"]).to_batches()
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            token = table["token"].to_numpy()
-            if not len(token):
+            if not table.num_rows:
                 continue
-            whole = int(np.searchsorted(token, token[-1]))  # the last list may go on
+            columns = [table[c].to_numpy() for c in keys]
+            if too_long is not None:  # its rows go on
+                other = np.flatnonzero(np.any([c != k for c, k in zip(columns, too_long, strict=True)], axis=0))
+                end = int(other[0]) if len(other) else table.num_rows
+                yield from hand_on(table.slice(0, end))
+                if end == table.num_rows:
+                    continue
+                table, too_long = table.slice(end), None
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            columns = [table[c].to_numpy() for c in keys]
+            last = np.all([c == c[-1] for c in columns], axis=0)
+            whole = int(np.argmax(last))  # the last list may go on
             rest = table.slice(whole)
-            if whole:
-                yield from out(lists(table.slice(0, whole)))
-        if rest is not None and rest.num_rows:
-            yield from out(lists(rest))
+            yield from out(table.slice(0, whole))
+            if longest is not None and rest.num_rows > longest:
+                too_long = tuple(c[-1] for c in columns)
+                yield from hand_on(rest)
+                rest = None
+        if rest is not None:
+            yield from out(rest)
+
+    return run
 
+
+def neighbours(rows: DataFrame, stored, list_classes: int = LIST_CLASSES, agree: int = _AGREE) -> DataFrame:
+    """(a, b) of classes that share a list, fit in size and agree in sketch: a spanning forest of each list.
+
+    A task holds `list_classes` rows of one list at most. Longer lists go through a second round, dealt by class
+    into parts of that length; each pair of parts is a list of its own.
+    """
     dealt = rows.repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(run, "a long, b long")
+    found = stored(dealt.mapInArrow(_list_function(["token"], list_classes, agree), _FOUND))
+    long_lists = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("class"), "n", "s0", "s1").distinct()
+    # a row for each list above list_classes rows: at most one for so many rows
+    sizes = F.broadcast(long_lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / list_classes).cast("int").alias("parts")))
+    rows = long_lists.join(sizes, "token").withColumn("side", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = rows.select(*_LIST, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    keys = ["token", "i", "j"]
+    second = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_list_function(keys, None, agree), _FOUND)
+    return found.where("kind = 0").select("a", "b").unionByName(second.select("a", "b"))
 
 
 def links(docs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -405,14 +480,18 @@ def cell_blocks(members: DataFrame, limit: int = CELL_SHINGLES) -> DataFrame:
     return rows.select("key", "class", "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
 
 
-def join(docs: DataFrame, stored, frequent: int = FREQUENT, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def join(
+    docs: DataFrame, stored, frequent: int = FREQUENT, cell_shingles: int = CELL_SHINGLES, list_classes: int = LIST_CLASSES, agree: int = _AGREE
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    found = _components_of(docs, stored, frequent, cell_shingles)
+    found = _components_of(docs, stored, frequent, cell_shingles, list_classes, agree)
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _components_of(docs: DataFrame, stored, frequent: int = FREQUENT, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def _components_of(
+    docs: DataFrame, stored, frequent: int = FREQUENT, cell_shingles: int = CELL_SHINGLES, list_classes: int = LIST_CLASSES, agree: int = _AGREE
+) -> DataFrame:
     """(doc_id, key, n, least, first) of every row, with the smallest id of its component and the key of the first row.
 
     Rows without id come last; rows under one id are ordered by key. Where n is 0, neither holds. `stored` writes a table and reads it back. The frequent shingles, at most `frequent` of them, are the
@@ -427,7 +506,7 @@ def _components_of(docs: DataFrame, stored, frequent: int = FREQUENT, cell_shing
     sent = spark.sparkContext.broadcast((tokens[order], rank))
 
     described = rows.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").cast("long").alias("n"), "key")
-    near = components(neighbours(prefixes(docs, sent)), stored)
+    near = components(neighbours(prefixes(docs, sent), stored, list_classes, agree), stored)
     front = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")
     heads = described.groupBy("class").agg(F.min(front).alias("head"), F.first("n").alias("n"))
     members = near.join(heads, F.col("node") == F.col("class")).select("head.key", "class", "n", F.col("root").alias("cell"))

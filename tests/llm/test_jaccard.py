@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -119,3 +120,54 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), stage).collect()}
     nodes = {x for e in edges if e[0] != e[1] for x in e}
     assert got == roots(nodes, edges)
+
+
+def test_long_lists_are_dealt_into_parts(spark):
+    texts = corpus(seed=11)
+    rng = random.Random(5)
+    base = sentence(rng, 40).split()
+    for k in range(300):  # near copies of one page
+        base[rng.randrange(len(base))] = f"w{k}" if k % 3 else base[0]
+        texts[2000 + k] = " ".join(base)
+    rows = list(texts.items())
+    assert run(spark, rows, list_classes=7) == run(spark, rows, agree=0) == expect(texts)
+
+
+def test_lists_of_near_copies_take_time_in_proportion():
+    rng = np.random.default_rng(3)
+    ids, n = np.arange(20_000), rng.integers(95, 106, 20_000)
+    s0, s1 = (np.full(20_000, x, np.uint64) for x in (3, 5))
+    start = time.perf_counter()
+    forest = jaccard._forest_of(ids, n, s0, s1)
+    assert len(forest) == 19_999 and time.perf_counter() - start < 20
+    half = s0.copy()
+    half[::2] = ~half[::2]  # two groups that do not agree
+    assert len(jaccard._forest_of(ids[:500], n[:500], half[:500], ~s1[:500] * (half[:500] != s0[:500]) + s1[:500] * (half[:500] == s0[:500]))) == 498
+
+
+def test_forest_of_a_list_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        count = int(rng.integers(2, 200))
+        n = rng.integers(20, 60, count)
+        kinds = rng.integers(0, 4, count)
+        marks = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+        s0 = s1 = marks[kinds]
+        ids = rng.permutation(1000)[:count]
+        fits = [(int(ids[i]), int(ids[j])) for i in range(count) for j in range(i)
+                if 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and jaccard.agreement(s0[i], s1[i], s0[j], s1[j]) >= 30]
+        found = jaccard._forest_of(ids, n, s0, s1)
+        nodes = ids.tolist()
+        assert roots(nodes, found) == roots(nodes, fits) and len(found) == len(nodes) - len(set(roots(nodes, fits).values()))
+
+
+def test_cells_of_near_copies_are_searched_in_time():
+    rng = np.random.default_rng(6)
+    base = rng.choice(1 << 40, 200, replace=False)
+    sets = []
+    for k in range(3000):
+        one = base.copy()
+        one[rng.integers(0, 200, 5)] = (1 << 41) + 5 * k + np.arange(5)
+        sets.append(np.unique(one))
+    start = time.perf_counter()
+    assert len(jaccard.search(sets)) == 2999 and time.perf_counter() - start < 15
