@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark import schemas
-from docspark.operators import chunking, context, evaluate, extract, kb, stats, vectors
+from docspark.operators import changes, chunking, context, evaluate, extract, kb, stats, vectors
 from docspark.session import stage
 from docspark.sources import files, store, tables
 
 
 # Fixed value: columns of the stored pages.
 MARKDOWN = "source_path string, output_path string, markdown string"
+DIGESTS = "source_path string, id string, digest string"
 
 
 @dataclass(frozen=True)
@@ -66,9 +67,13 @@ def index_rows(documents: DataFrame, chunks: DataFrame, encoder: Encoder) -> Dat
 
 
 def replace_vectors(rows: DataFrame, paths: DataFrame, index_path: str) -> None:
-    """Put vector rows in place of all those of the given paths (source_path)."""
+    """Put vector rows in place of all those of the given paths (source_path).
+
+    A later `refresh_index` takes them as unknown and encodes these paths again.
+    """
     keyed = rows.withColumn("source_path", F.col("metadata.source_path"))
-    store.replace(index_path, {"vectors": (keyed, keyed.schema)}, paths, "source_path")
+    unknown = rows.sparkSession.createDataFrame([], DIGESTS)
+    store.replace(index_path, {"vectors": (keyed, keyed.schema), "digests": (unknown, DIGESTS)}, paths, "source_path")
 
 
 def read_index(spark, index_path: str, encoder: Encoder) -> DataFrame:
@@ -78,6 +83,37 @@ def read_index(spark, index_path: str, encoder: Encoder) -> DataFrame:
     return store.read(spark, index_path, "vectors", schema).drop("source_path")
 
 
+def refresh_index(documents: DataFrame, chunks: DataFrame, encoder: Encoder, index_path: str, paths: DataFrame) -> DataFrame:
+    """Bring the stored vectors of `paths` (source_path) to the given documents and chunks; what changed.
+
+    Only chunks whose text is new or different are encoded, and only vectors of documents with a change are
+    written; vectors of another encoder are all different. Digests are stored beside the vectors, so finding what
+    changed reads no vector. Returns (source_path, id, change).
+    """
+    spark = documents.sparkSession
+    facts = F.lit("|".join(f"{k}={v}" for k, v in sorted(encoder.properties().items())))
+    rows = vectors.vector_rows(kb.kb_rows(documents, chunks), encoder.backend, encoder.properties())
+    rows = stage(rows.withColumn("source_path", F.col("metadata.source_path")))
+    keyed = rows.select("source_path", "id", F.concat_ws("|", "document", facts).alias("document"))
+    now = changes.leaves(keyed, store.BUCKETS)
+    digests = now.select("source_path", "id", "digest")
+    wanted = paths.select("source_path").distinct()
+    before = store.read(spark, index_path, "digests", DIGESTS).join(wanted, "source_path", "left_semi")
+    before = before.withColumn("bucket", F.pmod(F.xxhash64("source_path"), F.lit(store.BUCKETS)).cast("int"))
+    found = stage(changes.leaf_changes(now, before.select(*changes.LEAF)))
+    touched = found.where(F.col("change") != changes.KEPT).select("source_path").distinct()
+    fresh = rows.join(found.where(F.col("change").isin(changes.ADDED, changes.CHANGED)).select("id"), "id", "left_semi")
+    encoded = vectors.embed(fresh, "document", encoder.make, encoder.dim, encoder.batch_size)
+    # the chunks around them take their vector along, with the facts of this run
+    kept = rows.join(touched, "source_path", "left_semi").join(found.where(F.col("change") == changes.KEPT).select("id"), "id", "left_semi")
+    old = store.read(spark, index_path, "vectors", encoded.schema).select(F.col("id").alias("_id"), "embedding")
+    carried = kept.join(old, F.col("id") == F.col("_id")).drop("_id").select(*encoded.columns)
+    new = encoded.unionByName(carried)
+    of_touched = digests.join(touched, "source_path", "left_semi")
+    store.replace(index_path, {"vectors": (new, new.schema), "digests": (of_touched, DIGESTS)}, touched, "source_path")
+    return found
+
+
 def search(
     questions: DataFrame, index: DataFrame, encoder: Encoder, k: int,
     max_context_chars: int = context.MAX_CONTEXT_CHARS,
@@ -148,8 +184,7 @@ def run_pipeline(
         documents, chunks = (
             t.join(paths, "source_path", "left_semi") for t in tables.read_kb(spark, kb_path)
         )
-        rows = index_rows(documents, chunks, encoder)
-        replace_vectors(rows, paths, index_path)
+        refresh_index(documents, chunks, encoder, index_path, paths)
 
     timings.stage("convert", convert)
     timings.stage("ingest", ingest)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import chunking, kb, vectors
+from docspark.operators import changes, chunking, kb, vectors
 from docspark.plans import flows
 from docspark.session import checkpoint_dir, stage
 from docspark.sources import tables
@@ -273,3 +273,28 @@ def index_incremental(spark: SparkSession, sf: str) -> DataFrame:
         documents, chunks = flows.knowledge_base(stage(found))
         flows.replace_vectors(flows.index_rows(documents, chunks, encoder), documents, path)
     return flows.read_index(spark, path, encoder).select("id", F.get("embedding", F.lit(0)).cast("double").alias("length"))
+
+
+_SAME_COLUMNS = "t(kid, nome_software, source_path, chunk_ordem, subchunk_ordem, subchunk_total, hierarquia, titulo, conteudo_texto, h, i, ch, ci, block_no, id)"
+
+
+@query(
+    "index_changes",
+    _REPLACED_SQL
+    + f""", old AS (SELECT * FROM (SELECT *, {_VECTOR_ID} AS id FROM kb) {_SAME_COLUMNS}),
+ new AS (SELECT source_path, id, conteudo_texto FROM old WHERE source_path NOT IN (SELECT source_path FROM fresh)
+  UNION ALL SELECT source_path, 'id_' || sha256(source_path || '|chunk_1|sub_1'), '# New' || chr(10) || source_path FROM fresh)
+ SELECT coalesce(n.source_path, o.source_path) AS source_path, coalesce(n.id, o.id) AS id,
+  CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.conteudo_texto = n.conteudo_texto THEN 'kept' ELSE 'changed' END AS change
+ FROM new n FULL JOIN old o ON o.id = n.id""",
+)
+def index_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What an index of all documents needs once the labelled ones have a new text."""
+
+    def leaves(rows: DataFrame) -> DataFrame:
+        id_ = vectors.vector_id(F.col("source_path"), F.col("chunk_ordem"), F.col("subchunk_ordem"), kb.block_label())
+        return rows.select("source_path", id_.alias("id"), F.col("conteudo_texto").alias("document"))
+
+    stored, fresh = stage(leaves(_rows(spark, sf))), stage(leaves(kb.rows_of_records(_fresh_records(spark, sf, _new_text()))))
+    now = stored.join(fresh.select("source_path").distinct(), "source_path", "left_anti").unionByName(fresh)
+    return changes.index_changes(now, stored)
