@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import changes, chunking, kb, vectors
+from docspark.operators import changes, chunking, kb, postings, vectors
 from docspark.plans import flows
 from docspark.session import checkpoint_dir, stage
 from docspark.sources import tables
@@ -120,6 +120,31 @@ def term_search(spark: SparkSession, sf: str) -> DataFrame:
     return kb.search_term(_rows(spark, sf), "TOPIC 1", 10)
 
 
+def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    path = f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
+    postings.store(postings.number(stage(_rows(spark, sf))), path)
+    return postings.read(spark, path)
+
+
+@query(
+    "term_search_indexed",
+    KB_ALL_SQL
+    + " UNION ALL ".join(
+        f"""{" " if i else " "}(SELECT '{term}' AS term, id, nome_software, hierarquia, titulo, substr(conteudo_texto, 1, 800) || CASE WHEN len(conteudo_texto) > 800 THEN '...' ELSE '' END AS trecho
+ FROM kb WHERE titulo ILIKE '%{term}%' OR conteudo_texto ILIKE '%{term}%' ORDER BY source_path, block_no, chunk_ordem, subchunk_ordem LIMIT 10)"""
+        for i, term in enumerate(("TOPIC 1", "t_pic%2", "to"))
+    ),
+)
+def term_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The term search over a stored trigram index: a plain term, one with wildcards, one too short for the index."""
+    rows, lists = _indexed(spark, sf)
+    found = None
+    for term in ("TOPIC 1", "t_pic%2", "to"):
+        hits = postings.search_term(rows, lists, term, 10).select(F.lit(term).alias("term"), "*")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 @query(
     "kb_stats",
     KB_ALL_SQL
