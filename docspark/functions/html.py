@@ -308,7 +308,7 @@ def decode_entities(c: Column) -> Column:
 
     def named(t: Column) -> Column:
         for name, char in ENTITIES:
-            t = F.regexp_replace(t, f"&{name};", char.replace("\\", "\\\\").replace("$", "\\$"))
+            t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
         return t
 
     return bind(

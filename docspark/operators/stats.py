@@ -201,6 +201,10 @@ def _label(c: str, default: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(c)
 
 
+#: Combinations of labels of a dense summary at most; a summary of more is an error.
+MAX_COMBINATIONS = 1_000_000
+
+
 def group_summary(
     df: DataFrame,
     metrics: Sequence[str],
@@ -223,11 +227,16 @@ def group_summary(
         *[F.lit(0.0).alias(k) for k in ("mean", "ci95_low", "ci95_high", "std")],
         F.lit(0).cast("bigint").alias("n"),
     )
-    # every combination of the labels, which are those of aggregated rows
-    every = per_group.select(F.lit(1).alias("_k"), by[0]).distinct()
-    for c in by[1:]:
-        every = every.join(per_group.select(F.lit(1).alias("_k"), c).distinct(), "_k")
-    found = every.drop("_k").join(per_group, list(by), "left")
+    # every combination of the labels, from one row that holds them
+    labels = per_group.agg(*[F.collect_set(c).alias(c) for c in by])
+    combinations = F.lit(1).cast("double")
+    for c in by:
+        combinations = combinations * F.size(c)
+    too_many = F.raise_error(F.concat(F.lit(f"more than {MAX_COMBINATIONS} combinations of labels: "), combinations.cast("string")))
+    every = labels.where(F.when(combinations <= MAX_COMBINATIONS, F.lit(True)).otherwise(too_many.cast("boolean")))
+    for c in by:
+        every = every.withColumn(c, F.explode(c))
+    found = every.join(per_group, list(by), "left")
     dense = found.select(
         *by,
         F.explode(

@@ -53,18 +53,22 @@ def write_gold(gold: DataFrame, path: str) -> None:
     gold.write.mode("overwrite").json(path)
 
 
-def read_log(spark: SparkSession, path: str, schema: str = schemas.LOG) -> DataFrame:
-    """Result log as CSV with quoted line breaks.
+def read_log(spark: SparkSession, path: str, schema: str = schemas.LOG, fmt: str = "csv") -> DataFrame:
+    """Result log as `csv` with quoted line breaks, or as a table such as `parquet`.
 
     Columns are found by name, so an older log without variants can be read;
-    its rows belong to the production variant.
+    its rows belong to the production variant. A CSV file is read by one task, as
+    a line break may be part of a value; a large log belongs in Parquet, which is split.
     """
-    options = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
-    raw = spark.read.options(**options).csv(path)
+    if fmt == "csv":
+        options = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+        raw = spark.read.options(**options).csv(path)
+    else:
+        raw = spark.read.option("mergeSchema", "true").format(fmt).load(path)
     typed = align_schema(
         raw.select(
             *[
-                F.nullif(c, F.lit("")).alias(c)
+                (F.nullif(c, F.lit("")).alias(c) if fmt == "csv" else F.col(c))
                 if c in raw.columns
                 else F.lit(None).cast("string").alias(c)
                 for c in T.StructType.fromDDL(schema).fieldNames()
@@ -91,9 +95,12 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
     flat.write.mode("overwrite").options(header="true", quote='"', escape='"').csv(path)
 
 
-def write_log(log: DataFrame, path: str) -> None:
-    """Result log as CSV, columns in their stored order."""
-    write_csv(log, path, schemas.LOG_COLUMNS)
+def write_log(log: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Result log, columns in their stored order: as `csv`, or as a table that many tasks can read (`parquet`)."""
+    if fmt == "csv":
+        write_csv(log, path, schemas.LOG_COLUMNS)
+    else:
+        log.select(*schemas.LOG_COLUMNS).write.mode("overwrite").format(fmt).save(path)
 
 
 def write_report(df: DataFrame, folder: str, name: str, fmt: str = "csv") -> None:

@@ -208,3 +208,17 @@ def question_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return gold.candidates(_docs(spark, sf)).select(
         "source_path", "section_no", F.sha2(prompt, 256).alias("hash")
     )
+
+
+@query(
+    "written_questions",
+    PICK_SQL
+    + """, asked AS (SELECT *, CASE WHEN ordem % 3 = 0 THEN 'How does number ' || ordem || ' work?' ELSE pergunta END AS q FROM picked)
+ SELECT 'q_' || left(sha256(source_path || '|' || secao || '|' || q), 16) AS id, q AS pergunta, source_path, secao, ordem FROM asked""",
+)
+def written_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the questions gets a valid reply, a third one that is too short, the rest none."""
+    rows = gold.build_gold(_docs(spark, sf), TARGET, SEED)
+    reply = F.when(F.col("ordem") % 3 == 0, F.concat(F.lit('"How does number  '), F.col("ordem").cast("string"), F.lit(' work"'))).otherwise("Why?")
+    written = rows.where("ordem % 3 < 2").select("id", reply.alias("reply"))
+    return gold.with_written_questions(rows, written).select("id", "pergunta", "source_path", "secao", "ordem")

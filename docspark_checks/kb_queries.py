@@ -12,7 +12,7 @@ from docspark.plans import flows
 from docspark.session import checkpoint_dir, stage
 from docspark.sources import tables
 from docspark.streaming import ingest
-from docspark_checks import chunk_queries, fixtures
+from docspark_checks import chunk_queries, fixtures, page_queries
 from docspark_checks.chunk_queries import RECORDS_SQL, records
 from docspark_checks.fixtures import duck
 from docspark_checks.registry import query, table
@@ -323,3 +323,18 @@ def index_changes(spark: SparkSession, sf: str) -> DataFrame:
     stored, fresh = stage(leaves(_rows(spark, sf))), stage(leaves(kb.rows_of_records(_fresh_records(spark, sf, _new_text()))))
     now = stored.join(fresh.select("source_path").distinct(), "source_path", "left_anti").unionByName(fresh)
     return changes.index_changes(now, stored)
+
+
+@query("documentation_run", "SELECT 'document' AS kind, count(*) AS n FROM pages UNION ALL SELECT 'without vector', 0")
+def documentation_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of pages converted, ingested and encoded: a document for each page, a vector for each chunk."""
+    out = [f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("markdown", "kb", "index")]
+    encoder = flows.Encoder(_lengths, 2, "lengths")
+    stamp = F.lit(_STAMP).cast("timestamp")
+    flows.run_pipeline(spark, page_queries.page_folder(spark, sf), *out, encoder, stamp, chunk_queries.CONFIG)
+    documents, chunks = tables.read_kb(spark, out[1])
+    index = flows.read_index(spark, out[2], encoder).select("id")
+    id_ = vectors.vector_id(F.col("source_path"), F.col("chunk_ordem"), F.col("subchunk_ordem"), kb.block_label())
+    without = chunks.select(id_.alias("id")).join(index, "id", "left_anti")
+    counted = documents.select("source_path").distinct().agg(F.count("*").alias("n")).select(F.lit("document").alias("kind"), "n")
+    return counted.unionByName(without.agg(F.count("*").alias("n")).select(F.lit("without vector").alias("kind"), "n"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions import html as h
 from docspark.operators import extract
+from docspark.session import checkpoint_dir
+from docspark.sources import files
 from docspark_checks import fixtures
 from docspark_checks.fixtures import duck
 from docspark_checks.registry import query, text_table
@@ -160,3 +164,18 @@ _TIDY = f"trim(regexp_replace(regexp_replace({_DECODE.format(_FLOW)}, ' {{2,}}',
 def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
     pages = text_table(spark, sf, "pages").select("page_id", "html")
     return extract.to_markdown(pages)
+
+
+def page_folder(spark: SparkSession, sf: str) -> str:
+    """The pages as files of their own below a folder."""
+    path = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    text_table(spark, sf, "pages").select("html", "page_id").repartition(8, "page_id").write.partitionBy("page_id").text(path)
+    return path
+
+
+@query("read_files", "SELECT page_id, sha256(html || chr(10)) AS hash FROM pages")
+def read_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages found again as files of a tree, read whole; files of other kinds and empty ones lie beside them."""
+    raw = files.read_raw(spark, page_folder(spark, sf))
+    page = F.regexp_extract("source_path", r"page_id=(\d+)/", 1).cast("bigint")
+    return raw.select(page.alias("page_id"), F.sha2("raw", 256).alias("hash"))

@@ -574,3 +574,17 @@ _JUDGE_HEAD, _JUDGE_TAIL = (
 def judge_prompt(spark: SparkSession, sf: str) -> DataFrame:
     prompt = prompts.judge_prompt(F.col("role"), F.col("conv_id").cast("string"), F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", prompt.alias("prompt"))
+
+
+@query(
+    "reply_vector",
+    """SELECT vec_id, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS first, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""",
+)
+def reply_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors out of embedding replies, half of them flat and half in a list of one."""
+    numbers = F.col("embedding").cast("array<double>")
+    flat, nested = F.to_json(F.struct(numbers.alias("embedding"))), F.to_json(F.struct(F.array(numbers).alias("embeddings")))
+    answered = table(spark, sf, "embeddings").select("vec_id", F.when(F.col("vec_id") % 2 == 0, flat).otherwise(nested).alias("reply"))
+    found = answered.select("vec_id", replies.reply_vector(F.col("reply")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    return found.select("vec_id", F.size("v").alias("n"), F.get("v", F.lit(0)).alias("first"), total.alias("total"))

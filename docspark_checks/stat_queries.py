@@ -582,19 +582,23 @@ _LOG_TEXT = "'line 1 \"' || event_type || '\"' || chr(10) || 'line, 2 ' || props
  round(value, 6) AS tempo_resposta_s, CASE WHEN event_id % 5 = 0 THEN -1 ELSE event_id END AS tokens, event_id % 3 = 0 AS retrieval_hit FROM events""",
 )
 def log_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Half of the log is stored with variants, half in the older form without that column."""
+    """A quarter of the log is stored as a table, one as CSV, half as CSV in the older form without variants."""
     rows = table(spark, sf, "events").selectExpr(
         "event_id", "'q' || event_id AS id", f"{_LOG_TEXT.replace('chr(10)', 'char(10)')} AS resposta", "event_type AS modelo",
         "'v' || user_id AS variacao_retrieval", "round(value, 6) AS tempo_resposta_s",
         "CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS tokens", "event_id % 3 = 0 AS retrieval_hit",
     )
     full = store.align_schema(rows.where("event_id % 2 = 1"), schemas.LOG)
-    new, old = _scratch(spark, "log"), _scratch(spark, "log")
-    tables.write_log(full, new)
+    stored, new, old = _scratch(spark, "log"), _scratch(spark, "log"), _scratch(spark, "log")
+    first = F.substring("id", 2, 20).cast("bigint") % 4 == 1
+    tables.write_log(full.where(first), stored, "parquet")
+    tables.write_log(full.where(~first), new, "csv")
     older = [c for c in schemas.LOG_COLUMNS if c != "variacao_retrieval"]
     tables.write_csv(store.align_schema(rows.where("event_id % 2 = 0"), schemas.LOG), old, older)
-    both = tables.read_log(spark, new).unionByName(tables.read_log(spark, old))
-    return both.select(
+    all_ = tables.read_log(spark, stored, fmt="parquet")
+    for path in (new, old):
+        all_ = all_.unionByName(tables.read_log(spark, path, fmt="csv"))
+    return all_.select(
         "id", "resposta", "modelo", "variacao_retrieval", "tempo_resposta_s",
         F.coalesce("tokens", F.lit(-1)).alias("tokens"), "retrieval_hit",
     )

@@ -29,32 +29,34 @@ def test_headers(many):
 
 
 def test_title_lines(many):
-    lines = ["AutoCAD (Autodesk)", "Ends with dot.", "1234", "x" * 81, "a b c d e f g h i j k l", ""]
+    lines = ["Seed list (spring)", "Ends with dot.", "1234", "x" * 81, "a b c d e f g h i j k l", ""]
     assert many(md.looks_like_title, lines) == [True, False, False, False, False, False]
 
 
-GARDEN = """2. Kitchen garden
+GARDEN = """7. Orchard
+Planted in 1998.
 
-2.1. Beds
-
-2.1.1. When to dig
-Not in frost, and not after a week of rain.
-2.1.2. What to leave
-    Worms.
+7.1. Apples
+Two rows, the old kinds.
+    Late ones keep.
+7.2. Pears
+One by the wall.
+Never pruned.
 
 # Tools
 A spade lasts longer if it hangs.
+## Ladders
+Lean, never hook.
 """
 
 
 def test_numbered_document(spark):
-    dig, leave, tools = records(spark, GARDEN, config=ChunkConfig(keep_text=False))
-    assert (dig["nome_software"], dig["titulo"], dig["hierarquia"]) == ("Kitchen garden", "When to dig", "2.1.1 - Beds")
-    assert leave["texto"] == "2.1.2. What to leave\n    Worms." and leave["chunk_ordem"] == 2
-    assert leave["conteudo_hash"] == hashlib.sha256(leave["texto"].encode()).hexdigest()
-    assert leave["ingestao_em"] == "2026-07-04T12:00:00Z"
-    # the second block has no header of the chunk level: packed as a whole
-    assert (tools["nome_software"], tools["hierarquia"], tools["last_block"]) == ("Tools", "Chunk 1", 2)
+    apples, pears, ladders = records(spark, GARDEN, config=ChunkConfig(keep_text=False))
+    assert (apples["nome_software"], apples["titulo"], apples["hierarquia"]) == ("Orchard", "Apples", "7.1 - Apples")
+    assert pears["texto"] == "7.2. Pears\nOne by the wall.\nNever pruned." and pears["chunk_ordem"] == 2
+    assert pears["conteudo_hash"] == hashlib.sha256(pears["texto"].encode()).hexdigest()
+    assert pears["ingestao_em"] == "2026-07-04T12:00:00Z"
+    assert (ladders["nome_software"], ladders["titulo"], ladders["last_block"]) == ("Tools", "Ladders", 2)
 
 
 LOST = """Preface line.
@@ -85,11 +87,11 @@ def test_no_line_is_lost_by_default(spark):
 
 
 def test_parts_of_a_long_chunk_are_numbered(spark):
-    answer = "Water early in the day, so that leaves dry before night. Mulch keeps what you pour where it should be. " * 7
-    rows = records(spark, f"3. Summer\n\n3.1. Water\n\n3.1.4. How much\n{answer}\n", config=ChunkConfig(200, 1, False))
-    assert len(rows) > 3 and max(len(r["texto"]) for r in rows) <= 200
+    facts = " ".join(f"Bed {i} gets {i + 3} cans." for i in range(40))
+    rows = records(spark, f"# Summer\nHot.\n## Water\n{facts}\n", config=ChunkConfig(120, 2, False))
+    assert len(rows) > 3 and max(len(r["texto"]) for r in rows) <= 120
     assert [(r["subchunk_ordem"], r["subchunk_total"]) for r in rows] == [(i, len(rows)) for i in range(1, len(rows) + 1)]
-    assert rows[1]["hierarquia"] == f"3.1.4 - Water | Parte 2/{len(rows)}"
+    assert all(r["hierarquia"].endswith(f" | Parte {i}/{len(rows)}") for i, r in enumerate(rows, 1))
 
 
 def test_a_plain_title_opens_a_block(spark):

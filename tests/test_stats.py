@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark import schemas
 from docspark.operators import evaluate, stats
 from docspark.plans import flows
-from docspark.sources import tables
+from docspark.sources import store, tables
 
 
 @pytest.fixture(scope="module")
@@ -216,3 +216,25 @@ def test_result_log_has_its_columns_and_survives_storage(spark, tmp_path):
     again = evaluate.metrics_from_log(back, gold).collect()
     assert {(r["tokens"], r["retrieved_rank"], r["mrr"], r["hit_rate_at_1"], r["precision_at_k"]) for r in again} == {(15, 2, 0.5, 0.0, 0.5)}
     assert {r["similaridade_media_chunks"] for r in again} == {0.75}
+
+
+def test_a_log_as_a_table_is_split(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(f"q{i}", "a\nb", i) for i in range(40)], "id string, resposta string, tokens int").repartition(4)
+    tables.write_log(store.align_schema(rows, schemas.LOG), path, "parquet")
+    back = tables.read_log(spark, path, fmt="parquet")
+    assert back.count() == 40 and back.first()["resposta"] == "a\nb" and back.rdd.getNumPartitions() > 1
+    older = str(tmp_path / "older")
+    rows.drop("tokens").write.parquet(older)
+    assert {r["variacao_retrieval"] for r in tables.read_log(spark, older, fmt="parquet").collect()} == {"production"}
+
+
+def test_a_dense_summary_has_a_bound(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"v{i}", f"m{i}", 1.0) for i in range(12)], "variacao_retrieval string, modelo string, x double")
+    dense = stats.group_summary(rows, ["x"], "g")
+    assert dense.count() == 144
+    plan = dense._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    monkeypatch.setattr(stats, "MAX_COMBINATIONS", 100)
+    with pytest.raises(Exception, match="more than 100 combinations"):
+        stats.group_summary(rows, ["x"], "g").collect()
