@@ -11,7 +11,7 @@ from docspark.operators import changes, chunking, kb, postings, vectors
 from docspark.plans import flows
 from docspark.session import checkpoint_dir, stage
 from docspark.sources import tables
-from docspark.streaming import ingest
+from docspark.streaming import ingest, newest
 from docspark_checks import chunk_queries, fixtures, page_queries
 from docspark_checks.chunk_queries import RECORDS_SQL, records
 from docspark_checks.fixtures import duck
@@ -338,3 +338,27 @@ def documentation_run(spark: SparkSession, sf: str) -> DataFrame:
     without = chunks.select(id_.alias("id")).join(index, "id", "left_anti")
     counted = documents.select("source_path").distinct().agg(F.count("*").alias("n")).select(F.lit("document").alias("kind"), "n")
     return counted.unionByName(without.agg(F.count("*").alias("n")).select(F.lit("without vector").alias("kind"), "n"))
+
+
+@query("newest_replay", "SELECT user_id, epoch_us(max(ts)) AS newest, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id")
+def newest_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest event of every user out of a stream that brings the events in another order, four files one by one."""
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id")
+    base = f"{checkpoint_dir(spark)}/replay-{uuid.uuid4().hex}"
+    shuffled = events.repartition(4, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64(F.lit(1), "event_id"))
+    shuffled.write.parquet(f"{base}/in")
+    settings = (newest.STATE_STORE, ("spark.sql.shuffle.partitions", "4"))
+    before = {k: spark.conf.get(k, None) for k, _ in settings}
+    try:
+        for k, v in settings:
+            spark.conf.set(k, v)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        writer = newest.newest_by_key(stream, "user_id", "ts", "36500 days").writeStream.outputMode("update")
+        writer = writer.foreachBatch(lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{base}/out"))
+        writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    found = spark.read.schema("user_id bigint, ts timestamp, event_id bigint, batch bigint").parquet(f"{base}/out")
+    last = kb.latest_wins(found, ["user_id"], [F.col("batch")]).select("user_id", F.unix_micros("ts").alias("newest"))
+    return last.join(events.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
