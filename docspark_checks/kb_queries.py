@@ -343,7 +343,7 @@ def documentation_run(spark: SparkSession, sf: str) -> DataFrame:
 @query("newest_replay", "SELECT user_id, epoch_us(max(ts)) AS newest, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id")
 def newest_replay(spark: SparkSession, sf: str) -> DataFrame:
     """The newest event of every user out of a stream that brings the events in another order, four files one by one."""
-    events = table(spark, sf, "events").select("user_id", "ts", "event_id")
+    events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     base = f"{checkpoint_dir(spark)}/replay-{uuid.uuid4().hex}"
     shuffled = events.repartition(4, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64(F.lit(1), "event_id"))
     shuffled.write.parquet(f"{base}/in")
@@ -360,5 +360,7 @@ def newest_replay(spark: SparkSession, sf: str) -> DataFrame:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = spark.read.schema("user_id bigint, ts timestamp, event_id bigint, batch bigint").parquet(f"{base}/out")
-    last = kb.latest_wins(found, ["user_id"], [F.col("batch")]).select("user_id", F.unix_micros("ts").alias("newest"))
+    # since 1970 on the clock of the session, as the table has times without a zone
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    last = kb.latest_wins(found, ["user_id"], [F.col("batch")]).select("user_id", micros.alias("newest"))
     return last.join(events.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
