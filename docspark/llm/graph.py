@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.session import unstage
+
+
+def unread(*frames: DataFrame) -> None:
+    """Delete what was stored for frames that no later step reads."""
+    unstage(*[f for f in frames if hasattr(f, "staged_at")])
+
 
 def components(edges: DataFrame, stored) -> DataFrame:
     """(node, root) of every node that has an edge to another, root being the component's smallest node.
@@ -12,7 +19,8 @@ def components(edges: DataFrame, stored) -> DataFrame:
     `edges` has columns a, b of type long. Each round first hangs the larger neighbours of every node on
     the smallest one, then the node's smaller neighbours and itself; when nothing changes, all nodes hang
     on their root. The number of rounds grows with the logarithm of the longest path. `stored` writes a
-    table and reads it back; only a count and a checksum of the edges reach the driver.
+    table and reads it back; only a count and a checksum of the edges reach the driver. What a round has
+    stored is deleted as soon as the next has read it.
     """
 
     def mark(rows: DataFrame) -> tuple:
@@ -27,9 +35,11 @@ def components(edges: DataFrame, stored) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large)
+        unread(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        unread(large)
         before, state = state, mark(edges)
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
