@@ -376,7 +376,11 @@ def topic_records(
     any text gives no record, or with `empty_blocks` one whose text is null, so
     that its document is not lost.
     """
-    r = regions(docs, config.keep_text)
+    return records_of_regions(regions(docs, config.keep_text), config, ingested_at, empty_blocks)
+
+
+def records_of_regions(r: DataFrame, config: ChunkConfig, ingested_at: Column, empty_blocks: bool = False) -> DataFrame:
+    """Chunk records of the regions of documents."""
     explode = F.posexplode_outer if empty_blocks else F.posexplode
     numbered = explode(
         _region_pieces("kind", "content", config.max_chars, config.overlap)

@@ -15,6 +15,7 @@ __all__ = ["ORACLES", "QUERIES"]
 # Columns that a twin computes with 32 bits; results have 64 throughout.
 _NARROW = {
     "subchunk_numbering": ("block_no",),
+    "long_document_records": ("block_no",),
     "fallback_chunks": ("block_no",),
     "software_blocks": ("block_no",),
     "whole_documents": ("block_no",),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark.functions import markdown as md
 from docspark.functions import text as tx
 from docspark.functions.fold import bind
-from docspark.operators import chunking
+from docspark.operators import chunking, long_documents
 from docspark_checks import fixtures
 from docspark_checks.registry import query, text_table
 
@@ -423,3 +423,16 @@ def whole_documents(spark: SparkSession, sf: str) -> DataFrame:
     names = [c.strip() for c in _RECORD_COLUMNS.split(",")]
     stamp = F.lit(STAMP).cast("timestamp")
     return chunking.whole_documents(docs, CONFIG, stamp).select(*names)
+
+
+@query(
+    "long_document_records",
+    RECORDS_SQL
+    + f" SELECT {_RECORD_COLUMNS}, sha256(texto) AS conteudo_hash, '2026-01-01T00:00:00Z' AS ingestao_em FROM topics",
+)
+def long_document_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The records of documents given as tables of lines, in segments of 16 lines."""
+    lines = chunking.lines(fixtures.markdown(spark, sf).select("source_path", "text"))
+    names = [c.strip() for c in _RECORD_COLUMNS.split(",")]
+    found = long_documents.topic_records(lines, CONFIG, F.lit(STAMP).cast("timestamp"), segment_lines=16)
+    return found.select(*names, "conteudo_hash", "ingestao_em")
