@@ -55,6 +55,8 @@ FILTER_BLOCKS = 1 << 17
 CELL_SHINGLES = 1 << 20
 #: Rows of one shingle's list that a task holds at once, or of each of two parts.
 LIST_CLASSES = 1 << 15
+#: Sets of fitting size beyond which a set is first compared with its neighbours in a cell.
+CROWD = 64
 _SKETCH = 64
 _AGREE = 30  # of 64; linked sets agree on 54 in the mean, unrelated ones on 16
 
@@ -188,14 +190,20 @@ def search(sets: list[np.ndarray], sides: list[int] | None = None) -> list[tuple
         size = sizes[x]
         smallest = -(-PERCENT * size // 100)
         low = bisect_left(sizes, smallest)
-        # near copies mostly link to the sets just before; if that joins all that could fit, there is nothing to search
-        for y in range(max(low, x - 3), x) if sides is None else ():
-            if forest.of[x] != forest.of[y] and overlap(x, y) >= need(size, sizes[y]) and forest.join(x, y):
-                links.append((order[x], order[y]))
-        if sides is None and (forest.of[low:x] == forest.of[x]).all():
-            for token in mine.tolist():
-                lists[token].append(x)
-            continue
+        # among many near copies a set links to those just before, and few that could fit are then in other components:
+        # these are compared by themselves, as a merge of all lists would find all copies again
+        if sides is None and x - low > CROWD:
+            for y in range(x - 3, x):
+                if forest.of[x] != forest.of[y] and overlap(x, y) >= need(size, sizes[y]) and forest.join(x, y):
+                    links.append((order[x], order[y]))
+            others = np.flatnonzero(forest.of[low:x] != forest.of[x]) + low
+            if len(others) <= CROWD:
+                for y in others.tolist():
+                    if overlap(x, y) >= need(size, sizes[y]) and forest.join(x, y):
+                        links.append((order[x], order[y]))
+                for token in mine.tolist():
+                    lists[token].append(x)
+                continue
         t = need(size, smallest)
         active, kept = [], []
         for token in mine.tolist():
