@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from functools import reduce
 from operator import or_
 
@@ -437,6 +439,58 @@ def choose(
     return stage(chosen.select("draw", *short, place.alias("ordem")))
 
 
+def _greedy(rows: list[tuple[str, str, str]], sizes: dict[str, int], target: int, per_source: int) -> list[str]:
+    """Draws in the order of the choice, from (class, draw, source) by falling priority of the draw.
+
+    A queue holds the classes: who has had fewer turns comes first, then the larger class. A class gives its first
+    row whose source is not used up; if all of its sources are, its first row.
+    """
+    waiting: dict[str, list[tuple[str, str]]] = {}
+    for kind, draw, source in sorted(rows):
+        waiting.setdefault(kind, []).append((draw, source))
+    queue = [(0, -sizes[kind], kind) for kind in waiting]
+    heapq.heapify(queue)
+    used: Counter[str] = Counter()
+    out: list[str] = []
+    while queue and len(out) < target:
+        turns, size, kind = heapq.heappop(queue)
+        mine = waiting[kind]
+        at = next((i for i, (_, source) in enumerate(mine) if used[source] < per_source), 0)
+        draw, source = mine.pop(at)
+        used[source] += 1
+        out.append(draw)
+        if mine:
+            heapq.heappush(queue, (turns + 1, size, kind))
+    return out
+
+
+def choose_in_turns(
+    found: DataFrame, target: int, seed: int = 42, per_source: int = PER_SOURCE
+) -> DataFrame:
+    """As `choose`, but turn by turn: what one class takes of a source counts for all others.
+
+    Of each class, 2 * target rows decide: the first ones with at most `per_source` of a source, as no more than
+    `target` of them can be passed over for sources that other classes use up, and the first ones of any source,
+    for a class whose sources are all used up. These, six classes of 4 * target short rows at most, go to the
+    driver; every ranking is cut before its shuffle.
+    """
+    if target <= 0:
+        raise ValueError("target must be above zero")
+
+    def first_n(df: DataFrame, by: list[str], n: int) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("draw")
+        return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+    short = ("source_path", "section_no", "secao", "categoria", "pergunta")
+    keys = stage(first_n(found.select(_draw(seed).alias("draw"), *short), ["pergunta"], 1))
+    within = first_n(first_n(keys, ["categoria", "source_path"], per_source), ["categoria"], 2 * target)
+    pool = within.unionByName(first_n(keys, ["categoria"], 2 * target)).select("categoria", "draw", "source_path").distinct()
+    sizes = {r["categoria"]: r["count"] for r in keys.groupBy("categoria").count().collect()}
+    order = _greedy([tuple(r) for r in pool.collect()], sizes, target, per_source)
+    places = found.sparkSession.createDataFrame([(d, i) for i, d in enumerate(order, 1)], "draw string, ordem int")
+    return keys.join(F.broadcast(places), "draw").select("draw", *short, "ordem")  # `target` rows
+
+
 def _chosen_rows(found: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
     # the choice has at most `target` rows
     keys = F.broadcast(chosen.select("draw", "ordem"))

@@ -222,3 +222,9 @@ def written_questions(spark: SparkSession, sf: str) -> DataFrame:
     reply = F.when(F.col("ordem") % 3 == 0, F.concat(F.lit('"How does number  '), F.col("ordem").cast("string"), F.lit(' work"'))).otherwise("Why?")
     written = rows.where("ordem % 3 < 2").select("id", reply.alias("reply"))
     return gold.with_written_questions(rows, written).select("id", "pergunta", "source_path", "secao", "ordem")
+
+
+@query("pick_in_turns")
+def pick_in_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The choice turn by turn, in which a source that one class uses up is passed over by the others."""
+    return gold.choose_in_turns(gold.candidates(_docs(spark, sf)), TARGET, SEED).drop("draw")

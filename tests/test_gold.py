@@ -1,4 +1,5 @@
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -132,3 +133,36 @@ def test_sections_need_no_shuffle(spark):
     plan = gold.candidates(docs(spark, {"a.md": MANUAL}))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert paths is not None
+
+
+@pytest.mark.parametrize("target,per_source", [(1, 2), (7, 1), (25, 2), (60, 2), (500, 3)])
+def test_choice_in_turns_equals_a_greedy_over_all_rows(spark, target, per_source):
+    rng = random.Random(target)
+    kinds = ["k1"] * 6 + ["k2"] * 3 + ["k3"]
+    rows = [(f"p{min(rng.randrange(12), 9) if rng.random() < 0.7 else 0}", i, f"s{i}", rng.choice(kinds), f"q{rng.randrange(150)}") for i in range(220)]
+    found = spark.createDataFrame(rows, "source_path string, section_no int, secao string, categoria string, pergunta string")
+    drawn = {r["section_no"]: r["d"] for r in found.select("section_no", gold._draw(5).alias("d")).collect()}
+    first = {}
+    for r in sorted(rows, key=lambda r: drawn[r[1]]):
+        first.setdefault(r[4], r)
+    groups = {}
+    for r in sorted(first.values(), key=lambda r: drawn[r[1]]):
+        groups.setdefault(r[3], []).append(r)
+    order = sorted(groups, key=lambda k: (-len(groups[k]), k))
+    want, used = [], {}
+    while len(want) < target and any(groups.values()):
+        for k in order:
+            if groups[k] and len(want) < target:
+                at = next((i for i, r in enumerate(groups[k]) if used.get(r[0], 0) < per_source), 0)
+                r = groups[k].pop(at)
+                used[r[0]] = used.get(r[0], 0) + 1
+                want.append(r[1])
+    got = gold.choose_in_turns(found, target, 5, per_source).orderBy("ordem").collect()
+    assert [r["section_no"] for r in got] == want and [r["ordem"] for r in got] == list(range(1, len(want) + 1))
+
+
+def test_choice_in_turns_of_nothing(spark):
+    empty = spark.createDataFrame([], "source_path string, section_no int, secao string, categoria string, pergunta string")
+    assert gold.choose_in_turns(empty, 5).count() == 0
+    with pytest.raises(ValueError):
+        gold.choose_in_turns(empty, 0)
