@@ -328,9 +328,30 @@ def segments(html: Column, *tags: str) -> Column:
     """Page cut at its outermost `tags`: ``array<struct<tag, html>>``.
 
     Text between them carries the tag ''. Pages without any of the tags stay
-    in one piece and are not tokenised.
+    in one piece. Elements that hold none of the tags and have their end are cut by one regular expression; only
+    pages with others, with comments or with a bracket inside a tag are tokenised.
     """
-    whole = F.array(F.struct(F.lit("").alias("tag"), html.alias("html")))
+    names = "|".join(tags)
+    element = rf"(?is)<({names})(?=[\s/>])[^>]*(?<!/)>.*?</\1\s*>"
+    either = rf"(?i)</?(?:{names})(?=[\s/>])"
+
+    def by_expression(page: Column) -> Column:
+        def piece(tag: Column, part: Column) -> Column:
+            return F.struct(tag.alias("tag"), part.alias("html"))
+
+        def interleaved(d: Column) -> Column:
+            parts = F.transform(
+                d["gaps"],
+                lambda g, j: F.when(
+                    j < F.size(d["found"]),
+                    F.array(piece(F.lit(""), g), bind(F.get(d["found"], j), lambda f: piece(F.lower(F.regexp_extract(f, "^<([a-zA-Z]+)", 1)), f))),
+                ).otherwise(F.array(piece(F.lit(""), g))),
+            )
+            plain = ~page.contains("<!--") & ~page.rlike("<[!?/a-zA-Z][^<>]*<")
+            plain = plain & F.forall(d["gaps"], lambda g: ~g.rlike(either)) & F.forall(d["found"], lambda f: F.regexp_count(f, F.lit(either)) == 2)
+            return F.when(plain, F.flatten(parts)).otherwise(cut(page))
+
+        return bind(F.struct(F.regexp_extract_all(page, F.lit(element), 0).alias("found"), F.split(page, element, -1).alias("gaps")), interleaved)
 
     def cut(page: Column) -> Column:
         def parts(d: Column) -> Column:
@@ -382,9 +403,9 @@ def segments(html: Column, *tags: str) -> Column:
 
     return bind(
         html,
-        lambda page: F.when(page.rlike(r"(?i)<(?:" + "|".join(tags) + r")(?=[\s/>])"), cut(page)).otherwise(
-            F.array(F.struct(F.lit("").alias("tag"), page.alias("html")))
-        ),
+        lambda page: F.when(
+            ~page.rlike(rf"(?i)<(?:{names})(?=[\s/>])"), F.array(F.struct(F.lit("").alias("tag"), page.alias("html")))
+        ).otherwise(by_expression(page)),
     )
 
 
