@@ -59,3 +59,11 @@ def test_nulls_ties_repeated_rows_and_empty_log(spark):
     assert [tuple(t) for t in got[None]["turns"]] == [("", "a"), ("user", "b")]
     assert [tuple(t) for t in got[3]["turns"]] == [("user", "c")] * 2
     assert rendered(spark, []) == {}
+
+
+def test_extra_columns_with_the_names_used_inside(spark):
+    events = [(1, 0, 0, 0, "delta", "user", "a"), (1, 1, 0, 1, "delta", "assistant", "b")]
+    names = ["formatted", "loss", "turns", "n_turns", "body"]
+    rows = spark.createDataFrame([(*e, *names) for e in events], SCHEMA + "".join(f", {n} string" for n in names))
+    plain = spark.createDataFrame(events, SCHEMA)
+    assert [tuple(r) for r in chat.render(chat.fold(rows)).collect()] == [tuple(r) for r in chat.render(chat.fold(plain)).collect()]

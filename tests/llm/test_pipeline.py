@@ -80,3 +80,20 @@ def test_run_over_the_table(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert rows.count() > 100
+
+
+def test_stages_take_extra_columns_with_the_names_used_inside(spark):
+    """Whatever else a table holds comes through the filtering stages unchanged."""
+    extra = ["row", "key", "_bits", "_block", "copied", "class", "size", "_order", "picked", "id"]
+    texts = list(corpus(seed=21, n=20).items()) + [(None, corpus(seed=21, n=20)[0]), (None, None)]
+    rows = [(i, t, "en", f"s{n % 3}", len(t or ""), *[f"{c}{n}" for c in extra]) for n, (i, t) in enumerate(texts)]
+    schema = SCHEMA + "".join(f", `{c}` string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    told = {r[5]: r[5:] for r in rows}
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        got = apply(spark, docs, "")
+        kept = got.collect()
+        assert got.columns == docs.columns and kept and all(tuple(r)[5:] == told[r["row"]] for r in kept), name
+        docs = spark.createDataFrame(kept, got.schema)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len(packed) >= len(kept)

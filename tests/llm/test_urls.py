@@ -77,3 +77,9 @@ def test_equal_lengths_take_the_first_rule(spark):
     pages = spark.createDataFrame([(1, "http://a.bc/d/e")], "page_id long, url string")
     found, _ = urls.rule_of(urls.host(F.col("url")), urls.path(F.col("url")), [("bc/d/e", "x"), ("a.bc/d", "y")])
     assert pages.select(found).first()[0] == "a.bc/d"
+
+
+def test_very_long_urls(spark):
+    long = "http://a.x.com/fr/" + "é/" * 100_000 + "?q#" + "z" * 1000
+    got = judged(spark, [canonical(*plain(long)[:2])], 64, [long, long.replace("/fr/", "/xx/")])
+    assert got[0]["path"] == plain(long)[1] and got[0]["rule"] == "com/fr/" and got[0]["listed"] and not got[1]["listed"]
