@@ -145,3 +145,37 @@ def test_the_corpus_is_not_shuffled_for_a_small_query_side(frames):
     below = plan[plan.index("MapInArrow"):]
     assert "hashpartitioning" not in below
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e5])
+@pytest.mark.parametrize("own", [True, False])
+def test_a_large_block_is_searched_in_tiles_with_the_same_hits(shift, own):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(6000, 7)), 2) + shift
+    x[1000:1400] = x[5]  # many equal vectors
+    ids = np.arange(6000)
+    ids[-50:] = ids[:50]  # some ids come twice
+    q, asked = x[::11], ids[::11] if own else None
+    rows, found, away = vectors._top_k_function(8)(q, asked, ids, x)
+    for i in range(0, len(q), 7):
+        d = ((x - q[i]) ** 2).sum(axis=1)
+        nearest: dict[int, float] = {}
+        for id_, distance in zip(ids.tolist(), d.tolist(), strict=True):
+            if not own or id_ != asked[i]:
+                nearest[id_] = min(distance, nearest.get(id_, np.inf))
+        want = sorted((distance, id_) for id_, distance in nearest.items())[:8]
+        assert list(zip(away[rows == i].tolist(), found[rows == i].tolist(), strict=True)) == want
+
+
+def test_vectors_without_clusters_are_not_sent_to_every_cell(spark):
+    """Queries that would look at most cells meet parts of the corpus instead, with about a row per part."""
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 24)))], "id long, embedding array<double>")
+    queries = table.withColumnRenamed("id", "query_id")
+    cells = vectors._Cells(table, 24, 5, True)
+    assert cells.share(queries, 3000) > vectors.CELL_SHARE and cells.routed(queries).count() > 20 * 3000
+    hits = vectors._block_hits(queries, table, 5, 24, True, 3000, 3000)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and hits.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 * 7
+    got, want = (vectors.knn(queries, table, 5, exclude_self=True, broadcast_bytes=b) for b in (0, 1 << 30))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
