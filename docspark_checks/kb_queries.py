@@ -346,8 +346,9 @@ def newest_replay(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     base = f"{checkpoint_dir(spark)}/replay-{uuid.uuid4().hex}"
     shuffled = events.repartition(4, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64(F.lit(1), "event_id"))
-    shuffled.write.parquet(f"{base}/in")
-    settings = (newest.STATE_STORE, ("spark.sql.shuffle.partitions", "4"))
+    # small row groups, so that all cores read a file; state for all cores, as a key takes a few calls a batch
+    shuffled.write.option("parquet.block.size", 8 << 20).parquet(f"{base}/in")
+    settings = (newest.STATE_STORE, ("spark.sql.shuffle.partitions", str(max(4, spark.sparkContext.defaultParallelism))))
     before = {k: spark.conf.get(k, None) for k, _ in settings}
     try:
         for k, v in settings:

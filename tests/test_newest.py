@@ -65,3 +65,47 @@ def test_parameters(spark):
     rows = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
         newest.newest_by_key(rows, "user_id", "ts", "1 hour", keep_hours=0)
+
+
+def test_state_takes_few_calls_and_timers_move_only_with_the_time():
+    """A call of the state server takes as long as many rows, so a key takes as few of them as it can."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    processor = newest._Newest(10)
+    processor.init(Handle())
+
+    def send(*rows):
+        calls.clear()
+        return [r.body for r in processor.handleInputRows((1,), iter([Row(at=a, tie=t, body=b) for a, t, b in rows]), None)]
+
+    assert send((1000, "a", "x"), (5000, "a", "y"), (2000, "b", "z")) == ["y"] and calls == ["get", "update", ("register", 15)]
+    assert send((4000, "a", "old")) == [] and calls == ["get"]
+    assert send((5400, "a", "same millisecond")) == ["same millisecond"] and calls == ["get", "update"]
+    assert send((9000, "a", "new")) == ["new"] and calls == ["get", "update", ("delete", 15), ("register", 19)]
