@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import bisect
 import json
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +39,10 @@ END_ID = 0
 #: Remembered words, of either kind, while a task runs.
 REMEMBERED = 200_000
 
-#: A text with none of these is words between single spaces and single line breaks.
-_OTHERWISE = re.compile(r"[^\S \n]|[ \n][ \n]|[\x1c-\x1f]|^[ \n]|[ \n]\Z")
+
+def plain(text: str) -> bool:
+    """Whether a text is words between single spaces and single line breaks, without other white space."""
+    return " ".join(text.split()) == text.replace("\n", " ")
 
 
 def byte_characters() -> dict[str, int]:
@@ -96,7 +97,7 @@ class Encoder:
         self._spaced.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if not t or _OTHERWISE.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        cut = [[line.split(" ") for line in t.split("\n")] if t and plain(t) else None for t in texts]
         self._learn(self._first, {line[0] for lines in cut if lines for line in lines}, "")
         spaced: set[str] = set()
         for lines in cut:

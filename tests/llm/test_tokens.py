@@ -186,3 +186,10 @@ def test_plan_against_all_partitions():
         assert sequences <= fewest(pieces, capacity) + 1
         exact += sequences == fewest(pieces, capacity)
     assert exact >= 55
+
+
+def test_words_between_single_blanks_are_told_without_looking_at_every_place():
+    for text in ("a", "a b\nc", "é 漢字"):
+        assert packing.plain(text)
+    for text in (" ", " a", "a\n", "a  b", "a \nb", "a\tb", "a\x1cb", " a", "a b", "a\r\nb", "\x85"):
+        assert not packing.plain(text)
