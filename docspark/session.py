@@ -70,3 +70,9 @@ def unstage(*frames: DataFrame) -> None:
 def _folder(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system knows it, or None on another kind of file system."""
+    fs, folder = _folder(spark, path)
+    return folder.toUri().getPath() if fs.getUri().getScheme() == "file" else None

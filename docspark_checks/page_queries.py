@@ -13,7 +13,7 @@ from docspark.session import checkpoint_dir
 from docspark.sources import files
 from docspark_checks import fixtures
 from docspark_checks.fixtures import duck
-from docspark_checks.registry import query, text_table
+from docspark_checks.registry import query, table, text_table
 
 _DECODE = (
     "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
@@ -169,7 +169,7 @@ def page_markdown(spark: SparkSession, sf: str) -> DataFrame:
 def page_folder(spark: SparkSession, sf: str) -> str:
     """The pages as files of their own below a folder."""
     path = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
-    text_table(spark, sf, "pages").select("html", "page_id").repartition(8, "page_id").write.partitionBy("page_id").text(path)
+    files.write_texts(table(spark, sf, "pages").select("html", "page_id"), path, "page_id", "html")
     return path
 
 

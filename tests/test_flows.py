@@ -126,3 +126,20 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     queries, twins = entry.queries(), entry.oracle_sql()
     assert set(twins) <= set(queries) and len(queries) > 80
+
+
+def test_texts_become_a_file_for_each_key(spark, tmp_path):
+    rows = [(1, "a\nb"), (2, None), (3, "é"), (3, "é"), (None, "x")]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    files.write_texts(df, f"file://{tmp_path}/own", "page_id", "html")
+    df.repartition("page_id").select("html", "page_id").write.partitionBy("page_id").text(str(tmp_path / "spark"))
+
+    def tree(root):
+        return {p.parent.name: p.read_text() for p in root.rglob("*.txt")}
+
+    assert tree(tmp_path / "own") == tree(tmp_path / "spark")
+    assert len(tree(tmp_path / "own")) == 4
+    # one file a key and nothing beside it: no checksums, marks of success or half files
+    assert sorted(p.name for p in (tmp_path / "own").rglob("*") if p.is_file()) == ["part-0.txt"] * 4
+    files.write_texts(df, f"file://{tmp_path}/own", "page_id", "html")  # a task that runs again
+    assert tree(tmp_path / "own") == tree(tmp_path / "spark")
