@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators import kb
+from docspark.session import stage, unstage
 
 #: Rows of a part, on average.
 PART_ROWS = 1 << 14
 GRAM = 3
+#: Letters of a part that are looked at at once.
+BLOCK_LETTERS = 1 << 20
 
 
 def fold(text: str | None) -> str:
@@ -38,20 +41,27 @@ def term_grams(term: str) -> list[str]:
     return sorted(set().union(*[grams(piece) for piece in re.split("[%_]", fold(term))]))
 
 
-def gaps(numbers: np.ndarray) -> bytes:
-    """Ascending numbers as differences, seven bits a byte, the last byte of each below 128."""
-    left = np.diff(numbers, prepend=-1).astype(np.int64)
+def _coded(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in seven bits a byte, the last byte of each below 128, and the bytes that each takes."""
     out: list[np.ndarray] = []
     at = np.arange(len(left))
+    sizes = np.zeros(len(left), np.int64)
     places = []
     step = 0
     while len(at):
         more = left >= 128
         out.append(((left & 127) | (more << 7)).astype(np.uint8))
         places.append(at * 10 + step)  # a number takes ten bytes at most
+        sizes[at] += 1
         left, at, step = left[more] >> 7, at[more], step + 1
-    order = np.argsort(np.concatenate(places)) if places else []
-    return np.concatenate(out)[order].tobytes() if out else b""
+    if step < 2:
+        return out[0] if out else np.zeros(0, np.uint8), sizes
+    return np.concatenate(out)[np.argsort(np.concatenate(places), kind="stable")], sizes
+
+
+def gaps(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as differences, seven bits a byte, the last byte of each below 128."""
+    return _coded(np.diff(numbers, prepend=-1).astype(np.int64))[0].tobytes()
 
 
 def numbers(coded: bytes) -> np.ndarray:
@@ -73,22 +83,95 @@ def number(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     return dealt.withColumn("no", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1)
 
 
+def _blocks(table: pa.Table, columns: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Folded letters as code points and the row of each text, (row, column) after (row, column); a text's end is -1.
+
+    A block holds whole rows of some BLOCK_LETTERS letters.
+    """
+    texts: list[str] = []
+    rows: list[int] = []
+    held = 0
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(t) for t in texts]) + 1
+        letters = np.full(sizes.sum(), -1, np.int32)
+        inside = np.ones(len(letters), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)
+        letters[inside] = np.where((points >= ord("A")) & (points <= ord("Z")), points + (ord("a") - ord("A")), points)
+        return letters, np.repeat(np.array(rows, np.int64), sizes)
+
+    for i, found in enumerate(zip(*[table[c].to_pylist() for c in columns], strict=True)):
+        for text in found:
+            if text and len(text) >= GRAM:
+                texts.append(text)
+                rows.append(i)
+                held += len(text)
+        if held > BLOCK_LETTERS:
+            yield block()
+            texts, rows, held = [], [], 0
+    if texts:
+        yield block()
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending values, each once."""
+    values.sort()
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def _lists(table: pa.Table, columns: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Trigrams, the first place of each one's rows, and the rows (places in the table) of one after the other."""
+    used = np.zeros(0x110000, bool)
+    for letters, _ in _blocks(table, columns):
+        used[letters[letters >= 0]] = True
+    alphabet = np.flatnonzero(used)
+    size, count = len(alphabet), max(1, table.num_rows)
+    known = np.zeros(0, np.int64)
+    place = np.zeros(0x110000, np.int64)
+    place[alphabet] = np.arange(size)
+
+    def keyed(letters: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        whole = (letters[:-2] >= 0) & (letters[1:-1] >= 0) & (letters[2:] >= 0)
+        a = place[letters]
+        return ((a[:-2] * size + a[1:-1]) * size + a[2:])[whole], rows[:-2][whole]
+
+    dense = size**3 * count < 1 << 63
+    if not dense:  # a large alphabet: numbers of the trigrams that occur
+        for block in _blocks(table, columns):
+            known = np.union1d(known, keyed(*block)[0])
+    pairs = []
+    for block in _blocks(table, columns):
+        key, rows = keyed(*block)
+        pairs.append(_distinct((key if dense else np.searchsorted(known, key)) * count + rows))
+    # a row is in one block, so no pair comes twice
+    found = np.concatenate(pairs) if pairs else known
+    found.sort()
+    key, rows = np.divmod(found, count)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
+    key = key[first] if dense else known[key[first]]
+    letters = np.stack([alphabet[key // size**2], alphabet[key // size % size], alphabet[key % size]], axis=1) if size else key
+    text = letters.astype(np.int32).tobytes().decode("utf-32-le")
+    return [text[i : i + GRAM] for i in range(0, len(text), GRAM)], first, rows
+
+
 def build(numbered: DataFrame, columns: Sequence[str] = ("titulo", "conteudo_texto")) -> DataFrame:
     """(gram, part, n, rows): the coded numbers of the rows of a part that hold a trigram, and how many."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-        lists: dict[str, list[int]] = {}
         table = batches.sort_by("no")
-        texts = [table[c].to_pylist() for c in columns]
-        for no, *found in zip(table["no"].to_pylist(), *texts, strict=True):
-            for gram in set().union(*[grams(fold(t)) for t in found]):
-                lists.setdefault(gram, []).append(no)
-        part = key[0].as_py()
+        found, first, rows = _lists(table, columns)
+        numbers = table["no"].to_numpy().astype(np.int64)[rows]
+        left = np.diff(numbers, prepend=-1)
+        left[first] = numbers[first] + 1  # as the difference to -1
+        data, sizes = _coded(left)
+        ends = np.r_[0, np.cumsum(sizes)]
+        starts = ends[np.r_[first, len(numbers)].astype(np.int64)]
+        coded = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)])
         return pa.table(
             {
-                "gram": pa.array(list(lists), pa.string()), "part": pa.array([part] * len(lists), pa.int32()),
-                "n": pa.array([len(x) for x in lists.values()], pa.int32()),
-                "rows": pa.array([gaps(np.array(x)) for x in lists.values()], pa.binary()),
+                "gram": pa.array(found, pa.string()), "part": pa.array([key[0].as_py()] * len(found), pa.int32()),
+                "n": pa.array(np.diff(np.r_[first, len(numbers)]).astype(np.int32)), "rows": coded,
             }
         )
 
@@ -100,7 +183,9 @@ def store(numbered: DataFrame, path: str, columns: Sequence[str] = ("titulo", "c
     """Write numbered rows and their lists; each sorted by what a search asks for."""
     numbered.repartition("part").sortWithinPartitions("part", "no").write.mode("overwrite").parquet(f"{path}/rows")
     rows = numbered.sparkSession.read.parquet(f"{path}/rows")
-    build(rows, columns).repartitionByRange("gram").sortWithinPartitions("gram", "part").write.mode("overwrite").parquet(f"{path}/lists")
+    lists = stage(build(rows, columns))  # the ranges are found by a pass of their own
+    lists.repartitionByRange("gram").sortWithinPartitions("gram", "part").write.mode("overwrite").parquet(f"{path}/lists")
+    unstage(lists)
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docspark.operators import kb, postings
@@ -67,3 +68,41 @@ def test_empty_table_and_parameters(spark, rows, tmp_path):
     assert postings.search_term(*postings.read(spark, str(tmp_path / "i")), "topic").count() == 0
     with pytest.raises(ValueError):
         postings.number(rows, 0)
+
+
+def test_lists_hold_the_rows_of_each_trigram(monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_LETTERS", 40)
+    rng = random.Random(5)
+    texts = [(rng.choice([None, "", "ab", "AÉ\0b\U0001f600c"]), "".join(rng.choices("aBc\0é\U0001f600\n ", k=rng.randrange(30)))) for _ in range(90)]
+    table = pa.table({"t": pa.array([t for t, _ in texts], pa.string()), "c": [c for _, c in texts]})
+    want = {}
+    for i, pair in enumerate(texts):
+        for gram in set().union(*[postings.grams(postings.fold(t)) for t in pair]):
+            want.setdefault(gram, []).append(i)
+    found, first, rows = postings._lists(table, ("t", "c"))
+    assert {g: list(r) for g, r in zip(found, np.split(rows, first[1:]))} == want and len(found) == len(want)
+
+
+def test_lists_of_a_large_alphabet():
+    every = "".join(chr(c) for c in range(0x400, 0x30000) if not 0xD800 <= c < 0xE000)
+    table = pa.table({"t": pa.array([every] + ["\u0400\u0401\u0402"] * 2000)})
+    assert len(every) ** 3 * table.num_rows > 1 << 63
+    found, first, rows = postings._lists(table, ("t",))
+    lists = dict(zip(found, np.split(rows, first[1:])))
+    assert len(found) == len(every) - 2 and list(lists[every[:3]]) == list(range(2001)) and list(lists[every[-3:]]) == [0]
+
+
+def test_store_lists_the_trigrams_once(rows, tmp_path, monkeypatch):
+    calls, build = rows.sparkSession.sparkContext.accumulator(0), postings.build
+
+    def counted(*given):
+        def run(batches):
+            calls.add(1)
+            yield from batches
+
+        made = build(*given)
+        return made.coalesce(1).mapInArrow(run, made.schema)
+
+    monkeypatch.setattr(postings, "build", counted)
+    postings.store(postings.number(rows, 60), str(tmp_path / "i"))
+    assert calls.value == 1
