@@ -176,3 +176,29 @@ def test_centres():
     assert len(found) == 9 and np.sqrt(centres.squared(x, found).min(axis=1)).max() < 0.1
     assert len(centres.fit(np.ones((20, 3)), 5)) == 1 and len(centres.fit(np.zeros((0, 3)), 5)) == 0
     assert centres.nearest(x, x[:5]).tolist() == [int(((x[:5] - v) ** 2).sum(axis=1).argmin()) for v in x]
+
+
+def test_nearest_holds_a_bounded_number_of_distances():
+    import tracemalloc
+
+    x = np.random.default_rng(3).normal(size=(10_000, 4))
+    tracemalloc.start()
+    found = centres.nearest(x, x[:1024])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20 and (found[:1024] == np.arange(1024)).all()
+
+
+def test_places_ship_without_the_sample(spark):
+    from pyspark import cloudpickle
+
+    class Corpus:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            return function
+
+    rows = frame(spark, clustered(rows=3000))
+    cells = vectors._Cells(rows, 64, 3, True, pivots=8)
+    assert len(cells.some) > 400 and len(cloudpickle.dumps(cells.placed(Corpus()))) < cells.some.nbytes / 4
