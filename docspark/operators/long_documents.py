@@ -26,9 +26,13 @@ _DOC, _SEGMENT = "source_path", "_segment"
 
 
 def _carried(
-    rows: DataFrame, order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, nexts: dict[str, Column] | None = None
+    rows: DataFrame, order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, nexts: dict[str, Column] | None = None,
+    holders: DataFrame | None = None,
 ) -> DataFrame:
-    """Add running sums up to each row, last values up to it and next values behind it, over whole documents."""
+    """Add running sums up to each row, last values up to it and next values behind it, over whole documents.
+
+    `holders` may give the rows that hold values, and one more of every segment, where these are far fewer.
+    """
     sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
     inside = Window.partitionBy(_DOC, _SEGMENT).orderBy(*order)
     upto, behind = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(1, Window.unboundedFollowing)
@@ -38,7 +42,7 @@ def _carried(
         | {f"_{n}": F.first(e, ignorenulls=True).over(behind) for n, e in nexts.items()}
     )
     place = F.struct(*order)
-    whole = rows.groupBy(_DOC, _SEGMENT).agg(
+    whole = (rows if holders is None else holders).groupBy(_DOC, _SEGMENT).agg(
         *[F.sum(e).alias(n) for n, e in sums.items()],
         *[F.max_by(e, F.when(e.isNotNull(), place)).alias(n) for n, e in lasts.items()],
         *[F.min_by(e, F.when(e.isNotNull(), place)).alias(n) for n, e in nexts.items()],
@@ -81,7 +85,8 @@ def regions(lines: DataFrame, keep_text: bool = True, segment_lines: int = SEGME
     facts = stage(_facts(marked))  # a row per document
     heads = marked.where("h is not null").select(_DOC, _SEGMENT, "line_no", "h")
     of = facts.withColumnRenamed(_DOC, "_of")
-    heads = heads.join(of, F.col(_DOC).eqNullSafe(F.col("_of"))).drop("_of")
+    # read six times below, and far fewer than the lines they are taken from
+    heads = stage(heads.join(of, F.col(_DOC).eqNullSafe(F.col("_of"))).drop("_of"))
 
     one, cuts = F.col("h.level") == 1, F.col("h.level") == F.col("cut")
     # a first header below level 1 opens a block unless a title has done so
@@ -132,7 +137,7 @@ def regions(lines: DataFrame, keep_text: bool = True, segment_lines: int = SEGME
     )
     found = chunks.unionByName(bare).unionByName(by_title).unionByName(whole)
     found = found.withColumn(_SEGMENT, F.floor(F.col("start") / segment_lines).cast("long"))
-    return _with_texts(marked, stage(_with_heads(found, keep_text)), keep_text, segment_lines)
+    return _with_texts(marked, facts, stage(_with_heads(found, keep_text)), keep_text, segment_lines)
 
 
 def _with_heads(found: DataFrame, keep_text: bool) -> DataFrame:
@@ -157,7 +162,7 @@ def _with_heads(found: DataFrame, keep_text: bool) -> DataFrame:
     return joined.withColumn("head", head.cast("long")).drop("_prev", "_entry", "_d", "_s")
 
 
-def _with_texts(marked: DataFrame, found: DataFrame, keep_text: bool, segment_lines: int) -> DataFrame:
+def _with_texts(marked: DataFrame, facts: DataFrame, found: DataFrame, keep_text: bool, segment_lines: int) -> DataFrame:
     """The regions with their texts: every line goes to the last region whose head it does not precede."""
     region = F.struct("start", "block_no", "kind", "block_start", "nome_software", "stop")
     rows = marked.select(_DOC, _SEGMENT, "line_no", F.lit(1).alias("_is"), "line", "blank", F.col("h").isNotNull().alias("is_head"), F.lit(None).cast(found.select(region.alias("r")).schema["r"].dataType).alias("r"))
@@ -167,7 +172,9 @@ def _with_texts(marked: DataFrame, found: DataFrame, keep_text: bool, segment_li
     )
     heads = heads.withColumn("_at", F.col("r.block_no"))
     rows = rows.withColumn("_at", F.lit(0).cast(heads.schema["_at"].dataType))
-    dealt = _carried(rows.unionByName(heads), ["line_no", "_is", "_at"], lasts={"own": F.col("r")}).where("_is = 1 and own is not null")
+    every = facts.select(_DOC, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_lines") - 1) / segment_lines).cast("long"))).alias(_SEGMENT))
+    holders = heads.unionByName(every, allowMissingColumns=True)
+    dealt = _carried(rows.unionByName(heads), ["line_no", "_is", "_at"], lasts={"own": F.col("r")}, holders=holders).where("_is = 1 and own is not null")
     names = (F.col("line_no") == F.col("own.block_start") - 1) & (tx.strip(F.col("line")) == F.col("own.nome_software"))
     other = F.col("own.kind") != "chunk"
     if keep_text:
