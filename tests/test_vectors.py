@@ -179,3 +179,42 @@ def test_vectors_without_clusters_are_not_sent_to_every_cell(spark):
     assert "FlatMapCoGroupsInArrow" in plan and hits.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 * 7
     got, want = (vectors.knn(queries, table, 5, exclude_self=True, broadcast_bytes=b) for b in (0, 1 << 30))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_equal_vectors_of_a_group_are_compared_once(own, monkeypatch):
+    """Hits are those of all rows, with ties between copies and between vectors decided by the id."""
+    rng = np.random.default_rng(8)
+    some = rng.integers(-3, 4, size=(700, 3)).astype(float)  # many distances are equal
+    cv = np.concatenate([some, some[rng.integers(0, 700, 3500)], np.repeat(some[:1], 300, axis=0)])
+    ids = rng.permutation(len(cv)).astype(np.int64)
+    qids, seen = ids[:400], []
+    whole = vectors._top_k_function
+
+    def counted(k):
+        best = whole(k)
+        return lambda *args: seen.append(len(args[2])) or best(*args)
+
+    monkeypatch.setattr(vectors, "_top_k_function", counted)
+    rows, found, away = vectors._once_function(8)(cv[:400], qids if own else None, ids, cv)
+    assert max(seen) == len(np.unique(cv, axis=0)) < len(cv) / 10
+    d = ((cv[:400, None, :] - cv[None, :, :]) ** 2).sum(axis=2)
+    if own:
+        d[qids[:, None] == ids[None, :]] = np.inf
+    want = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :8]
+    assert (rows.reshape(-1, 8) == np.arange(400)[:, None]).all()
+    assert (found.reshape(-1, 8) == ids[want]).all() and (away.reshape(-1, 8) == np.take_along_axis(d, want, axis=1)).all()
+    twice = np.concatenate([ids[:-50], ids[:50]])  # an id with two vectors counts once, with the nearer one
+    got = vectors._once_function(8)(cv[:400], qids, twice, cv)
+    assert all((a == b).all() for a, b in zip(got, whole(8)(cv[:400], qids, twice, cv), strict=True))
+
+
+def test_copies_meet_in_a_part_unless_they_would_fill_it(spark):
+    rows = spark.range(40_000).withColumn("embedding", F.array((F.col("id") % 8000).cast("double"), F.lit(1.0)))
+    assert vectors._dealt_by(rows, 40_000, 4) == "embedding"
+    same = rows.withColumn("embedding", F.array(F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id").cast("double"))))
+    assert vectors._dealt_by(same, 40_000, 4) == "id"
+    near = rows.withColumnRenamed("id", "query_id").where("query_id < 90")
+    hits = vectors._block_hits(near, rows, 3, 2, True, 90, 40_000)
+    found = {(r["query_id"], r["id"]) for r in vectors.rank_hits(hits, 3, "l2sq").collect()}
+    assert found == {(q, q + 8000 * i) for q in range(90) for i in (1, 2, 3)}
